@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import worker_cache
+from .packing import Recent, worker_cache
 
 #: How byte-level tokenizers split text before merging, with the white space of Unicode.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -30,7 +30,7 @@ def byte_letters() -> dict[str, int]:
 class Bpe:
     """Encoder and decoder of a byte-level BPE file's content. Token ids must follow merge order."""
 
-    def __init__(self, content: str, most: int = 300_000):
+    def __init__(self, content: str, most: int = 400_000):
         import json
 
         import ahocorasick
@@ -66,24 +66,18 @@ class Bpe:
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.split = regex.compile(SPLIT)
+        self.lengths = [len(t) for t in self.strings]
         whole = [t.encode("latin-1") for t in self.strings]
         for t, i in special.items():
             whole[i] = t.encode()
         self.sizes = np.array([len(t) for t in whole])
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(whole), np.uint8)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.most = most
+        self.fits: dict[int, bool] = {}
+        self.known, self.most = Recent(most), most
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their bytes stand side by side."""
-        found = self.fits.get((left, right))
-        if found is None:
-            found = self.fits[left, right] = self._compatible(left, right)
-        return found
-
-    def _compatible(self, left: int, right: int) -> bool:
         # walk the tokens at the border back through their merges, latest first; a
         # merge across the border that came earlier would have taken place instead
         limit = len(self.strings)
@@ -122,15 +116,21 @@ class Bpe:
             at = end - size + 1
             if size > span[at]:
                 span[at], longest[at] = size, token
-        strings, shorter, compatible = self.strings, self.shorter, self.compatible
+        sizes, shorter, fits = self.lengths, self.shorter, self.fits
         open_ = bytearray(b"\x01") * (n + 1)
         tokens: list[int] = []
         at, token = 0, longest[0]
         while at < n:
             last = tokens[-1] if tokens else -1
             while True:
-                end = at + len(strings[token])
-                if open_[end] and (last < 0 or compatible(last, token)):
+                end = at + sizes[token]
+                fit = open_[end]
+                if fit and last >= 0:
+                    pair = last << 32 | token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = fits[pair] = self.compatible(last, token)
+                if fit:
                     tokens.append(token)
                     at = end
                     token = longest[at] if at < n else -1
@@ -139,7 +139,7 @@ class Bpe:
                 if less is None:  # nothing fits here: this place is closed
                     open_[at] = 0
                     tokens.pop()
-                    at -= len(strings[last])
+                    at -= sizes[last]
                     token = last
                     break
                 token = less
@@ -147,10 +147,8 @@ class Bpe:
 
     def encode(self, text: str) -> tuple[str, bytes]:
         """(decimal ids joined by commas, ids as little-endian 32-bit) of a text."""
-        if len(self.known) > self.most:
-            self.known = {}
         if len(self.fits) > 4 * self.most:
-            self.fits = {}
+            self.fits.clear()
         known = self.known
         found = []
         for part in self.cut.split(text) if self.cut and "<" in text else (text,):
@@ -158,14 +156,11 @@ class Bpe:
                 i = self.special[part]
                 found.append((str(i), np.array([i], "<u4").tobytes()))
                 continue
-            for piece in self.split.findall(part):
-                got = known.get(piece)
-                if got is None:
-                    ids = self.encode_piece(piece.encode().decode("latin-1"))
-                    got = ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
-                    if len(piece) < 64:
-                        known[piece] = got
-                found.append(got)
+            pieces = self.split.findall(part)
+            for piece in known.refresh(set(pieces)):
+                ids = self.encode_piece(piece.encode().decode("latin-1"))
+                known[piece] = ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+            found += map(known.__getitem__, pieces)
         return ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
     def decode(self, ids: bytes) -> bytes:

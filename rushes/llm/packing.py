@@ -39,29 +39,82 @@ def tokenizer_of(content: str):
     return cache[key]
 
 
+class Recent(dict):
+    """A dictionary of about `most` to twice as many entries, those used lately; it lasts as long as its Python worker."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def refresh(self, keys):
+        """Makes room, takes over the keys that are known from before, and returns the others."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        older, new = self.older, []
+        for k in keys:
+            if k not in self:
+                found = older.get(k)
+                if found is None:
+                    new.append(k)
+                else:
+                    self[k] = found
+        return new
+
+
 class WordTokens:
     """Token ids (little-endian unsigned 32-bit) of texts, each distinct chunk between blanks encoded once.
 
     The tokenizer drops white space, so chunks between blanks, tabs and line feeds are
-    encoded apart with the same result. The memory of chunks is emptied when it is full.
+    encoded apart with the same result. It also lowers letters, and parts a sign from the
+    letter before it; so chunks of Latin letters, digits and ASCII signs are looked up
+    without their capitals and last stop or comma. New ones are encoded many at a time,
+    joined by blanks, and told apart by their offsets; chunks of other characters, and
+    those that could hold a special token, are encoded one by one.
     """
 
-    def __init__(self, content: str, most: int = 400_000):
-        self.tokenizer, self.most, self.known = tokenizer_of(content), most, {}
-        self.blank = str.maketrans("\t\n", "  ")
+    def __init__(self, content: str, most: int = 400_000, together: int = 256):
+        import re
+
+        self.tokenizer, self.together = tokenizer_of(content), together
+        cache = worker_cache()
+        self.known = cache.setdefault(("chunks", hash(content)), Recent(most))
+        self.stems = cache.setdefault(("stems", hash(content)), Recent(most))
+        self.plain = re.compile(r"[!-;=-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch
+
+    def learn(self, chunks: list[str]):
+        known, stems, encode = self.known, self.stems, self.tokenizer.encode_batch
+        plain, others = [], []
+        for c in chunks:
+            if self.plain(c):
+                stem = c.lower()
+                plain.append((c, stem[:-1], stem[-1]) if stem[-1] in ".," and stem[-2:-1].isalpha() else (c, stem, ""))
+            else:
+                others.append(c)
+        for c, found in zip(others, encode(others, add_special_tokens=False)):
+            known[c] = np.array(found.ids, "<u4").tobytes()
+        new = stems.refresh({s for _, s, _ in plain} | {".", ","})
+        groups = [new[a : a + self.together] for a in range(0, len(new), self.together)]
+        for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4").tobytes()
+            at = np.cumsum([len(c) + 1 for c in group])
+            cuts = np.searchsorted(np.array([x for x, _ in found.offsets], np.int64), at).tolist()
+            last = 0
+            for c, cut in zip(group, cuts):
+                stems[c] = ids[4 * last : 4 * cut]
+                last = cut
+        ends = {"": b"", ".": stems["."], ",": stems[","]}
+        for c, stem, end in plain:
+            known[c] = stems[stem] + ends[end]
 
     def __call__(self, texts: list[str]):
-        """The ids of each text, as bytes; known chunks are kept over calls."""
-        for a in range(0, len(texts), 64):
-            split = [t.translate(self.blank).split(" ") for t in texts[a : a + 64]]
-            new = list({c for words in split for c in words if c not in self.known})
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = list({c for words in split for c in words})
-            for c, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[c] = np.array(found.ids, "<u4").tobytes()
+        """The ids of each text, as bytes."""
+        known = self.known
+        for a in range(0, len(texts), 256):
+            split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts[a : a + 256]]
+            self.learn(known.refresh(set().union(*split)))
             for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+                yield b"".join(map(known.__getitem__, words))
 
 
 class Capacities:
