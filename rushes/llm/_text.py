@@ -111,8 +111,12 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def batches(rows, names):
-    """Each Arrow batch with only the named columns, if it has rows."""
-    for batch in rows:
-        if batch.num_rows:
-            yield [batch.column(batch.schema.get_field_index(n)) for n in names]
+def parts(batch, text: str, size: int = 2 << 20):
+    """The batch in runs of rows with about so many bytes of text each; a row is never cut."""
+    if batch.num_rows:
+        _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b

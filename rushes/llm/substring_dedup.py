@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import buckets, text_bytes
-from ._text import batches, byte_values, grams, hashes, mix, powers, space_class, spans, utf8
+from ._text import byte_values, grams, hashes, mix, parts, powers, space_class, spans, utf8
 
 NO_ID = -(2**63)
 STRETCH = "bucket int, ids binary, tags binary, starts binary, counts binary, text binary"
@@ -100,49 +100,38 @@ def stretches(k: int, m: int, n_buckets: int, block: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "ids", "tags", "starts", "counts", "text"])
 
         seen, keys, places, size = {}, [], [], 0
-        for id_column, tag_column, text in batches(rows, ("id", "tag", "text")):
+        for batch in (part for batch in rows for part in parts(batch, "text")):
+            id_column, tag_column, text = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "tag", "text"))
             data, offsets = utf8(text)
+            s, e, bounds = spans(data, offsets, inside)
+            if len(s) < k:
+                continue
+            first, count, least = _stretches(hashes(data, s, e, values), bounds, k, m)
+            if not len(first):
+                continue
+            packed, ps, pe = _packed(data, offsets, s, e)
+            packed = packed.tobytes()
+            doc = np.searchsorted(bounds, first, side="right") - 1
+            number = np.empty(len(first), np.int64)
+            for j, (x, y, key) in enumerate(zip(ps[first].tolist(), pe[first + count + k - 2].tolist(), least.tolist())):
+                string = packed[x:y]
+                at = seen.get(string)
+                if at is None:
+                    at = seen[string] = len(keys)
+                    keys.append(key)
+                    size += y - x
+                number[j] = at
             doc_ids, doc_tags = (c.to_numpy(zero_copy_only=False) for c in (id_column, tag_column))
-            starts, ends, bounds = spans(data, offsets, inside)
-            for a, b in _pieces(bounds, 1 << 19):
-                lo, hi = bounds[a], bounds[b]
-                if hi - lo < k:
-                    continue
-                s, e, bound = starts[lo:hi], ends[lo:hi], bounds[a : b + 1] - lo
-                first, count, least = _stretches(hashes(data, s, e, values), bound, k, m)
-                if not len(first):
-                    continue
-                packed, ps, pe = _packed(data, offsets, s, e)
-                packed = packed.tobytes()
-                doc = np.searchsorted(bound, first, side="right") - 1
-                number = np.empty(len(first), np.int64)
-                for j, (x, y, key) in enumerate(zip(ps[first].tolist(), pe[first + count + k - 2].tolist(), least.tolist())):
-                    string = packed[x:y]
-                    at = seen.get(string)
-                    if at is None:
-                        at = seen[string] = len(keys)
-                        keys.append(key)
-                        size += y - x
-                    number[j] = at
-                places.append((number, doc_ids[a + doc], doc_tags[a + doc], (first - bound[doc]).astype(np.int32), count.astype(np.int32)))
-                if size > block:
-                    yield emit(seen, keys, places)
-                    seen, keys, places, size = {}, [], [], 0
+            places.append((number, doc_ids[doc], doc_tags[doc], (first - bounds[doc]).astype(np.int32), count.astype(np.int32)))
+            if size > block:
+                yield emit(seen, keys, places)
+                seen, keys, places, size = {}, [], [], 0
         if places:
             yield emit(seen, keys, places)
 
     return run
 
 
-def _pieces(bounds, words):
-    """Ranges of texts with about so many words each; a text is never cut."""
-    a, n = 0, len(bounds) - 1
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + words, side="right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
-
-
 def repeats(k: int):
     """Task function for one bucket: its packed strings to the places of windows that occur earlier."""
 
