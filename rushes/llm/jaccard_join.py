@@ -8,10 +8,12 @@ class estimates how many candidates either length brings it and takes the cheape
 The longer prefix lets a class leave its l - 1 most frequent grams out, as l shared
 grams are asked for; two classes meet by the shorter of their prefixes.
 
-Classes that meet, over any number of steps, are one bucket. A bucket's texts are
-brought together, in cells of two blocks where it is large, so memory is bounded and
-no pair is lost. In a cell, pairs must share enough grams of their prefixes, then the
-whole sets are compared. Links leave a cell as a spanning forest.
+Classes that meet at a gram are compared by the grams of their prefixes: only those
+that share as many as the shorter of their demands are candidates. Candidates, over
+any number of steps, are one bucket. A bucket's texts are brought together and the
+whole sets are compared. Groups and buckets go in cells of two blocks where they are
+large, so memory is bounded and no pair is lost; candidates and links leave a cell as
+a spanning forest.
 """
 
 import numpy as np
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import stored
-from ._text import byte_values, grams, hashes, mix, space_class, spans, utf8
+from ._text import byte_values, grams, hashes, mix, parts, space_class, spans, utf8
 from .components import components
 
 SIGNATURE = "id long, n int, node long, grams array<long>"
-BLOCK = 128
+BLOCK = 512
+MEETING = 512
 BROADCAST_ROWS = 100_000
 
 
@@ -50,6 +53,8 @@ def overlap(n, percent: int):
 
 def level(n, percent: int):
     """How many shared grams the longer prefix asks for."""
+    if isinstance(n, int):
+        return min(overlap(n, percent), max(2, n // 20))
     return np.minimum(overlap(n, percent), np.maximum(2, n // 20))
 
 
@@ -63,7 +68,7 @@ def signatures(n: int, percent: int):
     """Task function: rows to set size, class and longer prefix."""
 
     def run(rows):
-        for batch in rows:
+        for batch in (part for batch in rows for part in parts(batch, "text")):
             names = batch.schema.names
             sizes, nodes, prefixes = [], [], []
             for found in gram_sets(batch.column(names.index("text")), n):
@@ -76,59 +81,124 @@ def signatures(n: int, percent: int):
     return run
 
 
-def cells_linked(n: int, percent: int):
-    """Task function over rows sorted by cell: texts to links (a, b) of classes."""
-
-    def linked(nodes, sets):
-        sizes = np.array([len(s) for s in sets])
-        m = len(sets)
-        levels = level(sizes, percent)
-        prefix = [s[: k - overlap(k, percent) + int(j)] for s, k, j in zip(sets, sizes.tolist(), levels)]
-        shared = _common(prefix)
-        a, b = np.triu_indices(m, 1)
-        need = np.minimum(levels[a], levels[b])
-        small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        near = (shared[a, b] >= need) & (100 * small >= percent * large)
-        a, b = a[near], b[near]
-        if not len(a):
-            return
-        used = np.unique(np.r_[a, b])
-        where = np.searchsorted(used, np.arange(m))
-        both = _common([sets[i] for i in used.tolist()])[where[a], where[b]]
-        union = sizes[a] + sizes[b] - both
-        hit = 100 * both >= percent * union
-        root = list(range(m))
+def forest(m: int, pairs):
+    """(place, least place of its tree) of the places that the pairs join to a smaller one."""
+    root = list(range(m))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [(x, y) for x in range(m) if (y := find(x)) != x]
+
+
+def by_cell(rows, keys, columns):
+    """Rows of sorted batches, cell by cell: (the columns' values, the last rows' batch end)."""
+    key, held = None, []
+    for batch in rows:
+        names = batch.schema.names
+        cells = zip(*(batch.column(names.index(c)).to_pylist() for c in keys))
+        for cell, row in zip(cells, zip(*columns(batch))):
+            if cell != key:
+                if len(held) > 1:
+                    yield held
+                key, held = cell, []
+            held.append(row)
+    if len(held) > 1:
+        yield held
+
+
+def near(sizes, levels, shared, percent, twice=0):
+    """The pairs of places that share enough grams of their prefixes and are near in size.
+
+    twice: how many of a place's grams have another's fingerprint, and may count once instead of twice.
+    """
+    a, b = np.triu_indices(len(sizes), 1)
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    asked = np.minimum(levels[a], levels[b]) - (np.minimum(twice[a], twice[b]) if np.ndim(twice) else twice)
+    hit = (shared[a, b] >= asked) & (100 * small >= percent * large)
+    return a[hit], b[hit]
+
+
+def cells_met(percent: int):
+    """Task function over rows sorted by cell: shared grams of prefixes to candidates (a, b) as a forest.
+
+    known has 16 bits of each gram: enough to count by, and never a candidate less.
+    """
+
+    def columns(batch):
+        names = batch.schema.names
+        known = batch.column(names.index("known"))
+        values, cuts = known.values.to_numpy(), known.offsets.to_numpy()
+        return batch.column(names.index("node")).to_pylist(), batch.column(names.index("n")).to_pylist(), (values[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+
+    def run(rows):
+        out, root = [], {}
 
         def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = x = root[y]
             return x
 
-        for x, y in zip(a[hit].tolist(), b[hit].tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        for x in range(m):
-            if (y := find(x)) != x:
-                yield nodes[x], nodes[y]
+        for cell in by_cell(rows, ("level", "gram", "i", "j"), columns):
+            nodes, sizes, known = zip(*cell)
+            if len(cell) <= 6:  # sets are quicker than arrays for a few
+                few = [set(k.tolist()) for k in known]
+                twice = [len(k) - len(f) for k, f in zip(known, few)]
+                asks = [int(level(k, percent)) for k in sizes]
+                hit = [(x, y) for y in range(len(few)) for x in range(y) if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]) and len(few[x] & few[y]) >= min(asks[x], asks[y]) - min(twice[x], twice[y])]
+            else:
+                sizes = np.array(sizes)
+                few = [np.unique(k) for k in known]
+                twice = np.array([len(k) - len(f) for k, f in zip(known, few)])
+                hit = zip(*(x.tolist() for x in near(sizes, level(sizes, percent), _common(few), percent, twice)))
+            # what this task has joined already need not be told again
+            for x, y in forest(len(nodes), hit):
+                a, b = find(nodes[x]), find(nodes[y])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((nodes[x], nodes[y]))
+            if len(out) > 20_000:
+                yield _links(out)
+                out = []
+            if len(root) > 500_000:
+                root.clear()
+        if out:
+            yield _links(out)
+
+    return run
+
+
+def cells_linked(n: int, percent: int):
+    """Task function over rows sorted by cell: texts to links (a, b) of classes, as a forest."""
+
+    def columns(batch):
+        names = batch.schema.names
+        return batch.column(names.index("node")).to_pylist(), gram_sets(batch.column(names.index("text")), n)
 
     def run(rows):
-        key, nodes, sets = None, [], []
-        for batch in rows:
-            names = batch.schema.names
-            cells = list(zip(*(batch.column(names.index(c)).to_pylist() for c in ("bucket", "i", "j"))))
-            out = []
-            for cell, node, found in zip(cells, batch.column(names.index("node")).to_pylist(), gram_sets(batch.column(names.index("text")), n)):
-                if cell != key:
-                    out += linked(nodes, sets)
-                    key, nodes, sets = cell, [], []
-                if node_of(found) == node and node not in nodes:
-                    nodes.append(node), sets.append(found)
-            if out:
+        for cell in by_cell(rows, ("bucket", "i", "j"), columns):
+            # a row whose id stands for several texts may have another class's text
+            sets = {node: found for node, found in cell if node_of(found) == node}
+            nodes, sets = list(sets), list(sets.values())
+            sizes = np.array([len(s) for s in sets])
+            levels = level(sizes, percent)
+            prefixes = [s[: k - overlap(k, percent) + int(j)] for s, k, j in zip(sets, sizes.tolist(), levels)]
+            a, b = near(sizes, levels, _common(prefixes), percent)
+            if not len(a):
+                continue
+            used = np.unique(np.r_[a, b])
+            where = np.searchsorted(used, np.arange(len(sets)))
+            both = _common([sets[i] for i in used.tolist()])[where[a], where[b]]
+            hit = 100 * both >= percent * (sizes[a] + sizes[b] - both)
+            if out := [(nodes[x], nodes[y]) for x, y in forest(len(nodes), zip(a[hit].tolist(), b[hit].tolist()))]:
                 yield _links(out)
-        if out := list(linked(nodes, sets)):
-            yield _links(out)
 
     return run
 
@@ -160,6 +230,17 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _blocks(count: str, size: int):
+    return F.ceil(F.col(count) / F.lit(size)).cast("int").alias("blocks")
+
+
+def _celled(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with their cells i, j: a group of several blocks has a cell for each two blocks."""
+    mine = F.pmod(F.xxhash64("node", *keys), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("mine")))
+    return rows.withColumn("mine", mine).withColumn("other", F.explode(others)).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("mine", "other")
+
+
 def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", gram: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles and component_id for each row: the least id that links reach, its own included.
 
@@ -183,6 +264,9 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     size, least = F.col("n"), F.expr(f"({percent} * n + 99) div 100")
     asked = F.least(least, F.greatest(F.lit(2), F.expr("n div 20"))).cast("int")
     per_class = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "place"))).alias("known"))
+    # whoever links shares what the lesser of the two asks for; a partner has the set's least overlap at least
+    fewest = F.least(F.expr(f"({percent} * ({percent} * n + 99) div 100 + 99) div 100"), F.greatest(F.lit(2), F.expr(f"({percent} * n + 99) div 2000")))
+    per_class = per_class.where(F.size("known") >= fewest)
     # grams of one class alone come first in the order of frequency, and meet nobody
     short = F.filter("known", lambda g: g["place"] <= size - least)
     room = size - least + 1 - (size - least + asked - F.size("known"))
@@ -192,26 +276,26 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     chosen = stored(
         per_class.withColumns({"short": short, "long": long})
         .withColumn("home", F.when(cost(F.col("long")) < cost(F.col("short")), 1).otherwise(0))
-        .select("node", "home", F.transform("short", lambda g: g["gram"]).alias("short"), F.transform("long", lambda g: g["gram"]).alias("long"))
+        .select("node", "n", "home", F.expr("transform(known, g -> cast((g.gram & 65535) - 32768 as smallint))").alias("known"), F.transform("short", lambda g: g["gram"]).alias("short"), F.transform("long", lambda g: g["gram"]).alias("long"))
     )
     meets = chosen.select("node", "home", F.explode("short").alias("gram"), F.lit(0).alias("level")).union(chosen.where("home = 1").select("node", "home", F.explode("long").alias("gram"), F.lit(1).alias("level")))
-    centre = meets.groupBy("level", "gram").agg(F.min(F.when(F.col("home") == F.col("level"), F.col("node"))).alias("b"), F.count("*").alias("k")).where("b is not null and k > 1")
-    glued = components(meets.join(centre, ["level", "gram"]).where("node <> b").select(F.col("node").alias("a"), "b"))
+    groups = meets.groupBy("level", "gram").agg(F.max((F.col("home") == F.col("level")).cast("int")).alias("homes"), F.count("*").alias("k")).where("homes = 1 and k > 1").select("level", "gram", _blocks("k", MEETING))
+    met = meets.select("node", "level", "gram").join(groups, ["level", "gram"]).join(chosen.select("node", "n", "known"), "node")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    candidates = stored(_celled(met, "level", "gram").repartition(parts, "level", "gram", "i", "j").sortWithinPartitions("level", "gram", "i", "j", "node").select("level", "gram", "i", "j", "node", "n", "known").mapInArrow(cells_met(percent), "a long, b long"))
+    glued = components(candidates)
 
     sizes = glued.groupBy(F.col("label").alias("bucket")).agg(F.count("*").alias("m"))
     placed = stored(
         glued.withColumnRenamed("label", "bucket")
         .join(sizes, "bucket")
         .join(classes.select("node", "first_id"), "node")
-        .select("node", "first_id", "bucket", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .select("node", "first_id", "bucket", _blocks("m", BLOCK))
     )
     # behind a check of its size; otherwise both sides are shuffled
     few = placed.count() <= BROADCAST_ROWS
     member = texts.withColumnRenamed("id", "first_id").join(F.broadcast(placed) if few else placed, "first_id")
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("mine")))
-    cells = member.select("node", "bucket", "mine", "text", F.explode(other).alias("other")).select("node", "bucket", "text", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = _celled(member, "bucket").select("bucket", "i", "j", "node", "text")
     links = stored(cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(cells_linked(gram, percent), "a long, b long"))
     joined = components(links)
     named = classes.select("node", "first_id").join(joined, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
