@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by minimum labels with pointer jumping."""
+"""Connected components of a table of links, by contraction to minimum labels."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,17 +9,25 @@ from ._spark import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of links (a, b): label is the least node of its component.
 
-    Each round a node takes the least label among its own and its neighbours', then its
-    label's label, so the rounds grow with the logarithm of long chains. Every round is
-    written to the shared folder; it ends when no label changes.
+    Each round a node points to the least of its neighbours and itself, then to where
+    that node points; the links between what nodes point to are the next round's, so
+    they become fewer. Links of a node to its pointer keep the pointers connected.
+    Every round is written to the shared folder; it ends when no links are left.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = stored(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.col("old") != F.least("next", F.coalesce("far", "next"))).alias("moved")))
-        labels = moved.select("node", "label")
-        if moved.where("moved").limit(1).count() == 0:
-            return labels
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("next"))
+        far = least.select(F.col("node").alias("next"), F.col("next").alias("label"))
+        step = stored(least.join(far, "next").select("node", "label"))
+        rounds.append(step)
+        ends = [step.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab"]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").where("_a <> _b")
+        edges = stored(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        if edges.limit(1).count() == 0:
+            break
+    labels = rounds[0]
+    for step in rounds[1:]:
+        labels = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("_next")), "label", "left").select("node", F.coalesce("_next", "label").alias("label"))
+    return stored(labels)
