@@ -172,7 +172,7 @@ class Bpe:
 
 
 def bpe_of(content: str) -> Bpe:
-    cache, key = worker_cache(), ("bpe", hash(content))
+    cache, key = worker_cache("bpe"), ("bpe", hash(content))
     if key not in cache:
         cache[key] = Bpe(content)
     return cache[key]

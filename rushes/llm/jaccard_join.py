@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ._spark import stored
 from ._text import byte_values, grams, hashes, mix, parts, space_class, spans, utf8
 from .components import components
+from .packing import worker_cache
 
 SIGNATURE = "id long, n int, node long, grams array<long>"
 BLOCK = 512
@@ -68,6 +69,7 @@ def signatures(n: int, percent: int):
     """Task function: rows to set size, class and longer prefix."""
 
     def run(rows):
+        worker_cache("jaccard_join")
         for batch in (part for batch in rows for part in parts(batch, "text")):
             names = batch.schema.names
             sizes, nodes, prefixes = [], [], []

@@ -36,7 +36,7 @@ def codec() -> tuple:
     """One compressor and one decompressor for each Python worker."""
     import zstandard
 
-    cache = worker_cache()
+    cache = worker_cache("katz")
     if "zstd" not in cache:
         cache["zstd"] = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
     return cache["zstd"]

@@ -15,12 +15,16 @@ PIECES = "group int, doc_id long, start long, length long, ids_crc32 long, doc_t
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def worker_cache() -> dict:
-    """Survives from task to task in one Python worker."""
+def worker_cache(owner: str) -> dict:
+    """Survives from task to task in one Python worker, until another operator's task begins there."""
     import sys
     import types
 
-    return sys.modules.setdefault("_rushes_worker", types.ModuleType("_rushes_worker")).__dict__
+    cache = sys.modules.setdefault("_rushes_worker", types.ModuleType("_rushes_worker")).__dict__
+    if cache.get("owner") != owner:
+        cache.clear()
+        cache["owner"] = owner
+    return cache
 
 
 def tokenizer_of(content: str):
@@ -30,7 +34,7 @@ def tokenizer_of(content: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    cache = worker_cache()
+    cache = worker_cache("words")
     key = ("tokenizer", hash(content))
     if key not in cache:
         cache[key] = Tokenizer.from_str(content)
@@ -77,7 +81,7 @@ class WordTokens:
         import re
 
         self.tokenizer, self.together = tokenizer_of(content), together
-        cache = worker_cache()
+        cache = worker_cache("words")
         self.known = cache.setdefault(("chunks", hash(content)), Recent(most))
         self.stems = cache.setdefault(("stems", hash(content)), Recent(most))
         self.plain = re.compile(r"[!-;=-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ._text import byte_values, hashes, mix, space_class, spans, utf8
 from .quality_rules import _sums, repeated_words
+from .packing import worker_cache
 
 WORD_BITS = 15
 STRUCTURE = 18
@@ -194,6 +195,7 @@ def score_quality(docs: DataFrame, model: Machine, text_column: str = "text", ke
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))
 
     def run(batches):
+        worker_cache("quality_classifier")
         machine = Machine(*shared.value)
         for batch in batches:
             _, offsets = utf8(batch.column(batch.schema.get_field_index("_whole")))

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from ._spark import buckets, text_bytes
 from ._text import byte_values, grams, hashes, mix, parts, powers, space_class, spans, utf8
+from .packing import worker_cache
 
 NO_ID = -(2**63)
 STRETCH = "bucket int, ids binary, tags binary, starts binary, counts binary, text binary"
 REPEAT = "id long, tag int, start int, n int"
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 
 
 def _packed(data, offsets, starts, ends):
@@ -69,6 +70,7 @@ def stretches(k: int, m: int, n_buckets: int, block: int):
     def run(rows):
         import zstandard
 
+        worker_cache("substrings")
         values, inside = byte_values(), space_class()
         compress = zstandard.ZstdCompressor(level=3).compress
         serial = 0
@@ -254,7 +256,7 @@ def _kept(k: int, joined: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 4, block_bytes: int = 48 << 20, joined: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 4, block_bytes: int = 24 << 20, joined: bool = True) -> DataFrame:
     """docs with `_kept` (its remaining words), `_n_words`, `_n_removed` and `_sha` (of the words joined by one space) beside its own columns.
 
     A window of so many consecutive words is repeated if the same words also start
