@@ -39,3 +39,38 @@ def frames_of(p: dict[str, Column], drop: int = 0, rate: int = 25) -> Column:
         return p["ff"] + p["ss"] * rate + minutes * 60 * rate
     scale = drop // 2
     return p["hh"] * (108000 * scale) + p["mm"] * (1800 * scale) + p["ss"] * (30 * scale) + p["ff"] - drop * (minutes - F.floor(minutes / 10))
+
+
+def is_drop_rate(num: Column, den: Column) -> Column:
+    """Only 30000/1001 and 60000/1001 as written; an equal fraction is another rate."""
+    return F.coalesce((den == 1001) & num.isin(30000, 60000), F.lit(False))
+
+
+def rate_columns(num: str = "rate_num", den: str = "rate_den") -> dict[str, Column]:
+    """rate (whole frames a second, 24 where there is none) and drop_step (2, 4 or 0)."""
+    step = F.when(is_drop_rate(F.col(num), F.col(den)), F.col(num) / 15000).otherwise(0)
+    return {"rate": F.coalesce(F.round(F.col(num) / F.col(den)), F.lit(24)).cast("long"), "drop_step": step.cast("long")}
+
+
+def renumbered(n: str) -> Column:
+    """The number in column n with dropped numbers put back, by the column drop_step."""
+    ten = "(8991 * greatest(drop_step, 2))"
+    return F.expr(f"if(drop_step = 0, {n}, {n} + 9 * drop_step * ({n} div {ten}) + drop_step * (({n} % {ten} - drop_step) div ({ten} div 10)))")
+
+
+def timecode_at_rate(n: str, hours: bool = True) -> Column:
+    """Text of the renumbered frame in column n at the columns rate and drop_step.
+
+    Hours wrap at 24 with dropped frames only; without hours, minutes go on.
+    """
+    two = lambda e: f"lpad(cast({e} as string), greatest(2, length(cast({e} as string))), '0')"
+    second = f"({n} div rate)"
+    minute = f"({second} div 60 % 60)" if hours else f"({second} div 60)"
+    hour = two(f"if(drop_step = 0, {second} div 3600, {second} div 3600 % 24)") + ", ':', " if hours else ""
+    return F.expr(f"concat({hour}{two(minute)}, ':', {two(f'({second} % 60)')}, if(drop_step = 0, ':', ';'), {two(f'({n} % rate)')})")
+
+
+def frames_at_rate(hh: str, mm: str, ss: str, ff: str) -> Column:
+    """Frame number of a timecode at the columns rate and drop_step."""
+    minutes = f"({hh} * 60 + {mm})"
+    return F.expr(f"{ff} + ({ss} + {minutes} * 60) * rate - drop_step * ({minutes} - {minutes} div 10)")

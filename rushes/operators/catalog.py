@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rushes.functions import timecode as tc
+
 
 def footage_files(files: DataFrame) -> DataFrame:
     """folder, name, path of DNG files without sidecars."""
@@ -66,3 +68,31 @@ def sequence_problems(footage: DataFrame) -> DataFrame:
     digits = F.regexp_extract("name", r"([0-9]+)[^0-9]*$", 1)
     prefix = F.regexp_extract("name", r"^(.*?)[0-9]+[^0-9]*$", 1)
     return footage.groupBy("folder").agg(F.count_distinct(F.length(digits)).alias("n_widths"), F.count_distinct(prefix).alias("n_prefixes")).where("n_widths > 1 or n_prefixes > 1")
+
+
+def resolve_inputs(paths: DataFrame) -> DataFrame:
+    """batch, clip: a folder is a clip; of files, the first DNG's folder. paths: batch, ordinal, path, is_dir."""
+    usable = paths.where(F.col("is_dir") | (F.lower(F.substring_index("path", ".", -1)) == "dng"))
+    parent = F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)")
+    return usable.withColumn("clip", F.when(F.col("is_dir"), F.col("path")).otherwise(parent)).groupBy("batch").agg(F.min_by("clip", "ordinal").alias("clip"))
+
+
+def with_frame_timecodes(frames: DataFrame, clips: DataFrame) -> DataFrame:
+    """clip, frame, timecode: the frame's own number where there is one, else counted from the clip's start.
+
+    frames: clip, frame, tag_frame (nullable). clips: clip, rate_num, rate_den, first_frame, start (frames).
+    """
+    joined = frames.join(clips, "clip").withColumns(tc.rate_columns()).withColumn("n", F.coalesce("tag_frame", F.col("frame") - F.col("first_frame") + F.col("start")))
+    return joined.withColumn("n", tc.renumbered("n")).select("clip", "frame", tc.timecode_at_rate("n").alias("timecode"))
+
+
+def timecode_breaks(frames: DataFrame) -> DataFrame:
+    """Where the carried number steps otherwise than the frame. frames: clip, frame, tc_frame."""
+    order = Window.partitionBy("clip").orderBy("frame")
+    step = lambda c: F.col(c) - F.lag(c).over(order)
+    return frames.select("clip", "frame", step("tc_frame").alias("tc_step"), step("frame").alias("frame_step")).where("tc_step <> frame_step")
+
+
+def duration_labels(clips: DataFrame) -> DataFrame:
+    """clip, label: the length as timecode without hours. clips: clip, duration, rate_num, rate_den."""
+    return clips.withColumns(tc.rate_columns()).withColumn("n", tc.renumbered("duration")).select("clip", tc.timecode_at_rate("n", hours=False).alias("label"))

@@ -1,6 +1,6 @@
 """Frame metadata: defaults, checks, drift, reports."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,21 @@ def metadata_drift(frame_meta: DataFrame) -> DataFrame:
 
 def storage_report(segments: DataFrame) -> DataFrame:
     return segments.groupBy("clip").agg(F.count("*").alias("n_segments"), F.sum("byte_count").alias("packed_bytes"), F.max("byte_count").alias("largest"))
+
+
+def cfa_pattern(codes: Column) -> Column:
+    """Name of a 2 x 2 colour filter array; None without one, Unknown for another."""
+    known = {"RGGB": (0, 1, 1, 2), "BGGR": (2, 1, 1, 0), "GRBG": (1, 0, 2, 1), "GBRG": (1, 2, 0, 1)}
+    out = F.when(F.size(codes) == 0, "None")
+    for name, values in known.items():
+        out = out.when(codes == F.array(*[F.lit(v) for v in values]), name)
+    return out.otherwise("Unknown")
+
+
+def metadata_report(meta: DataFrame, table: str | None = None) -> DataFrame:
+    """clip, property, value: one row per present property, names split at capitals; table is the column of a curve."""
+    shown = {c: F.col(c).cast("string") for c in meta.columns if c not in ("clip", table)}
+    if table:
+        shown[table] = F.when(F.coalesce(F.size(table), F.lit(0)) <= 0, "None").otherwise(F.concat(F.size(table).cast("string"), F.lit(" entries")))
+    long = meta.select("clip", *[c.alias(n) for n, c in shown.items()]).unpivot("clip", list(shown), "property", "value")
+    return long.where("value is not null").withColumn("property", F.regexp_replace("property", r"(\B[A-Z])", " $1"))

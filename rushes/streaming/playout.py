@@ -34,3 +34,82 @@ def playout_schedule(clips: DataFrame, step: int = 5) -> DataFrame:
     stepped = F.sequence("first_frame", "last_frame", F.lit(step).cast("long"))
     shown = F.array_distinct(F.concat(stepped, F.array("last_frame")))
     return clips.select("clip", F.posexplode(shown).alias("i", "frame")).withColumn("i", F.col("i").cast("long"))
+
+
+REACH = 128  # more than ten frames a step times a buffer of twelve
+
+
+def nearest_ready(ticks: DataFrame, ready: DataFrame, forward: bool = True, evict: bool = False, reach: int = REACH) -> DataFrame:
+    """Ticks with shown_frame: the ready frame nearest to the one asked for, not beyond it in play direction.
+
+    ticks: clip, event_id, frame, tick_ts. ready: clip, frame, ready_ts. A frame counts if ready by the
+    tick and less than reach frames away; with evict, frames that the tick before took or passed are gone.
+    Both sides meet in blocks of reach frames, so a long clip is spread over many keys.
+    """
+    block = lambda c: F.floor(F.col(c) / reach).cast("long")
+    side = -1 if forward else 1
+    asked = ticks
+    if evict:
+        order = Window.partitionBy("clip").orderBy("tick_ts", "event_id")
+        asked = ticks.withColumns({"_frame": F.lag("frame").over(order), "_ts": F.lag("tick_ts").over(order)})
+        have = ready.select("clip", F.col("frame").alias("_ready"), "ready_ts").distinct()
+    else:
+        # only the first time a frame is ready matters
+        have = ready.groupBy("clip", F.col("frame").alias("_ready")).agg(F.min("ready_ts").alias("ready_ts"))
+    probe = asked.withColumn("_block", F.explode(F.array(block("frame"), block("frame") + side)))
+    near = (F.col("frame") - F.col("_ready")) * (1 if forward else -1)
+    meets = near.between(0, reach - 1) & (F.col("ready_ts") <= F.col("tick_ts"))
+    if evict:
+        passed = (F.col("_frame") - F.col("_ready")) * (1 if forward else -1) >= 0
+        meets = meets & ~F.coalesce(passed & (F.col("ready_ts") <= F.col("_ts")), F.lit(False))
+    met = probe.join(have.withColumn("_block", block("_ready")), ["clip", "_block"]).where(meets)
+    best = met.groupBy("clip", "event_id").agg((F.max if forward else F.min)("_ready").alias("shown_frame"))
+    return ticks.join(best, ["clip", "event_id"], "left")
+
+
+def classify_ticks(shown: DataFrame, present: DataFrame) -> DataFrame:
+    """Adds kind: missing where the frame asked for is no file, displayed where it is shown, else skipped."""
+    known = present.select("clip", "frame").distinct().withColumn("_there", F.lit(True))
+    kind = F.when(F.col("_there").isNull(), "missing").when(F.col("shown_frame") == F.col("frame"), "displayed").otherwise("skipped")
+    return shown.join(known, ["clip", "frame"], "left").withColumn("kind", kind).drop("_there")
+
+
+def audio_offsets(ticks: DataFrame, clips: DataFrame) -> DataFrame:
+    """clip, frame, position (seconds into the sound), plays. clips: clip, first_frame, rate_num, rate_den, audio_seconds."""
+    rate = F.coalesce(F.col("rate_num"), F.lit(24000)) / F.coalesce(F.col("rate_den"), F.lit(1001))
+    at = (F.col("frame") - F.col("first_frame")) / rate
+    return ticks.join(clips, "clip").select("clip", "frame", at.alias("position"), (at < F.col("audio_seconds")).alias("plays"))
+
+
+def stream_playout(events: DataFrame, capacity: int = 12) -> DataFrame:
+    """The same audit as one keyed stream: clip, event_id, frame, shown_frame.
+
+    events: clip, ts, event_id, frame, kind (ready or tick), with a watermark on ts. A clip's state
+    holds at most capacity ready frames; one that comes while it is full is lost. A tick shows
+    the largest ready frame up to its own and frees all of those. Rows of a batch go in order of
+    time; a clip that is silent for an hour is forgotten.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pool = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
+        out = []
+        for row in rows.itertuples(index=False):
+            if row.kind == "ready":
+                if row.frame not in pool and len(pool) < capacity:
+                    pool.append(row.frame)
+            else:
+                below = [f for f in pool if f <= row.frame]
+                out.append((key[0], row.event_id, row.frame, max(below) if below else None))
+                pool = [f for f in pool if f > row.frame]
+        state.update((pool,))
+        last = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
+        yield pd.DataFrame(out, columns=["clip", "event_id", "frame", "shown_frame"]).astype({"shown_frame": "Int64"})
+
+    return events.groupBy("clip").applyInPandasWithState(step, "clip long, event_id long, frame long, shown_frame long", "pool array<long>", "append", GroupStateTimeout.EventTimeTimeout)
