@@ -90,8 +90,8 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from judged group by doc_id""",
     "op10_topk_search": """
-with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
-  where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
+  where embedding is not null and vec_id is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
 select query_id, rank::int as rank, vec_id, score from (
