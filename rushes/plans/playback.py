@@ -7,6 +7,7 @@ from rushes.functions import timecode as tc
 from rushes.operators import catalog, history, lut, metadata
 from rushes.plans.queries import CURVES, WITH_FILES, WITH_FRAMES, WITH_HISTORY, WITH_META, WITH_RGB
 from rushes.sources import footage as src
+from rushes.sources import headers
 from rushes.streaming import playout
 
 CFA = [(0, 1, 1, 2), (2, 1, 1, 0), (1, 0, 2, 1), (1, 2, 0, 1)]
@@ -112,10 +113,20 @@ def history_files(spark, d):
     return history.read_history(history.write_history(src.history(spark, d), 5))
 
 
+def census(spark, d):
+    """Segment heads of the clips: a comment, then a frame header by the clip's number."""
+    k = F.col("clip")
+    frame = F.format_string("%04X%02X04380780%02X", F.lit(8) + (k % 2 + 1) * 3, F.element_at(F.array(F.lit(8), F.lit(12), F.lit(16)), (k % 3 + 1).cast("int")), k % 2 + 1)
+    head = F.unhex(F.concat(F.lit("FFD8FFFE00044142FF"), F.element_at(F.array(F.lit("C3"), F.lit("C1")), (F.floor(k / 7) % 2 + 1).cast("int")), frame))
+    bits = F.element_at(F.array(F.lit(8), F.lit(12), F.lit(16)), (k % 3 + 1).cast("int"))
+    return headers.compression_census(src.clip_meta(spark, d).select("compression", bits.alias("bits"), head.alias("head")))
+
+
 QUERIES = {
     "a13_resolve_inputs": inputs,
     "b3_cfa_pattern": cfa,
     "b9_metadata_report": report,
+    "b10_compression_census": census,
     "c5_frame_timecodes": frame_timecodes,
     "c6_drop_rate": drop_rates,
     "c7_format_timecode": formatted,
@@ -173,6 +184,7 @@ ORACLES = {
     "b3_cfa_pattern": f"with {WITH_META} select clip, ['RGGB','BGGR','GRBG','GBRG'][cfa_id+1] as pattern from clip_meta",
     "b9_metadata_report": f"""with {WITH_META} select clip, 'Frame Width' as property, cast(width as varchar) as value from clip_meta union all select clip, 'Bit Depth', cast(bits as varchar) from clip_meta
  union all select clip, 'Black Level', cast(black_level as varchar) from clip_meta where black_level is not null union all select clip, 'Linearisation Table', case when clip%3=0 then cast(clip%10+1 as varchar)||' entries' else 'None' end from clip_meta""",
+    "b10_compression_census": f"with {WITH_META}, h as (select case clip%3 when 0 then 8 when 1 then 12 else 16 end as bits, case when compression=7 then case clip%3 when 0 then 8 when 1 then 12 else 16 end end as precision, case when compression=7 then clip%2+1 end as components, (clip//7)%2 as coded from clip_meta) select coalesce(bits in (12,16) and precision in (12,16) and coded=1, false) as lossy, precision, components, count(*) as n from h group by all",
     "c5_frame_timecodes": f"""with {WITH_START}, a as (select f.clip, f.frame, r, d, case when (f.clip+f.frame)%3=0 then f.frame+case when (f.clip+f.frame)%53=0 then 5 else 0 end else f.frame-first_frame+start end as n from frames f join starts using (clip)),
 b as (select clip, frame, r, d, {_NEW} as n from a) select clip, frame, {_tc_sql()} as timecode from b""",
     "c6_drop_rate": f"with {WITH_META} select clip, coalesce(rate_den=1001 and rate_num in (30000,60000), false) as is_drop from clip_meta",
