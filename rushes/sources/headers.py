@@ -91,6 +91,10 @@ def ingest_headers(files: DataFrame, header_bytes: int | None = None) -> DataFra
                 name, kind = c.split()
                 if kind == "long":
                     out[name] = out[name].astype("Int64")
+                elif kind == "double":
+                    out[name] = out[name].astype("Float64")
+                else:
+                    out[name] = pd.Series([v if isinstance(v, (str, list)) else None for v in out[name]], dtype=object)
             yield out
 
     content = F.col("content") if header_bytes is None else F.expr(f"substring(content, 1, {header_bytes})")
