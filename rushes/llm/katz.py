@@ -1,23 +1,27 @@
 """LM scoring: a Katz backoff model with Good-Turing discounts, counted and applied by hash buckets.
 
-Unigrams are counted for every word. Words with at least one in RARITY of the
-training tokens (so at most RARITY words) also take part in bigrams:
-
     P(w | h) = d(c) c / T(h)      if h, w was seen c times in training
              = alpha(h) P(w)      else;   P(w) = (c(w) + 1) / (N + V + 1)
 
 d are Good-Turing discounts of counts up to 5, alpha(h) = (1 - sum of the seen
 words' discounted shares) / (1 - sum of their P(w)), so each P(. | h) sums to 1
-exactly, with one unseen type. After a rarer word, and for a rarer word, P backs off.
+exactly, with one unseen type. All words and all bigrams count.
 
 Documents lie in units, runs of rows of one task. A unit sends its distinct words
 and bigrams to hash buckets, sorted and packed, with the documents they stand in;
 the tables of counts lie in the same buckets. A bucket answers a unit with one sum
 for each document. So a frequent word or pair costs one entry for each unit.
+
+Words with at least one in RARITY of the training tokens (so at most RARITY words)
+have short codes, which every task knows. A bigram of two such words lies in the
+bucket of its pair of codes. Any other lies in the bucket of a rare word of its own,
+which can't be hot: of its second word if that is rare, else of its first. Where both
+are rare, the second word's bucket sends P(w) to the first word's, and gets T and alpha.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,41 +105,28 @@ class Units:
                 a = b
 
 
-def by_bucket(keys: np.ndarray, n_buckets: int):
-    """Places of sorted keys, by bucket; a bucket is a range of the mixed key."""
+def by_bucket(keys: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Each bucket that has any of the keys, with their places in order; a bucket is a range of the mixed key."""
     bucket = ((mix(keys) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-
-
-def counted(n_buckets: int, items):
-    """Task function: each unit's distinct training items and their counts, by bucket. items: tokens, owner, training texts to keys."""
+    some, first = np.unique(bucket[order], return_index=True)
+    return list(zip(some.tolist(), np.split(order, first[1:])))
 
-    def run(rows):
-        for unit, own, tokens, owner, _ in Units(rows):
-            keys, counts = np.unique(items(tokens, owner, own["train"].to_numpy(zero_copy_only=False)), return_counts=True)
-            if not len(keys):
-                continue
-            order, cuts = by_bucket(keys, n_buckets)
-            out = [(b, pack_sorted(keys[w]), pack(narrow(counts[w]))) for b in range(n_buckets) if len(w := order[cuts[b] : cuts[b + 1]])]
-            b, k, c = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "keys", "counts"])
-
-    return run
 
+def distinct(columns: list[np.ndarray], owner: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns (and of an ascending owner), sorted, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns + ([] if owner is None else [owner])]
+    first = np.flatnonzero(changes(columns))
+    return [c[first] for c in columns], np.diff(first, append=len(order))
 
-def summed(table: pa.Table) -> pa.Table:
-    """One bucket's items of all units to one row of sorted keys and total counts."""
-    keys = np.concatenate([unpack_sorted(x) for x in table.column("keys").to_pylist()])
-    counts = np.concatenate([unpack(x).astype(np.int64) for x in table.column("counts").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    lead = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    keys, counts = keys[lead], np.add.reduceat(counts, lead)
-    return pa.table([table.column("bucket").slice(0, 1), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(narrow(counts))], pa.binary())], names=["bucket", "types", "tokens", "keys", "counts"])
 
-
-TABLE = "bucket int, types long, tokens long, keys binary, counts binary"
+def changes(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def word_ids(tokens: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -152,6 +143,89 @@ def contexts(ids: np.ndarray, owner: np.ndarray, start: int) -> np.ndarray:
     return out[: len(ids)]
 
 
+def words_of(tokens: np.ndarray, owner: np.ndarray):
+    """(kind, keys, others, owners) of a unit's words."""
+    yield "word", [tokens], owner
+
+
+def bigrams_of(tokens: np.ndarray, owner: np.ndarray, katz: dict):
+    """(kind, [key, other], owners) of a unit's bigrams.
+
+    coded: the pair of codes. mixed: the rare word, and the other's code times two, plus
+    one if the other comes second. rare: the second word and the first.
+    """
+    ids = word_ids(tokens, katz["vocabulary"])
+    before = contexts(ids, owner, katz["start"])
+    last = np.r_[tokens[:1], tokens[:-1]]
+    w, h = ids > 0, before > 0
+    some = w & h
+    yield "coded", [before[some].astype(np.uint64) * PAIR + ids[some].astype(np.uint64)], owner[some]
+    some = w ^ h
+    yield "mixed", [np.where(w, last, tokens)[some], np.where(w, ids * 2 + 1, before * 2)[some].astype(np.uint64)], owner[some]
+    some = ~w & ~h
+    yield "rare", [tokens[some], last[some]], owner[some]
+
+
+COUNTED = "bucket int, kind string, keys binary, others binary, counts binary"
+KINDS = ("word", "coded", "mixed", "rare")
+PARTS = ("keys", "others", "counts")
+TABLE = "bucket int, types long, tokens long, " + ", ".join(f"{k}_{p} binary" for k in KINDS for p in PARTS)
+
+
+def counted(n_buckets: int, items):
+    """Task function: each unit's distinct items and their counts, by bucket. items: tokens and owner to kinds of items."""
+
+    def run(rows):
+        for _, _, tokens, owner, _ in Units(rows):
+            out = []
+            for kind, columns, _ in items(tokens, owner):
+                found, counts = distinct(columns)
+                out += [(b, kind, pack_sorted(found[0][at]), pack(narrow(found[1][at])) if len(found) > 1 else None, pack(narrow(counts[at]))) for b, at in by_bucket(found[0], n_buckets)]
+            types = (pa.int32(), pa.string(), *[pa.binary()] * 3)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in COUNTED.split(", ")])
+
+    return run
+
+
+def summed(units: pa.Table, known: pa.Table | None = None) -> pa.Table:
+    """One bucket's items of all units, and its row so far, to one row of sorted items and total counts."""
+    row: dict = known.to_pylist()[0] if known is not None and known.num_rows else {"types": 0, "tokens": 0}
+    if not units.num_rows and known is not None:
+        return known
+    row["bucket"] = units.column("bucket")[0].as_py()
+    for kind in KINDS:
+        some = units.filter(pa.compute.equal(units.column("kind"), kind))
+        if not some.num_rows:
+            continue
+        columns = [np.concatenate([unpack_sorted(x) for x in some.column("keys").to_pylist()])]
+        if kind in ("mixed", "rare"):
+            columns.append(np.concatenate([unpack(x).astype(np.uint64) for x in some.column("others").to_pylist()]))
+        counts = np.concatenate([unpack(x).astype(np.int64) for x in some.column("counts").to_pylist()])
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        first = np.flatnonzero(changes(columns))
+        counts = np.add.reduceat(counts[order], first)
+        row[f"{kind}_keys"], row[f"{kind}_counts"] = pack_sorted(columns[0][first]), pack(narrow(counts))
+        if len(columns) > 1:
+            row[f"{kind}_others"] = pack(narrow(columns[1][first]))
+        if kind == "word":
+            row["types"], row["tokens"] = len(first), int(counts.sum())
+    types = {"bucket": pa.int32(), "types": pa.int64(), "tokens": pa.int64()}
+    names = [c.split()[0] for c in TABLE.split(", ")]
+    return pa.table([pa.array([row.get(n)], types.get(n, pa.binary())) for n in names], names=names)
+
+
+def items_of(row: dict, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, others and counts of one kind in a row of the table."""
+    keys, others, counts = (row[f"{kind}_{p}"] for p in PARTS)
+    return (
+        np.zeros(0, np.uint64) if keys is None else unpack_sorted(keys),
+        np.zeros(0, np.uint64) if others is None else unpack(others).astype(np.uint64),
+        np.zeros(0, np.int64) if counts is None else unpack(counts).astype(np.int64),
+    )
+
+
 def discounts(times: np.ndarray, keep: int = KEEP) -> np.ndarray:
     """Factor of each count from 0 to keep; times[r] items occur r times.
 
@@ -170,38 +244,121 @@ def discounts(times: np.ndarray, keep: int = KEEP) -> np.ndarray:
 
 
 class Katz:
-    """What every task needs of the model: bounded by RARITY. Bigram counts stay in their buckets."""
+    """What every task needs of the model: bounded by RARITY. Counts of rare words and of bigrams stay in their buckets."""
 
     def __init__(self, vocabulary, counts, total, types, starts):
         self.vocabulary, self.total, self.types = vocabulary, total, types
         self.start = len(vocabulary) + 1
         self.counts = np.r_[0, counts, starts].astype(np.float64)
-        self.share = (np.r_[0, counts, 0] + 1.0) / (total + types + 1)
+        self.share = np.r_[0, self.share_of(counts), 0]
         self.factors = np.ones(KEEP + 1)
         self.backoff = np.zeros(self.start + 1)
         self.total_of = np.maximum(self.counts, 1)
 
+    @classmethod
+    def of(cls, known: dict):
+        katz = cls.__new__(cls)
+        katz.__dict__.update(known)
+        return katz
+
+    def share_of(self, counts):
+        return (counts + 1.0) / (self.total + self.types + 1)
+
+    def discounted(self, counts):
+        return counts * self.factors[np.where(counts <= KEEP, counts, 0)]
+
     def finish(self, times, context, by_count, more, seen_share):
-        """times: bigrams by count; for each context, its bigrams of each count, the sum of larger counts, and the sum of P(w)."""
+        """times: bigrams by count; for each coded context, its bigrams of each count, the sum of larger counts, and the sum of P(w)."""
         self.factors = discounts(times)
         mass = by_count @ (self.factors[1:] * np.arange(1, KEEP + 1)) + more
-        total = self.counts[context]
-        total = np.where(mass >= total * (1 - 1e-12), total + 1, total)
-        self.total_of[context] = total
-        self.backoff[context] = np.log10((1 - mass / total) / (1 - seen_share))
+        self.total_of[context], self.backoff[context] = weights_of(self.counts[context], mass, seen_share)
+
 
-    def gain(self, pairs, counts):
-        """log10 of P(w | h) over what backing off gives, for seen bigrams."""
-        h, w = (pairs // PAIR).astype(np.int64), (pairs % PAIR).astype(np.int64)
-        d = self.factors[np.where(counts <= KEEP, counts, 0).astype(np.int64)]
-        return np.log10(d * counts / self.total_of[h]) - np.log10(self.share[w]) - self.backoff[h]
+def weights_of(counts, mass, seen_share):
+    """T(h) and log10 of alpha(h)."""
+    total = np.where((mass > 0) & (mass >= counts * (1 - 1e-12)), counts + 1, counts)
+    return total, np.log10((1 - mass / total) / (1 - seen_share))
 
 
-def train_katz(docs: DataFrame, n_buckets: int):
-    """docs: train boolean, text. The model, its unigram table and its bigram table."""
+def described(shared):
+    """Task function: the table to sums of each coded context's bigrams; context 0 has those after rare words."""
+
+    def run(batches):
+        katz = Katz.of(shared.value)
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, _, word_counts = items_of(row, "word")
+                coded, _, c0 = items_of(row, "coded")
+                mixed, code, c1 = items_of(row, "mixed")
+                _, _, c2 = items_of(row, "rare")
+                second = code % 2 == 1
+                h = np.r_[(coded // PAIR).astype(np.int64), np.where(second, 0, code // 2).astype(np.int64), np.zeros(len(c2), np.int64)]
+                share = np.r_[katz.share[(coded % PAIR).astype(np.int64)], np.zeros(len(c1) + len(c2))]
+                share[len(c0) : len(c0) + len(c1)][~second] = katz.share_of(word_counts[np.searchsorted(words, mixed[~second])])
+                counts = np.r_[c0, c1, c2]
+                context, place = np.unique(h, return_inverse=True)
+                columns = [np.bincount(place, counts == r, len(context)) for r in range(1, KEEP + 2)]
+                columns += [np.bincount(place, np.where(counts > KEEP, counts, 0), len(context)), np.bincount(place, share, len(context))]
+                yield pa.RecordBatch.from_arrays([pa.array(context)] + [pa.array(c) for c in columns], names=["context", *[f"c{i}" for i in range(len(columns))]])
+
+    return run
+
+
+LINKS = "bucket int, src int, contexts binary, counts binary, words binary"
+
+
+def links(n_buckets: int):
+    """Task function: each bucket's bigrams of two rare words to the buckets of their first words."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, _, word_counts = items_of(row, "word")
+                keys, first, counts = items_of(row, "rare")
+                of_word = word_counts[np.searchsorted(words, keys)]
+                out = [(b, row["bucket"], pack(first[at]), pack(narrow(counts[at])), pack(narrow(of_word[at]))) for b, at in by_bucket(first, n_buckets)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=[c.split()[0] for c in LINKS.split(", ")])
+
+    return run
+
+
+WEIGHTS = "bucket int, src int, alpha binary, weight binary"
+
+
+def weighed(shared):
+    """Task function for one bucket: log10 alpha(h), and log10 T(h) alpha(h), of its rare words; and the latter for each link."""
+
+    def run(met: pa.Table, tables: pa.Table) -> pa.Table:
+        katz = Katz.of(shared.value)
+        row = tables.to_pylist()[0]
+        words, _, counts = items_of(row, "word")
+        keys, code, c = items_of(row, "mixed")
+        second = code % 2 == 1
+        at = np.searchsorted(words, keys[second])
+        # the sum of no rows has another type, so it is added to zeros
+        mass = np.zeros(len(words)) + np.bincount(at, katz.discounted(c[second]), len(words))
+        share = np.zeros(len(words)) + np.bincount(at, katz.share[(code[second] // 2).astype(np.int64)], len(words))
+        linked = []
+        for x in sorted(met.to_pylist(), key=lambda x: x["src"]):
+            at = np.searchsorted(words, unpack(x["contexts"]))
+            mass += np.bincount(at, katz.discounted(unpack(x["counts"]).astype(np.int64)), len(words))
+            share += np.bincount(at, katz.share_of(unpack(x["words"]).astype(np.int64)), len(words))
+            linked.append((x["src"], at))
+        total, alpha = weights_of(counts.astype(np.float64), mass, share)
+        weight = np.log10(total) + alpha
+        own = row["bucket"]
+        out = [(own, None, pack(alpha), pack(weight))] + [(src, own, None, pack(weight[at])) for src, at in linked]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "src", "alpha", "weight"])
+
+    return run
+
+
+def train_katz(docs: DataFrame, n_buckets: int, rarity: int = RARITY):
+    """docs: train boolean, text. The model, its table of counts, and its weights of rare words."""
     spark = docs.sparkSession
     training = docs.where("train")
-    unigrams = stored(training.mapInArrow(counted(n_buckets, lambda tokens, owner, train: tokens), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(summed, TABLE))
+    unigrams = stored(training.mapInArrow(counted(n_buckets, words_of), COUNTED).groupBy("bucket").applyInArrow(lambda units: summed(units), TABLE))
     sums = unigrams.agg(F.sum("types"), F.sum("tokens")).first()
     types, total = sums[0] or 0, sums[1] or 0
 
@@ -209,117 +366,149 @@ def train_katz(docs: DataFrame, n_buckets: int):
         for batch in batches:
             for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys, counts = unpack_sorted(keys), unpack(counts).astype(np.int64)
-                many = counts * RARITY >= total
+                many = counts * rarity >= total
                 yield pa.RecordBatch.from_arrays([pa.array([keys[many].tobytes()], pa.binary()), pa.array([counts[many].tobytes()], pa.binary())], names=["keys", "counts"])
 
-    rows = unigrams.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").collect()
+    rows = unigrams.select("word_keys", "word_counts").mapInArrow(frequent, "keys binary, counts binary").collect()
     vocabulary = np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(r["keys"], np.uint64) for r in rows])
     counts = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r["counts"], np.int64) for r in rows])
     order = np.argsort(vocabulary)
     model = Katz(vocabulary[order], counts[order], total, types, training.count())
-    shared = spark.sparkContext.broadcast(model.__dict__)
-
-    def pairs(tokens, owner, train):
-        katz = shared.value
-        ids = word_ids(tokens, katz["vocabulary"])
-        before = contexts(ids, owner, katz["start"])
-        both = (ids > 0) & (before > 0)
-        return before[both].astype(np.uint64) * PAIR + ids[both].astype(np.uint64)
-
-    bigrams = stored(training.mapInArrow(counted(n_buckets, pairs), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(summed, TABLE))
-
-    def described(batches):
-        katz = shared.value
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = unpack_sorted(keys), unpack(counts).astype(np.int64)
-                h, w = (keys // PAIR).astype(np.int64), (keys % PAIR).astype(np.int64)
-                context, place = np.unique(h, return_inverse=True)
-                columns = [np.bincount(place, counts == r, len(context)) for r in range(1, KEEP + 2)]
-                columns += [np.bincount(place, np.where(counts > KEEP, counts, 0), len(context)), np.bincount(place, katz["share"][w], len(context))]
-                yield pa.RecordBatch.from_arrays([pa.array(context)] + [pa.array(c) for c in columns], names=["context", *[f"c{i}" for i in range(len(columns))]])
+    codes = spark.sparkContext.broadcast(model.__dict__)
+    bigrams = training.mapInArrow(counted(n_buckets, lambda tokens, owner: bigrams_of(tokens, owner, codes.value)), COUNTED)
+    table = stored(bigrams.groupBy("bucket").cogroup(unigrams.groupBy("bucket")).applyInArrow(lambda units, known: summed(units, known), TABLE))
 
     names = [f"c{i}" for i in range(KEEP + 3)]
-    # at most one row for each frequent word
-    stats = bigrams.select("keys", "counts").mapInArrow(described, "context long, " + ", ".join(f"{n} double" for n in names)).groupBy("context").agg(*[F.sum(n).alias(n) for n in names]).orderBy("context").toPandas()
-    if len(stats):
-        grid = stats[names].to_numpy()
-        model.finish(np.r_[0, grid[:, : KEEP + 1].sum(0)], stats["context"].to_numpy(), grid[:, :KEEP], grid[:, KEEP + 1], grid[:, KEEP + 2])
-    return model, unigrams, bigrams
+    # at most one row for each coded word
+    stats = table.mapInArrow(described(codes), "context long, " + ", ".join(f"{n} double" for n in names)).groupBy("context").agg(*[F.sum(n).alias(n) for n in names]).orderBy("context").toPandas()
+    grid, context = stats[names].to_numpy(), stats["context"].to_numpy()
+    coded = context > 0
+    model.finish(np.r_[0, grid[:, : KEEP + 1].sum(0)], context[coded], grid[coded, :KEEP], grid[coded, KEEP + 1], grid[coded, KEEP + 2])
+    shared = spark.sparkContext.broadcast(model.__dict__)
+    met = table.mapInArrow(links(n_buckets), LINKS)
+    weights = met.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(weighed(shared), WEIGHTS)
+    return model, shared, table, weights
 
 
-ASK = "bucket int, unit long, texts int, words binary, word_texts binary, word_at binary, word_n binary, pairs binary, pair_texts binary, pair_at binary, pair_n binary, held binary"
+ASK = "bucket int, unit long, texts int, kind string, keys binary, others binary, sizes binary, at binary, n binary, held binary"
 
 
 def questions(n_buckets: int, shared):
-    """Task function: each unit's distinct words and pairs with the texts they stand in, by bucket; and one row of its texts (bucket -1 - b)."""
-
-    def places(keys, owner):
-        kinds, place = np.unique(keys, return_inverse=True)
-        both, n = np.unique(place.astype(np.int64) * (int(owner.max(initial=0)) + 1) + owner, return_counts=True)
-        size = int(owner.max(initial=0)) + 1
-        kind, text = both // size, both % size
-        order, cuts = by_bucket(kinds, n_buckets)
-        begin = np.searchsorted(kind, np.arange(len(kinds) + 1))
-        for b in range(n_buckets):
-            w = order[cuts[b] : cuts[b + 1]]
+    """Task function: each unit's distinct words and bigrams with the texts they stand in, by bucket; and one row of its texts."""
+
+    def places(columns, owner):
+        (*items, text), n = distinct(columns, owner)
+        begin = np.r_[np.flatnonzero(changes(items)), len(n)]
+        for b, w in by_bucket(items[0][begin[:-1]], n_buckets):
             sizes = begin[w + 1] - begin[w]
             at = np.repeat(begin[w] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            yield pack_sorted(kinds[w]), pack(narrow(sizes)), pack(narrow(text[at])), pack(narrow(n[at]))
+            others = pack(narrow(items[1][begin[w]])) if len(items) > 1 else None
+            yield b, (pack_sorted(items[0][begin[w]]), others, pack(narrow(sizes)), pack(narrow(text[at])), pack(narrow(n[at])))
 
     def run(rows):
         import pickle
 
         katz = shared.value
         for unit, own, tokens, owner, n in Units(rows):
-            ids = word_ids(tokens, katz["vocabulary"])
-            before = contexts(ids, owner, katz["start"])
-            both = (ids > 0) & (before > 0)
-            known = np.bincount(owner, katz["backoff"][before], len(n))
-            pair = before[both].astype(np.uint64) * PAIR + ids[both].astype(np.uint64)
-            out = [(b, unit, len(n), *a, *c, None) for b, (a, c) in enumerate(zip(places(tokens, owner), places(pair, owner[both])))]
-            held = pickle.dumps(({k: v.to_pylist() for k, v in own.items()}, n, known))
-            out.append((unit % n_buckets, unit, len(n), *[None] * 8, held))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 9)
+            before = contexts(word_ids(tokens, katz["vocabulary"]), owner, katz["start"])
+            backoff = np.bincount(owner, katz["backoff"][before], len(n))
+            out = []
+            for kind, columns, owners in [*words_of(tokens, owner), *bigrams_of(tokens, owner, katz)]:
+                out += [(b, unit, len(n), kind, *found, None) for b, found in places(columns, owners)]
+            held = pickle.dumps(({k: v.to_pylist() for k, v in own.items()}, n, backoff))
+            out.append((unit % n_buckets, unit, len(n), *[None] * 6, held))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in ASK.split(", ")])
 
     return run
 
 
-ANSWER = "unit long, base binary, known binary, gain binary, held binary"
+ANSWER = "unit long, bucket int, at binary, base binary, known binary, gain binary, held binary"
+
 
+def paired(keys: np.ndarray, others: np.ndarray | None) -> np.ndarray:
+    return keys if others is None or not len(others) else mix(keys ^ mix(others + np.uint64(1)))
 
-def answers(shared):
+
+def valued(katz: Katz, rows: list[dict], n_buckets: int) -> dict:
+    """One bucket's rows of table and weights: for each kind, sorted keys and their values."""
+    row = next((r for r in rows if r["types"] is not None), None)
+    if row is None:
+        return {}
+    own = next(r for r in rows if r["weight"] is not None and r["src"] is None)
+    alpha, weight = unpack(own["alpha"]), unpack(own["weight"])
+    replies = {r["src"]: r["weight"] for r in rows if r["src"] is not None}
+    words, _, counts = items_of(row, "word")
+    share = katz.share_of(counts)
+    out = {"word": (words, np.log10(counts + 1.0), alpha)}
+
+    keys, _, c = items_of(row, "coded")
+    h, w = (keys // PAIR).astype(np.int64), (keys % PAIR).astype(np.int64)
+    out["coded"] = keys, np.log10(katz.discounted(c)) - np.log10(katz.total_of[h]) - katz.backoff[h] - np.log10(katz.share[w])
+
+    keys, others, c = items_of(row, "mixed")
+    code, second, at = (others // 2).astype(np.int64), others % 2 == 1, np.searchsorted(words, keys)
+    gain = np.log10(katz.discounted(c))
+    gain[second] -= weight[at[second]] + np.log10(katz.share[code[second]])
+    gain[~second] -= np.log10(katz.total_of[code[~second]]) + katz.backoff[code[~second]] + np.log10(share[at[~second]])
+    out["mixed"] = paired(keys, others), gain
+
+    keys, others, c = items_of(row, "rare")
+    gain = np.log10(katz.discounted(c)) - np.log10(share[np.searchsorted(words, keys)])
+    for b, at in by_bucket(others, n_buckets):
+        gain[at] -= unpack(replies[b])
+    out["rare"] = paired(keys, others), gain
+    for kind in ("mixed", "rare"):
+        keys, gain = out[kind]
+        order = np.argsort(keys)
+        out[kind] = keys[order], gain[order]
+    return out
+
+
+def answers(shared, n_buckets: int):
     """Task function for one bucket: questions and its part of the tables to each unit's sums."""
 
     def run(asked: pa.Table, tables: pa.Table) -> pa.Table:
-        katz = Katz.__new__(Katz)
-        katz.__dict__.update(shared.value)
-        keys, values = {}, {}
-        for kind, k, c in zip(*(tables.column(n).to_pylist() for n in ("kind", "keys", "counts"))):
-            keys[kind], counts = unpack_sorted(k), unpack(c).astype(np.int64)
-            values[kind] = np.log10(counts + 1.0) if kind == "word" else katz.gain(keys[kind], counts)
-
-        def sums(row, kind):
-            items, sizes = unpack_sorted(row[f"{kind}s"]), unpack(row[f"{kind}_texts"]).astype(np.int64)
-            text, n = unpack(row[f"{kind}_at"]).astype(np.int64), unpack(row[f"{kind}_n"]).astype(np.int64)
-            value, hit = np.zeros(len(items)), np.zeros(len(items), bool)
-            if len(items) and len(keys.get(kind, ())):
-                at = np.minimum(np.searchsorted(keys[kind], items), len(keys[kind]) - 1)
-                hit = keys[kind][at] == items
-                value[hit] = values[kind][at[hit]]
-            return np.bincount(text, np.repeat(value, sizes) * n, row["texts"]), np.bincount(text, np.repeat(hit, sizes) * n, row["texts"])
-
+        known = valued(Katz.of(shared.value), tables.to_pylist(), n_buckets)
         out = []
-        for batch in asked.to_batches(max_chunksize=16):
+
+        def sums(rows):
+            """base, known and gain of the texts of one unit."""
+            total, touched = np.zeros((3, rows[0]["texts"])), np.zeros(rows[0]["texts"], bool)
+            for row in rows:
+                kind = row["kind"]
+                keys = unpack_sorted(row["keys"])
+                items = paired(keys, None if row["others"] is None else unpack(row["others"]).astype(np.uint64))
+                sizes, text, n = (unpack(row[c]).astype(np.int64) for c in ("sizes", "at", "n"))
+                if kind not in known or not len(known[kind][0]):
+                    continue
+                table, *values = known[kind]
+                at = np.minimum(np.searchsorted(table, items), len(table) - 1)
+                hit = table[at] == items
+                touched[text] = True
+                into = (0, 2) if kind == "word" else (2,)
+                for i, v in zip(into, values):
+                    total[i] += np.bincount(text, np.repeat(np.where(hit, v[at], 0), sizes) * n, len(touched))
+                if kind == "word":
+                    total[1] += np.bincount(text, np.repeat(hit, sizes) * n, len(touched))
+            at = np.flatnonzero(touched)
+            if len(at):
+                out.append((rows[0]["unit"], rows[0]["bucket"], pack_sorted(at.astype(np.uint64)), total[0, at].tobytes(), pack(narrow(total[1, at].astype(np.int64))), total[2, at].tobytes(), None))
+
+        rows: list[dict] = []
+        for batch in asked.sort_by([("unit", "ascending"), ("kind", "ascending")]).to_batches(max_chunksize=16):
             for row in batch.to_pylist():
                 if row["held"] is not None:
-                    out.append((row["unit"], None, None, None, row["held"]))
+                    out.append((row["unit"], row["bucket"], None, None, None, None, row["held"]))
                     continue
-                base, known = sums(row, "word")
-                gain, _ = sums(row, "pair")
-                out.append((row["unit"], base.tobytes(), pack(narrow(known.astype(np.int64))), gain.tobytes(), None))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), *[pa.binary()] * 4))] if out else [pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 4)], names=["unit", "base", "known", "gain", "held"])
+                if rows and rows[0]["unit"] != row["unit"]:
+                    sums(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            sums(rows)
+        types, names = (pa.int64(), pa.int32(), *[pa.binary()] * 5), [c.split()[0] for c in ANSWER.split(", ")]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
     return run
 
@@ -333,10 +522,11 @@ def totals(total: int, types: int, names: list[str]):
         rows = table.to_pylist()
         own, n, backoff = pickle.loads(next(r["held"] for r in rows if r["held"] is not None))
         base, known, gain = np.zeros(len(n)), np.zeros(len(n), np.int64), np.zeros(len(n))
-        for r in sorted((r for r in rows if r["held"] is None), key=lambda r: (r["base"], r["gain"])):
-            base += np.frombuffer(r["base"])
-            known += unpack(r["known"]).astype(np.int64)
-            gain += np.frombuffer(r["gain"])
+        for r in sorted((r for r in rows if r["held"] is None), key=lambda r: r["bucket"]):
+            at = unpack_sorted(r["at"]).astype(np.int64)
+            base[at] += np.frombuffer(r["base"])
+            known[at] += unpack(r["known"]).astype(np.int64)
+            gain[at] += np.frombuffer(r["gain"])
         base -= n * np.log10(total + types + 1.0)
         out = {c: pa.array(own[c]) for c in names}
         return pa.table(out | {"_n_tokens": pa.array(n), "_n_known": pa.array(known), "_train_tokens": pa.array(np.full(len(n), total)), "_base_score": pa.array(base), "_score": pa.array(base + backoff + gain)})
@@ -344,11 +534,12 @@ def totals(total: int, types: int, names: list[str]):
     return run
 
 
-def score_katz(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
+def score_katz(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = 7, held_fold: int = 2, rarity: int = RARITY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Tokens are words without ASCII white space, A-Z in lower case, then one end. Rows
     whose crc32 of the id as text, modulo folds, is held_fold are held out of training.
+    rarity (at most RARITY) says which words have codes; it does not change the scores.
 
     Null or empty text: the end alone. Null id: not held out. Rows that repeat an id or
     a text count, and are scored, once each. Long texts are scored whole. An empty table
@@ -358,10 +549,9 @@ def score_katz(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     ident = F.col(f"`{id_column}`")
     held = F.coalesce(F.crc32(ident.cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     rows = docs.select(ident.cast("long").alias("doc_id"), (~held).alias("train"), F.col(f"`{text_column}`").alias("text"))
-    model, unigrams, bigrams = train_katz(rows, n)
-    shared = docs.sparkSession.sparkContext.broadcast(model.__dict__)
-    tables = unigrams.select("bucket", F.lit("word").alias("kind"), "keys", "counts").union(bigrams.select("bucket", F.lit("pair").alias("kind"), "keys", "counts"))
+    model, shared, table, weights = train_katz(rows, n, rarity)
+    tables = table.unionByName(weights, allowMissingColumns=True)
     asked = rows.mapInArrow(questions(n, shared), ASK)
-    answered = asked.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(answers(shared), ANSWER)
+    answered = asked.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(answers(shared, n), ANSWER)
     out = answered.groupBy("unit").applyInArrow(totals(model.total, model.types, ["doc_id", "train"]), "doc_id long, train boolean, _n_tokens long, _n_known long, _train_tokens long, _base_score double, _score double")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), F.col("_n_tokens").alias("n_tokens"), F.col("_n_known").alias("n_known"), F.col("_train_tokens").alias("train_tokens"), F.col("_base_score").alias("base_score"), F.col("_score").alias("score"))

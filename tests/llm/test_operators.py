@@ -147,8 +147,9 @@ def test_line_dedup(docs, empty, spark):
     assert [r._n_dropped for r in many] == [1] * 10
 
 
-def test_katz(docs, empty):
-    rows = {r.doc_id: r for r in katz.score_katz(docs).collect()}
+@pytest.mark.parametrize("rarity", [katz.RARITY, 90, 1])
+def test_katz(docs, empty, rarity):
+    rows = {r.doc_id: r for r in katz.score_katz(docs, rarity=rarity).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in ROWS}
     tokens = {i: WORD.findall((t or "").translate(LOWER)) + [None] for i, t, *_ in ROWS}
     count = Counter(w for i in tokens if not held[i] for w in tokens[i])
