@@ -285,6 +285,8 @@ def described(shared):
 
     def run(batches):
         katz = Katz.of(shared.value)
+        size = katz.start + 1
+        sums = np.zeros((KEEP + 3, size))  # bounded by RARITY
         for batch in batches:
             for row in batch.to_pylist():
                 words, _, word_counts = items_of(row, "word")
@@ -296,10 +298,12 @@ def described(shared):
                 share = np.r_[katz.share[(coded % PAIR).astype(np.int64)], np.zeros(len(c1) + len(c2))]
                 share[len(c0) : len(c0) + len(c1)][~second] = katz.share_of(word_counts[np.searchsorted(words, mixed[~second])])
                 counts = np.r_[c0, c1, c2]
-                context, place = np.unique(h, return_inverse=True)
-                columns = [np.bincount(place, counts == r, len(context)) for r in range(1, KEEP + 2)]
-                columns += [np.bincount(place, np.where(counts > KEEP, counts, 0), len(context)), np.bincount(place, share, len(context))]
-                yield pa.RecordBatch.from_arrays([pa.array(context)] + [pa.array(c) for c in columns], names=["context", *[f"c{i}" for i in range(len(columns))]])
+                for r in range(1, KEEP + 2):
+                    sums[r - 1] += np.bincount(h[counts == r], minlength=size)
+                sums[KEEP + 1] += np.bincount(h, np.where(counts > KEEP, counts, 0), size)
+                sums[KEEP + 2] += np.bincount(h, share, size)
+        context = np.flatnonzero(sums[: KEEP + 2].any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(context)] + [pa.array(c[context]) for c in sums], names=["context", *[f"c{i}" for i in range(len(sums))]])
 
     return run
 
