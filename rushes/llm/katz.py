@@ -34,6 +34,7 @@ PAIR = np.uint64(1 << 18)
 KEEP = 5
 END = np.uint64(0xE5D0000000000001)
 UNIT_BYTES = 6 << 20
+SHORT = np.uint64((1 << 40) - 1)
 
 
 def codec() -> tuple:
@@ -389,8 +390,9 @@ def train_katz(docs: DataFrame, n_buckets: int, rarity: int = RARITY):
     coded = context > 0
     model.finish(np.r_[0, grid[:, : KEEP + 1].sum(0)], context[coded], grid[coded, :KEEP], grid[coded, KEEP + 1], grid[coded, KEEP + 2])
     shared = spark.sparkContext.broadcast(model.__dict__)
-    met = table.mapInArrow(links(n_buckets), LINKS)
-    weights = met.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(weighed(shared), WEIGHTS)
+    columns = {k: [f"{k}_{p}" for p in PARTS] for k in KINDS}
+    met = table.select("bucket", *columns["word"], *columns["rare"]).mapInArrow(links(n_buckets), LINKS)
+    weights = met.groupBy("bucket").cogroup(table.select("bucket", *columns["word"], *columns["mixed"]).groupBy("bucket")).applyInArrow(weighed(shared), WEIGHTS)
     return model, shared, table, weights
 
 
@@ -398,7 +400,10 @@ ASK = "bucket int, unit long, texts int, kind string, keys binary, others binary
 
 
 def questions(n_buckets: int, shared):
-    """Task function: each unit's distinct words and bigrams with the texts they stand in, by bucket; and one row of its texts."""
+    """Task function: each unit's distinct words and bigrams with the texts they stand in, by bucket; and one row of its texts.
+
+    The rare word of a bigram is told by its place among the unit's words in that bucket, the other rare word by 40 bits.
+    """
 
     def places(columns, owner):
         (*items, text), n = distinct(columns, owner)
@@ -406,8 +411,8 @@ def questions(n_buckets: int, shared):
         for b, w in by_bucket(items[0][begin[:-1]], n_buckets):
             sizes = begin[w + 1] - begin[w]
             at = np.repeat(begin[w] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            others = pack(narrow(items[1][begin[w]])) if len(items) > 1 else None
-            yield b, (pack_sorted(items[0][begin[w]]), others, pack(narrow(sizes)), pack(narrow(text[at])), pack(narrow(n[at])))
+            others = pack(narrow(items[1][begin[w]] & SHORT)) if len(items) > 1 else None
+            yield b, items[0][begin[w]], (others, pack(narrow(sizes)), pack(narrow(text[at])), pack(narrow(n[at])))
 
     def run(rows):
         import pickle
@@ -416,9 +421,14 @@ def questions(n_buckets: int, shared):
         for unit, own, tokens, owner, n in Units(rows):
             before = contexts(word_ids(tokens, katz["vocabulary"]), owner, katz["start"])
             backoff = np.bincount(owner, katz["backoff"][before], len(n))
-            out = []
+            out, words = [], {}
             for kind, columns, owners in [*words_of(tokens, owner), *bigrams_of(tokens, owner, katz)]:
-                out += [(b, unit, len(n), kind, *found, None) for b, found in places(columns, owners)]
+                for b, keys, found in places(columns, owners):
+                    if kind == "word":
+                        words[b] = keys
+                    elif kind != "coded":
+                        keys = np.searchsorted(words[b], keys).astype(np.uint64)
+                    out.append((b, unit, len(n), kind, pack_sorted(keys), *found, None))
             held = pickle.dumps(({k: v.to_pylist() for k, v in own.items()}, n, backoff))
             out.append((unit % n_buckets, unit, len(n), *[None] * 6, held))
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 6)
@@ -431,7 +441,7 @@ ANSWER = "unit long, bucket int, at binary, base binary, known binary, gain bina
 
 
 def paired(keys: np.ndarray, others: np.ndarray | None) -> np.ndarray:
-    return keys if others is None or not len(others) else mix(keys ^ mix(others + np.uint64(1)))
+    return keys if others is None or not len(others) else mix(keys ^ mix((others & SHORT) + np.uint64(1)))
 
 
 def valued(katz: Katz, rows: list[dict], n_buckets: int) -> dict:
@@ -479,9 +489,12 @@ def answers(shared, n_buckets: int):
         def sums(rows):
             """base, known and gain of the texts of one unit."""
             total, touched = np.zeros((3, rows[0]["texts"])), np.zeros(rows[0]["texts"], bool)
+            words = next((unpack_sorted(r["keys"]) for r in rows if r["kind"] == "word"), None)
             for row in rows:
                 kind = row["kind"]
                 keys = unpack_sorted(row["keys"])
+                if kind in ("mixed", "rare"):
+                    keys = words[keys.astype(np.int64)]
                 items = paired(keys, None if row["others"] is None else unpack(row["others"]).astype(np.uint64))
                 sizes, text, n = (unpack(row[c]).astype(np.int64) for c in ("sizes", "at", "n"))
                 if kind not in known or not len(known[kind][0]):
