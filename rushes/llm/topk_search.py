@@ -8,55 +8,93 @@ go on to finer segments, and the survivors' inner products are computed exactly.
 
 Queries and candidates lie in packed blocks; each query block meets each candidate
 block once, and each block keeps the best k of a query.
+
+Vectors of large components lie in blocks of their own. Where doubles do not hold all
+sums exactly, the bound is each rounded product with its error instead, and the
+survivors' products are integers of 64 bits or, where these could overflow, of any size.
 """
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = "block int, dim int, n int, ids binary, vectors binary"
+BLOCK = "block int, dim int, n int, width int, ids binary, vectors binary"
+
+
+def _width(top: float) -> int:
+    """Bytes for components up to top in size; more than 8 in steps, so that few kinds of blocks arise."""
+    if top <= 2.0**22:
+        return 4
+    return 8 if top < 2.0**62 else -(-(int(top).bit_length() + 2) // 128) * 16
+
+
+def _floors(values: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as integers of any size, also where the product is no double."""
+    return np.array([int(np.floor(x * scale)) if np.isfinite(x * scale) else Fraction(x) * Fraction(scale) // 1 for x in values.tolist()], object)
+
+
+def _packed(x: np.ndarray, width: int) -> bytes:
+    if width <= 8:
+        return x.astype(f"<i{width}").tobytes()
+    return b"".join(int(v).to_bytes(width, "little", signed=True) for v in x.ravel())
+
 
+def _unpacked(data: bytes, width: int, dim: int) -> np.ndarray:
+    if width <= 8:
+        return np.frombuffer(data, f"<i{width}").astype(np.int64).reshape(-1, dim)
+    return np.array([int.from_bytes(data[a : a + width], "little", signed=True) for a in range(0, len(data), width)], object).reshape(-1, dim)
 
-def _quantised(rows, scale: float, limit: float):
-    """(ids, int64 matrix) by dimension of the usable vectors of Arrow batches."""
+
+def _quantised(rows, scale: float):
+    """(dimension, width, ids, integer matrix) of the usable vectors of Arrow batches."""
     for batch in rows:
         column = batch.column(batch.schema.get_field_index("vector"))
         ids = batch.column(batch.schema.get_field_index("id"))
-        by: dict[int, tuple[list, list]] = {}
+        by: dict[tuple[int, int], tuple[list, list]] = {}
         for i, v in zip(ids.to_pylist(), column):
             if i is None or not v.is_valid or not len(v) or v.values.null_count:
                 continue
-            x = np.floor(np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) * scale)
-            if np.isfinite(x).all() and np.abs(x).max() <= limit:
-                one = by.setdefault(len(x), ([], []))
-                one[0].append(i), one[1].append(x)
-        for dim, (i, x) in by.items():
-            yield dim, np.array(i, np.int64), np.array(x).astype(np.int64)
-
-
-def packed_blocks(scale: float, size: int, limit: float, keep=None):
+            values = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
+            if not np.isfinite(values).all():
+                continue
+            with np.errstate(over="ignore"):
+                x = np.floor(values * scale)
+            top = np.abs(x).max()
+            if top >= 2.0**62:
+                x = _floors(values, scale)
+                top = max(map(abs, x))
+            one = by.setdefault((len(x), _width(top)), ([], []))
+            one[0].append(i), one[1].append(x)
+        for (dim, width), (i, x) in by.items():
+            yield dim, width, np.array(i, np.int64), np.array(x, object) if width > 8 else np.array(x).astype(np.int64)
+
+
+def packed_blocks(scale: float, size: int, keep=None):
     """Task function: vectors to blocks of at most so many rows, cut where the rows lie."""
 
     def run(rows):
-        wait: dict[int, list] = {}
+        wait: dict[tuple[int, int], list] = {}
 
-        def emit(dim, parts):
+        def emit(dim, width, parts):
             ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             for a in range(0, len(ids), size):
                 i = ids[a : a + size]
-                yield pa.RecordBatch.from_arrays([pa.array([int(i.min() & 0x7FFFFFFF)], pa.int32()), pa.array([dim], pa.int32()), pa.array([len(i)], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([x[a : a + size].astype(np.int32).tobytes()], pa.binary())], names=["block", "dim", "n", "ids", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(i.min() & 0x7FFFFFFF)], pa.int32()), pa.array([dim], pa.int32()), pa.array([len(i)], pa.int32()), pa.array([width], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([_packed(x[a : a + size], width)], pa.binary())], names=["block", "dim", "n", "width", "ids", "vectors"])
 
-        for dim, ids, x in _quantised(rows, scale, limit):
+        for dim, width, ids, x in _quantised(rows, scale):
             if keep is not None:
                 chosen = ids % keep == 0
                 ids, x = ids[chosen], x[chosen]
             if len(ids):
-                wait.setdefault(dim, []).append((ids, x))
-                if sum(len(p[0]) for p in wait[dim]) >= size:
-                    yield from emit(dim, wait.pop(dim))
-        for dim, parts in wait.items():
-            yield from emit(dim, parts)
+                kind = dim, width
+                wait.setdefault(kind, []).append((ids, x))
+                if sum(len(p[0]) for p in wait[kind]) >= size:
+                    yield from emit(*kind, wait.pop(kind))
+        for kind, parts in wait.items():
+            yield from emit(*kind, parts)
 
     return run
 
@@ -74,6 +112,9 @@ def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.nda
 
 def best_of_block(queries, query_ids, rows, row_ids, k: int, levels=(1, 4, 16)):
     """(query place, row id, score) of each query's best k in the block, ties to the smaller id."""
+    most = int(abs(queries).max()) * int(abs(rows).max()) * rows.shape[1]
+    if max(most, int(abs(queries).max()) ** 2 * rows.shape[1], int(abs(rows).max()) ** 2 * rows.shape[1]) > 2**53:
+        return _best_of_wide(queries, query_ids, rows, row_ids, k, most)
     q, x = queries.astype(np.float64), rows.astype(np.float64)
     q_norm, x_norm = (q * q).sum(1), (x * x).sum(1)
     stats = [(segment_statistics(q, s), segment_statistics(x, s)) for s in levels if s <= q.shape[1]]
@@ -100,18 +141,55 @@ def best_of_block(queries, query_ids, rows, row_ids, k: int, levels=(1, 4, 16)):
         out_q += [j] * len(best)
         out_i += row_ids[alive][best].tolist()
         out_s += score[best].tolist()
-    return np.array(out_q, np.int64), np.array(out_i, np.int64), np.array(out_s, np.int64)
+    return np.array(out_q, np.int64), np.array(out_i, np.int64), out_s
+
+
+def _best_of_wide(queries, query_ids, rows, row_ids, k: int, most: int):
+    """The same where sums can exceed what doubles hold exactly; no sum exceeds most."""
+    if most >= 2**63:
+        exact_q, exact_x = queries.astype(object), rows.astype(object)
+    else:
+        exact_q, exact_x = queries, rows
+    dim = rows.shape[1]
+    # a square beyond the doubles leaves no bound: then all products are exact
+    bounded = max(int(abs(queries).max()), int(abs(rows).max())) ** 2 * dim < 2**1000
+    if bounded:
+        q, x = queries.astype(np.float64), rows.astype(np.float64)
+        near = q @ x.T
+        # twice the error of a sum of rounded products of rounded factors, in any order
+        wrong = (dim + 16) * 2.0**-52 * np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))
+    out_q, out_i, out_s = [], [], []
+    for j in range(len(queries)):
+        alive = np.flatnonzero(row_ids != query_ids[j])
+        if bounded and len(alive) > k:
+            floor = np.partition((near[j] - wrong[j])[alive], -k)[-k]
+            alive = alive[(near[j] + wrong[j])[alive] >= floor]
+        score = (exact_x[alive] @ exact_q[j]).tolist()
+        best = sorted(zip((-s for s in score), row_ids[alive].tolist()))[:k]
+        out_q += [j] * len(best)
+        out_i += [i for _, i in best]
+        out_s += [-s for s, _ in best]
+    return np.array(out_q, np.int64), np.array(out_i, np.int64), out_s
+
+
+def _beyond(score: int):
+    """(side, key) that order scores which no bigint holds: by side, then by key as bytes."""
+    if -(2**63) <= score < 2**63:
+        return 0, None
+    data = abs(score).to_bytes((score.bit_length() + 7) // 8, "big")
+    key = len(data).to_bytes(4, "big") + data
+    return (1, key) if score > 0 else (-1, bytes(255 - b for b in key))
 
 
-def search_top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, query_every: int = 50, scale: float = 256.0, query_block: int = 512, row_block: int = 1024, limit: float = 2.0**22) -> DataFrame:
+def search_top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, query_every: int = 50, scale: float = 256.0, query_block: int = 512, row_block: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k largest inner products with other rows.
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by
     query_every; candidates are all rows but the query's own id. Ties go to the smaller id.
 
     Rows with a null id, vectors that are null or empty or hold a null or non-finite
-    component, or one of size over limit / scale (whose sums could exceed exact
-    arithmetic), take no part. Vectors are compared with those of their own length. Rows
+    component take no part. Finite components of any size do, and are compared exactly;
+    a score that no bigint holds is null, its rank and vec_id are right. Vectors are compared with those of their own length. Rows
     that repeat an id are candidates once each; a query that repeats is answered once.
     An empty table gives an empty one. Other columns are not read.
     """
@@ -123,22 +201,24 @@ def search_top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
         rows.where(F.col("id") % query_every == 0)
         .dropDuplicates(["id"])
         .coalesce(8)
-        .mapInArrow(packed_blocks(scale, query_block, limit), BLOCK)
-        .select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        .mapInArrow(packed_blocks(scale, query_block), BLOCK)
+        .select("dim", F.col("block").alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     )
-    blocks = rows.mapInArrow(packed_blocks(scale, row_block, limit), BLOCK).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    blocks = rows.mapInArrow(packed_blocks(scale, row_block), BLOCK).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
 
     def compared(batches):
         for batch in batches:
             names = batch.schema.names
             for r in batch.to_pylist():
                 dim = r["dim"]
-                qi, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"], np.int32).astype(np.int64).reshape(-1, dim)
-                i, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.int32).astype(np.int64).reshape(-1, dim)
+                qi, q = np.frombuffer(r["q_ids"], np.int64), _unpacked(r["q_vectors"], r["q_width"], dim)
+                i, x = np.frombuffer(r["ids"], np.int64), _unpacked(r["vectors"], r["width"], dim)
                 at, found, score = best_of_block(q, qi, x, i, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+                side, key = zip(*map(_beyond, score)) if score else ((), ())
+                fits = [None if s else v for s, v in zip(side, score)]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(found), pa.array(fits, pa.int64()), pa.array(side, pa.int32()), pa.array(key, pa.binary())], names=["query_id", "vec_id", "score", "side", "key"])
 
-    pairs = blocks.join(asked, ["dim", "part"]).select("dim", "ids", "vectors", "q_ids", "q_vectors")
-    best = pairs.mapInArrow(compared, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    pairs = blocks.join(asked, ["dim", "part"]).select("dim", "width", "ids", "vectors", "q_width", "q_ids", "q_vectors")
+    best = pairs.mapInArrow(compared, "query_id long, vec_id long, score long, side int, key binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("key"), F.desc("score"), F.asc("vec_id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -264,3 +265,23 @@ def test_topk_search(spark):
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search_top_k(table, row_block=64).collect()}
     assert got == want
     assert topk_search.search_top_k(table.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("size", [20_000.0, 3e7, 1e12, 1e30, 1e300])
+def test_topk_search_large_components(spark, size):
+    draw = np.random.default_rng(4)
+    x = np.round(draw.normal(0, 0.4, (300, 16)), 3)
+    x[::3] *= size  # a third of rows and queries; the rest as they are
+    x[120:150] = x[120]  # ties
+    x[1] = 0.0
+    x[60] = np.where(np.arange(16) % 2, 1, -1) * 1.7e308 if size == 1e300 else x[60]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = [[int(Fraction(v) * 256 // 1) for v in row] for _, row in rows]
+    want = set()
+    for i in range(0, 300, 50):
+        score = [sum(a * b for a, b in zip(q[i], other)) for other in q]
+        order = sorted((j for j in range(300) if j != i), key=lambda j: (-score[j], j))[:5]
+        want |= {(i, k + 1, j, score[j] if abs(score[j]) < 2**63 else None) for k, j in enumerate(order)}
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search_top_k(table, row_block=64).collect()}
+    assert got == want
