@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rushes.llm._spark import stored
-from rushes.llm.jaccard_join import link_components
+from rushes.llm.jaccard_join import BROADCAST_ROWS, link_components
 from rushes.llm.line_dedup import dedup_lines
 from rushes.llm.packing import pack_documents
 from rushes.llm.quality_classifier import fit_quality, score_quality
@@ -31,12 +31,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
+    """Of near duplicates (five-word shingles, similarity 0.8) one row stays.
 
-    Rows without words or without a doc_id stay.
+    Rows are told apart by 64 bits of a hash of doc_id and text, not by doc_id alone. Of
+    linked rows the one with the smallest doc_id stays, a null one last, then the
+    one with the smallest hash; of rows that agree in both, any one. Rows without words stay.
     """
-    found = link_components(docs, gram=5, percent=80).where("component_id < id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    linked = stored(link_components(keyed, id_column="_row_key", gram=5, percent=80).where("n_shingles > 0").select(F.col("id").alias("_row_key"), "component_id"))
+    many = linked.groupBy("component_id").agg(F.count("*").alias("_n")).where("_n > 1").select("component_id")
+    rows = linked.join(many, "component_id").groupBy("_row_key", "component_id").agg(F.count("*").alias("_copies"))
+    named = keyed.select("_row_key", "doc_id").join(rows, "_row_key").select("component_id", "_row_key", "_copies", F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key").alias("_order"))
+    first = named.groupBy("component_id").agg(F.min("_order")["_row_key"].alias("_first"))
+    judged = stored(rows.join(first, "component_id").select("_row_key", (F.col("_row_key") == F.col("_first")).alias("_stays"), "_copies"))
+    gone, again = judged.where("not _stays").select("_row_key"), judged.where("_stays and _copies > 1").select("_row_key")
+    gone, again = (F.broadcast(x) if x.count() <= BROADCAST_ROWS else x for x in (gone, again))
+    left = keyed.join(gone, "_row_key", "left_anti")
+    once = left.join(again, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return left.join(again, "_row_key", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("substring dedup", substring_dedup), ("packing", packing)]
 
-#: Neither a trained classifier nor tokenization can be said in SQL; tests hold each stage against brute force.
+#: Neither a trained classifier nor tokenization can be said in SQL; tests/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
