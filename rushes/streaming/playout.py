@@ -36,15 +36,16 @@ def playout_schedule(clips: DataFrame, step: int = 5) -> DataFrame:
     return clips.select("clip", F.posexplode(shown).alias("i", "frame")).withColumn("i", F.col("i").cast("long"))
 
 
-REACH = 128  # more than ten frames a step times a buffer of twelve
+REACH = 128  # the first pass: more than ten frames a step times a buffer of twelve
 
 
 def nearest_ready(ticks: DataFrame, ready: DataFrame, forward: bool = True, evict: bool = False, reach: int = REACH) -> DataFrame:
     """Ticks with shown_frame: the ready frame nearest to the one asked for, not beyond it in play direction.
 
     ticks: clip, event_id, frame, tick_ts. ready: clip, frame, ready_ts. A frame counts if ready by the
-    tick and less than reach frames away; with evict, frames that the tick before took or passed are gone.
-    Both sides meet in blocks of reach frames, so a long clip is spread over many keys.
+    tick; with evict, frames that the tick before took or passed are gone. Both sides meet in blocks of
+    reach frames, so a long clip is spread over many keys. Ticks that find none there are few as a rule;
+    they meet each farther block of their clip that has a frame ready by the tick.
     """
     block = lambda c: F.floor(F.col(c) / reach).cast("long")
     side = -1 if forward else 1
@@ -57,13 +58,24 @@ def nearest_ready(ticks: DataFrame, ready: DataFrame, forward: bool = True, evic
         # only the first time a frame is ready matters
         have = ready.groupBy("clip", F.col("frame").alias("_ready")).agg(F.min("ready_ts").alias("ready_ts"))
     probe = asked.withColumn("_block", F.explode(F.array(block("frame"), block("frame") + side)))
-    near = (F.col("frame") - F.col("_ready")) * (1 if forward else -1)
-    meets = near.between(0, reach - 1) & (F.col("ready_ts") <= F.col("tick_ts"))
-    if evict:
-        passed = (F.col("_frame") - F.col("_ready")) * (1 if forward else -1) >= 0
-        meets = meets & ~F.coalesce(passed & (F.col("ready_ts") <= F.col("_ts")), F.lit(False))
+    sign = 1 if forward else -1
+
+    def counts(frame, ts):
+        found = (ts <= F.col("tick_ts")) & ((F.col("frame") - frame) * sign >= 0)
+        if evict:
+            passed = (F.col("_frame") - frame) * sign >= 0
+            found = found & ~F.coalesce(passed & (ts <= F.col("_ts")), F.lit(False))
+        return found
+
+    meets = counts(F.col("_ready"), F.col("ready_ts"))
     met = probe.join(have.withColumn("_block", block("_ready")), ["clip", "_block"]).where(meets)
-    best = met.groupBy("clip", "event_id").agg((F.max if forward else F.min)("_ready").alias("shown_frame"))
+    most = F.max if forward else F.min
+    best = met.groupBy("clip", "event_id").agg(most("_ready").alias("shown_frame"))
+    blocks = have.groupBy("clip", block("_ready").alias("_block")).agg(F.min("ready_ts").alias("_first"), F.collect_list(F.struct("_ready", "ready_ts")).alias("_have"))
+    far = asked.join(best, ["clip", "event_id"], "left_anti").join(blocks, "clip").where(((block("frame") - F.col("_block")) * sign > 1) & (F.col("_first") <= F.col("tick_ts")))
+    ends = F.array_max if forward else F.array_min
+    nearest = ends(F.transform(F.filter("_have", lambda h: counts(h["_ready"], h["ready_ts"])), lambda h: h["_ready"]))
+    best = best.union(far.withColumn("_at", nearest).where("_at is not null").groupBy("clip", "event_id").agg(most("_at").alias("shown_frame")))
     return ticks.join(best, ["clip", "event_id"], "left")
 
 

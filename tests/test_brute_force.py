@@ -1,6 +1,7 @@
 """Operators without SQL, against plain Python; files and streams."""
 
 import math
+import random
 import struct
 
 import pytest
@@ -205,3 +206,18 @@ def test_session_stream(spark, tmp_path):
     got = {(r.clip, r.started, r.n_events) for r in spark.table("sessions").collect()}
     # sessions that the watermark has not passed stay open
     assert got <= batch and len(got) > 0.9 * len(batch)
+
+
+@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize("evict", [False, True])
+def test_nearest_ready_far_away(spark, forward, evict):
+    draw = random.Random(6)
+    ticks = [(1, n, draw.randint(0, 3000), n * 10) for n in range(60)]
+    ready = [(1, draw.randint(0, 3000), draw.randint(0, 500)) for _ in range(12)]
+    sign, want = 1 if forward else -1, {}
+    for n, (_, event, frame, ts) in enumerate(ticks):
+        last = ticks[n - 1] if n and evict else None
+        found = [f for _, f, t in ready if t <= ts and (frame - f) * sign >= 0 and not (last and (last[2] - f) * sign >= 0 and t <= last[3])]
+        want[event] = (max if forward else min)(found, default=None)
+    out = playout.nearest_ready(spark.createDataFrame(ticks, "clip long, event_id long, frame long, tick_ts long"), spark.createDataFrame(ready, "clip long, frame long, ready_ts long"), forward, evict)
+    assert {r.event_id: r.shown_frame for r in out.collect()} == want
