@@ -6,6 +6,10 @@ the minimiser's bucket; equal windows meet there, because equal windows have
 equal minimisers. Within a bucket, sorting brings equal windows together and the
 first of them in (document, position) order stays.
 
+A piece that is the minimiser of a large part of all windows would fill one bucket.
+Such pieces are counted beforehand, over all texts, and come last in the order: a
+window around one goes by another of its pieces, so its bucket is split by content.
+
 Copies are reduced before they travel: a task sends each packed string once,
 with its first place; its other places are known to be repeats without asking.
 So a passage found in a third of all documents costs its bucket one string for
@@ -16,15 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._spark import buckets, text_bytes
+from ._spark import buckets, column, own_fields, text_bytes
 from ._text import byte_values, grams, hashes, mix, parts, powers, space_class, spans, utf8
 from .packing import worker_cache
 
 NO_ID = -(2**63)
 STRETCH = "bucket int, ids binary, tags binary, starts binary, counts binary, text binary"
+KEPT = {"_kept": T.StringType(), "_n_words": T.LongType(), "_n_removed": T.LongType(), "_sha": T.StringType()}
 REPEAT = "id long, tag int, start int, n int"
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+#: Hot pieces are minimisers of 2**-HOT_BITS of all window text at least, so no more than twice 2**HOT_BITS exist.
+HOT_BITS = 18
 
 
 def _packed(data, offsets, starts, ends):
@@ -38,9 +46,21 @@ def _packed(data, offsets, starts, ends):
     return out, shift, shift + size
 
 
-def _stretches(words, bounds, k, m):
+def ranked(piece: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Order of pieces by which the minimiser is chosen: by hash, the hot ones last."""
+    rank = piece >> np.uint64(1)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, rank), len(hot) - 1)
+        rank[hot[at] == rank] |= np.uint64(1 << 63)
+    return rank
+
+
+def _stretches(words, bounds, k, m, hot):
     """(first window, windows, minimiser) of each maximal run of windows that share a minimiser in one text."""
-    piece = grams(words, m)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(words) < k:
+        return none
+    piece = ranked(grams(words, m), hot)
     width = k - m + 1
     least, have = piece, 1
     while have < width:
@@ -54,7 +74,7 @@ def _stretches(words, bounds, k, m):
     np.add.at(inside, last[ok] + 1, -1)
     valid = np.cumsum(inside[:-1])[: len(least)] > 0
     if not valid.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none
     new = valid.copy()
     new[1:] &= ~(valid[:-1] & (least[1:] == least[:-1]))
     new[bounds[:-1][ok]] = True
@@ -64,7 +84,39 @@ def _stretches(words, bounds, k, m):
     return first, count, least[first]
 
 
-def stretches(k: int, m: int, n_buckets: int, block: int):
+def loads(k: int, m: int, share: float):
+    """Task function: (piece, bytes) of the window text that pieces are minimisers of, where it is at least half of share of the task's."""
+
+    def run(rows):
+        values, inside = byte_values(), space_class()
+        keys, sizes, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for batch in (part for batch in rows for part in parts(batch, "text")):
+            data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
+            s, e, bounds = spans(data, offsets, inside)
+            first, count, least = _stretches(hashes(data, s, e, values), bounds, k, m, np.zeros(0, np.uint64))
+            if len(first):
+                size = e[first + count + k - 2] - s[first]
+                total += int(size.sum())
+                keys, place = np.unique(np.r_[keys, least], return_inverse=True)
+                sizes = np.bincount(place, np.r_[sizes, size], len(keys)).astype(np.int64)
+                keep = sizes >= total * share / 4
+                keys, sizes = keys[keep], sizes[keep]
+        keep = sizes >= total * share / 2
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(sizes[keep])], names=["piece", "size"])
+
+    return run
+
+
+def hot_pieces(texts: DataFrame, k: int, m: int, total: int) -> np.ndarray:
+    """Pieces, ascending, that are minimisers of more window text than a fourth of a bucket, and than one share of the total."""
+    limit = max(BUCKET_BYTES // 4, total >> HOT_BITS)
+    # a task leaves out less than half of what a hot piece has; at most 2 * total / limit rows remain
+    found = texts.mapInArrow(loads(k, m, min(1.0, limit / max(total, 1))), "piece long, size long").groupBy("piece").agg(F.sum("size").alias("size"))
+    rows = found.where(F.col("size") >= limit // 2).select("piece").toArrow()
+    return np.sort(rows.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def stretches(k: int, m: int, n_buckets: int, block: int, shared):
     """Task function: texts to packed strings by bucket, and to the repeats that are known already."""
 
     def run(rows):
@@ -73,7 +125,7 @@ def stretches(k: int, m: int, n_buckets: int, block: int):
         worker_cache("substrings")
         values, inside = byte_values(), space_class()
         compress = zstandard.ZstdCompressor(level=3).compress
-        serial = 0
+        hot, serial = shared.value, 0
 
         def emit(seen, keys, places):
             nonlocal serial
@@ -106,9 +158,7 @@ def stretches(k: int, m: int, n_buckets: int, block: int):
             id_column, tag_column, text = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "tag", "text"))
             data, offsets = utf8(text)
             s, e, bounds = spans(data, offsets, inside)
-            if len(s) < k:
-                continue
-            first, count, least = _stretches(hashes(data, s, e, values), bounds, k, m)
+            first, count, least = _stretches(hashes(data, s, e, values), bounds, k, m, hot)
             if not len(first):
                 continue
             packed, ps, pe = _packed(data, offsets, s, e)
@@ -256,7 +306,7 @@ def _kept(k: int, joined: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 4, block_bytes: int = 24 << 20, joined: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, minimiser: int = 4, block_bytes: int = 8 << 20, joined: bool = True) -> DataFrame:
     """docs with `_kept` (its remaining words), `_n_words`, `_n_removed` and `_sha` (of the words joined by one space) beside its own columns.
 
     A window of so many consecutive words is repeated if the same words also start
@@ -267,27 +317,26 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Null text: no words, kept null. Empty text: no words. Fewer words than a window:
     all stay. Null id: sorts first. Rows that repeat an id with one text count as one
     document; with different texts, the text's crc32 orders them. An empty table gives
-    an empty one. Own columns stay, whatever their names, unless they begin with `_`.
+    an empty one. Own columns stay, whatever their names; one named as a new column gives way to it.
     """
-    n = buckets(docs.sparkSession, 3 * text_bytes(docs, text_column), BUCKET_BYTES)
-    key = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NO_ID))
-    tag = (F.crc32(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).cast("binary")) - 2**31).cast("int")
-    texts = docs.select(key.alias("id"), tag.alias("tag"), F.col(f"`{text_column}`").alias("text"))
+    total = 3 * text_bytes(docs, text_column)
+    n = buckets(docs.sparkSession, total, BUCKET_BYTES)
+    own = own_fields(docs, [text_column, *KEPT])
+    ident, text = column(id_column), column(text_column)
+    key = F.coalesce(ident.cast("long"), F.lit(NO_ID))
+    tag = (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) - 2**31).cast("int")
+    texts = docs.select(key.alias("id"), tag.alias("tag"), text.alias("text"))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_pieces(texts.select("text"), window, minimiser, total))
     found = (
-        texts.mapInArrow(stretches(window, minimiser, n, block_bytes), STRETCH)
+        texts.mapInArrow(stretches(window, minimiser, n, block_bytes, hot), STRETCH)
         .groupBy("bucket")
         .applyInArrow(repeats(window), REPEAT)
         .groupBy("id", "tag")
         .agg(F.collect_list(F.struct("start", "n")).alias("_found"))
-        .withColumnsRenamed({"id": "_id", "tag": "_tag"})
     )
-    others = [f for f in docs.schema.fields if f.name != text_column]
-    keyed = docs.select(*[F.col(f"`{f.name}`") for f in others], key.alias("_id"), tag.alias("_tag"), F.col(f"`{text_column}`").alias("_whole"))
-    packed = keyed.mapInArrow(_compressed, keyed.schema.fields and _schema(keyed, {"_whole": "binary"}))
-    joined_rows = packed.join(found, ["_id", "_tag"], "left").drop("_id", "_tag")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_kept string", "_n_words long", "_n_removed long", "_sha string"])
-    return joined_rows.mapInArrow(_kept(window, joined), schema)
-
-
-def _schema(df: DataFrame, changed: dict[str, str]) -> str:
-    return ", ".join(f"`{f.name}` {changed.get(f.name, f.dataType.simpleString())}" for f in df.schema.fields)
+    keyed = docs.select(*[column(f.name).alias(f"own{i}") for i, f in enumerate(own)], key.alias("id"), tag.alias("tag"), text.alias("_whole"))
+    packed = keyed.mapInArrow(_compressed, T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "_whole" else f.dataType) for f in keyed.schema.fields]))
+    joined_rows = packed.join(found, ["id", "tag"], "left").drop("id", "tag")
+    schema = T.StructType([T.StructField(f"own{i}", f.dataType) for i, f in enumerate(own)] + [T.StructField(n, t) for n, t in KEPT.items()])
+    out = joined_rows.mapInArrow(_kept(window, joined), schema)
+    return out.select(*[F.col(f"own{i}").alias(f.name) for i, f in enumerate(own)], *KEPT)
