@@ -11,13 +11,13 @@ token's bytes by an offset table.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ._spark import map_texts
 from .packing import Recent, worker_cache
 
 #: How byte-level tokenizers split text before merging, with the white space of Unicode.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+CODED = "_n_tokens long, _ids_sha256 string, _decoded_sha256 string"
 
 
 def byte_letters() -> dict[str, int]:
@@ -186,10 +186,9 @@ def code_texts(docs: DataFrame, content: str, text_column: str = "text", ids: bo
 
     Null or empty text: no tokens; decoded it is empty. Long texts, ties and repeated
     rows need nothing special: each row is coded by itself. An empty table gives an
-    empty one. Own columns stay, whatever their names, unless they begin with `_`.
+    empty one. Own columns stay, whatever their names; one named as a new column gives way to it.
     """
-    others = [f for f in docs.schema.fields if f.name != text_column]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_n_tokens long", "_ids_sha256 string", "_decoded_sha256 string"] + ["_ids array<int>", "_decoded string"] * ids)
+    outputs = CODED + ", _ids array<int>, _decoded string" * ids
 
     def run(rows):
         import hashlib
@@ -205,4 +204,4 @@ def code_texts(docs: DataFrame, content: str, text_column: str = "text", ids: bo
                 out |= {"_ids": pa.array([np.frombuffer(b, "<i4") for _, b, _ in coded], pa.list_(pa.int32())), "_decoded": pa.array([c.decode() for _, _, c in coded], pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{text_column}`").alias("_whole")).mapInArrow(run, schema)
+    return map_texts(docs, text_column, run, outputs)

@@ -9,8 +9,8 @@ gives the span.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ._spark import map_texts
 from ._text import spans, utf8
 from .substring_dedup import _packed
 
@@ -29,7 +29,7 @@ NOTICES = {
     "licensed under a creative commons attribution": "cc-notice",
     "all rights reserved": "rights-reserved",
 }
-SPAN = "array<struct<label:string,first_word:long,n_words:long,edits:int>>"
+SCANNED = "_n_words long, _n_base long, _first_word long, _last_word long, _base_labels string, _labels string, _score double, _notices array<struct<label:string,first_word:long,n_words:long,edits:int>>"
 
 
 def word_class() -> np.ndarray:
@@ -119,10 +119,8 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", phrases: dict[str,
 
     Null or empty text: no words, nothing found, score 0. Long texts are scanned whole;
     ties and repeated rows are scanned row by row. An empty table gives an empty one.
-    Own columns stay, whatever their names, unless they begin with `_`.
+    Own columns stay, whatever their names; one named as a new column gives way to it.
     """
-    others = [f for f in docs.schema.fields if f.name != text_column]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_n_words long", "_n_base long", "_first_word long", "_last_word long", "_base_labels string", "_labels string", "_score double", f"_notices {SPAN}"])
 
     def run(rows):
         scanner = Scanner(phrases, notices, edit_share)
@@ -172,4 +170,4 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", phrases: dict[str,
             out["_notices"] = pa.array([r[7] for r in results], pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int32())])))
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{text_column}`").alias("_whole")).mapInArrow(run, schema)
+    return map_texts(docs, text_column, run, SCANNED)

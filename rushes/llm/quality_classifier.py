@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import map_texts
 from ._text import byte_values, hashes, mix, space_class, spans, utf8
 from .quality_rules import _sums, repeated_words
 from .packing import worker_cache
@@ -188,10 +189,8 @@ def score_quality(docs: DataFrame, model: Machine, text_column: str = "text", ke
 
     The id, labels, language and source are no inputs. Null text is scored as the empty
     text is. Long texts are scored whole; ties and repeated rows get equal scores. An
-    empty table gives an empty one. Own columns stay, unless they are named `_score`.
+    empty table gives an empty one. Own columns stay, whatever their names; one named `_score` gives way.
     """
-    others = [f for f in docs.schema.fields if keep_text or f.name != text_column]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_score double"])
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))
 
     def run(batches):
@@ -208,4 +207,4 @@ def score_quality(docs: DataFrame, model: Machine, text_column: str = "text", ke
                 yield pa.RecordBatch.from_pydict(out)
                 a = b
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{text_column}`").alias("_whole")).mapInArrow(run, schema)
+    return map_texts(docs, text_column, run, "_score double", keep_text)

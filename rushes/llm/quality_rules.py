@@ -8,8 +8,8 @@ characters of words inside repeated n-grams, and of repeated lines, once each.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ._spark import map_texts
 from ._text import byte_values, hashes, mix, powers, space_class, spans, utf8
 from .line_dedup import _lines
 
@@ -60,10 +60,8 @@ def apply_quality_rules(docs: DataFrame, text_column: str = "text", lengths: dic
 
     Null or empty text: no words, failed. One word of any length counts once. Ties and
     repeated rows: each row is judged by itself. An empty table gives an empty one. Own
-    columns stay, whatever their names, unless they begin with `_`.
+    columns stay, whatever their names; one named as a new column gives way to it.
     """
-    others = [f for f in docs.schema.fields if f.name != text_column]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [COLUMNS])
 
     def run(rows):
         inside, values = space_class(), byte_values()
@@ -117,4 +115,4 @@ def apply_quality_rules(docs: DataFrame, text_column: str = "text", lengths: dic
                 yield pa.RecordBatch.from_pydict(out)
                 a = b
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{text_column}`").alias("_whole")).mapInArrow(run, schema)
+    return map_texts(docs, text_column, run, COLUMNS)
