@@ -2,18 +2,23 @@
 
 A document is the set of hashes of its word n-grams; equal sets are one class. In
 hash order, two sets of n grams that overlap in c or more share l of the first
-n - c + l (their l-prefix). Prefixes of two lengths are at hand: l = 1, and a longer
-one. From the exact numbers of classes that have each gram in their prefixes, each
-class estimates how many candidates either length brings it and takes the cheaper.
-The longer prefix lets a class leave its l - 1 most frequent grams out, as l shared
-grams are asked for; two classes meet by the shorter of their prefixes.
-
-Classes that meet at a gram are compared by the grams of their prefixes: only those
-that share as many as the shorter of their demands are candidates. Candidates, over
-any number of steps, are one bucket. A bucket's texts are brought together and the
-whole sets are compared. Groups and buckets go in cells of two blocks where they are
-large, so memory is bounded and no pair is lost; candidates and links leave a cell as
-a spanning forest.
+n - c + l (their l-prefix). Prefixes of several lengths are at hand (LEVELS). From the
+exact numbers of classes that have each gram in their prefixes, each class estimates
+how many candidates each length brings it and takes the cheapest. A longer prefix lets
+a class leave its l - 1 most frequent grams out, as l shared grams are asked for; two
+classes meet by the shorter of their prefixes.
+
+Classes that meet at a gram are compared by the grams of their longest prefixes: only
+those that share as many as the shorter of their demands are candidates. Where
+candidates are few for the classes that have them, each pair is verified by itself:
+a class meets its partners, at most BLOCK at a time, and whole sets are compared.
+Where nearly all classes of a gram are each other's candidates, pairs would be
+quadratic; such crowds are verified in blocks.
+
+Classes whose first frequent gram is the same, more than a block of them, are
+compared with PIVOTS of them before all that: those that link with one pivot are known
+to be one component, so they need not meet each other, only the rest. Memory is bounded
+by the blocks and no pair is lost; crowds and links leave a task as spanning forests.
 """
 
 import numpy as np
@@ -21,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stored
+from ._spark import column, stored
 from ._text import byte_values, grams, hashes, mix, parts, space_class, spans, utf8
 from .components import components
 from .packing import worker_cache
 
-SIGNATURE = "id long, n int, node long, grams array<long>"
+SIGNATURE = "id long, text_key long, n int, node long, grams array<long>"
 BLOCK = 512
 MEETING = 512
+PIVOTS = 8
+#: Shared grams that the longer prefixes ask for: n // divisor, at least so many. The shortest asks for one.
+LEVELS = ((40, 2), (20, 3))
 BROADCAST_ROWS = 100_000
 
 
@@ -53,10 +61,9 @@ def overlap(n, percent: int):
 
 
 def level(n, percent: int):
-    """How many shared grams the longer prefix asks for."""
-    if isinstance(n, int):
-        return min(overlap(n, percent), max(2, n // 20))
-    return np.minimum(overlap(n, percent), np.maximum(2, n // 20))
+    """How many shared grams the longest prefix asks for."""
+    divisor, least = LEVELS[-1]
+    return np.minimum(overlap(n, percent), np.maximum(least, n // divisor))
 
 
 def node_of(found: np.ndarray) -> int:
@@ -66,7 +73,7 @@ def node_of(found: np.ndarray) -> int:
 
 
 def signatures(n: int, percent: int):
-    """Task function: rows to set size, class and longer prefix."""
+    """Task function: rows to set size, class and longest prefix."""
 
     def run(rows):
         worker_cache("jaccard_join")
@@ -78,13 +85,13 @@ def signatures(n: int, percent: int):
                 sizes.append(size)
                 nodes.append(node_of(found) if size else None)
                 prefixes.append(found[: size - overlap(size, percent) + int(level(size, percent))].view(np.int64) if size else None)
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("id")), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "node", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(names.index("id")), batch.column(names.index("text_key")), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "text_key", "n", "node", "grams"])
 
     return run
 
 
-def forest(m: int, pairs):
-    """(place, least place of its tree) of the places that the pairs join to a smaller one."""
+def trees(m: int, pairs) -> list[tuple[list[int], list[tuple[int, int]]]]:
+    """(places, their pairs) of each connected group of the places that have pairs."""
     root = list(range(m))
 
     def find(x):
@@ -97,23 +104,34 @@ def forest(m: int, pairs):
         x, y = find(x), find(y)
         if x != y:
             root[max(x, y)] = min(x, y)
-    return [(x, y) for x in range(m) if (y := find(x)) != x]
+    found: dict[int, tuple[list, list]] = {}
+    for x, y in pairs:
+        found.setdefault(find(x), (set(), []))[1].append((x, y))
+    for places, own in found.values():
+        places.update(p for pair in own for p in pair)
+    return [(sorted(places), own) for places, own in found.values()]
+
+
+def crowded(places: int, pairs: int) -> bool:
+    """Whether blocks of all places cost less than the pairs one by one."""
+    return pairs >= places and (places <= 16 or pairs > 2 * places)
 
 
 def by_cell(rows, keys, columns):
-    """Rows of sorted batches, cell by cell: (the columns' values, the last rows' batch end)."""
-    key, held = None, []
+    """Rows of sorted batches, cell by cell: each node of a cell once, with its columns' values."""
+    key, held = None, {}
     for batch in rows:
         names = batch.schema.names
         cells = zip(*(batch.column(names.index(c)).to_pylist() for c in keys))
-        for cell, row in zip(cells, zip(*columns(batch))):
+        for cell, (node, row) in zip(cells, columns(batch)):
             if cell != key:
                 if len(held) > 1:
-                    yield held
-                key, held = cell, []
-            held.append(row)
+                    yield key, held
+                key, held = cell, {}
+            if node not in held:
+                held[node] = row
     if len(held) > 1:
-        yield held
+        yield key, held
 
 
 def near(sizes, levels, shared, percent, twice=0):
@@ -128,8 +146,28 @@ def near(sizes, levels, shared, percent, twice=0):
     return a[hit], b[hit]
 
 
+class Joined:
+    """Which nodes one task has joined already, so that it need not tell again."""
+
+    def __init__(self, most: int = 500_000):
+        self.root, self.most = {}, most
+
+    def find(self, x):
+        while (y := self.root.setdefault(x, x)) != x:
+            self.root[x] = x = self.root[y]
+        return x
+
+    def new(self, a, b) -> bool:
+        if len(self.root) > self.most:
+            self.root.clear()
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
 def cells_met(percent: int):
-    """Task function over rows sorted by cell: shared grams of prefixes to candidates (a, b) as a forest.
+    """Task function over rows sorted by cell: shared grams of prefixes to candidates (a, b), one by one or as the forest of a crowd.
 
     known has 16 bits of each gram: enough to count by, and never a candidate less.
     """
@@ -138,18 +176,12 @@ def cells_met(percent: int):
         names = batch.schema.names
         known = batch.column(names.index("known"))
         values, cuts = known.values.to_numpy(), known.offsets.to_numpy()
-        return batch.column(names.index("node")).to_pylist(), batch.column(names.index("n")).to_pylist(), (values[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+        return zip(batch.column(names.index("node")).to_pylist(), zip(batch.column(names.index("n")).to_pylist(), (values[a:b] for a, b in zip(cuts[:-1], cuts[1:])), batch.column(names.index("label")).to_pylist()))
 
     def run(rows):
-        out, root = [], {}
-
-        def find(x):
-            while (y := root.setdefault(x, x)) != x:
-                root[x] = x = root[y]
-            return x
-
-        for cell in by_cell(rows, ("level", "gram", "i", "j"), columns):
-            nodes, sizes, known = zip(*cell)
+        out, joined, told = [], Joined(), set()  # what this task has told already
+        for _, cell in by_cell(rows, ("level", "gram", "i", "j"), columns):
+            nodes, (sizes, known, labels) = list(cell), zip(*cell.values())
             if len(cell) <= 6:  # sets are quicker than arrays for a few
                 few = [set(k.tolist()) for k in known]
                 twice = [len(k) - len(f) for k, f in zip(known, few)]
@@ -159,48 +191,71 @@ def cells_met(percent: int):
                 sizes = np.array(sizes)
                 few = [np.unique(k) for k in known]
                 twice = np.array([len(k) - len(f) for k, f in zip(known, few)])
-                hit = zip(*(x.tolist() for x in near(sizes, level(sizes, percent), _common(few), percent, twice)))
-            # what this task has joined already need not be told again
-            for x, y in forest(len(nodes), hit):
-                a, b = find(nodes[x]), find(nodes[y])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((nodes[x], nodes[y]))
+                hit = list(zip(*(x.tolist() for x in near(sizes, level(sizes, percent), _common(few), percent, twice))))
+            # of one component already
+            hit = [(x, y) for x, y in hit if labels[x] is None or labels[x] != labels[y]]
+            for places, pairs in trees(len(nodes), hit):
+                if crowded(len(places), len(pairs)):
+                    first = nodes[places[0]]
+                    out += [(first, nodes[x], True) for x in places[1:] if joined.new(first, nodes[x])]
+                else:
+                    for x, y in pairs:
+                        pair = min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
+                        if pair not in told:
+                            told.add(pair)
+                            out.append((*pair, False))
+            if len(told) > 500_000:
+                told.clear()
             if len(out) > 20_000:
-                yield _links(out)
+                yield _pairs(out)
                 out = []
-            if len(root) > 500_000:
-                root.clear()
         if out:
-            yield _links(out)
+            yield _pairs(out)
 
     return run
 
 
+def _pairs(out):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "crowd"])
+
+
 def cells_linked(n: int, percent: int):
-    """Task function over rows sorted by cell: texts to links (a, b) of classes, as a forest."""
+    """Task function over rows sorted by cell: texts to links (a, b) of classes, as a forest.
+
+    Where a cell has rows that lead, only they are compared with the others.
+    """
 
     def columns(batch):
         names = batch.schema.names
-        return batch.column(names.index("node")).to_pylist(), gram_sets(batch.column(names.index("text")), n)
+        return zip(batch.column(names.index("node")).to_pylist(), zip(gram_sets(batch.column(names.index("text")), n), batch.column(names.index("leads")).to_pylist()))
 
     def run(rows):
-        for cell in by_cell(rows, ("bucket", "i", "j"), columns):
-            # a row whose id stands for several texts may have another class's text
-            sets = {node: found for node, found in cell if node_of(found) == node}
-            nodes, sets = list(sets), list(sets.values())
-            sizes = np.array([len(s) for s in sets])
+        joined, out = Joined(), []
+        for _, cell in by_cell(rows, ("bucket", "i", "j"), columns):
+            nodes, (sets, leads) = list(cell), zip(*cell.values())
+            sizes, leads = np.array([len(s) for s in sets]), np.array(leads)
             levels = level(sizes, percent)
-            prefixes = [s[: k - overlap(k, percent) + int(j)] for s, k, j in zip(sets, sizes.tolist(), levels)]
-            a, b = near(sizes, levels, _common(prefixes), percent)
-            if not len(a):
-                continue
-            used = np.unique(np.r_[a, b])
-            where = np.searchsorted(used, np.arange(len(sets)))
-            both = _common([sets[i] for i in used.tolist()])[where[a], where[b]]
+            if leads.any():
+                lead = np.flatnonzero(leads)
+                a, b = (x.ravel() for x in np.meshgrid(lead, np.arange(len(sets)), indexing="ij"))
+                some = ~leads[b] | (a < b)
+                a, b = a[some], b[some]
+                near_size = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+                a, b = a[near_size], b[near_size]
+                both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())], np.int64)
+            else:
+                prefixes = [s[: k - overlap(k, percent) + int(j)] for s, k, j in zip(sets, sizes.tolist(), levels)]
+                a, b = near(sizes, levels, _common(prefixes), percent)
+                used = np.unique(np.r_[a, b])
+                where = np.searchsorted(used, np.arange(len(sets)))
+                both = _common([sets[i] for i in used.tolist()])[where[a], where[b]] if len(a) else np.zeros(0, np.int64)
             hit = 100 * both >= percent * (sizes[a] + sizes[b] - both)
-            if out := [(nodes[x], nodes[y]) for x, y in forest(len(nodes), zip(a[hit].tolist(), b[hit].tolist()))]:
+            out += [(nodes[x], nodes[y]) for x, y in zip(a[hit].tolist(), b[hit].tolist()) if joined.new(nodes[x], nodes[y])]
+            if len(out) > 20_000:
                 yield _links(out)
+                out = []
+        if out:
+            yield _links(out)
 
     return run
 
@@ -236,11 +291,86 @@ def _blocks(count: str, size: int):
     return F.ceil(F.col(count) / F.lit(size)).cast("int").alias("blocks")
 
 
-def _celled(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows with their cells i, j: a group of several blocks has a cell for each two blocks."""
-    mine = F.pmod(F.xxhash64("node", *keys), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("mine")))
-    return rows.withColumn("mine", mine).withColumn("other", F.explode(others)).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("mine", "other")
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their group's columns. Groups of many rows (k) are joined by broadcast, as no task should have one whole."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = stored(groups)
+    # no more than 8 * parts groups have more rows than this
+    limit = max((groups.agg(F.sum("k")).first()[0] or 0) // (8 * parts), 1)
+    hot, others = F.broadcast(groups.where(F.col("k") > limit).drop("k")), groups.where(F.col("k") <= limit).drop("k")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(others, keys))
+
+
+def _cells(members: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """members (keys, k, node, label) with their cells i, j: a group of more than size has a cell for each two of its blocks.
+
+    A group has a power of two of blocks, by the node alone, so groups of like members have like cells.
+
+    Of such a group, those of the label that most have lie in blocks of their own, and
+    such blocks don't meet each other.
+    """
+    few = members.where(F.col("k") <= size).select(*keys, "node", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    many = members.where(F.col("k") > size)
+    labels = many.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    main = labels.groupBy(*keys).agg(F.max(F.when(F.col("label").isNotNull(), F.struct("n", "label"))).alias("main"), F.sum("n").alias("k"))
+    inner = F.coalesce(F.col("main")["n"], F.lit(0))
+    power = lambda x: F.when(x > 0, F.pow(F.lit(2), F.ceil(F.log2(F.greatest(x, F.lit(1.0)))))).otherwise(0).cast("int")
+    blocks = main.select(*keys, "k", F.col("main")["label"].alias("main"), power((F.col("k") - inner) / size).alias("rest"), power(inner / size).alias("blocks")).where("rest > 0")
+    rows = _join_groups(many.drop("k"), blocks, keys).withColumn("inside", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
+    place = F.xxhash64("node")
+    mine = F.when(F.col("inside"), F.col("rest") + F.pmod(place, F.greatest("blocks", F.lit(1)))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
+    every = F.sequence(F.lit(0), F.col("rest") + F.col("blocks") - 1)
+    others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("rest") - 1)).when(F.size(every) == 1, every).otherwise(F.array_except(every, F.array("mine")))
+    met = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
+    return few.unionByName(met.select(*keys, "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+
+
+def _prefixes(percent: int):
+    """For each level, the columns that a class posts its grams by: those of its prefix without the most frequent."""
+    n, least = F.col("n"), F.expr(f"({percent} * n + 99) div 100")
+    for divisor, fewest in ((None, 1), *LEVELS):
+        asked = F.lit(1) if divisor is None else F.least(least, F.greatest(F.lit(fewest), F.expr(f"n div {divisor}"))).cast("int")
+        end = n - least + asked
+        inside = F.filter("known", lambda g: g["place"] < end)  # noqa: B023
+        # grams of one class alone come first in the order of frequency, and meet nobody
+        yield F.slice(inside, F.lit(1), F.greatest(F.size(inside) - asked + 1, F.lit(0)))
+
+
+def _met(chosen: DataFrame) -> DataFrame:
+    """(level, gram, least, k, node): the classes of each gram where two can meet, and the least of them."""
+    meets = chosen.select("node", "home", F.posexplode("posts").alias("level", "grams")).where("level <= home").select("node", "home", "level", F.explode("grams").alias("gram"))
+    groups = meets.groupBy("level", "gram").agg(F.max((F.col("home") == F.col("level")).cast("int")).alias("homes"), F.count("*").alias("k"), F.min("node").alias("least")).where("homes = 1 and k > 1").select("level", "gram", "k", "least", F.col("k").alias("_k"))
+    return _join_groups(meets.select("node", "level", "gram"), groups, ["level", "gram"]).withColumnRenamed("_k", "k")
+
+
+def _verified(cells: DataFrame, texts: DataFrame, classes: DataFrame, gram: int, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) of the classes that cells (bucket, i, j, node, leads) bring together."""
+    placed = stored(cells.join(classes.select("node", F.col("one")["id"].alias("id"), F.col("one")["text_key"].alias("text_key")), "node"))
+    # behind a check of its size; otherwise both sides are shuffled
+    few = placed.count() <= BROADCAST_ROWS
+    right = placed.select("bucket", "i", "j", "node", "leads", F.col("id").alias("_id"), F.col("text_key").alias("_text_key"))
+    both = texts.join(F.broadcast(right) if few else right, (F.col("text_key") == F.col("_text_key")) & F.col("id").eqNullSafe(F.col("_id")))
+    rows = both.select("bucket", "i", "j", "node", "leads", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("leads"), "node")
+    return stored(rows.mapInArrow(cells_linked(gram, percent), "a long, b long"))
+
+
+def _one_by_one(pairs: DataFrame) -> DataFrame:
+    """Cells for candidate pairs: a class leads its partners, a block of them at a time."""
+    degree = pairs.groupBy("a").agg(F.count("*").alias("m")).select("a", _blocks("m", BLOCK))
+    dealt = pairs.join(degree, "a").withColumn("i", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    partners = dealt.select(F.col("a").alias("bucket"), "i", F.lit(-1).alias("j"), F.col("b").alias("node"), F.lit(False).alias("leads"))
+    leaders = degree.select(F.col("a").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(-1).alias("j"), F.col("a").alias("node"), F.lit(True).alias("leads"))
+    return partners.unionByName(leaders)
+
+
+def _by_pivots(large: DataFrame) -> DataFrame:
+    """Cells for large crowds (bucket, node, m): some of a crowd's classes lead each block of it."""
+    dealt = large.select("bucket", "node", "m", _blocks("m", max(BLOCK // 4, 1)))
+    members = dealt.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"), F.lit(0).alias("j"), "node", F.lit(False).alias("leads"))
+    pivots = dealt.where(F.expr(f"pmod(xxhash64(node, m), greatest(m div {PIVOTS}, 1)) = 0"))
+    leaders = pivots.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), "node", F.lit(True).alias("leads"))
+    return members.unionByName(leaders)
 
 
 def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", gram: int = 5, percent: int = 80) -> DataFrame:
@@ -250,57 +380,53 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     their sets of word n-grams share at least percent of their union. A text of fewer
     words is one gram.
 
-    Null, empty and wordless texts have an empty set and link with nothing. Null id: a row of
-    null id joins the rows whose set equals its own; if none of these has an id, its
-    component is null. Rows that repeat an id are linked by their texts alone. Long texts are compared whole. An empty table
-    gives an empty one. Other columns are not read.
+    Null, empty and wordless texts have an empty set and link with nothing. Null id: a row
+    like any other; a component of rows without any id has a null id. Rows that repeat an
+    id are linked by their texts alone. Long texts are compared whole. An empty table gives
+    an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = column(text_column)
+    texts = docs.select(column(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     signed = stored(texts.mapInArrow(signatures(gram, percent), SIGNATURE))
-    classes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    classes = signed.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("grams").alias("grams"))
     postings = classes.select("node", "n", F.posexplode("grams").alias("place", "gram"))
     often = classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(often, "gram")
 
-    size, least = F.col("n"), F.expr(f"({percent} * n + 99) div 100")
-    asked = F.least(least, F.greatest(F.lit(2), F.expr("n div 20"))).cast("int")
     per_class = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "place"))).alias("known"))
     # whoever links shares what the lesser of the two asks for; a partner has the set's least overlap at least
-    fewest = F.least(F.expr(f"({percent} * ({percent} * n + 99) div 100 + 99) div 100"), F.greatest(F.lit(2), F.expr(f"({percent} * n + 99) div 2000")))
+    divisor, least = LEVELS[-1]
+    fewest = F.least(F.expr(f"({percent} * ({percent} * n + 99) div 100 + 99) div 100"), F.greatest(F.lit(least), F.expr(f"({percent} * n + 99) div {100 * divisor}")))
     per_class = per_class.where(F.size("known") >= fewest)
-    # grams of one class alone come first in the order of frequency, and meet nobody
-    short = F.filter("known", lambda g: g["place"] <= size - least)
-    room = size - least + 1 - (size - least + asked - F.size("known"))
-    # slice() takes from the most frequent end what l shared grams let a class leave out
-    long = F.when(room > 0, F.slice("known", F.lit(1), F.greatest(room, F.lit(1)))).otherwise(F.slice("known", 1, 0))
-    cost = lambda grams: F.aggregate(grams, F.lit(0).cast("long"), lambda total, g: total + g["df"] - 1)
+    posts = F.array(*_prefixes(percent))
+    cost = F.transform("posts", lambda grams: F.aggregate(grams, F.lit(0).cast("long"), lambda total, g: total + g["df"] - 1))
+    crowd = F.array_min(F.transform(F.filter("known", lambda g: g["df"] > MEETING), lambda g: F.struct(g["place"], g["gram"])))
     chosen = stored(
-        per_class.withColumns({"short": short, "long": long})
-        .withColumn("home", F.when(cost(F.col("long")) < cost(F.col("short")), 1).otherwise(0))
-        .select("node", "n", "home", F.expr("transform(known, g -> cast((g.gram & 65535) - 32768 as smallint))").alias("known"), F.transform("short", lambda g: g["gram"]).alias("short"), F.transform("long", lambda g: g["gram"]).alias("long"))
+        per_class.withColumn("posts", posts)
+        .withColumn("cost", cost)
+        .select("node", "n", crowd["gram"].alias("crowd"), F.expr("cast(array_position(cost, array_min(cost)) - 1 as int)").alias("home"), F.expr("transform(known, g -> cast((g.gram & 65535) - 32768 as smallint))").alias("known"), F.transform("posts", lambda grams: F.transform(grams, lambda g: g["gram"])).alias("posts"))
     )
-    meets = chosen.select("node", "home", F.explode("short").alias("gram"), F.lit(0).alias("level")).union(chosen.where("home = 1").select("node", "home", F.explode("long").alias("gram"), F.lit(1).alias("level")))
-    groups = meets.groupBy("level", "gram").agg(F.max((F.col("home") == F.col("level")).cast("int")).alias("homes"), F.count("*").alias("k")).where("homes = 1 and k > 1").select("level", "gram", _blocks("k", MEETING))
-    met = meets.select("node", "level", "gram").join(groups, ["level", "gram"]).join(chosen.select("node", "n", "known"), "node")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidates = stored(_celled(met, "level", "gram").repartition(parts, "level", "gram", "i", "j").sortWithinPartitions("level", "gram", "i", "j", "node").select("level", "gram", "i", "j", "node", "n", "known").mapInArrow(cells_met(percent), "a long, b long"))
-    glued = components(candidates)
-
-    sizes = glued.groupBy(F.col("label").alias("bucket")).agg(F.count("*").alias("m"))
-    placed = stored(
-        glued.withColumnRenamed("label", "bucket")
-        .join(sizes, "bucket")
-        .join(classes.select("node", "first_id"), "node")
-        .select("node", "first_id", "bucket", _blocks("m", BLOCK))
-    )
-    # behind a check of its size; otherwise both sides are shuffled
-    few = placed.count() <= BROADCAST_ROWS
-    member = texts.withColumnRenamed("id", "first_id").join(F.broadcast(placed) if few else placed, "first_id")
-    cells = _celled(member, "bucket").select("bucket", "i", "j", "node", "text")
-    links = stored(cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(cells_linked(gram, percent), "a long, b long"))
-    joined = components(links)
-    named = classes.select("node", "first_id").join(joined, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    verify = lambda cells: _verified(cells, texts, classes, gram, percent, parts)
+    # classes whose first frequent gram is the same, if there are more than a block of them
+    sizes = chosen.where("crowd is not null").groupBy("crowd").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).withColumn("k", F.col("m"))
+    large = stored(_join_groups(chosen.where("crowd is not null").select("node", "crowd"), sizes, ["crowd"]).select(F.col("crowd").alias("bucket"), "node", "m"))
+    first = verify(_by_pivots(large)) if large.limit(1).count() else None
+    known = chosen.select("node", "n", "known", F.lit(None).cast("long").alias("label"))
+    if first is not None:
+        known = stored(known.drop("label").join(components(first), "node", "left"))
+
+    met = _cells(_met(chosen).join(known.select("node", "label"), "node"), ["level", "gram", "least"], MEETING).join(known, "node")
+    # grams of like classes lie in one task, which tells of their candidates once
+    candidates = stored(met.repartition(parts, "least", "i", "j").sortWithinPartitions("level", "gram", "i", "j", "node").select("level", "gram", "i", "j", "node", "n", "known", "label").mapInArrow(cells_met(percent), "a long, b long, crowd boolean"))
+
+    crowds = components(candidates.where("crowd")).withColumnRenamed("label", "bucket")
+    crowds = _join_groups(crowds, crowds.groupBy("bucket").agg(F.count("*").alias("k"), F.count("*").alias("_k")), ["bucket"]).withColumnRenamed("_k", "k")
+    crowds = _cells(crowds.join(known.select("node", "label"), "node"), ["bucket"], BLOCK).withColumn("leads", F.lit(False))
+    links = verify(_one_by_one(candidates.where("not crowd").select("a", "b").distinct()).unionByName(crowds))
+    joined = components(links if first is None else links.unionByName(first))
+    named = classes.select("node", F.col("one")["id"].alias("first_id")).join(joined, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     least_id = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     resolved = stored(named.join(least_id, "label").select("node", "component_id"))
     return signed.select("id", "n", "node").join(resolved, "node", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

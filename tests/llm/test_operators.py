@@ -285,3 +285,40 @@ def test_topk_search_large_components(spark, size):
         want |= {(i, k + 1, j, score[j] if abs(score[j]) < 2**63 else None) for k, j in enumerate(order)}
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search_top_k(table, row_block=64).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize(("block", "pivots"), [(8, 3), (8, 10**6), (512, 8)])
+def test_jaccard_join_crowds(spark, monkeypatch, block, pivots):
+    """Chains, near copies of one text that don't link with each other, null and repeated ids, a common prefix."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "MEETING", block)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0 if pivots == 3 else 10**5)
+    draw = random.Random(6)
+    word = lambda: f"w{draw.randint(0, 10**6)}"
+    texts = []
+    for size, copies, edits in ((120, 40, 1), (120, 40, 3), (300, 30, 6), (40, 20, 1)):
+        body = [word() for _ in range(size)]
+        texts.append(" ".join(body))
+        for _ in range(copies):
+            other = list(body)
+            for _ in range(edits):
+                other[draw.randrange(size)] = word()
+            texts.append(" ".join(other))
+    chain = [word() for _ in range(200)]
+    for k in range(25):
+        chain = chain[4:] + [word() for _ in range(4)]
+        texts.append(" ".join(chain))
+    texts += [texts[3], texts[3].upper(), texts[-1] + " more"]
+    rows = [(None if k % 11 == 5 else 7 if k % 13 == 4 else k, t, "", 0, "") for k, t in enumerate(texts)]
+    draw.shuffle(rows)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (WORD.findall(t.translate(LOWER)) for _, t, *_ in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root = [root[b] if x == root[a] else x for x in root]
+    least = {r: min((rows[i][0] for i, x in enumerate(root) if x == r and rows[i][0] is not None), default=None) for r in set(root)}
+    want = Counter((rows[i][0], len(sets[i]), least[x]) for i, x in enumerate(root))
+    got = Counter((r.id, r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert got == want
