@@ -19,14 +19,14 @@ def _with_text(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored as the empty text, each row by itself; without labels all get one half and stay."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_quality(docs, model, keep_text=True)
     return scored.where("_score >= 0.3").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of ten documents or more go; documents stay."""
+    """Lines of ten documents or more go; documents stay. Null texts stay null, empty ones empty; each row counts as a document."""
     return _with_text(dedup_lines(docs, min_docs=10, digests=False), docs, "_kept")
 
 
@@ -52,18 +52,21 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in repeated windows of 20 words go; a text that loses none keeps its white space."""
+    """Words in repeated windows of 20 words go; a text that loses none keeps its white space.
+
+    Null texts stay null, empty ones empty. Rows equal in id and text count as one document.
+    """
     return _with_text(dedup_substrings(docs, window=20, joined=False), docs, "_kept")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens: the pieces and their places."""
+    """Sequences of 2048 tokens: the pieces and their places. Null and empty texts are one end token; each row is packed."""
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("substring dedup", substring_dedup), ("packing", packing)]
 
-#: Neither a trained classifier nor tokenization can be said in SQL; tests/test_pipeline.py holds each stage against brute force.
+#: Neither a trained classifier nor tokenization can be said in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
