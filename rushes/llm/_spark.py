@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._text import tidy
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or on a local master one of our own."""
@@ -48,7 +50,7 @@ def map_texts(docs: DataFrame, text_column: str, run, outputs: str, keep_text: b
     made = T.StructType.fromDDL(outputs)
     own = own_fields(docs, [*made.names, *([] if keep_text else [text_column])])
     schema = T.StructType([T.StructField(f"own{i}", f.dataType) for i, f in enumerate(own)] + made.fields)
-    out = docs.select(*[column(f.name).alias(f"own{i}") for i, f in enumerate(own)], column(text_column).alias("_whole")).mapInArrow(run, schema)
+    out = docs.select(*[column(f.name).alias(f"own{i}") for i, f in enumerate(own)], column(text_column).alias("_whole")).mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"own{i}").alias(f.name) for i, f in enumerate(own)], *made.names)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import column, stored
-from ._text import byte_values, grams, hashes, mix, parts, space_class, spans, utf8
+from ._text import byte_values, grams, hashes, mix, parts, space_class, spans, tidy, utf8
 from .components import components
 from .packing import worker_cache
 
@@ -120,7 +120,7 @@ def crowded(places: int, pairs: int) -> bool:
 def by_cell(rows, keys, columns):
     """Rows of sorted batches, cell by cell: each node of a cell once, with its columns' values."""
     key, held = None, {}
-    for batch in rows:
+    for batch in (part for batch in rows for part in (parts(batch, "text") if "text" in batch.schema.names else (batch,))):
         names = batch.schema.names
         cells = zip(*(batch.column(names.index(c)).to_pylist() for c in keys))
         for cell, (node, row) in zip(cells, columns(batch)):
@@ -149,7 +149,7 @@ def near(sizes, levels, shared, percent, twice=0):
 class Joined:
     """Which nodes one task has joined already, so that it need not tell again."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.root, self.most = {}, most
 
     def find(self, x):
@@ -204,7 +204,7 @@ def cells_met(percent: int):
                         if pair not in told:
                             told.add(pair)
                             out.append((*pair, False))
-            if len(told) > 500_000:
+            if len(told) > 100_000:
                 told.clear()
             if len(out) > 20_000:
                 yield _pairs(out)
@@ -352,7 +352,7 @@ def _verified(cells: DataFrame, texts: DataFrame, classes: DataFrame, gram: int,
     right = placed.select("bucket", "i", "j", "node", "leads", F.col("id").alias("_id"), F.col("text_key").alias("_text_key"))
     both = texts.join(F.broadcast(right) if few else right, (F.col("text_key") == F.col("_text_key")) & F.col("id").eqNullSafe(F.col("_id")))
     rows = both.select("bucket", "i", "j", "node", "leads", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("leads"), "node")
-    return stored(rows.mapInArrow(cells_linked(gram, percent), "a long, b long"))
+    return stored(rows.mapInArrow(tidy(cells_linked(gram, percent)), "a long, b long"))
 
 
 def _one_by_one(pairs: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = column(text_column)
     texts = docs.select(column(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    signed = stored(texts.mapInArrow(signatures(gram, percent), SIGNATURE))
+    signed = stored(texts.mapInArrow(tidy(signatures(gram, percent)), SIGNATURE))
     classes = signed.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("grams").alias("grams"))
     postings = classes.select("node", "n", F.posexplode("grams").alias("place", "gram"))
     often = classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
@@ -419,7 +419,7 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     met = _cells(_met(chosen).join(known.select("node", "label"), "node"), ["level", "gram", "least"], MEETING).join(known, "node")
     # grams of like classes lie in one task, which tells of their candidates once
-    candidates = stored(met.repartition(parts, "least", "i", "j").sortWithinPartitions("level", "gram", "i", "j", "node").select("level", "gram", "i", "j", "node", "n", "known", "label").mapInArrow(cells_met(percent), "a long, b long, crowd boolean"))
+    candidates = stored(met.repartition(parts, "least", "i", "j").sortWithinPartitions("level", "gram", "i", "j", "node").select("level", "gram", "i", "j", "node", "n", "known", "label").mapInArrow(tidy(cells_met(percent)), "a long, b long, crowd boolean"))
 
     crowds = components(candidates.where("crowd")).withColumnRenamed("label", "bucket")
     crowds = _join_groups(crowds, crowds.groupBy("bucket").agg(F.count("*").alias("k"), F.count("*").alias("_k")), ["bucket"]).withColumnRenamed("_k", "k")

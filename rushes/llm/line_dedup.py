@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import buckets, text_bytes
-from ._text import byte_values, hashes, mix, utf8
+from ._text import byte_values, give_back, hashes, mix, utf8
 
 SPACE_BYTES = (0x20, *range(0x09, 0x0E))
 UNIT_BYTES = 8 << 20
@@ -116,7 +116,7 @@ def common_keys(min_docs: int):
 def unit_bitmaps(digests: bool, texts: bool):
     """Task function for one unit and its common keys: each row with its keep bitmap."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
         import hashlib
         import zlib
 
@@ -151,6 +151,11 @@ def unit_bitmaps(digests: bool, texts: bool):
         out |= {"_kept": pa.array(kept, pa.string()), "_n_lines": pa.array(n_lines, pa.int64()), "_n_dropped": pa.array(n_dropped, pa.int64()), "_bitmap": pa.array(bits, pa.binary()), "_sha": pa.array(sha, pa.string())}
         return pa.table(out)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = found(left, right)
+        give_back()
+        return out
+
     return run
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import byte_values, hashes, mix, space_class, spans, utf8
+from ._text import byte_values, give_back, hashes, mix, space_class, spans, tidy, utf8
 
 PIECES = "group int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -19,7 +19,6 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def worker_cache(owner: str) -> dict:
     """Survives from task to task in one Python worker, until another operator's task begins there; then its memory goes back."""
-    import ctypes
     import gc
     import sys
     import types
@@ -28,10 +27,7 @@ def worker_cache(owner: str) -> dict:
     if cache.get("owner") != owner:
         cache.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
         cache["owner"] = owner
     return cache
 
@@ -294,4 +290,4 @@ def pack_documents(docs: DataFrame, content: str, id_column: str = "doc_id", tex
     """
     groups = max(1, -(-docs.count() // group_rows))
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    return texts.mapInArrow(pieces(content, groups, room, end_id), PIECES).groupBy("group").applyInArrow(packed(room), PACKED)
+    return texts.mapInArrow(tidy(pieces(content, groups, room, end_id)), PIECES).groupBy("group").applyInArrow(packed(room), PACKED)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import buckets, column, own_fields, text_bytes
-from ._text import byte_values, grams, hashes, mix, parts, powers, space_class, spans, utf8
+from ._text import byte_values, give_back, grams, hashes, mix, parts, powers, space_class, spans, tidy, utf8
 from .packing import worker_cache
 
 NO_ID = -(2**63)
@@ -111,7 +111,7 @@ def hot_pieces(texts: DataFrame, k: int, m: int, total: int) -> np.ndarray:
     """Pieces, ascending, that are minimisers of more window text than a fourth of a bucket, and than one share of the total."""
     limit = max(BUCKET_BYTES // 4, total >> HOT_BITS)
     # a task leaves out less than half of what a hot piece has; at most 2 * total / limit rows remain
-    found = texts.mapInArrow(loads(k, m, min(1.0, limit / max(total, 1))), "piece long, size long").groupBy("piece").agg(F.sum("size").alias("size"))
+    found = texts.mapInArrow(tidy(loads(k, m, min(1.0, limit / max(total, 1)))), "piece long, size long").groupBy("piece").agg(F.sum("size").alias("size"))
     rows = found.where(F.col("size") >= limit // 2).select("piece").toArrow()
     return np.sort(rows.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
@@ -187,7 +187,7 @@ def stretches(k: int, m: int, n_buckets: int, block: int, shared):
 def repeats(k: int):
     """Task function for one bucket: its packed strings to the places of windows that occur earlier."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def found(table: pa.Table) -> pa.Table:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
@@ -256,6 +256,11 @@ def repeats(k: int):
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int32)]
         return pa.table([pa.array(c) for c in columns], names=["id", "tag", "start", "n"])
 
+    def run(table: pa.Table) -> pa.Table:
+        out = found(table)
+        give_back()
+        return out
+
     return run
 
 
@@ -328,15 +333,15 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     texts = docs.select(key.alias("id"), tag.alias("tag"), text.alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_pieces(texts.select("text"), window, minimiser, total))
     found = (
-        texts.mapInArrow(stretches(window, minimiser, n, block_bytes, hot), STRETCH)
+        texts.mapInArrow(tidy(stretches(window, minimiser, n, block_bytes, hot)), STRETCH)
         .groupBy("bucket")
         .applyInArrow(repeats(window), REPEAT)
         .groupBy("id", "tag")
         .agg(F.collect_list(F.struct("start", "n")).alias("_found"))
     )
     keyed = docs.select(*[column(f.name).alias(f"own{i}") for i, f in enumerate(own)], key.alias("id"), tag.alias("tag"), text.alias("_whole"))
-    packed = keyed.mapInArrow(_compressed, T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "_whole" else f.dataType) for f in keyed.schema.fields]))
+    packed = keyed.mapInArrow(tidy(_compressed), T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "_whole" else f.dataType) for f in keyed.schema.fields]))
     joined_rows = packed.join(found, ["id", "tag"], "left").drop("id", "tag")
     schema = T.StructType([T.StructField(f"own{i}", f.dataType) for i, f in enumerate(own)] + [T.StructField(n, t) for n, t in KEPT.items()])
-    out = joined_rows.mapInArrow(_kept(window, joined), schema)
+    out = joined_rows.mapInArrow(tidy(_kept(window, joined)), schema)
     return out.select(*[F.col(f"own{i}").alias(f.name) for i, f in enumerate(own)], *KEPT)
