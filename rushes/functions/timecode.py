@@ -28,7 +28,7 @@ def parts(n: Column, rate: int, wrap: bool = False) -> dict[str, Column]:
 
 
 def label(p: dict[str, Column], drop: bool) -> Column:
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    two = lambda c: F.when(c < 100, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
     return F.concat(two(p["hh"]), F.lit(":"), two(p["mm"]), F.lit(":"), two(p["ss"]), F.lit(";" if drop else ":"), two(p["ff"]))
 
 

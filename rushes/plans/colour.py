@@ -123,7 +123,7 @@ def _lights(spark, d):
 def xyz_to_xy(spark, d):
     p = profiles(spark, d).withColumn("v", colour.xy_to_xyz(F.col("wx") * 2, F.col("wy")))
     x, y = colour.xyz_to_xy("v")
-    return p.select("clip", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    return p.select("clip", x.alias("x"), y.alias("y"))
 
 
 def map_white(spark, d):
@@ -204,7 +204,7 @@ QUERIES = {
 
 ORACLES = {
     "h1_illuminant_kelvin": f"select {_K} as clip, {_kelvin_sql(_K + '%25')}::bigint as kelvin from customer",
-    "h2_xyz_to_xy": f"with {WITH_PROFILES}, c as (select clip, wx*2 as x, wy as y, least(1::double, 0.999999::double/(wx*2+wy)) as f from profiles) select clip, round(case when f<1 then x*f else x end,6) as x, round(case when f<1 then y*f else y end,6) as y from c",
+    "h2_xyz_to_xy": f"with {WITH_PROFILES}, c as (select clip, wx*2 as x, wy as y, least(1::double, 0.999999::double/(wx*2+wy)) as f from profiles) select clip, case when f<1 then x*f else x end as x, case when f<1 then y*f else y end as y from c",
     "h4_temp_tint": f"with {WITH_PROFILES}, {_temp_tint_sql('profiles')} select clip, round(kelvin,3) as kelvin, round(tint,4) as tint from tt",
     "h5_temp_tint_to_xy": f"with {WITH_LIGHTS}, {_locus_xy_sql('lights')} select clip, round(x,6) as x, round(y,6) as y from xy",
     "h6_order_illuminants": f"with {WITH_PROFILES}, {_ORDERED} {_nine_sql('cm1', 'o')}",

@@ -30,6 +30,11 @@ def _shown(spark, d, **how):
     return playout.nearest_ready(ticks(spark, d), ready(spark, d), **how).select("clip", "event_id", "frame", "shown_frame")
 
 
+def schedule(spark, d):
+    rates = src.clip_meta(spark, d).select("clip", "rate_num", "rate_den")
+    return playout.playout_schedule(src.clips(spark, d).select("clip", "first_frame", "last_frame").join(rates, "clip", "left"))
+
+
 def cfa(spark, d):
     codes = F.element_at(F.array(*[F.array(*[F.lit(v) for v in p]) for p in CFA]), (F.col("cfa_id") + 1).cast("int"))
     return src.clip_meta(spark, d).select("clip", metadata.cfa_pattern(codes).alias("pattern"))
@@ -138,10 +143,10 @@ QUERIES = {
     "e4_quantise_lut": lambda s, d: lut.quantise_lut(lut.read_cube(cube_text(s, d)), 16).select("lut", "ri", "gi", "bi", "r", "g", "b"),
     "e5_lut_audit": lambda s, d: lut.lut_audit(lut.read_cube(cube_text(s, d))),
     "e6_default_lut": gamma_luts,
+    "f1_playout_schedule": schedule,
     "f3_nearest_ready": _shown,
     "f3_nearest_ready_backward": lambda s, d: _shown(s, d, forward=False),
     "f4_classify_ticks": lambda s, d: playout.classify_ticks(_shown(s, d), ready(s, d)).groupBy("clip", "kind").agg(F.count("*").alias("n")),
-    "f5_evict_ready": lambda s, d: _shown(s, d, evict=True),
     "f10_audio_offset": lambda s, d: offsets(s, d).withColumn("position", F.round("position", 6)),
     "f10_audio_coverage": lambda s, d: offsets(s, d).groupBy("clip").agg(F.count("*").alias("n_frames"), F.count_if("plays").alias("n_with_sound")),
     "g3_history_files": history_files,
@@ -167,7 +172,7 @@ starts as (select clip, r, d, rate_num, rate_den, ff+(ss+(hh*60+mm)*60)*r-d*(hh*
 WITH_TICKS = """seq as (select *, row_number() over (partition by user_id order by ts, event_id) as n from events),
 ready as (select user_id as clip, n-event_id%3 as frame, ts as ready_ts from seq where event_type in ('view','click','signup')),
 ticks as (select user_id as clip, event_id, n-2 as frame, ts as tick_ts from seq where event_type in ('purchase','error')),
-shown as (select t.clip, t.event_id, t.frame, max(r.frame) as shown_frame from ticks t left join ready r on r.clip=t.clip and r.frame<=t.frame and r.frame>t.frame-128 and r.ready_ts<=t.tick_ts group by all)"""
+shown as (select t.clip, t.event_id, t.frame, max(r.frame) as shown_frame from ticks t left join ready r on r.clip=t.clip and r.frame<=t.frame and r.ready_ts<=t.tick_ts group by all)"""
 WITH_CUBE = """cube as (select s_suppkey as lut, i, s_suppkey%10 as k from supplier, range(8) as t(i) where not (s_suppkey%10=0 and i=7)),
 rows as (select lut, 'look '||lut as title, 2::bigint as size, case when k=0 then 'InvalidLutFile' else 'None' end as status, i%2 as ri, (i//2)%2 as gi, i//4 as bi, (i%2)::double as r, k/10::double as g, (i//4)*0.5::double as b from cube)"""
 
@@ -197,10 +202,14 @@ b as (select clip, frame, r, d, {_NEW} as n from a) select clip, frame, {_tc_sql
     "e4_quantise_lut": f"with {WITH_CUBE} select lut, ri, gi, bi, " + ", ".join(f"floor(least(65535::double,greatest(0::double,{c}*65535)))::bigint as {c}" for c in "rgb") + " from rows",
     "e5_lut_audit": f"with {WITH_CUBE} select lut, 2::bigint as size, count(*) as n_rows, min(status) as status, true as monotone from rows group by lut",
     "e6_default_lut": f"with {WITH_FRAMES}, a as (select clip, ['Rec709','sRGB','LogC3','Log3G10','FilmGen5'][clip%5+1] as gamma from clips) select clip, gamma, case gamma when 'LogC3' then 'ARRI LogC3 to Rec. 709' when 'Log3G10' then 'RED Log3G10 to Rec. 709' when 'FilmGen5' then 'Blackmagic Film Gen. 5 to Rec. 709' end as lut from a",
+    "f1_playout_schedule": f"""with {WITH_FRAMES}, {WITH_META}, v as (select unnest([-10,-5,-2,-1,1,2,5,10])::int as velocity),
+ r as (select c.clip, c.first_frame as a, c.last_frame as b, coalesce(m.rate_den,1001)/coalesce(m.rate_num,24000)::double as step from clips c left join clip_meta m on c.clip=m.clip),
+ s as (select clip, velocity, step, unnest(range(0, (b-a)//abs(velocity)+1))::bigint as i, a, b from r, v union all
+  select clip, velocity, step, (b-a)//abs(velocity)+1, a, b from r, v where (b-a)%abs(velocity)<>0)
+select clip, velocity, i, case when velocity>0 then least(a+i*velocity, b) else greatest(b+i*velocity, a) end as frame, i*step as request_s, (i+6)*step as display_s from s""",
     "f3_nearest_ready": f"with {WITH_TICKS} select * from shown",
-    "f3_nearest_ready_backward": f"with {WITH_TICKS} select t.clip, t.event_id, t.frame, min(r.frame) as shown_frame from ticks t left join ready r on r.clip=t.clip and r.frame>=t.frame and r.frame<t.frame+128 and r.ready_ts<=t.tick_ts group by all",
+    "f3_nearest_ready_backward": f"with {WITH_TICKS} select t.clip, t.event_id, t.frame, min(r.frame) as shown_frame from ticks t left join ready r on r.clip=t.clip and r.frame>=t.frame and r.ready_ts<=t.tick_ts group by all",
     "f4_classify_ticks": f"with {WITH_TICKS}, k as (select clip, case when not exists (select 1 from ready r where r.clip=shown.clip and r.frame=shown.frame) then 'missing' when shown_frame=frame then 'displayed' else 'skipped' end as kind from shown) select clip, kind, count(*) as n from k group by all",
-    "f5_evict_ready": f"with {WITH_TICKS}, p as (select *, lag(frame) over w as pf, lag(tick_ts) over w as pt from ticks window w as (partition by clip order by tick_ts, event_id)) select t.clip, t.event_id, t.frame, max(r.frame) as shown_frame from p t left join ready r on r.clip=t.clip and r.frame<=t.frame and r.frame>t.frame-128 and r.ready_ts<=t.tick_ts and not coalesce(r.frame<=pf and r.ready_ts<=pt, false) group by all",
     "f10_audio_offset": f"with {WITH_START}, a as (select f.clip, f.frame, (f.frame-first_frame)/(coalesce(rate_num,24000)/coalesce(rate_den,1001)::double) as p from frames f join starts using (clip)) select clip, frame, round(p,6) as position, p<(clip%5+1)*0.03::double as plays from a",
     "f10_audio_coverage": f"with {WITH_START}, a as (select f.clip, (f.frame-first_frame)/(coalesce(rate_num,24000)/coalesce(rate_den,1001)::double) as p from frames f join starts using (clip)) select clip, count(*) as n_frames, count(*) filter (where p<(clip%5+1)*0.03::double) as n_with_sound from a group by clip",
     "g3_history_files": f"with {WITH_HISTORY}, l as (select *, row_number() over (partition by user_id, path order by opened desc, event_id desc) as k from history where path<>'' and type<>''), r as (select *, row_number() over (partition by user_id order by opened desc, event_id desc) as rank from l where k=1) select user_id, path, type, opened from r where rank<=5",

@@ -61,7 +61,7 @@ def _timecode_sql(drop, rate):
     m = f"n + {9 * drop} * (n // {8991 * drop}) + {drop} * ((n % {8991 * drop} - {drop}) // {8991 * drop // 10})" if drop else "n"
     hour = "(m // (3600*{r})) % 24" if drop else "m // (3600*{r})"
     hour = hour.format(r=rate)
-    two = lambda e: f"lpad(cast({e} as varchar),2,'0')"
+    two = lambda e: f"(case when {e}<100 then lpad(cast({e} as varchar),2,'0') else cast({e} as varchar) end)"
     s, mi = f"((m // {rate}) % 60)", f"((m // (60*{rate})) % 60)"
     # the round trip gives n again below 24 hours
     wrap = 24 * 6 * 8991 * drop if drop else 0
@@ -87,8 +87,14 @@ def _mean(df):
     return df.groupBy("clip").agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
 
 
+def _plain_mean(df):
+    """The same in full: a mean near the border of two roundings can go either way."""
+    return df.groupBy("clip").agg(*[F.avg(c).alias(c) for c in "rgb"])
+
+
 WHITE = (2.0, 1.0, 1.6)
 MATRIX = [1.2, -0.15, -0.05, -0.1, 1.15, -0.05, 0.0, -0.2, 1.2]
+PLAIN_MEAN_SQL = "select clip, avg(r) as r, avg(g) as g, avg(b) as b from x group by clip"
 MEAN_SQL = "select clip, round(avg(r),6) as r, round(avg(g),6) as g, round(avg(b),6) as b from x group by clip"
 SMOOTH = lambda a, b, x: f"(least(1.0,greatest(0.0,(({x})-{a})/({b}-{a})))**2*(3-2*least(1.0,greatest(0.0,(({x})-{a})/({b}-{a})))))"
 CURVES = ("Rec709", "sRGB", "LogC3", "Log3G10", "FilmGen5")
@@ -139,11 +145,10 @@ QUERIES = {
     "d9_highlight_correct": lambda s, d: _mean(develop.highlight_correct(src.rgb(s, d), WHITE)),
     "d10_to_display": lambda s, d: _mean(develop.to_display(develop.exposure(src.rgb(s, d), 0.5), MATRIX)),
     "d11_tone_map": lambda s, d: _mean(develop.highlight_rolloff(develop.tone_map(src.rgb(s, d)))),
-    "d12_gamut_compress": lambda s, d: _mean(develop.gamut_compress(src.rgb(s, d).withColumn("b", F.col("b") - 0.25))),
+    "d12_gamut_compress": lambda s, d: _plain_mean(develop.gamut_compress(src.rgb(s, d).withColumn("b", F.col("b") - 0.25))),
     "d13_gamma_curves": gamma_curves,
     "d15_clipping_report": lambda s, d: develop.clipping_report(src.rgb(s, d)),
     "d20_quantise": lambda s, d: develop.quantise_8bit(src.rgb(s, d)).groupBy("clip").agg(*[F.sum(f"{c}8").alias(f"{c}8") for c in "rgb"]),
-    "f1_playout_schedule": lambda s, d: playout.playout_schedule(src.clips(s, d)),
     "f2_dedupe_requests": lambda s, d: playout.dedupe_requests(src.frame_rows(s, d)),
     "f6_playout_quality": lambda s, d: playout.playout_quality(_playout(s, d)),
     "f7_play_sessions": lambda s, d: playout.play_sessions(_playout(s, d)).select("clip", "started", "ended", "n_events"),
@@ -193,7 +198,7 @@ select clip, field, count(distinct value) as n_values from u group by clip, fiel
     "d11_tone_map": f"""with {WITH_RGB}, u as (select clip, r*2 as r, g*2 as g, b*2 as b, (r*0.2126::double+g*0.7152::double+b*0.0722::double)*2 as l from rgb), m as (select clip, r/(l+1) as r, g/(l+1) as g, b/(l+1) as b from u),
 y as (select *, r*0.2126::double+g*0.7152::double+b*0.0722::double as l from m), z as (select *, least(1.0,greatest(0.0,{SMOOTH('(2.0::double**(-2.5))', '(2.0::double**0.25)', 'l')}**0.4::double)) as t from y),
 x as (select clip, r+(l-r)*t as r, g+(l-g)*t as g, b+(l-b)*t as b from z) {MEAN_SQL}""",
-    "d12_gamut_compress": "with " + WITH_RGB + ", q as (select clip, r, g, b-0.25 as b, greatest(r,g,b-0.25) as ac, 0.1::double/sqrt(0.2::double) as s from rgb), x as (select clip, " + ", ".join(f"ac-abs(ac)*(case when ac=0 then 0 when (ac-{c})/abs(ac)<0.9 then (ac-{c})/abs(ac) else s*sqrt(greatest(0.0,(ac-{c})/abs(ac)-0.9::double+s*s/4))-s*sqrt(s*s/4)+0.9::double end) as {c}" for c in "rgb") + f" from q) {MEAN_SQL}",
+    "d12_gamut_compress": "with " + WITH_RGB + ", q as (select clip, r, g, b-0.25 as b, greatest(r,g,b-0.25) as ac, 0.1::double/sqrt(0.2::double) as s from rgb), x as (select clip, " + ", ".join(f"ac-abs(ac)*(case when ac=0 then 0 when (ac-{c})/abs(ac)<0.9 then (ac-{c})/abs(ac) else s*sqrt(greatest(0.0,(ac-{c})/abs(ac)-0.9::double+s*s/4))-s*sqrt(s*s/4)+0.9::double end) as {c}" for c in "rgb") + f" from q) {PLAIN_MEAN_SQL}",
     "d13_gamma_curves": f"""with {WITH_RGB} select clip,
  round(avg(case when r<0.018053968510807::double then r*4.5 else 1.09929682680944::double*r**(1/2.2::double)-0.09929682680944::double end),6) as rec709,
  round(avg(case when r<0.0031308::double then r*12.92 else 1.055::double*r**(1/2.4::double)-0.055 end),6) as srgb,
@@ -202,7 +207,6 @@ x as (select clip, r+(l-r)*t as r, g+(l-g)*t as g, b+(l-b)*t as b from z) {MEAN_
  round(avg(case when r<0.005 then 8.283605932402494::double*r+0.09246575342465753::double else 0.08692876065491224::double*ln(r+0.005494072432257808::double)+0.5300133392291939::double end),6) as filmgen5 from rgb group by clip""",
     "d15_clipping_report": f"with {WITH_RGB}, n as (select clip, frame, (r>=0.99::double)::int+(g>=0.99::double)::int+(b>=0.99::double)::int as n from rgb) select clip, frame, " + ", ".join(f"count(*) filter (where n={i}) as n_clipped_{i}" for i in range(4)) + " from n group by clip, frame",
     "d20_quantise": f"with {WITH_RGB} select clip, " + ", ".join(f"sum(floor(least(1.0::double,greatest(0.0::double,{c}))*255)::bigint)::bigint as {c}8" for c in "rgb") + " from rgb group by clip",
-    "f1_playout_schedule": f"with {WITH_FRAMES}, s as (select clip, unnest(range(first_frame, last_frame+1, 5)) as frame from clips union select clip, last_frame from clips) select clip, row_number() over (partition by clip order by frame)-1 as i, frame from s",
     "f2_dedupe_requests": "select distinct l_orderkey as clip, cast(l_linenumber as bigint) as frame from lineitem",
     "f6_playout_quality": f"with {WITH_PLAYOUT} select clip, date_trunc('hour', ts) as window_start, kind, count(*) as n from playout group by all",
     "f7_play_sessions": f"""with {WITH_PLAYOUT}, s as (select *, case when ts <= lag(ts) over w + interval 30 minutes then 0 else 1 end as new from playout window w as (partition by clip order by ts, event_id)),

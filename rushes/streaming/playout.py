@@ -29,50 +29,46 @@ def dedupe_requests(requests: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["clip", "frame"])
 
 
-def playout_schedule(clips: DataFrame, step: int = 5) -> DataFrame:
-    """The frames shown at a forward velocity: every step-th, and the last."""
-    stepped = F.sequence("first_frame", "last_frame", F.lit(step).cast("long"))
-    shown = F.array_distinct(F.concat(stepped, F.array("last_frame")))
-    return clips.select("clip", F.posexplode(shown).alias("i", "frame")).withColumn("i", F.col("i").cast("long"))
+VELOCITIES = (-10, -5, -2, -1, 1, 2, 5, 10)
 
 
-REACH = 128  # the first pass: more than ten frames a step times a buffer of twelve
+def playout_schedule(clips: DataFrame, velocities=VELOCITIES, preroll: int = 6) -> DataFrame:
+    """The frames shown at each velocity: every so many from the end that play starts at, and the other end.
 
+    clips: clip, first_frame, last_frame, rate_num, rate_den (23.976 where null). A step is one frame's
+    time; a frame is asked for at request_s and displayed preroll steps later.
+    """
+    clips = clips.withColumn("velocity", F.explode(F.array(*[F.lit(v) for v in velocities])))
+    start = F.when(F.col("velocity") > 0, F.col("first_frame")).otherwise(F.col("last_frame"))
+    end = F.when(F.col("velocity") > 0, F.col("last_frame")).otherwise(F.col("first_frame"))
+    shown = F.array_distinct(F.concat(F.sequence(start, end, F.col("velocity").cast("long")), F.array(end)))
+    step = F.coalesce(F.col("rate_den"), F.lit(1001)) / F.coalesce(F.col("rate_num"), F.lit(24000)).cast("double")
+    rows = clips.select("clip", "velocity", step.alias("step"), F.posexplode(shown).alias("i", "frame"))
+    return rows.select("clip", "velocity", F.col("i").cast("long").alias("i"), "frame", (F.col("i") * F.col("step")).alias("request_s"), ((F.col("i") + preroll) * F.col("step")).alias("display_s"))
+
+
+REACH = 128  # frames a block: the first pass looks at a tick's own block and the one before
 
-def nearest_ready(ticks: DataFrame, ready: DataFrame, forward: bool = True, evict: bool = False, reach: int = REACH) -> DataFrame:
+
+def nearest_ready(ticks: DataFrame, ready: DataFrame, forward: bool = True, reach: int = REACH) -> DataFrame:
     """Ticks with shown_frame: the ready frame nearest to the one asked for, not beyond it in play direction.
 
     ticks: clip, event_id, frame, tick_ts. ready: clip, frame, ready_ts. A frame counts if ready by the
-    tick; with evict, frames that the tick before took or passed are gone. Both sides meet in blocks of
-    reach frames, so a long clip is spread over many keys. Ticks that find none there are few as a rule;
-    they meet each farther block of their clip that has a frame ready by the tick.
+    tick, at any distance. Both sides meet in blocks of reach frames, so a long clip is spread over
+    many keys. Ticks that find none there are few as a rule; they meet each farther block of their clip
+    that has a frame ready by the tick.
     """
     block = lambda c: F.floor(F.col(c) / reach).cast("long")
-    side = -1 if forward else 1
-    asked = ticks
-    if evict:
-        order = Window.partitionBy("clip").orderBy("tick_ts", "event_id")
-        asked = ticks.withColumns({"_frame": F.lag("frame").over(order), "_ts": F.lag("tick_ts").over(order)})
-        have = ready.select("clip", F.col("frame").alias("_ready"), "ready_ts").distinct()
-    else:
-        # only the first time a frame is ready matters
-        have = ready.groupBy("clip", F.col("frame").alias("_ready")).agg(F.min("ready_ts").alias("ready_ts"))
-    probe = asked.withColumn("_block", F.explode(F.array(block("frame"), block("frame") + side)))
     sign = 1 if forward else -1
-
-    def counts(frame, ts):
-        found = (ts <= F.col("tick_ts")) & ((F.col("frame") - frame) * sign >= 0)
-        if evict:
-            passed = (F.col("_frame") - frame) * sign >= 0
-            found = found & ~F.coalesce(passed & (ts <= F.col("_ts")), F.lit(False))
-        return found
-
-    meets = counts(F.col("_ready"), F.col("ready_ts"))
-    met = probe.join(have.withColumn("_block", block("_ready")), ["clip", "_block"]).where(meets)
+    # only the first time a frame is ready matters
+    have = ready.groupBy("clip", F.col("frame").alias("_ready")).agg(F.min("ready_ts").alias("ready_ts"))
+    probe = ticks.withColumn("_block", F.explode(F.array(block("frame"), block("frame") - sign)))
+    counts = lambda frame, ts: (ts <= F.col("tick_ts")) & ((F.col("frame") - frame) * sign >= 0)
+    met = probe.join(have.withColumn("_block", block("_ready")), ["clip", "_block"]).where(counts(F.col("_ready"), F.col("ready_ts")))
     most = F.max if forward else F.min
     best = met.groupBy("clip", "event_id").agg(most("_ready").alias("shown_frame"))
     blocks = have.groupBy("clip", block("_ready").alias("_block")).agg(F.min("ready_ts").alias("_first"), F.collect_list(F.struct("_ready", "ready_ts")).alias("_have"))
-    far = asked.join(best, ["clip", "event_id"], "left_anti").join(blocks, "clip").where(((block("frame") - F.col("_block")) * sign > 1) & (F.col("_first") <= F.col("tick_ts")))
+    far = ticks.join(best, ["clip", "event_id"], "left_anti").join(blocks, "clip").where(((block("frame") - F.col("_block")) * sign > 1) & (F.col("_first") <= F.col("tick_ts")))
     ends = F.array_max if forward else F.array_min
     nearest = ends(F.transform(F.filter("_have", lambda h: counts(h["_ready"], h["ready_ts"])), lambda h: h["_ready"]))
     best = best.union(far.withColumn("_at", nearest).where("_at is not null").groupBy("clip", "event_id").agg(most("_at").alias("shown_frame")))
@@ -91,37 +87,3 @@ def audio_offsets(ticks: DataFrame, clips: DataFrame) -> DataFrame:
     rate = F.coalesce(F.col("rate_num"), F.lit(24000)) / F.coalesce(F.col("rate_den"), F.lit(1001))
     at = (F.col("frame") - F.col("first_frame")) / rate
     return ticks.join(clips, "clip").select("clip", "frame", at.alias("position"), (at < F.col("audio_seconds")).alias("plays"))
-
-
-def stream_playout(events: DataFrame, capacity: int = 12) -> DataFrame:
-    """The same audit as one keyed stream: clip, event_id, frame, shown_frame.
-
-    events: clip, ts, event_id, frame, kind (ready or tick), with a watermark on ts. A clip's state
-    holds at most capacity ready frames; one that comes while it is full is lost. A tick shows
-    the largest ready frame up to its own and frees all of those. Rows of a batch go in order of
-    time; a clip that is silent for an hour is forgotten.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pool = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-        out = []
-        for row in rows.itertuples(index=False):
-            if row.kind == "ready":
-                if row.frame not in pool and len(pool) < capacity:
-                    pool.append(row.frame)
-            else:
-                below = [f for f in pool if f <= row.frame]
-                out.append((key[0], row.event_id, row.frame, max(below) if below else None))
-                pool = [f for f in pool if f > row.frame]
-        state.update((pool,))
-        last = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
-        yield pd.DataFrame(out, columns=["clip", "event_id", "frame", "shown_frame"]).astype({"shown_frame": "Int64"})
-
-    return events.groupBy("clip").applyInPandasWithState(step, "clip long, event_id long, frame long, shown_frame long", "pool array<long>", "append", GroupStateTimeout.EventTimeTimeout)
