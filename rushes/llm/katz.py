@@ -545,7 +545,7 @@ def totals(total: int, types: int, names: list[str]):
             known[at] += unpack(r["known"]).astype(np.int64)
             gain[at] += np.frombuffer(r["gain"])
         base -= n * np.log10(total + types + 1.0)
-        out = {c: pa.array(own[c]) for c in names}
+        out = {c: pa.array(own[c], pa.int64() if c == "doc_id" else pa.bool_()) for c in names}
         return pa.table(out | {"_n_tokens": pa.array(n), "_n_known": pa.array(known), "_train_tokens": pa.array(np.full(len(n), total)), "_base_score": pa.array(base), "_score": pa.array(base + backoff + gain)})
 
     return run
