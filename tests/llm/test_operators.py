@@ -322,3 +322,85 @@ def test_jaccard_join_crowds(spark, monkeypatch, block, pivots):
     want = Counter((rows[i][0], len(sets[i]), least[x]) for i, x in enumerate(root))
     got = Counter((r.id, r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
     assert got == want
+
+
+def test_substring_dedup_hot_minimisers(spark, monkeypatch):
+    from rushes.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 2000)
+    draw = random.Random(9)
+    word = lambda: f"w{draw.randint(0, 10**5)}"
+    common = "in the middle of the common piece".split()
+    rows = [(i, " ".join([word() for _ in range(15)] + common + [word() for _ in range(15)]), "", 0, "") for i in range(300)]
+    rows += [(300 + i, rows[i][1], "", 0, "") for i in range(0, 60, 3)] + [(999, " ".join(common * 9), "", 0, "")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    hot = substring_dedup.hot_pieces(docs.select("text"), 20, 4, 3 * sum(len(r[1]) for r in rows))
+    assert len(hot)
+    got = {r.doc_id: (r._n_words, r._n_removed, r._sha) for r in dedup_substrings(docs).collect()}
+    assert got == substring_truth([r[:2] for r in rows], 20)
+
+
+def test_long_texts_are_encoded_in_blocks():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from rushes.llm._text import utf8
+    from rushes.llm.packing import WordTokens, text_blocks
+
+    content = tokenizer_file("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_str(content), WordTokens(content, most_bytes=5000)
+    texts = [t or "" for _, t, *_ in ROWS] + ["x" * 700 + " it's <|ENDOFTEXT|> <|endoftext|>, İΣ. A, " + "ß" * 300]
+    data, offsets = utf8(pa.array(texts))
+    got, held = [], []
+    for a, b, part, bound, whole in text_blocks(data, offsets, size=200):
+        ids, at = encode(part, bound, 1)
+        if not whole:
+            held += ids[:-1].tolist()
+            continue
+        got += [held + ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])] if b == a + 1 else [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])]
+        held = []
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_packing_groups_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    from rushes.llm.packing import pieces
+
+    content = tokenizer_file("word_bpe_49k.json")
+    table = pa.table({"id": [r[0] for r in ROWS], "text": [r[1] for r in ROWS]})
+    seen = [sorted(t for out in pieces(content, 7, 256, 1)(iter(table.to_batches(max_chunksize=n))) for t in zip(*out.to_pydict().values())) for n in (3, 1000)]
+    assert seen[0] == seen[1]
+
+
+def test_license_scan_against_brute_force(docs):
+    draw = random.Random(12)
+    words = ["mit", "MIT", "license", "License,", "apache", "general", "public", "x", "é", "licenseé", "rights", "all", "reserved"]
+    texts = [" ".join(draw.choice(words) + draw.choice(["", ".", "\n", "-"]) for _ in range(draw.randint(0, 60))) for _ in range(200)] + [None, ""]
+    rows = [(i, t, "", 0, "") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs.sparkSession.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, *_ in rows:
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        places = [(w, label) for phrase, label in license_scan.PHRASES.items() for w in range(len(found)) if found[w : w + len(phrase.split())] == phrase.split()]
+        at = [w for w, _ in places]
+        labels = ",".join(sorted({label for _, label in places}))
+        assert (got[i]._n_words, got[i]._n_base, got[i]._first_word, got[i]._last_word, got[i]._base_labels) == (len(found), len(places), min(at, default=None), max(at, default=None), labels)
+        assert set(filter(None, labels.split(","))) <= set(filter(None, got[i]._labels.split(",")))
+
+
+def test_columns_of_any_name_clash_with_nothing(spark):
+    names = ["doc_id", "text", "_whole", "_id", "_tag", "id", "unit", "own0", "_own_id", "n_words", "a`b", "range"]
+    table = spark.createDataFrame([tuple([1, "one two three"] + [f"v{i}" for i in range(len(names) - 2)])], ", ".join(f"`{n.replace('`', '``')}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    content = tokenizer_file("byte_bpe_50k.json")
+    for made in (dedup_substrings(table), dedup_lines(table.drop("a`b")), code_texts(table, content), license_scan.scan_licenses(table), quality_rules.apply_quality_rules(table)):
+        row = made.first()
+        assert all(row[n] == f"v{i}" for i, n in enumerate(names[2:]) if n in made.columns)
+        assert {"_whole", "_id", "own0", "range"} <= set(made.columns)
+
+
+@pytest.mark.parametrize("apply", [
+    lambda t, c: code_texts(t, c), lambda t, c: license_scan.scan_licenses(t), lambda t, c: quality_rules.apply_quality_rules(t), lambda t, c: katz.score_katz(t), lambda t, c: jaccard_join.link_components(t)
+])
+def test_null_and_repeated_ids(spark, apply):
+    rows = [(None, "a b c", "", 0, ""), (None, None, "", 0, ""), (4, "a b c", "", 0, ""), (4, "other words here", "", 0, ""), (4, "a b c", "", 0, "")]
+    assert apply(spark.createDataFrame(rows, SCHEMA), tokenizer_file("byte_bpe_50k.json")).count() == len(rows)
