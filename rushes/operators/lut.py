@@ -84,6 +84,25 @@ def apply_lut(rgb: DataFrame, tables: DataFrame) -> DataFrame:
     return out.select(*keep, *[F.col("_mix")[i].alias(c) for i, c in enumerate("rgb")])
 
 
+def apply_large_lut(rgb: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same for tables of any size, from their rows (lut, size, ri, gi, bi, r, g, b): an equi-join on lattice corners.
+
+    Equal samples are looked up once; the table is never brought together in one place.
+    """
+    colours = rgb.select("lut", "r", "g", "b").distinct().join(rows.select("lut", "size").distinct(), "lut")
+    at = colours
+    for c in "rgb":
+        at = at.withColumn(f"_i{c}", F.floor(F.col(c) * F.col("size") - 0.5)).withColumn(f"_f{c}", F.col(c) * F.col("size") - 0.5 - F.col(f"_i{c}"))
+        # the two neighbours on this axis; at the edge both are the same point
+        sides = F.array(*[F.struct(F.greatest(F.lit(0), F.least(F.col("size") - 1, F.col(f"_i{c}") + step)).cast("long").alias("i"), weight.alias("w")) for step, weight in ((0, 1 - F.col(f"_f{c}")), (1, F.col(f"_f{c}")))])
+        at = at.withColumn(f"_{c}", F.explode(sides))
+    corners = at.select("lut", *[F.col(c).alias(f"_{c}") for c in "rgb"], *[F.col(f"_{c}.i").alias(f"{c}i") for c in "rgb"], (F.col("_r.w") * F.col("_g.w") * F.col("_b.w")).alias("_w"))
+    points = rows.select("lut", *[F.col(f"{c}i").cast("long").alias(f"{c}i") for c in "rgb"], "r", "g", "b")
+    mixed = corners.join(points, ["lut", "ri", "gi", "bi"]).groupBy("lut", "_r", "_g", "_b").agg(*[F.sum(F.col("_w") * F.col(c)).alias(f"_new{c}") for c in "rgb"])
+    keys = rgb.withColumns({f"_{c}": F.col(c) for c in "rgb"}).drop("r", "g", "b")
+    return keys.join(mixed, ["lut", "_r", "_g", "_b"], "left").select(*[c for c in rgb.columns if c not in "rgb"], *[F.col(f"_new{c}").alias(c) for c in "rgb"])
+
+
 def apply_lut_mono(values: DataFrame, tables: DataFrame) -> DataFrame:
     """The value in all three channels."""
     return apply_lut(values.withColumns({c: F.col("v") for c in "rgb"}), tables)

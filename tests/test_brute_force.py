@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rushes.operators import colour, develop, lut, mosaic
 from rushes.plans import colour as colour_plans
 from rushes.plans import mosaic as mosaic_plans
-from rushes.plans import playback
 from rushes.sources import footage as src
 from rushes.sources import headers
 from rushes.streaming import catalogue, playout
@@ -193,3 +192,20 @@ def test_nearest_ready_far_away(spark, forward):
         want[event] = (max if forward else min)(found, default=None)
     out = playout.nearest_ready(spark.createDataFrame(ticks, "clip long, event_id long, frame long, tick_ts long"), spark.createDataFrame(ready, "clip long, frame long, ready_ts long"), forward)
     assert {r.event_id: r.shown_frame for r in out.collect()} == want
+
+
+def test_large_tables_agree_with_small_ones(spark):
+    """Both ways of looking up, on a table whose channels depend on all axes; and a table beyond 65 points."""
+    draw = random.Random(4)
+    small = [(1, 3, r, g, b, draw.random(), draw.random(), draw.random()) for b in range(3) for g in range(3) for r in range(3)]
+    n = 66
+    large = [(2, n, r, g, b, r / (n - 1), 0.0, (g + b) / (2 * (n - 1))) for r in (0, 1, 32, 33, 65) for g in (0, 1, 32, 33, 65) for b in (0, 1, 32, 33, 65)]
+    schema = "lut long, size long, ri long, gi long, bi long, r double, g double, b double"
+    rows = spark.createDataFrame(small, schema)
+    samples = [(i, 1, draw.uniform(-0.2, 1.2), draw.random(), draw.random()) for i in range(50)] * 2 + [(99, 1, 1.0, 0.0, 0.5)]
+    rgb = spark.createDataFrame(samples, "i long, lut long, r double, g double, b double")
+    whole = lambda df: sorted((x.i, x.lut, round(x.r, 9), round(x.g, 9), round(x.b, 9)) for x in df.collect())
+    assert whole(lut.apply_large_lut(rgb, rows)) == whole(lut.apply_lut(rgb, lut.lattice(rows)))
+    middle = spark.createDataFrame([(1, 2, 0.5, 0.5, 0.5), (2, 2, 1.0, 0.0, 1.0)], rgb.schema)
+    got = {x.i: (x.r, x.g, x.b) for x in lut.apply_large_lut(middle, spark.createDataFrame(large, schema)).collect()}
+    assert got[1] == pytest.approx((0.5, 0, 0.5)) and got[2] == pytest.approx((1, 0, 0.5))
