@@ -38,6 +38,8 @@ PIVOTS = 8
 #: Shared grams that the longer prefixes ask for: n // divisor, at least so many. The shortest asks for one.
 LEVELS = ((40, 2), (20, 3))
 BROADCAST_ROWS = 100_000
+#: Classes are told by so many hash values where only their texts are shuffled; no more are broadcast.
+SLOTS = 1 << 20
 
 
 def gram_sets(column, n: int):
@@ -347,10 +349,12 @@ def _met(chosen: DataFrame) -> DataFrame:
 def _verified(cells: DataFrame, texts: DataFrame, classes: DataFrame, gram: int, percent: int, parts: int) -> DataFrame:
     """Links (a, b) of the classes that cells (bucket, i, j, node, leads) bring together."""
     placed = stored(cells.join(classes.select("node", F.col("one")["id"].alias("id"), F.col("one")["text_key"].alias("text_key")), "node"))
-    # behind a check of its size; otherwise both sides are shuffled
-    few = placed.count() <= BROADCAST_ROWS
+    # only texts whose slot is asked for are shuffled; where all slots are, all texts
+    slot = F.pmod(F.xxhash64("text_key", "id"), F.lit(SLOTS)).cast("int").alias("slot")
+    asked = F.broadcast(placed.select(slot).distinct())
+    some = texts.select("*", slot).join(asked, "slot", "left_semi").drop("slot")
     right = placed.select("bucket", "i", "j", "node", "leads", F.col("id").alias("_id"), F.col("text_key").alias("_text_key"))
-    both = texts.join(F.broadcast(right) if few else right, (F.col("text_key") == F.col("_text_key")) & F.col("id").eqNullSafe(F.col("_id")))
+    both = some.join(right, (F.col("text_key") == F.col("_text_key")) & F.col("id").eqNullSafe(F.col("_id")))
     rows = both.select("bucket", "i", "j", "node", "leads", "text").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("leads"), "node")
     return stored(rows.mapInArrow(tidy(cells_linked(gram, percent)), "a long, b long"))
 
