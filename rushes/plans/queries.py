@@ -154,7 +154,7 @@ QUERIES = {
     "f7_play_sessions": lambda s, d: playout.play_sessions(_playout(s, d)).select("clip", "started", "ended", "n_events"),
     "g1_recent_clips": lambda s, d: history.recent_clips(src.history(s, d)),
     "g2_recent_by_user": lambda s, d: history.recent_clips_by_user(src.history(s, d), 3),
-    "g4_favourites": lambda s, d: history.favourite_flags(src.history(s, d).select("path"), src.history(s, d).join(src.table(s, d, "events").where("event_type = 'purchase' and event_id % 3 = 0").select("event_id"), "event_id")),
+    "g4_favourites": lambda s, d: history.favourite_flags(src.history(s, d).select("path"), src.history(s, d).join(src.table(s, d, "events").where("event_type = 'purchase'").select("event_id"), "event_id")),
     "h2_white_xyz": white_xyz,
     "h3_cct": cct,
 }
@@ -214,7 +214,7 @@ t as (select *, sum(new) over (partition by clip order by ts, event_id rows unbo
 select clip, min(ts) as started, max(ts) as ended, count(*) as n_events from t group by clip, session""",
     "g1_recent_clips": f"with {WITH_HISTORY}, l as (select *, row_number() over (partition by path order by opened desc, event_id desc) as k from history where path<>'' and type<>'') select path, type, opened, event_id from l where k=1 order by opened desc, event_id desc limit 10",
     "g2_recent_by_user": f"with {WITH_HISTORY}, l as (select *, row_number() over (partition by user_id, path order by opened desc, event_id desc) as k from history where path<>'' and type<>''), r as (select user_id, path, type, opened, event_id, row_number() over (partition by user_id order by opened desc, event_id desc) as rank from l where k=1) select * from r where rank<=3",
-    "g4_favourites": f"with {WITH_HISTORY}, f as (select distinct path from history join events using (event_id) where event_type='purchase' and event_id%3=0) select distinct path, path in (select path from f) as is_favourite from history",
+    "g4_favourites": f"with {WITH_HISTORY}, f as (select distinct path from history join events using (event_id) where event_type='purchase') select distinct path, path in (select path from f) as is_favourite from history",
     "h2_white_xyz": "with p as (select c_custkey as clip, 0.25::double+(c_custkey%100)*0.002::double as wx, 0.28::double+(c_custkey%90)*0.0015::double as wy from customer) select clip, round(wx/wy,9) as x, 1.0::double as y, round((1-wx-wy)/wy,9) as z from p",
     "h3_cct": "with p as (select c_custkey as clip, ((0.25::double+(c_custkey%100)*0.002::double)-0.3366::double)/((0.28::double+(c_custkey%90)*0.0015::double)-0.1735::double) as n from customer) select clip, floor(-949.86315::double+6253.80338::double*exp(-n/0.92159::double)+28.70599::double*exp(-n/0.20039::double)+0.00004::double*exp(-n/0.07125::double)+0.5)::bigint as kelvin from p",
 }
