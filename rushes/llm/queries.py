@@ -4,12 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import documents
+from .alignment import align_tokens
 from .bpe import code_texts
 from .jaccard_join import link_components
 from .katz import score_katz
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .piece_bpe import code_pieces
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import apply_quality_rules
 from .substring_dedup import dedup_substrings
@@ -24,6 +26,14 @@ def tokenizer_file(name: str) -> str:
         return file.read()
 
 
+def model_file(name: str) -> bytes:
+    """The content of a public model file, as above."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -73,7 +83,17 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_bpe, op4_line_dedup, op5_katz, op6_jaccard_join, op7_license_scan, op8_quality_rules, op9_quality_classifier, op10_topk_search)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), model_file("piece_bpe_32k.model"))
+    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = code_pieces(documents(spark, sf_dir).select("doc_id", "text"), model_file("piece_bpe_32k.model"))
+    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_bpe, op4_line_dedup, op5_katz, op6_jaccard_join, op7_license_scan, op8_quality_rules, op9_quality_classifier, op10_topk_search, op11_alignment, op12_sentencepiece)}
 
 #: DuckDB SQL over whole tables, where it can express the query.
 ORACLES = {
