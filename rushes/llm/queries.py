@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ._spark import documents
 from .alignment import align_tokens
 from .bpe import code_texts
+from .conversation_trie import conversation_trie
 from .jaccard_join import link_components
 from .katz import score_katz
 from .license_scan import scan_licenses
@@ -93,7 +94,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_bpe, op4_line_dedup, op5_katz, op6_jaccard_join, op7_license_scan, op8_quality_rules, op9_quality_classifier, op10_topk_search, op11_alignment, op12_sentencepiece)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_bpe, op4_line_dedup, op5_katz, op6_jaccard_join, op7_license_scan, op8_quality_rules, op9_quality_classifier, op10_topk_search, op11_alignment, op12_sentencepiece, op13_conversation_trie)}
 
 #: DuckDB SQL over whole tables, where it can express the query.
 ORACLES = {
@@ -117,4 +122,45 @@ scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::
 select query_id, rank::int as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 where rank <= 5""",
+    "op13_conversation_trie": """
+with numbered as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as n
+  from conversations where conv_id is not null),
+sizes as (select c, max(n) as size from numbered group by c),
+bytes as (
+  select c, size, list_concat([4294967295::bigint], flatten([[ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0] for x in string_split(c::varchar, '')])) as bits
+  from sizes),
+heads as (
+  select c, size, xor(list_reduce(bits, lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 9 as h
+  from (select c, size, bits from bytes)),
+convs as (
+  select heads.c, heads.h, heads.c - heads.c % 5 as base, least(heads.h, coalesce(sizes.size, 0)) as head
+  from heads left join sizes on sizes.c = heads.c - heads.c % 5),
+turns as (
+  select convs.c, n as d, role, text from convs join numbered on numbered.c = convs.base where n <= head
+  union all
+  select convs.c, head + n - h, role, text from convs join numbered on numbered.c = convs.c where n > h),
+path as (
+  select c, 0 as d, '' as prefix, 0 as bytes from convs
+  union all
+  select c, d, sha256(string_agg(sha256(role) || sha256(text), '' order by d) over (partition by c order by d)), strlen(text) from turns),
+deep as (select c, max(d) as depth from path group by c),
+node as (select d, prefix, min(c) as owner, count(*) as n, any_value(bytes) as bytes from path group by d, prefix),
+up as (
+  select node.d, node.prefix, parent.d as pd, parent.prefix as pp, parent.owner as parent_owner
+  from node join path p on p.c = node.owner and p.d = node.d - 1 join node parent on parent.d = p.d and parent.prefix = p.prefix),
+kids as (select pd as d, pp as prefix, count(*) as k from up group by all),
+sub as (
+  select p.d, p.prefix, count(*) filter (where kids.k is null) as leaves, sum((v.n - 1) * v.bytes) as saved
+  from node v left join kids on kids.d = v.d and kids.prefix = v.prefix join path p on p.c = v.owner and p.d <= v.d
+  group by p.d, p.prefix),
+ends as (
+  select path.d, path.prefix, sha256(string_agg(c::varchar, ',' order by c)) as digest
+  from path join deep using (c) where path.d = deep.depth group by all)
+select node.owner as conv_id, node.d::bigint as depth, up.parent_owner as parent_conv_id, node.n::bigint as n_convs,
+  coalesce(kids.k, 0)::bigint as n_children, sub.leaves::bigint as n_leaves, sub.saved::bigint as saved_tokens,
+  coalesce(ends.digest, sha256('')) as ends_sha256
+from node left join up on up.d = node.d and up.prefix = node.prefix left join kids on kids.d = node.d and kids.prefix = node.prefix
+  join sub on sub.d = node.d and sub.prefix = node.prefix left join ends on ends.d = node.d and ends.prefix = node.prefix""",
 }
