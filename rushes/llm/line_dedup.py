@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._spark import buckets, text_bytes
+from ._spark import buckets, column, own_fields, text_bytes
 from ._text import byte_values, give_back, hashes, mix, utf8
 
 SPACE_BYTES = (0x20, *range(0x09, 0x0E))
 UNIT_BYTES = 8 << 20
+KEPT = "_kept string, _n_lines long, _n_dropped long, _bitmap binary, _sha string"
 KEYS = "range int, h1 long, h2 long, unit int, docs long, first_id long, first_line long"
 
 
@@ -169,16 +171,17 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Null or empty text: one empty line, which stays. Null id: a document like any
     other. Each row is a document of its own, also if rows repeat an id or a text; a
     line twice in one document counts once. An empty table gives an empty one. Own
-    columns stay, whatever their names, unless they begin with `_`.
+    columns stay, whatever their names; one named as a new column gives way to it.
     """
     spark = docs.sparkSession
     units = buckets(spark, text_bytes(docs, text_column), UNIT_BYTES)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ident, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
+    made = T.StructType.fromDDL(KEPT)
+    own = own_fields(docs, [text_column, *made.names])
+    ident, text = column(id_column), column(text_column)
     # a row's unit also depends on its text, so that repeated ids spread
-    unit = F.pmod(F.xxhash64(ident, F.octet_length(text)), F.lit(units)).cast("int")
-    others = [f for f in docs.schema.fields if f.name != text_column]
-    rows = docs.select(*[F.col(f"`{f.name}`").alias(f"_own_{f.name}") for f in others], unit.alias("unit"), F.coalesce(ident.cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text"))
+    unit = F.pmod(F.xxhash64(ident, text), F.lit(units)).cast("int")
+    rows = docs.select(*[column(f.name).alias(f"own{i}") for i, f in enumerate(own)], unit.alias("unit"), F.coalesce(ident.cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text"))
     common = (
         rows.groupBy("unit")
         .applyInArrow(unit_keys(ranges), KEYS)
@@ -186,6 +189,6 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .sortWithinPartitions("h1", "h2", "first_id", "first_line")
         .mapInArrow(common_keys(min_docs), "unit int, h1 long, h2 long")
     )
-    kept = ", ".join([f"`_own_{f.name}` {f.dataType.simpleString()}" for f in others] + ["_kept string", "_n_lines long", "_n_dropped long", "_bitmap binary", "_sha string"])
+    kept = T.StructType([T.StructField(f"own{i}", f.dataType) for i, f in enumerate(own)] + made.fields)
     out = rows.groupBy("unit").cogroup(common.groupBy("unit")).applyInArrow(unit_bitmaps(digests, texts), kept)
-    return out.select(*[F.col(f"`_own_{f.name}`").alias(f.name) for f in others], "_kept", "_n_lines", "_n_dropped", "_bitmap", "_sha")
+    return out.select(*[F.col(f"own{i}").alias(f.name) for i, f in enumerate(own)], *made.names)

@@ -29,7 +29,7 @@ from .packing import worker_cache
 NO_ID = -(2**63)
 STRETCH = "bucket int, ids binary, tags binary, starts binary, counts binary, text binary"
 KEPT = {"_kept": T.StringType(), "_n_words": T.LongType(), "_n_removed": T.LongType(), "_sha": T.StringType()}
-REPEAT = "id long, tag int, start int, n int"
+REPEAT = "id long, tag1 long, tag2 long, start int, n int"
 BUCKET_BYTES = 6 << 20
 #: Hot pieces are minimisers of 2**-HOT_BITS of all window text at least, so no more than twice 2**HOT_BITS exist.
 HOT_BITS = 18
@@ -131,12 +131,12 @@ def stretches(k: int, m: int, n_buckets: int, block: int, shared):
             nonlocal serial
             number = np.concatenate([p[0] for p in places])
             ids, tags, starts, counts = (np.concatenate([p[i] for p in places]) for i in (1, 2, 3, 4))
-            order = np.lexsort((starts, tags, ids, number))
+            order = np.lexsort((starts, tags[:, 1], tags[:, 0], ids, number))
             number, ids, tags, starts, counts = (x[order] for x in (number, ids, tags, starts, counts))
             lead = np.r_[True, number[1:] != number[:-1]]
             # the same document at the same place, if a row occurs twice, is no repeat
             owner = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
-            again = ~lead & ((ids != ids[owner]) | (tags != tags[owner]) | (starts != starts[owner]))
+            again = ~lead & ((ids != ids[owner]) | (tags != tags[owner]).any(1) | (starts != starts[owner]))
             bucket = (np.array(keys, np.uint64) % np.uint64(n_buckets)).astype(np.int64)
             texts = list(seen)
             ids0, tags0, starts0 = ids[lead], tags[lead], starts[lead]
@@ -155,7 +155,7 @@ def stretches(k: int, m: int, n_buckets: int, block: int, shared):
 
         seen, keys, places, size = {}, [], [], 0
         for batch in (part for batch in rows for part in parts(batch, "text")):
-            id_column, tag_column, text = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "tag", "text"))
+            id_column, tag1, tag2, text = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "tag1", "tag2", "text"))
             data, offsets = utf8(text)
             s, e, bounds = spans(data, offsets, inside)
             first, count, least = _stretches(hashes(data, s, e, values), bounds, k, m, hot)
@@ -173,7 +173,7 @@ def stretches(k: int, m: int, n_buckets: int, block: int, shared):
                     keys.append(key)
                     size += y - x
                 number[j] = at
-            doc_ids, doc_tags = (c.to_numpy(zero_copy_only=False) for c in (id_column, tag_column))
+            doc_ids, doc_tags = id_column.to_numpy(), np.column_stack([tag1.to_numpy(), tag2.to_numpy()])
             places.append((number, doc_ids[doc], doc_tags[doc], (first - bounds[doc]).astype(np.int32), count.astype(np.int32)))
             if size > block:
                 yield emit(seen, keys, places)
@@ -196,7 +196,7 @@ def repeats(k: int):
         ids, tags, starts, text = [], [], [], []
         for batch in table.to_batches():
             for i, t, s, c, x in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("ids", "tags", "starts", "counts", "text"))):
-                i, t, s = np.frombuffer(expand(i), np.int64), np.frombuffer(expand(t), np.int32), np.frombuffer(expand(s), np.int32)
+                i, t, s = np.frombuffer(expand(i), np.int64), np.frombuffer(expand(t), np.int64).reshape(-1, 2), np.frombuffer(expand(s), np.int32)
                 if x is None:
                     out.append((i, t, s, np.frombuffer(expand(c), np.int32)))
                 else:
@@ -233,7 +233,7 @@ def repeats(k: int):
             many = order[np.r_[False, same] | np.r_[same, False]]
             if len(many):
                 r, s = row[many], starts[row[many]] + inner[many].astype(np.int32)
-                sort = np.lexsort((s, tags[r], ids[r], value[many]))
+                sort = np.lexsort((s, tags[r, 1], tags[r, 0], ids[r], value[many]))
                 r, s, p, v = r[sort], s[sort], place[many][sort], value[many][sort]
                 lead = np.r_[True, v[1:] != v[:-1]]
                 owner = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
@@ -245,7 +245,7 @@ def repeats(k: int):
                     owner = np.array([firsts.setdefault(whole[ws[q] : we[q + k - 1]], j) for j, q in enumerate(p)])
                     again = np.flatnonzero(owner != np.arange(len(owner)))
                 o = owner[again]
-                again = again[(ids[r[again]] != ids[r[o]]) | (tags[r[again]] != tags[r[o]]) | (s[again] != s[o])]
+                again = again[(ids[r[again]] != ids[r[o]]) | (tags[r[again]] != tags[r[o]]).any(1) | (s[again] != s[o])]
                 r, s = r[again], s[again]
                 sort = np.lexsort((s, r))
                 r, s = r[sort], s[sort]
@@ -253,8 +253,8 @@ def repeats(k: int):
                     lead = np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)]
                     begin = np.flatnonzero(lead)
                     out.append((ids[r[begin]], tags[r[begin]], s[begin], np.diff(begin, append=len(r)).astype(np.int32)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int32)]
-        return pa.table([pa.array(c) for c in columns], names=["id", "tag", "start", "n"])
+        i, t, s, n = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        return pa.table([pa.array(c) for c in (i, t[:, 0], t[:, 1], s, n)], names=["id", "tag1", "tag2", "start", "n"])
 
     def run(table: pa.Table) -> pa.Table:
         out = found(table)
@@ -321,7 +321,8 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     Null text: no words, kept null. Empty text: no words. Fewer words than a window:
     all stay. Null id: sorts first. Rows that repeat an id with one text count as one
-    document; with different texts, the text's crc32 orders them. An empty table gives
+    document; with different texts, 120 bits of the text's SHA-256 tell them apart and
+    order them. An empty table gives
     an empty one. Own columns stay, whatever their names; one named as a new column gives way to it.
     """
     total = 3 * text_bytes(docs, text_column)
@@ -329,19 +330,22 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     own = own_fields(docs, [text_column, *KEPT])
     ident, text = column(id_column), column(text_column)
     key = F.coalesce(ident.cast("long"), F.lit(NO_ID))
-    tag = (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) - 2**31).cast("int")
-    texts = docs.select(key.alias("id"), tag.alias("tag"), text.alias("text"))
+    # where no id occurs twice, nothing needs telling apart
+    shared = docs.groupBy(key.alias("id")).count().where("count > 1").limit(1).count() > 0
+    digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    tags = [(F.conv(F.substring(digest, at, 15), 16, 10) if shared else F.lit(0)).cast("long").alias(f"tag{i}") for i, at in ((1, 1), (2, 16))]
+    texts = docs.select(key.alias("id"), *tags, text.alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_pieces(texts.select("text"), window, minimiser, total))
     found = (
         texts.mapInArrow(tidy(stretches(window, minimiser, n, block_bytes, hot)), STRETCH)
         .groupBy("bucket")
         .applyInArrow(repeats(window), REPEAT)
-        .groupBy("id", "tag")
-        .agg(F.collect_list(F.struct("start", "n")).alias("_found"))
+        .groupBy("id", "tag1", "tag2")
+        .agg(F.collect_set(F.struct("start", "n")).alias("_found"))
     )
-    keyed = docs.select(*[column(f.name).alias(f"own{i}") for i, f in enumerate(own)], key.alias("id"), tag.alias("tag"), text.alias("_whole"))
+    keyed = docs.select(*[column(f.name).alias(f"own{i}") for i, f in enumerate(own)], key.alias("id"), *tags, text.alias("_whole"))
     packed = keyed.mapInArrow(tidy(_compressed), T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "_whole" else f.dataType) for f in keyed.schema.fields]))
-    joined_rows = packed.join(found, ["id", "tag"], "left").drop("id", "tag")
+    joined_rows = packed.join(found, ["id", "tag1", "tag2"], "left").drop("id", "tag1", "tag2")
     schema = T.StructType([T.StructField(f"own{i}", f.dataType) for i, f in enumerate(own)] + [T.StructField(n, t) for n, t in KEPT.items()])
     out = joined_rows.mapInArrow(tidy(_kept(window, joined)), schema)
     return out.select(*[F.col(f"own{i}").alias(f.name) for i, f in enumerate(own)], *KEPT)

@@ -404,3 +404,52 @@ def test_columns_of_any_name_clash_with_nothing(spark):
 def test_null_and_repeated_ids(spark, apply):
     rows = [(None, "a b c", "", 0, ""), (None, None, "", 0, ""), (4, "a b c", "", 0, ""), (4, "other words here", "", 0, ""), (4, "a b c", "", 0, "")]
     assert apply(spark.createDataFrame(rows, SCHEMA), tokenizer_file("byte_bpe_50k.json")).count() == len(rows)
+
+
+def same_crc(a: str, b: str) -> str:
+    """b with eight letters behind that give it the crc32 of a."""
+    want = zlib.crc32(a.encode())
+    # crc32 is affine in the bits of the letters: solve for the bits of 16 letters out of a and c
+    n = 48
+    start = (b + " " + "a" * n).encode()
+    base = zlib.crc32(start)
+    rows = []
+    for i in range(n):
+        flipped = bytearray(start)
+        flipped[len(start) - n + i] ^= 2
+        rows.append((zlib.crc32(bytes(flipped)) ^ base, 1 << i))
+    left, mask, pivots = want ^ base, 0, {}
+    for value, which in rows:
+        for bit in sorted(pivots, reverse=True):
+            if value >> bit & 1:
+                value, which = value ^ pivots[bit][0], which ^ pivots[bit][1]
+        if value:
+            pivots[value.bit_length() - 1] = value, which
+    for bit in sorted(pivots, reverse=True):
+        if left >> bit & 1:
+            left, mask = left ^ pivots[bit][0], mask ^ pivots[bit][1]
+    out = bytearray(start)
+    for i in range(n):
+        if mask >> i & 1:
+            out[len(start) - n + i] ^= 2
+    assert not left and zlib.crc32(bytes(out)) == want
+    return out.decode()
+
+
+@pytest.mark.parametrize("ident", [None, 7])
+def test_substrings_of_rows_that_share_id_and_crc(spark, ident):
+    """What one of two rows with one id loses is not taken from the other."""
+    draw = random.Random(2)
+    text = lambda n: " ".join(f"v{draw.randint(0, 10**6)}" for _ in range(n))
+    passage = text(25)
+    a = f"{passage} {text(6)} {passage}"
+    b = same_crc(a, text(len(a.split())))
+    rows = {r._kept: r._n_removed for r in dedup_substrings(spark.createDataFrame([(ident, a), (ident, b)], "doc_id long, text string")).collect()}
+    assert rows[b] == 0 and sorted(rows.values()) == [0, 25]
+
+
+def test_lines_of_one_text_without_ids(spark):
+    """Many rows without id, of one length, are documents of their own, over several units."""
+    rows = [(None, f"common\nown {i:06d}", "x", 1, "en") for i in range(20000)]
+    out = dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), digests=False)
+    assert {(r._n_dropped, len(r._kept)) for r in out.select("_n_dropped", "_kept").distinct().collect()} == {(1, 10)}
