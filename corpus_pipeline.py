@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rushes.llm._spark import stored
+from rushes.llm._spark import column, stored
 from rushes.llm.jaccard_join import BROADCAST_ROWS, link_components
 from rushes.llm.line_dedup import dedup_lines
 from rushes.llm.packing import pack_documents
@@ -12,22 +12,32 @@ from rushes.llm.queries import tokenizer_file
 from rushes.llm.substring_dedup import dedup_substrings
 
 
-def _with_text(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The columns of docs, with another text and its length."""
-    new = {"text": F.col(text), "n_chars": F.when(F.col(text).isNotNull(), F.length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+def _numbered(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with every column but those used under a name of its own, so that no operator's new column can clash."""
+    return docs.select(*[column(c).alias(c if c in used else f"own{i}") for i, c in enumerate(docs.columns)])
+
+
+def _named(out: DataFrame, docs: DataFrame, *used: str, text: str | None = None) -> DataFrame:
+    """The columns of docs under their own names again; with another text, if named, and its length."""
+    new = {c: F.col(c) if c in used else F.col(f"own{i}") for i, c in enumerate(docs.columns)}
+    if text:
+        new["text"] = F.col(text)
+        if "n_chars" in new:
+            new["n_chars"] = F.when(F.col(text).isNotNull(), F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[c.alias(n) for n, c in new.items()])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. Null and empty texts are scored as the empty text, each row by itself; without labels all get one half and stay."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs, model, keep_text=True)
-    return scored.where("_score >= 0.3").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score_quality(_numbered(docs, "text"), model, keep_text=True)
+    return _named(scored.where("_score >= 0.3"), docs, "text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more go; documents stay. Null texts stay null, empty ones empty; each row counts as a document."""
-    return _with_text(dedup_lines(docs, min_docs=10, digests=False), docs, "_kept")
+    out = dedup_lines(_numbered(docs, "doc_id", "text"), min_docs=10, digests=False)
+    return _named(out, docs, "doc_id", text="_kept")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +47,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     linked rows the one with the smallest doc_id stays, a null one last, then the
     one with the smallest hash; of rows that agree in both, any one. Rows without words stay.
     """
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    keyed = _numbered(docs, "doc_id", "text").withColumn("_row_key", F.xxhash64("doc_id", "text"))
     linked = stored(link_components(keyed, id_column="_row_key", gram=5, percent=80).where("n_shingles > 0").select(F.col("id").alias("_row_key"), "component_id"))
     many = linked.groupBy("component_id").agg(F.count("*").alias("_n")).where("_n > 1").select("component_id")
     rows = linked.join(many, "component_id").groupBy("_row_key", "component_id").agg(F.count("*").alias("_copies"))
@@ -48,7 +58,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     gone, again = (F.broadcast(x) if x.count() <= BROADCAST_ROWS else x for x in (gone, again))
     left = keyed.join(gone, "_row_key", "left_anti")
     once = left.join(again, "_row_key", "left_semi").dropDuplicates(["_row_key"])
-    return left.join(again, "_row_key", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _named(left.join(again, "_row_key", "left_anti").unionByName(once), docs, "doc_id", "text")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +66,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts stay null, empty ones empty. Rows equal in id and text count as one document.
     """
-    return _with_text(dedup_substrings(docs, window=20, joined=False), docs, "_kept")
+    out = dedup_substrings(_numbered(docs, "doc_id", "text"), window=20, joined=False)
+    return _named(out, docs, "doc_id", text="_kept")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
