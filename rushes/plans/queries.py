@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rushes.functions import timecode as tc
 from rushes.operators import catalog, develop, history, metadata
 from rushes.sources import footage as src
+from rushes.sources import headers
 from rushes.streaming import playout
 
 WITH_FRAMES = """frames as (select distinct l_orderkey as clip, cast(l_linenumber as bigint) as frame from lineitem),
@@ -21,11 +22,22 @@ footage as (select * from parts where name not like '.\\_%' escape '\\' and lowe
 template as (select *, length(first_path) - length(regexp_extract(first_path, '([0-9]+[^0-9]*)$', 1)) as field_pos,
   length(regexp_extract(first_path, '([0-9]+)[^0-9]*$', 1)) as field_len from (select folder, min(path) as first_path, max(path) as last_path from footage group by folder))"""
 WITH_META = f"clip_meta as ({src.CLIP_META})"
+WITH_TAGS = f"tag_meta as ({src.TAG_META.format(text='varchar')})"
 WITH_RGB = "rgb as (select l_orderkey as clip, cast(l_linenumber as bigint) as frame, l_partkey as px, l_quantity/50 as r, abs(l_discount)*10 as g, abs(l_tax)*12.5 as b from lineitem)"
-WITH_HISTORY = """history as (select user_id, '/media/C'||lpad(cast(event_id%37 as varchar),6,'0') as path, case when event_id%50=0 then '' else 'ClipCinemaDNG' end as type, ts as opened, event_id from events)"""
+WITH_HISTORY = """history as (select user_id, '/media/C'||lpad(cast(event_id%37 as varchar),6,'0') as path, case when event_id%50=0 then '' else 'sequence' end as type, ts as opened, event_id from events)"""
 WITH_PLAYOUT = "playout as (select user_id as clip, ts, event_id, case event_type when 'purchase' then 'skipped' when 'error' then 'missing' else 'displayed' end as kind from events)"
 
 
+SUPPORT = WITH_TAGS + """, sized as (select *, n_segments>0 and tile_w is not null as is_tiled, case when tile_w is not null and n_segments>0 then ceil(width/256.0)*256*ceil(height/256.0)*256 else width*height end::bigint as area, case when n_segments=0 then 0 else n_segments-n_lost end as n_counts from tag_meta),
+seg as (select clip, i, bits, floor(area*bits/8)::bigint as size, segment_bytes - case when i=n_counts-1 then cut_bytes else 0 end as n from (select *, unnest(range(n_counts)) as i from sized)),
+run as (select *, coalesce(sum(n) over (partition by clip order by i rows between unbounded preceding and 1 preceding), 0) as before from seg),
+total as (select clip, sum(n) as total, sum(floor(greatest(0, least(n, size-before))*16/bits)) as unpacked from run group by clip),
+judged as (select s.clip, case when pattern=4 then 'UnsupportedPattern' when n_segments=0 or n_counts<>n_segments then 'BadImageData' when compression not in (1,7) then 'NotImplemented'
+  when compression=1 and bits not in (8,10,12,14,16) then 'NotImplemented' when compression=1 and bits in (8,16) and total<floor(area*bits/8) then 'BadImageData'
+  when compression=1 and bits in (10,12,14) and unpacked<>area*2 then 'BadImageData' when compression=7 and n_segments=1 and is_tiled and area<>65536 then 'BadImageData' else 'None' end as support
+  from sized s left join total using (clip))"""
+
+
 def _footage(spark, d):
     return catalog.footage_files(src.files(spark, d))
 
@@ -35,6 +47,19 @@ def _playout(spark, d):
     return src.table(spark, d, "events").select(F.col("user_id").alias("clip"), "ts", "event_id", kind.alias("kind"))
 
 
+def _headers(spark, d):
+    """Tags read back from header files that hold each clip's."""
+    clip = F.regexp_extract("path", r"C(\d+)\.dng", 1).cast("long").alias("clip")
+    return headers.ingest_headers(src.header_files(spark, d).select("path", "content")).select(clip, "*")
+
+
+def header_tags(spark, d):
+    at = lambda c, i: F.get(c, F.lit(i)).alias(f"{c}{i}")
+    one = ["status", "width", "height", "bits", "compression", "orientation", "tile_w", "tile_h", "black_level", "white_level", "baseline_exposure", "model", "rate_num", "rate_den", "illuminant1", "tiled"]
+    listed = [at(c, i) for c, n in {"timecode": 4, "crop_origin": 2, "crop_size": 2, "active_area": 4, "scale": 2, "neutral": 3}.items() for i in range(n)]
+    return _headers(spark, d).select("clip", *one, *listed, metadata.cfa_pattern(F.col("cfa")).alias("pattern"), F.size("offsets").cast("long").alias("n_offsets"), F.size("byte_counts").cast("long").alias("n_counts"), F.round(F.aggregate("color_matrix1", F.lit(0.0), lambda a, x: a + x), 9).alias("matrix_sum"), F.greatest(F.size("linearisation"), F.lit(0)).cast("long").alias("n_curve"), (F.col("bytes_read") <= 16384).alias("few_bytes"))
+
+
 def gap_report(spark, d):
     """Every gap with its first and last timecode at 24 frames a second."""
     gaps = catalog.frame_gaps(src.frames(spark, d))
@@ -129,13 +154,16 @@ QUERIES = {
     "a10_missing_frames": lambda s, d: catalog.missing_frames(src.frames(s, d)),
     "a11_duplicate_frames": lambda s, d: catalog.duplicate_frames(src.frame_rows(s, d)),
     "a12_sequence_problems": lambda s, d: catalog.sequence_problems(catalog.footage_files(src.files(s, d, mixed=True))),
-    "b2_tag_defaults": lambda s, d: metadata.with_tag_defaults(src.clip_meta(s, d)),
+    "b1_ingest_headers": header_tags,
+    "b2_tag_defaults": lambda s, d: metadata.with_tag_defaults(_headers(s, d)).select("*", *[F.col("active_area")[i].alias(f"area{i}") for i in range(4)]).drop("active_area"),
     "b4_decoded_depth": lambda s, d: metadata.decoded_depth(src.clip_meta(s, d)),
     "b5_padded_dimensions": lambda s, d: metadata.padded_dimensions(src.clip_meta(s, d)),
-    "b6_display_geometry": lambda s, d: metadata.display_geometry(src.clip_meta(s, d)),
-    "b7_support_audit": lambda s, d: metadata.support_audit(src.clip_meta(s, d)),
+    "b5_tile_grid": lambda s, d: metadata.tile_grid(src.clip_meta(s, d)),
+    "b6_display_geometry": lambda s, d: metadata.display_geometry(_headers(s, d).select("*", F.get("crop_size", F.lit(0)).alias("crop_w"), F.get("crop_size", F.lit(1)).alias("crop_h"))),
+    "b7_support_audit": lambda s, d: metadata.support_audit(_headers(s, d)),
+    "b7_support_status": lambda s, d: metadata.support_status(_headers(s, d)).select("clip", "support"),
     "b8_metadata_drift": lambda s, d: metadata.metadata_drift(src.frame_meta(s, d)),
-    "b11_storage_report": lambda s, d: metadata.storage_report(src.segments(s, d)),
+    "b11_storage_report": lambda s, d: metadata.storage_report(src.segments(s, d), src.clip_meta(s, d)),
     "c1_smpte_decode": smpte,
     "c2_timecode_25": _timecode(0, 25),
     "c3_timecode_2997": _timecode(2, 30),
@@ -178,15 +206,29 @@ select c.folder, x.path as wav_path, case when x.path is null then 'none' when h
     "a11_duplicate_frames": "select l_orderkey as clip, cast(l_linenumber as bigint) as frame, count(*) as n from lineitem group by all having count(*)>1",
     "a12_sequence_problems": f"""with {WITH_FILES}, m as (select folder, name from footage union all select folder, name||'_'||cast(last_frame+1 as varchar)||'.dng' from clips where clip%50=0)
 select folder, count(distinct length(regexp_extract(name, '([0-9]+)[^0-9]*$', 1))) as n_widths, count(distinct regexp_extract(name, '^(.*?)[0-9]+[^0-9]*$', 1)) as n_prefixes from m group by folder having n_widths>1 or n_prefixes>1""",
-    "b2_tag_defaults": f"with {WITH_META} select clip, coalesce(black_level,0)::bigint as black_level, coalesce(white_level, (1::bigint << bits)-1)::bigint as white_level, coalesce(baseline_exposure,0.0)::double as exposure, coalesce(rate_num,24000)::bigint as rate_num, coalesce(rate_den,1001)::bigint as rate_den from clip_meta",
+    "b1_ingest_headers": f"""with {WITH_TAGS} select clip, 'None' as status, width, height, bits::bigint as bits, compression::bigint as compression, orientation, tile_w::bigint as tile_w, tile_h::bigint as tile_h,
+ (case when black_level is null then null when clip%2=1 then black_level+0.5 else black_level end)::double as black_level, white_level::double as white_level,
+ baseline_exposure, coalesce(model,'') as model, rate_num::bigint as rate_num, rate_den::bigint as rate_den, 17+clip%2*4 as illuminant1, tile_w is not null and n_segments>0 as tiled,
+ tc0 as timecode0, tc1 as timecode1, tc2 as timecode2, tc3 as timecode3, crop_x::bigint as crop_origin0, case when crop_x is not null then 0 end::bigint as crop_origin1, crop_w::bigint as crop_size0, crop_h::bigint as crop_size1,
+ area_top::bigint as active_area0, case when area_top is not null then 8 end::bigint as active_area1, case when area_top is not null then height-4 end as active_area2, case when area_top is not null then width-8 end as active_area3,
+ scale_num/2.0::double as scale0, case when scale_num is not null then 1.0::double end as scale1, case when clip%4=0 then 1.0::double else 0.5 end as neutral0, 1.0::double as neutral1, case when clip%4=0 then 2.0::double else 0.625 end as neutral2,
+ case pattern when -1 then 'None' when 0 then 'RGGB' when 1 then 'BGGR' when 2 then 'GRBG' when 3 then 'GBRG' else 'Unknown' end as pattern,
+ n_segments::bigint as n_offsets, case when n_segments=0 then 0 else n_segments-n_lost end::bigint as n_counts, round((clip%10+70)/100.0::double+0.9::double,9) as matrix_sum, case when clip%2=0 then greatest(1,clip%16) else 0 end::bigint as n_curve, true as few_bytes from tag_meta""",
+    "b2_tag_defaults": f"""with {WITH_TAGS} select clip, coalesce(black_level,0)::bigint as black_level, coalesce(white_level, (1::bigint << bits)-1)::bigint as white_level, coalesce(baseline_exposure,0.0)::double as exposure, coalesce(rate_num,24000)::bigint as rate_num, coalesce(rate_den,1001)::bigint as rate_den,
+ coalesce(scale_num/2.0::double, 1.0) as pixel_w, 1.0::double as pixel_h, coalesce(area_top,0)::bigint as area0, case when area_top is null then 0 else 8 end::bigint as area1, case when area_top is null then height else height-4 end::bigint as area2, case when area_top is null then width else width-8 end::bigint as area3, coalesce(model,'') as model from tag_meta""",
     "b4_decoded_depth": f"with {WITH_META} select clip, (case when compression=1 then case when bits>8 then 16 else 8 end when compression=7 then 16 else bits end)::bigint as decoded_bits, floor(width*height*bits/8)::bigint as packed_bytes from clip_meta",
     "b5_padded_dimensions": f"with {WITH_META} select clip, coalesce(ceil(width/tile_w)*tile_w, width)::bigint as padded_w, coalesce(ceil(height/tile_h)*tile_h, height)::bigint as padded_h from clip_meta",
-    "b6_display_geometry": f"with {WITH_META}, g as (select clip, orientation, coalesce(crop_w,width)::bigint as w, coalesce(crop_h,height)::bigint as h from clip_meta) select clip, case when orientation>=5 then h else w end as display_w, case when orientation>=5 then w else h end as display_h from g",
-    "b7_support_audit": f"with {WITH_META} select case when compression not in (1,7) then 'NotImplemented' when compression=1 and bits not in (8,10,12,14,16) then 'BadImageData' else 'None' end as status, count(*) as n from clip_meta group by 1",
+    "b5_tile_grid": f"""with {WITH_META}, t as (select *, unnest(range(cast(ceil(width/256.0)*ceil(height/256.0) as bigint))) as tile, cast(ceil(width/256.0) as bigint) as across from clip_meta where tile_w is not null),
+ p as (select *, tile%across*256 as x, tile//across*256 as y from t) select clip, tile, x, y, least(256, width-x) as shown_w, least(256, height-y) as shown_h, tile*65536 as first_sample from p""",
+    "b6_display_geometry": f"""with {WITH_TAGS}, g as (select clip, orientation, coalesce(crop_w,width)::bigint as w, coalesce(crop_h,height)::bigint as h, floor(coalesce(crop_w,width)*coalesce(scale_num/2.0::double,1))::bigint as n from tag_meta)
+ select clip, case when orientation>=5 then h else w end as display_w, case when orientation>=5 then w else h end as display_h, case when orientation>=5 then h else n end as aspect_num, case when orientation>=5 then n else h end as aspect_den from g""",
+    "b7_support_audit": f"with {SUPPORT} select support as status, count(*) as n from judged group by 1",
+    "b7_support_status": f"with {SUPPORT} select clip, support from judged",
     "b8_metadata_drift": f"""with {WITH_FRAMES}, {WITH_META}, m as (select f.clip, case when (f.clip*7+f.frame)%97=0 then 12 else bits end as bits, width, height, compression from frames f join clip_meta c using (clip)),
 u as (select clip, 'bits' as field, bits::bigint as value from m union all select clip, 'width', width from m union all select clip, 'height', height from m union all select clip, 'compression', compression from m)
 select clip, field, count(distinct value) as n_values from u group by clip, field having n_values>1""",
-    "b11_storage_report": "select l_orderkey as clip, count(*) as n_segments, sum(floor(l_extendedprice)::bigint)::bigint as packed_bytes, max(floor(l_extendedprice)::bigint) as largest from lineitem group by 1",
+    "b11_storage_report": f"""with {WITH_META}, s as (select l_orderkey as clip, count(*) as n_segments, sum(floor(l_extendedprice)::bigint)::bigint as packed_bytes, max(floor(l_extendedprice)::bigint) as largest, count(distinct l_linenumber) as n_frames from lineitem group by 1)
+ select s.clip, n_segments, packed_bytes, largest, packed_bytes/(n_frames*(coalesce(ceil(width/tile_w)*tile_w, width)*coalesce(ceil(height/tile_h)*tile_h, height)*(case when compression=1 then case when bits>8 then 16 else 8 end when compression=7 then 16 else bits end)/8)::double) as ratio from s left join clip_meta using (clip)""",
     "c1_smpte_decode": f"with {WITH_META} select clip, ((tc0&15)+((tc0>>4)&3)*10)::bigint as ff, ((tc1&15)+((tc1>>4)&7)*10)::bigint as ss, ((tc2&15)+((tc2>>4)&7)*10)::bigint as mm, ((tc3&15)+((tc3>>4)&3)*10)::bigint as hh, ((tc0>>6)&1)=1 as is_drop from clip_meta",
     "c2_timecode_25": _timecode_sql(0, 25),
     "c3_timecode_2997": _timecode_sql(2, 30),

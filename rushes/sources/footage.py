@@ -61,6 +61,81 @@ def clip_meta(spark, sf_dir):
     return spark.sql(CLIP_META.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
 
 
+#: Further tags of a clip's first frame: pixel aspect, active area, camera, pattern, segments; some of them faulty.
+TAG_META = f"""select *, case when clip%7=0 then 2 when clip%7=1 then 3 end as scale_num,
+  case when clip%5=1 then 4 end as area_top, case when clip%3=0 then 'Cam '||cast(clip%4 as {{text}}) end as model,
+  case when clip%23=0 then -1 when clip%19=0 then 4 else cfa_id end as pattern,
+  case when clip%13=0 then 0 when tile_w is not null then cast(ceil(width/256.0)*ceil(height/256.0) as int) else 1+cast(clip%3 as int) end as n_segments,
+  case when tile_w is not null then 8192*bits else cast(floor(width*height*bits/8.0/(1+clip%3)) as bigint) end as segment_bytes,
+  case when clip%11=0 then 1 else 0 end as n_lost, case when clip%17=0 then 9 else 0 end as cut_bytes
+from ({CLIP_META})"""
+# The pattern arrays by number; none is known of number 4, number -1 is no pattern.
+PATTERNS = {-1: [], 0: [0, 1, 1, 2], 1: [2, 1, 1, 0], 2: [1, 0, 2, 1], 3: [1, 2, 0, 1], 4: [0, 1, 2, 1]}
+
+
+def tag_meta(spark, sf_dir):
+    return spark.sql(TAG_META.format(text="string").replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+def header_files(spark, sf_dir):
+    """clip, path, content: a header file of each clip's tags. Types, byte order, previews and the directory's place vary with the clip."""
+
+    def written(batches):
+        import pyarrow as pa
+
+        from rushes.sources import tiff as t
+
+        for batch in batches:
+            contents = []
+            for r in batch.to_pylist():
+                k = r["clip"]
+                order = ">" if k % 2 else "<"
+                whole = [t.SHORT, t.LONG][k % 3 == 0]
+                image = {254: (t.LONG, [0]), 256: (whole, [r["width"]]), 257: (whole, [r["height"]]), 258: (t.SHORT, [r["bits"]]), 259: (t.SHORT, [r["compression"]]), 262: (t.SHORT, [34892 if r["pattern"] < 0 else 32803])}
+                if r["pattern"] >= 0:
+                    image |= {33421: (t.SHORT, [2, 2]), 33422: (t.BYTE if k % 2 else t.SHORT, PATTERNS[r["pattern"]])}
+                if r["tile_w"]:
+                    image |= {322: (t.SHORT, [r["tile_w"]]), 323: (t.LONG, [r["tile_h"]])}
+                if r["n_segments"]:
+                    sizes = [r["segment_bytes"]] * (r["n_segments"] - r["n_lost"])
+                    if sizes:
+                        sizes[-1] -= r["cut_bytes"]
+                    places = [8 + i * r["segment_bytes"] for i in range(r["n_segments"])]
+                    tags = (324, 325) if r["tile_w"] else (273, 279)
+                    image |= {tags[0]: (t.LONG, places)} | ({tags[1]: (t.LONG, sizes)} if sizes else {})
+                if r["black_level"] is not None:
+                    image[50714] = (t.RATIONAL, [(2 * r["black_level"] + 1, 2)]) if k % 2 else (t.SHORT, [r["black_level"]])
+                if r["white_level"] is not None:
+                    image[50717] = (whole, [r["white_level"]])
+                first = {274: (t.SHORT, [r["orientation"]]), 51043: (t.BYTE, [r["tc0"], r["tc1"], r["tc2"], r["tc3"], 0, 0, 0, 0])}
+                if r["rate_num"] is not None:
+                    first[51044] = (t.RATIONAL if k % 2 else t.SIGNED_RATIONAL, [(r["rate_num"], r["rate_den"])])
+                if r["baseline_exposure"] is not None:
+                    first[50730] = (t.SIGNED_RATIONAL, [(int(r["baseline_exposure"] * 2), 2)])
+                if r["scale_num"] is not None:
+                    first[50718] = (t.RATIONAL, [(r["scale_num"], 2), (1, 1)])
+                if r["area_top"] is not None:
+                    first[50829] = (whole, [r["area_top"], 8, r["height"] - 4, r["width"] - 8])
+                if r["model"] is not None:
+                    first[50708] = (t.TEXT, r["model"])
+                if r["crop_w"] is not None:
+                    kind = [t.RATIONAL, t.SHORT, t.LONG][k % 7 % 3]
+                    pair = lambda a, b: [(2 * a + 1, 2), (2 * b + 1, 2)] if kind == t.RATIONAL else [a, b]
+                    first |= {50719: (kind, pair(r["crop_x"], 0)), 50720: (kind, pair(r["crop_w"], r["crop_h"]))}
+                first |= {50721: (t.SIGNED_RATIONAL, [(k % 10 + 70, 100), (-1, 5), (0, 7), (-2, 5), (6, 5), (1, 5), (-1, 10), (1, 5), (3, 0)]), 50778: (t.SHORT, [17 + k % 2 * 4])}
+                first[50728] = (t.SHORT, [1, 1, 2]) if k % 4 == 0 else (t.RATIONAL, [(1, 2), (1, 1), (5, 8)])
+                if k % 2 == 0:
+                    first[50712] = (t.SHORT, [i * i for i in range(k % 16)] or [0])
+                if k % 4 == 1:  # a preview stands first
+                    contents.append(t.file_bytes(image, order, {**first, 254: (t.LONG, [1]), 256: (t.SHORT, [160]), 257: (t.SHORT, [120])}))
+                else:
+                    contents.append(t.file_bytes(image | first, order, image=bytes(k % 3 * 5000)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"/media/C{k:06d}.dng" for k in batch.column(0).to_pylist()]), pa.array(contents, pa.binary())], names=["clip", "path", "content"])
+
+    meta = tag_meta(spark, sf_dir)
+    return meta.select("clip", *[c for c in meta.columns if c != "clip"]).mapInArrow(written, "clip long, path string, content binary")
+
+
 def frame_meta(spark, sf_dir):
     f, m = frames(spark, sf_dir), clip_meta(spark, sf_dir)
     return f.join(m, "clip").select("clip", "frame", "width", "height", "compression", F.expr("case when (clip*7+frame)%97=0 then 12 else bits end").alias("bits"), F.expr("frame+case when (clip+frame)%53=0 then 5 else 0 end").alias("tc_frame"))
@@ -79,7 +154,7 @@ def pixels(spark, sf_dir):
 def history(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     path = F.concat(F.lit("/media/C"), F.lpad((F.col("event_id") % 37).cast("string"), 6, "0"))
-    return e.select("user_id", path.alias("path"), F.when(F.col("event_id") % 50 == 0, "").otherwise("ClipCinemaDNG").alias("type"), F.col("ts").alias("opened"), "event_id")
+    return e.select("user_id", path.alias("path"), F.when(F.col("event_id") % 50 == 0, "").otherwise("sequence").alias("type"), F.col("ts").alias("opened"), "event_id")
 
 
 def segments(spark, sf_dir):

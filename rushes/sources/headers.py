@@ -1,104 +1,97 @@
-"""Headers of footage files as tables: listings, TIFF tags, JPEG frame headers."""
+"""Headers of footage files as tables: TIFF tags by byte ranges, JPEG frame headers."""
 
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bytes of the TIFF field types, and the tags that are read.
-TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d"}
-TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "orientation": 274, "tile_w": 322, "tile_h": 323, "black_level": 50714, "white_level": 50717, "baseline_exposure": 50730}
-SUBFILE_TYPE, SUB_IFDS, CFA, MODEL, TIMECODE, RATE = 254, 330, 33422, 50708, 51043, 51044
-META = "path string, status string, width long, height long, bits long, compression long, orientation long, tile_w long, tile_h long, black_level double, white_level double, baseline_exposure double, cfa array<int>, model string, timecode array<int>, rate_num long, rate_den long"
-
-
-def scan_files(spark: SparkSession, root: str, glob: str = "*.dng") -> DataFrame:
-    """path, size, mtime of the files below a folder; their content is not read. Empty files are not listed."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
-    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-
-
-def _directory(data: bytes, at: int, order: str) -> dict[int, tuple]:
-    out = {}
-    (count,) = struct.unpack_from(order + "H", data, at)
-    for k in range(count):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        if kind not in TYPE_SIZES:
-            continue
-        place = at + 10 + 12 * k
-        if n * TYPE_SIZES[kind] > 4:
-            (place,) = struct.unpack_from(order + "I", data, place)
-        if kind == 2:
-            out[tag] = (data[place : place + n].split(b"\0")[0].decode("latin-1"),)
-        elif kind in (5, 10):
-            pairs = struct.unpack_from(f"{order}{2 * n}{'I' if kind == 5 else 'i'}", data, place)
-            out[tag] = tuple(zip(pairs[::2], pairs[1::2]))
-        else:
-            out[tag] = struct.unpack_from(f"{order}{n}{TYPE_CODES[kind]}", data, place)
-    return out
-
-
-def _number(value):
-    """A plain number, or a fraction; a zero denominator gives 0."""
-    if isinstance(value, tuple):
-        return value[0] / value[1] if value[1] else 0.0
-    return value
-
-
-def read_tags(data: bytes) -> dict:
-    """The columns of META for one file; ValueError or struct.error for one that is no TIFF."""
-    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("no TIFF header")
-    first = _directory(data, struct.unpack_from(order + "I", data, 4)[0], order)
-    main = first
-    if first.get(SUBFILE_TYPE, (0,))[0] != 0:
-        for at in first.get(SUB_IFDS, ()):
-            sub = _directory(data, at, order)
-            if sub.get(SUBFILE_TYPE, (0,))[0] == 0:
-                main = sub
-                break
-    tags = {**first, **main}
-    out = {name: _number(tags[tag][0]) if tag in tags else None for name, tag in TAGS.items()}
-    for name in ("black_level", "white_level", "baseline_exposure"):
-        out[name] = None if out[name] is None else float(out[name])
-    rate = tags.get(RATE, ((None, None),))[0]
-    out |= {"cfa": list(tags[CFA]) if CFA in tags else [], "model": tags.get(MODEL, ("",))[0], "timecode": list(tags[TIMECODE]) if TIMECODE in tags else None, "rate_num": rate[0], "rate_den": rate[1]}
-    return out | {"status": "None" if out["width"] and out["height"] else "BadFile"}
-
-
-def ingest_headers(files: DataFrame, header_bytes: int | None = None) -> DataFrame:
-    """One row of META for each file (path, content); a file that cannot be read has status BadFile.
-
-    With header_bytes only so much of each file reaches the parser: for libraries whose
-    directories are known to stand at the start.
+from rushes.sources.listing import file_system, scan_files
+from rushes.sources.tiff import MOST_BYTES, Ranges, tags_of
+
+__all__ = ["META", "compression_census", "frame_header", "ingest_headers", "read_headers", "scan_files"]
+
+#: Columns of one value: the first of their tag.
+ONE = {"width": "long", "height": "long", "bits": "long", "compression": "long", "photometric": "long", "orientation": "long", "tile_w": "long", "tile_h": "long", "illuminant1": "long", "illuminant2": "long", "black_level": "double", "white_level": "double", "baseline_exposure": "double"}
+#: Columns of all values of their tag, which must be so many (0: any number); else null.
+ALL = {"cfa": ("int", 0), "cfa_dims": ("int", 0), "linearisation": ("int", 0), "timecode": ("int", 0), "color_matrix1": ("double", 9), "color_matrix2": ("double", 9), "forward_matrix1": ("double", 9), "forward_matrix2": ("double", 9), "neutral": ("double", 3), "white_xy": ("double", 2), "scale": ("double", 2), "crop_origin": ("long", 2), "crop_size": ("long", 2), "active_area": ("long", 4)}
+META = "path string, status string, bytes_read long, " + ", ".join([f"{n} {t}" for n, t in ONE.items()] + [f"{n} array<{t}>" for n, (t, _) in ALL.items()]) + ", model string, rate_num long, rate_den long, tiled boolean, offsets array<long>, byte_counts array<long>"
+KINDS = {"long": int, "int": int, "double": float}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+#: META for Arrow.
+FIELDS = pa.schema([(n, pa.list_(_ARROW[t[6:-1]]) if t.startswith("array") else _ARROW[t]) for n, t in (c.split() for c in META.split(", "))])
+
+
+def header_row(path: str, ranges: Ranges) -> dict:
+    """The columns of META for one file; status BadFile for one that is no TIFF, ends too early or has no image size."""
+    row = dict.fromkeys(FIELDS.names) | {"path": path, "status": "BadFile"}
+    try:
+        tags = tags_of(ranges)
+        for name, kind in ONE.items():
+            row[name] = KINDS[kind](tags[name][0]) if tags[name] else None
+        for name, (kind, size) in ALL.items():
+            values = [KINDS[kind](v) for v in tags[name]]
+            row[name] = values if size in (0, len(values)) else None
+        row["timecode"] = row["timecode"] or None
+        row["model"] = tags["model"][0] if tags["model"] else ""
+        row["rate_num"], row["rate_den"] = tags["rate"] or (None, None)
+        row |= {k: tags[k] for k in ("tiled", "offsets", "byte_counts")}
+        row["status"] = "None" if row["width"] and row["height"] else "BadFile"
+    except (ValueError, TypeError, IndexError, OverflowError, struct.error):
+        row = dict.fromkeys(row) | {"path": path, "status": "BadFile"}
+    return row | {"bytes_read": ranges.read}
+
+
+def _rows(found: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(found, schema=FIELDS)
+
+
+def ingest_headers(files: DataFrame) -> DataFrame:
+    """One row of META for each (path, content), for contents that are at hand; null or unreadable content gives status BadFile.
+
+    Content may be the head of a file, if its directories and their values stand there.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in META.split(", ")]
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found = []
-            for path, content in zip(rows["path"], rows["content"]):
-                try:
-                    found.append({"path": path, **read_tags(bytes(content))})
-                except (ValueError, TypeError, struct.error, IndexError):
-                    found.append({"path": path, "status": "BadFile"})
-            out = pd.DataFrame(found, columns=names)
-            for c in META.split(", "):
-                name, kind = c.split()
-                if kind == "long":
-                    out[name] = out[name].astype("Int64")
-                elif kind == "double":
-                    out[name] = out[name].astype("Float64")
-                else:
-                    out[name] = pd.Series([v if isinstance(v, (str, list)) else None for v in out[name]], dtype=object)
-            yield out
-
-    content = F.col("content") if header_bytes is None else F.expr(f"substring(content, 1, {header_bytes})")
-    return files.select("path", content.alias("content")).mapInPandas(parse, META)
+            for path, content in zip(rows.column(0).to_pylist(), rows.column(1)):
+                data = memoryview(content.as_buffer()) if content.is_valid else b""
+                found.append(header_row(path, Ranges(lambda at, n, data=data: bytes(data[at : at + n]))))
+            yield _rows(found)
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(parse, META)
+
+
+def read_headers(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """One row of META for each path of a listing (scan_files), by byte ranges: directory offsets are followed, image data is not read.
+
+    A file costs the 4096-byte blocks its tags lie in, most bytes at the utmost; one
+    that asks for more, is missing or cannot be read has status BadFile. A store that Arrow
+    doesn't know fails the job: for such, read with Spark and use ingest_headers.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = []
+            for path in rows.column(0).to_pylist():
+                ranges = Ranges(lambda at, n: b"", most)
+                if path is not None:
+                    system, inner = file_system(path)
+                    try:
+                        with system.open_input_file(inner) as file:
+                            size = file.size()
+                            ranges.fetch = lambda at, n: file.read_at(max(0, min(n, size - at)), at) if at < size else b""
+                            found.append(header_row(path, ranges))
+                        continue
+                    except OSError:
+                        pass
+                found.append({"path": path, "status": "BadFile", "bytes_read": ranges.read})
+            yield _rows(found)
+
+    return files.select("path").mapInArrow(parse, META)
 
 
 def frame_header(data: bytes | None) -> dict:

@@ -133,7 +133,7 @@ def test_headers(spark, tmp_path):
     for name, data in {"1.dng": dng(16, 12), "2.dng": dng(16, 12, big=True), "3.dng": dng(16, 12, sub=True), "4.dng": dng(16, 12)[:40], "5.dng": b"", "6.txt": b"x"}.items():
         (tmp_path / "a" / name).write_bytes(data)
     listing = headers.scan_files(spark, str(tmp_path))
-    assert listing.count() == 4 and "content" not in listing.columns
+    assert listing.count() == 5 and listing.where("size = 0").count() == 1 and "content" not in listing.columns
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.dng").load(str(tmp_path))
     got = {r.path[-5]: r for r in headers.ingest_headers(files).collect()}
     for k in "123":
