@@ -24,7 +24,7 @@ from ._spark import column, own_fields, stored
 from ._text import parts, tidy
 from .bpe import Bpe
 from .packing import ranges, worker_cache
-from .piece_bpe import PieceBpe, read_model
+from .piece_bpe import SPACE, PieceBpe, read_model
 
 #: Elements of both lists that one piece of the merge path has.
 WORK = 1 << 16
@@ -83,8 +83,10 @@ class Coders:
     """Both tokenizers, with the bytes of their tokens as texts mean them."""
 
     def __init__(self, a_content: str, b_content: bytes):
-        self.a, self.b = Bpe(a_content), PieceBpe(b_content)
+        self.a, self.b = Bpe(a_content, 120_000), PieceBpe(b_content, 100_000)  # both caches share one worker
         self.a.cut, self.a.special = None, {}  # special tokens' strings are plain text
+        if not self.b.model["prefix"] or any(chr(b) not in self.a.vocabulary for b in range(256)):
+            raise ValueError("B must set a space before a text, A must have a token for each byte")
         self.b_sizes, self.b_offsets, self.b_bytes = self.b.piece_sizes, self.b.offsets, self.b.bytes
         # decimal ids with what may follow them, as a table of bytes
         self.digits = {}
@@ -94,18 +96,22 @@ class Coders:
             self.digits[name] = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes, size
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A and B; none where either's bytes are not those of space and text."""
+        """Ids of A and B; none where either's bytes are not those of space and text.
+
+        A has a token for each byte, so it keeps every text. B keeps all but the sign
+        that it writes for a space, and letters that it has no id for.
+        """
         none = np.zeros(0, np.int64)
-        if not text:
+        if not text or SPACE in text:
             return none, none
         known, a = self.a.known, self.a
         pieces = a.split.findall(" " + text)
         for piece in known.refresh(set(pieces)):
-            known[piece] = np.array(a.encode_piece(piece.encode().decode("latin-1")), "<u4").tobytes()
-        i = np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4").astype(np.int64)
-        j = np.frombuffer(self.b.encode(text), "<u4").astype(np.int64)
-        want = (" " + text).encode()
-        if a.bytes[ranges(a.offsets[i], a.sizes[i])].tobytes() != want or self.b_bytes[ranges(self.b_offsets[j], self.b_sizes[j])].tobytes() != want:
+            ids = a.encode_piece(piece.encode().decode("latin-1"))
+            known[piece] = self.b.pack(len(ids))(*ids)
+        i = np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+        j = np.frombuffer(self.b.encode(text), "<u4")
+        if not self.b.model["bytes"] and (j == self.b.model["unknown"]).any():
             return none, none
         return i, j
 
@@ -116,20 +122,21 @@ class Coders:
         return offsets[at], sizes[at]
 
 
-def group_text(coders: Coders, i: np.ndarray, j: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> bytes:
-    """`a1,a2|b1;a3|b2,b3` of one document's ids and groups."""
+def group_texts(coders: Coders, i: np.ndarray, j: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """`a1,a2|b1;a3|b2,b3` of each document's ids and groups; tokens: how many of both kinds a document has."""
     last = lambda g: np.r_[g[1:] != g[:-1], True][: len(g)]
     table_a, table_b = coders.digits["a"][0], coders.digits["b"][0]
-    begin_a, size_a = coders.decimal("a", i, last(of_a))
-    begin_b, size_b = coders.decimal("b", j, last(of_b))
     both = np.concatenate([table_a, table_b])
     begin = np.empty(len(i) + len(j), np.int64)
     size = np.empty(len(i) + len(j), np.int64)
     at_a = np.arange(len(i)) + np.searchsorted(of_b, of_a, side="left")
     at_b = np.arange(len(j)) + np.searchsorted(of_a, of_b, side="right")
-    begin[at_a], size[at_a] = begin_a, size_a
-    begin[at_b], size[at_b] = begin_b + len(table_a), size_b
-    return b"".join([both[ranges(begin[k : k + WORK], size[k : k + WORK])].tobytes() for k in range(0, len(begin), WORK)])[:-1]
+    begin[at_a], size[at_a] = coders.decimal("a", i, last(of_a))
+    begin[at_b], size[at_b] = coders.decimal("b", j, last(of_b))
+    begin[at_b] += len(table_a)
+    whole = memoryview(b"".join([both[ranges(begin[k : k + WORK], size[k : k + WORK])].tobytes() for k in range(0, len(begin), WORK)]))
+    ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(tokens)]].tolist()
+    return [bytes(whole[a : max(a, b - 1)]) for a, b in zip(ends, ends[1:])]
 
 
 def encoded_units(a_content: str, b_content: bytes, outputs: list[str]):
@@ -148,12 +155,11 @@ def encoded_units(a_content: str, b_content: bytes, outputs: list[str]):
         for batch in rows:
             for part in parts(batch, "_whole", UNIT_BYTES):
                 coded = [coders.encode(t.as_py() or "") for t in part.column(part.schema.get_field_index("_whole"))]
-                i, j = (np.concatenate([c[k] for c in coded]) for k in (0, 1))
+                i, j = (np.concatenate([c[k] for c in coded]).astype(np.int64) for k in (0, 1))
                 n_a, n_b = (np.array([len(c[k]) for c in coded], np.int64) for k in (0, 1))
                 links_a, links_b, of_a, of_b = align(np.cumsum(coders.a.sizes[i]), np.cumsum(coders.b_sizes[j]))
-                end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
-                sizes = np.diff(np.searchsorted(links_a, end_a, side="left"), prepend=0)
-                texts = [group_text(coders, i[e - n : e], j[f - m : f], of_a[e - n : e], of_b[f - m : f]) if n else b"" for e, n, f, m in zip(end_a.tolist(), n_a.tolist(), end_b.tolist(), n_b.tolist())]
+                sizes = np.diff(np.searchsorted(links_a, np.cumsum(n_a), side="left"), prepend=0)
+                texts = group_texts(coders, i, j, of_a, of_b, n_a + n_b)
                 keys = np.arange(row, row + part.num_rows)
                 row += part.num_rows
                 found = {
@@ -171,7 +177,10 @@ def encoded_units(a_content: str, b_content: bytes, outputs: list[str]):
                 yield pa.RecordBatch.from_pydict({f: every[f] if f in every else pa.nulls(part.num_rows, none[f]) for f in outputs})
                 if not len(links_a):
                     continue
-                pairs, place, counts = np.unique(i[links_a] * len(coders.b_sizes) + j[links_b], return_inverse=True, return_counts=True)
+                codes = i[links_a] * len(coders.b_sizes) + j[links_b]
+                narrow = np.int32 if len(coders.a.sizes) * len(coders.b_sizes) < 1 << 31 else np.int64
+                pairs, place, counts = np.unique(codes.astype(narrow), return_inverse=True, return_counts=True)
+                pairs = pairs.astype(np.int64)
                 order = np.argsort(-counts, kind="stable")
                 rank = np.empty(len(order), np.uint32 if len(order) > 1 << 16 else np.uint16)
                 rank[order] = np.arange(len(order))

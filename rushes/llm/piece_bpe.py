@@ -84,7 +84,7 @@ def read_model(content: bytes) -> dict:
 class PieceBpe:
     """Encoder and decoder of a model file's content."""
 
-    def __init__(self, content: bytes, most: int = 300_000):
+    def __init__(self, content: bytes, most: int = 150_000):
         import ahocorasick
         import regex
 
@@ -109,14 +109,13 @@ class PieceBpe:
         self.codes = [self.units[t] for t in self.texts]
         self.machine = ahocorasick.Automaton()
         for t, k in number.items():
-            self.machine.add_word(t, (len(t), k))
+            self.machine.add_word(t, (len(t) - 1, k))
         self.machine.make_automaton()
-        # no piece has a space after another character: texts fall into words that no merge joins
-        inner = any(SPACE in t.lstrip(SPACE) for t in ids)
-        self.words = None if inner else regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.words = self.splitter(ids, regex)
         self.foreign = regex.compile("([^" + "".join(regex.escape(c) for c in sorted(self.letters)) + "])") if self.letters else None
         self.fits: dict[int, bool] = {}
         self.known = Recent(most)
+        self.packers: dict[int, object] = {}
 
         surface = {NORMAL: lambda t: t.replace(SPACE, " ").encode(), CONTROL: lambda t: b"", UNKNOWN: lambda t: model["unknown_text"], BYTE: lambda t: bytes([int(t[3:5], 16)])}
         whole = [surface[kind](t) for t, _, kind in pieces]
@@ -124,6 +123,30 @@ class PieceBpe:
         self.offsets = np.cumsum(self.piece_sizes) - self.piece_sizes
         self.bytes = np.frombuffer(b"".join(whole), np.uint8)
 
+    def splitter(self, pieces, regex):
+        """A pattern that parts texts only between characters which no piece has side by side, so where no merge takes place; None if a piece has a space after another character.
+
+        It parts before spaces, after letters where a sign follows that follows a letter
+        in no piece, and between signs and letters likewise.
+        """
+        if any(SPACE in t.lstrip(SPACE) for t in pieces):
+            return None
+        letter = {c for c in self.letters if regex.match(r"\p{L}", c)}
+        sides = {(a, b) for t in pieces for a, b in zip(t, t[1:])}
+        signs = self.letters - letter - {SPACE}
+        closing = signs - {b for a, b in sides if a in letter}
+        opening = signs - {a for a, b in sides if b in letter}
+        some = lambda chars: "[" + "".join(regex.escape(c) for c in sorted(chars)) + "]" if chars else "(?!)"
+        return regex.compile(rf"{SPACE}*\p{{L}}++(?={some(closing)}|{SPACE}|\Z)|[^{SPACE}\p{{L}}]*{some(opening)}(?=\p{{L}})|{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+    def pack(self, n: int):
+        """Packs n ids."""
+        if n > CACHED_CHARS:
+            return struct.Struct(f"<{n}I").pack
+        if n not in self.packers:
+            self.packers[n] = struct.Struct(f"<{n}I").pack
+        return self.packers[n]
+
     def merge(self, text: str, border: int = -1) -> list[str]:
         """What the characters of a short text merge to; [] as soon as a merge goes across the border, a number of characters."""
         parts = list(text)
@@ -151,26 +174,27 @@ class PieceBpe:
     def encode_run(self, run: str) -> list[int]:
         """Ids of a run of letters that occur in pieces."""
         n = len(run)
-        longest, span = [-1] * n, [0] * n
-        for end, (size, unit) in self.machine.iter(run):
-            at = end - size + 1
-            if size > span[at]:
-                span[at], longest[at] = size, unit
+        longest = [-1] * n
+        for end, (before, unit) in self.machine.iter(run):
+            longest[end - before] = unit  # of matches with one start, the last is the longest
         sizes, shorter, fits = self.sizes, self.shorter, self.fits
+        taken = [longest[0]]
+        at = sizes[taken[0]]
+        if at == n:
+            return self.codes[taken[0]]
         failed = bytearray((n >> 3) + 1)
-        taken: list[int] = []
-        at, unit = 0, longest[0]
+        unit = longest[at]
         while at < n:
             last = taken[-1] if taken else -1
+            row = last << 32
             while unit >= 0:
                 end = at + sizes[unit]
                 if not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
-                    pair = last << 32 | unit
-                    fit = fits.get(pair)
+                    fit = fits.get(row | unit)
                     if fit is None:
-                        fit = fits[pair] = self.compatible(last, unit)
+                        fit = fits[row | unit] = self.compatible(last, unit)
                     if fit:
                         break
                 unit = shorter[unit]
@@ -195,7 +219,7 @@ class PieceBpe:
             for run in self.foreign.split(word) if self.foreign else word:
                 if run:
                     ids += self.encode_run(run) if run[0] in self.letters else self.fallback(run)
-        return np.array(ids, "<u4").tobytes()
+        return self.pack(len(ids))(*ids)
 
     def encode(self, text: str) -> bytes:
         """Ids, little-endian 32-bit, of a text, without begin and end."""
