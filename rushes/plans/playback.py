@@ -88,10 +88,12 @@ def cube_text(spark, d):
 
 
 def lattice(spark):
-    """17 points a side, each channel index/16 to the power 1/2.2."""
+    """17 points a side; each channel depends on all three axes, each in another way."""
     i = F.col("id")
     points = spark.range(17**3).select(F.lit(1).cast("long").alias("lut"), F.lit(17).cast("long").alias("size"), (i % 17).alias("ri"), (F.floor(i / 17) % 17).alias("gi"), F.floor(i / 289).alias("bi"))
-    return lut.lattice(points.select("*", *[F.pow(F.col(f"{c}i") / 16, F.lit(1 / 2.2)).alias(c) for c in "rgb"]))
+    x, y, z = (F.col(f"{c}i") / 16 for c in "rgb")
+    bent = lambda c: F.pow(c, F.lit(1 / 2.2))
+    return points.select("*", (bent(x) * 0.7 + y * z * z * 0.3).alias("r"), (bent(y) * 0.6 + x * x * z * 0.4).alias("g"), (bent(z) * 0.8 + x * y * y * 0.2).alias("b"))
 
 
 def through_lut(spark, d):
@@ -177,11 +179,17 @@ WITH_CUBE = """cube as (select s_suppkey as lut, i, s_suppkey%10 as k from suppl
 rows as (select lut, 'look '||lut as title, 2::bigint as size, case when k=0 then 'InvalidLutFile' else 'None' end as status, i%2 as ri, (i//2)%2 as gi, i//4 as bi, (i%2)::double as r, k/10::double as g, (i//4)*0.5::double as b from cube)"""
 
 
-def _one_sided(c):
-    """The lattice value is a function of its own channel, so each channel interpolates by itself."""
-    at = lambda s: f"pow(least(16,greatest(0,floor({c}*17-0.5::double)+{s}))/16::double, 1/2.2::double)"
-    f = f"({c}*17-0.5::double-floor({c}*17-0.5::double))"
-    return f"{at(0)}*(1-{f})+{at(1)}*{f}"
+def _line(c, f):
+    """Linear interpolation of a function of one axis between 17 texel centres. Trilinear interpolation of a product of such functions is the product of theirs."""
+    at = lambda s: f.format(f"(least(16,greatest(0,floor({c}*17-0.5::double)+{s}))/16::double)")
+    part = f"({c}*17-0.5::double-floor({c}*17-0.5::double))"
+    return f"(({at(0)})*(1-{part})+({at(1)})*{part})"
+
+
+def _looked_up(r, g, b):
+    bent, same, square = "pow({0}, 1/2.2::double)", "{0}", "{0}*{0}"
+    new = {"r": (0.7, bent, r, 0.3, (same, g), (square, b)), "g": (0.6, bent, g, 0.4, (square, r), (same, b)), "b": (0.8, bent, b, 0.2, (same, r), (square, g))}
+    return ", ".join(f"round(avg({_line(c, f)}*{w}::double+{_line(p[1], p[0])}*{_line(q[1], q[0])}*{v}::double),6) as {n}" for n, (w, f, c, v, p, q) in new.items())
 
 
 ORACLES = {
@@ -197,8 +205,8 @@ b as (select clip, frame, r, d, {_NEW} as n from a) select clip, frame, {_tc_sql
     "c8_timecode_breaks": f"with {WITH_FRAMES}, m as (select f.clip, f.frame, f.frame+case when (f.clip+f.frame)%53=0 then 5 else 0 end as t from frames f join orders on o_orderkey=f.clip), s as (select clip, frame, t-lag(t) over w as tc_step, frame-lag(frame) over w as frame_step from m window w as (partition by clip order by frame)) select * from s where tc_step<>frame_step",
     "c9_duration_label": f"with {WITH_START}, a as (select clip, r, d, (last_frame-first_frame+1)*2000 as n from starts), b as (select clip, r, d, {_NEW} as n from a) select clip, {_tc_sql(hours=False)} as label from b",
     "e1_read_cube": f"with {WITH_CUBE} select * from rows",
-    "e2_apply_lut": f"with {WITH_RGB} select clip, " + ", ".join(f"round(avg({_one_sided(c)}),6) as {c}" for c in "rgb") + " from rgb group by clip",
-    "e3_apply_lut_mono": "with e as (select vec_id as frame, unnest(embedding) as e from embeddings), p as (select frame, floor(least(greatest(cast(e as double)+0.6::double,0::double),1::double)*65535)/65535 as v from e) select frame, " + ", ".join(f"round(avg({_one_sided('v')}),6) as {c}" for c in "rgb") + " from p group by frame",
+    "e2_apply_lut": f"with {WITH_RGB} select clip, " + _looked_up("r", "g", "b") + " from rgb group by clip",
+    "e3_apply_lut_mono": "with e as (select vec_id as frame, unnest(embedding) as e from embeddings), p as (select frame, floor(least(greatest(cast(e as double)+0.6::double,0::double),1::double)*65535)/65535 as v from e) select frame, " + _looked_up("v", "v", "v") + " from p group by frame",
     "e4_quantise_lut": f"with {WITH_CUBE} select lut, ri, gi, bi, " + ", ".join(f"floor(least(65535::double,greatest(0::double,{c}*65535)))::bigint as {c}" for c in "rgb") + " from rows",
     "e5_lut_audit": f"with {WITH_CUBE} select lut, 2::bigint as size, count(*) as n_rows, min(status) as status, true as monotone from rows group by lut",
     "e6_default_lut": f"with {WITH_FRAMES}, a as (select clip, ['Rec709','sRGB','LogC3','Log3G10','FilmGen5'][clip%5+1] as gamma from clips) select clip, gamma, case gamma when 'LogC3' then 'ARRI LogC3 to Rec. 709' when 'Log3G10' then 'RED Log3G10 to Rec. 709' when 'FilmGen5' then 'Blackmagic Film Gen. 5 to Rec. 709' end as lut from a",

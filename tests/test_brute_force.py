@@ -205,7 +205,23 @@ def test_large_tables_agree_with_small_ones(spark):
     samples = [(i, 1, draw.uniform(-0.2, 1.2), draw.random(), draw.random()) for i in range(50)] * 2 + [(99, 1, 1.0, 0.0, 0.5)]
     rgb = spark.createDataFrame(samples, "i long, lut long, r double, g double, b double")
     whole = lambda df: sorted((x.i, x.lut, round(x.r, 9), round(x.g, 9), round(x.b, 9)) for x in df.collect())
-    assert whole(lut.apply_large_lut(rgb, rows)) == whole(lut.apply_lut(rgb, lut.lattice(rows)))
+    assert whole(lut.apply_large_lut(rgb, rows)) == whole(lut.apply_lut(rgb, rows))
     middle = spark.createDataFrame([(1, 2, 0.5, 0.5, 0.5), (2, 2, 1.0, 0.0, 1.0)], rgb.schema)
     got = {x.i: (x.r, x.g, x.b) for x in lut.apply_large_lut(middle, spark.createDataFrame(large, schema)).collect()}
     assert got[1] == pytest.approx((0.5, 0, 0.5)) and got[2] == pytest.approx((1, 0, 0.5))
+
+
+def test_look_up_with_gaps(spark):
+    """Both ways: null channels and names, unknown tables, absent points, samples beyond the edge, tables over 65 points a side, other columns of any name."""
+    n = 66
+    draw = random.Random(9)
+    some = [(k, r, g, b) for k in (1, 2) for r in range(n) for g in (0, 1, 2) for b in (64, 65)]
+    rows = spark.createDataFrame([(f"t{k}", n, r, g, b, draw.random(), draw.random(), draw.random()) for k, r, g, b in some], "lut string, size long, ri long, gi long, bi long, r double, g double, b double")
+    samples = [(i, draw.choice(["t1", "t2"]), draw.uniform(-0.1, 1.1), draw.uniform(0, 2.4 / n), draw.uniform(64.6 / n, 1.2)) for i in range(80)]
+    samples += [(100, "t1", None, 0.0, 1.0), (101, None, 0.5, 0.0, 1.0), (102, "t3", 0.5, 0.0, 1.0), (103, "t1", 0.5, 0.5, 1.0), (104, "t2", 9.0, 0.0, 1.0)]
+    rgb = spark.createDataFrame([(*s, s[0]) for s in samples], "`a.b` long, lut string, r double, g double, b double, own0 long").repartition(3)
+    whole = lambda df: sorted((x.own0, x["a.b"], x.lut or "", *[None if v is None else round(v, 9) for v in (x.r, x.g, x.b)]) for x in df.collect())
+    near, far = whole(lut.apply_lut(rgb, rows)), whole(lut.apply_lut(rgb, rows, most=10))
+    assert near == far and len(near) == 85
+    assert [r[0] for r in near if r[3] is None] == [100, 101, 102, 103] and None not in near[-1]
+    assert lut.apply_lut(rgb.limit(0), rows).collect() == [] and lut.apply_lut(rgb, rows.limit(0)).where("r is not null").count() == 0
