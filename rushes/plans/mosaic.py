@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rushes.operators import mosaic
+from rushes.operators import bands, mosaic
 from rushes.plans.queries import MATRIX, WHITE
 from rushes.sources import footage as src
 
@@ -33,7 +33,7 @@ def linear(spark, d):
 
 
 def colours(spark, d, sites=("R", "G", "B")):
-    out = mosaic.debayer(samples(spark, d)).where(F.col("site").isin(*sites))
+    out = bands.debayer_bands(samples(spark, d), rows=4).where(F.col("site").isin(*sites))
     return out.select("frame", "y", "x", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
@@ -42,7 +42,7 @@ def green(spark, d):
 
 
 def opposite(spark, d):
-    out = mosaic.debayer(samples(spark, d)).where("site <> 'G'")
+    out = bands.debayer_bands(samples(spark, d), rows=4).where("site <> 'G'")
     return out.select("frame", "y", "x", F.round(F.when(F.col("site") == "R", F.col("b")).otherwise(F.col("r")), 6).alias("other"))
 
 
@@ -71,7 +71,7 @@ def recovered(spark, d):
 
 
 def developed(spark, d):
-    out = mosaic.develop(samples(spark, d), 0.05, 0.95, WHITE, MATRIX, 0.5)
+    out = bands.develop_bands(samples(spark, d), 0.05, 0.95, WHITE, MATRIX, 0.5, rows=4)
     return out.groupBy("frame").agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
 
 
