@@ -1,32 +1,107 @@
-"""A clip catalogue that grows as files are listed."""
+"""A clip catalogue that grows as files are listed: runs of frame numbers as keyed state."""
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rushes.operators.catalog import footage_files
 
+CLIP = "folder string, first_path string, last_path string, first_frame long, last_frame long, n_frames long, n_missing long, gaps array<struct<gap_start: long, gap_end: long>>"
+RUNS = "folder string, first_path string, last_path string, starts array<long>, ends array<long>"
+STATE = "first_path string, last_path string, starts array<long>, ends array<long>"
 
-def clip_state(files: DataFrame) -> DataFrame:
-    """folder, first_path, last_path, n_files of footage paths."""
-    return footage_files(files).groupBy("folder").agg(F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.count("*").alias("n_files"))
 
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [start, end] that touch or overlap become one; ascending."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.r_[True, starts[1:] > reach[:-1] + 1]
+    return starts[new], np.maximum.reduceat(ends[order], np.flatnonzero(new))
 
-def merge_state(before: DataFrame, new: DataFrame) -> DataFrame:
-    return before.unionByName(new).groupBy("folder").agg(F.min("first_path").alias("first_path"), F.max("last_path").alias("last_path"), F.sum("n_files").alias("n_files"))
 
+def numbered(files: DataFrame) -> DataFrame:
+    """folder, path, frame of footage files; frame is the name's last run of digits, null without one."""
+    return footage_files(files).select("folder", "path", F.expr("try_cast(nullif(regexp_extract(name, '([0-9]+)[^0-9]*$', 1), '') as bigint)").alias("frame"))
 
-def stream_catalogue(files: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Merges each batch of paths into the clip table under state/version=<batch>.
 
-    A batch reads the version before its own and overwrites its own, so a batch that is
-    run again gives the same table. Read the largest version for the present catalogue.
+def _runs_of_task(batches):
+    """A task's rows to runs, folder by folder, so that a folder sends its runs on and not its files."""
+    for batch in batches:
+        table = batch.to_pandas()
+        out = []
+        for folder, rows in table.groupby("folder", sort=False):
+            frame = rows["frame"].dropna().to_numpy(np.int64)
+            starts, ends = merged(frame, frame)
+            out.append((folder, rows["path"].min(), rows["path"].max(), starts, ends))
+        columns = list(zip(*out)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), *[pa.array(list(c), pa.list_(pa.int64())) for c in columns[3:]]], names=["folder", "first_path", "last_path", "starts", "ends"])
+
+
+def _clip_row(folder, first, last, starts, ends) -> dict:
+    gaps = [{"gap_start": int(a) + 1, "gap_end": int(b) - 1} for a, b in zip(ends[:-1], starts[1:])]
+    some = len(starts) > 0
+    n = int((ends - starts + 1).sum())
+    return {"folder": folder, "first_path": first, "last_path": last, "first_frame": int(starts[0]) if some else None, "last_frame": int(ends[-1]) if some else None, "n_frames": n, "n_missing": int(ends[-1] - starts[0]) + 1 - n if some else 0, "gaps": gaps}
+
+
+def _updated(key, batches, state):
+    first, last, starts, ends = None, None, [], []
+    if state.exists:
+        first, last, a, b = state.get
+        starts, ends = [np.array(a, np.int64)], [np.array(b, np.int64)]
+    for rows in batches:
+        first = min([*rows["first_path"], *([first] if first else [])])
+        last = max([*rows["last_path"], *([last] if last else [])])
+        starts += [np.asarray(x, np.int64) for x in rows["starts"]]
+        ends += [np.asarray(x, np.int64) for x in rows["ends"]]
+    s, e = merged(np.concatenate(starts), np.concatenate(ends))
+    state.update((first, last, s.tolist(), e.tolist()))
+    out = pd.DataFrame([_clip_row(key[0], first, last, s, e)])
+    for c in ("first_frame", "last_frame", "n_frames", "n_missing"):
+        out[c] = out[c].astype("Int64")
+    yield out
+
+
+def stream_clips(files: DataFrame) -> DataFrame:
+    """A stream of paths to a stream of CLIP rows: after each batch one for each folder that the batch touched.
+
+    The state of a folder is its first and last path and the runs of its frame numbers,
+    so it grows with the gaps, not with the frames. Files may come in any order and
+    again. Names without digits count for the paths alone.
     """
+    runs = numbered(files).mapInArrow(_runs_of_task, RUNS)
+    return runs.groupBy("folder").applyInPandasWithState(_updated, CLIP, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def clip_runs(files: DataFrame) -> DataFrame:
+    """CLIP rows of a listing that is at hand, by windows: the stream's batch twin."""
+    each = numbered(files)
+    paths = each.groupBy("folder").agg(F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    frames = each.where("frame is not null").select("folder", "frame").distinct()
+    before = F.lag("frame").over(Window.partitionBy("folder").orderBy("frame"))
+    gap = F.when(F.col("frame") - F.col("before") > 1, F.struct((F.col("before") + 1).alias("gap_start"), (F.col("frame") - 1).alias("gap_end")))
+    gaps = frames.withColumn("before", before).groupBy("folder").agg(F.count("*").alias("n_frames"), F.sort_array(F.collect_list(gap)).alias("gaps"))
+    missing = F.coalesce(F.col("last_frame") - F.col("first_frame") + 1 - F.col("n_frames"), F.lit(0))
+    return paths.join(gaps, "folder", "left").select("folder", "first_path", "last_path", "first_frame", "last_frame", F.coalesce("n_frames", F.lit(0)).alias("n_frames"), missing.alias("n_missing"), F.coalesce("gaps", F.array().cast("array<struct<gap_start: bigint, gap_end: bigint>>")).alias("gaps"))
+
+
+def stream_catalogue(files: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Appends to table the clips that each batch touched, under batch=<number>; a batch that is run again writes its own part anew."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return stream_clips(files).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        new = clip_state(batch)
-        if batch_id:
-            new = merge_state(batch.sparkSession.read.parquet(f"{state}/version={batch_id - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
 
-    return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_catalogue(spark: SparkSession, table: str) -> DataFrame:
+    """Each folder's latest CLIP row."""
+    rows = spark.read.option("basePath", table).schema(CLIP + ", batch long").parquet(f"{table}/batch=*")
+    columns = [c for c in rows.columns if c not in ("folder", "batch")]
+    return rows.groupBy("folder").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("folder", "r.*")

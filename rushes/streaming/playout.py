@@ -48,6 +48,46 @@ def playout_schedule(clips: DataFrame, velocities=VELOCITIES, preroll: int = 6)
 
 
 REACH = 128  # frames a block: the first pass looks at a tick's own block and the one before
+FAN = 16  # nodes under one of the next level
+
+
+def ready_tree(have: DataFrame, reach: int, levels: int) -> DataFrame:
+    """clip, level, node, first: when the first frame is ready in each block of reach frames (level 0), and in each FAN nodes of the level below."""
+    level = have.groupBy("clip", F.floor(F.col("_ready") / reach).cast("long").alias("node")).agg(F.min("ready_ts").alias("first"))
+    out = level.withColumn("level", F.lit(0))
+    for k in range(1, levels):
+        level = level.groupBy("clip", F.floor(F.col("node") / FAN).cast("long").alias("node")).agg(F.min("first").alias("first"))
+        out = out.unionByName(level.withColumn("level", F.lit(k)))
+    return out
+
+
+def levels_of(blocks: int) -> int:
+    """Levels after which at most FAN nodes are left of so many blocks."""
+    levels = 1
+    while blocks > FAN:
+        blocks, levels = -(-blocks // FAN) + 1, levels + 1
+    return levels
+
+
+def beside(ticks: DataFrame, reach: int, levels: int, sign: int, ends: tuple[int, int]) -> DataFrame:
+    """Each tick with the nodes that lie behind its block in play direction: on each level the siblings of its own node, on the topmost all up to the table's end.
+
+    Nearer nodes have lower levels; a tick has fewer than FAN on each, and FAN + 1 at most on the topmost.
+    """
+    node = [F.floor(F.col("frame") / reach / FAN**k).cast("long") for k in range(levels)]
+    at_level = lambda k: lambda n: F.struct(F.lit(k).alias("level"), n.alias("node"))
+    places = []
+    for k in range(levels):
+        if k + 1 < levels:
+            edge = F.floor(node[k] / FAN).cast("long") * FAN + (0 if sign > 0 else FAN - 1)
+        else:
+            edge = F.lit((ends[0] if sign > 0 else ends[1]) // FAN**k).cast("long")
+        # nothing where the own node is the edge already or lies beyond it
+        inner = node[k] - sign
+        near_end = F.least(inner, F.lit(ends[1] // FAN**k).cast("long")) if sign > 0 else F.greatest(inner, F.lit(ends[0] // FAN**k).cast("long"))
+        some = (near_end - edge) * sign >= 0
+        places.append(F.when(some, F.transform(F.sequence(edge, near_end), at_level(k))).otherwise(F.array().cast("array<struct<level: int, node: bigint>>")))
+    return ticks.withColumn("_at", F.explode(F.concat(*places))).select(*ticks.columns, "_at.level", "_at.node")
 
 
 def nearest_ready(ticks: DataFrame, ready: DataFrame, forward: bool = True, reach: int = REACH) -> DataFrame:
@@ -55,8 +95,10 @@ def nearest_ready(ticks: DataFrame, ready: DataFrame, forward: bool = True, reac
 
     ticks: clip, event_id, frame, tick_ts. ready: clip, frame, ready_ts. A frame counts if ready by the
     tick, at any distance. Both sides meet in blocks of reach frames, so a long clip is spread over
-    many keys. Ticks that find none there are few as a rule; they meet each farther block of their clip
-    that has a frame ready by the tick.
+    many keys. Ticks that find none there look further by a tree of when the first frame is ready in
+    each block: the nearest node on any level with one ready in time, then down by FAN children a
+    step to a block, and to its frames. A tick meets no more than FAN nodes on each level on
+    its way up and on its way down.
     """
     block = lambda c: F.floor(F.col(c) / reach).cast("long")
     sign = 1 if forward else -1
@@ -67,11 +109,22 @@ def nearest_ready(ticks: DataFrame, ready: DataFrame, forward: bool = True, reac
     met = probe.join(have.withColumn("_block", block("_ready")), ["clip", "_block"]).where(counts(F.col("_ready"), F.col("ready_ts")))
     most = F.max if forward else F.min
     best = met.groupBy("clip", "event_id").agg(most("_ready").alias("shown_frame"))
-    blocks = have.groupBy("clip", block("_ready").alias("_block")).agg(F.min("ready_ts").alias("_first"), F.collect_list(F.struct("_ready", "ready_ts")).alias("_have"))
-    far = ticks.join(best, ["clip", "event_id"], "left_anti").join(blocks, "clip").where(((block("frame") - F.col("_block")) * sign > 1) & (F.col("_first") <= F.col("tick_ts")))
-    ends = F.array_max if forward else F.array_min
-    nearest = ends(F.transform(F.filter("_have", lambda h: counts(h["_ready"], h["ready_ts"])), lambda h: h["_ready"]))
-    best = best.union(far.withColumn("_at", nearest).where("_at is not null").groupBy("clip", "event_id").agg(most("_at").alias("shown_frame")))
+
+    ends = have.agg(F.min(block("_ready")), F.max(block("_ready"))).first()
+    if ends[0] is None:
+        return ticks.join(best, ["clip", "event_id"], "left")
+    levels = levels_of(ends[1] - ends[0] + 1)
+    tree = ready_tree(have, reach, levels)
+    far = ticks.join(best, ["clip", "event_id"], "left_anti").select("clip", "event_id", "frame", "tick_ts")
+    near_first = F.struct("level", (F.col("node") * -sign).alias("key"), "node", "frame", "tick_ts")
+    in_time = beside(far, reach, levels, sign, (ends[0], ends[1])).join(tree, ["clip", "level", "node"]).where("first <= tick_ts")
+    found = in_time.groupBy("clip", "event_id").agg(F.min(near_first).alias("_n")).select("clip", "event_id", "_n.level", "_n.node", "_n.frame", "_n.tick_ts")
+    for k in range(levels - 1, 0, -1):
+        under = found.where(F.col("level") == k).withColumn("node", F.explode(F.sequence(F.col("node") * FAN, F.col("node") * FAN + FAN - 1))).withColumn("level", F.col("level") - 1)
+        down = under.join(tree, ["clip", "level", "node"]).where("first <= tick_ts").groupBy("clip", "event_id").agg(F.min(near_first).alias("_n")).select("clip", "event_id", "_n.level", "_n.node", "_n.frame", "_n.tick_ts")
+        found = found.where(F.col("level") < k).unionByName(down)
+    last = found.join(have.withColumn("node", block("_ready")), ["clip", "node"]).where(counts(F.col("_ready"), F.col("ready_ts")))
+    best = best.union(last.groupBy("clip", "event_id").agg(most("_ready").alias("shown_frame")))
     return ticks.join(best, ["clip", "event_id"], "left")
 
 

@@ -157,16 +157,20 @@ def test_cube_files(spark, tmp_path):
 
 
 def test_catalogue_stream(spark, tmp_path):
-    listing = src.files(spark, DATA)
-    listing.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("path string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = catalogue.stream_catalogue(stream, str(tmp_path / "state"), str(tmp_path / "check"))
-    assert query.awaitTermination(120)
-    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "state").glob("version=*"))
-    assert len(versions) == 3
-    got = spark.read.parquet(str(tmp_path / "state" / f"version={versions[-1]}"))
-    assert got.select("folder", "first_path", "last_path", "n_files").exceptAll(catalogue.clip_state(listing)).count() == 0
-    assert got.count() == catalogue.clip_state(listing).count()
+    """Files in any order and again: after all batches the state is what the whole listing gives, and a batch writes only its folders."""
+    listing = src.files(spark, DATA, mixed=True).union(spark.createDataFrame([("/x/no digits.dng",), ("/y/a_1.dng",), ("/y/a_2.dng",), ("/y/a_9.dng",), ("/y/a_10.DNG",), ("/y/a_1.dng",), ("/y/._a_5.dng",)], "path string"))
+    parts = [listing.where(F.pmod(F.xxhash64("path"), F.lit(3)) == k) for k in range(3)]
+    for k, part in enumerate([*parts, parts[0].limit(50)]):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    stream = spark.readStream.schema("path string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = catalogue.stream_catalogue(stream, str(tmp_path / "table"), str(tmp_path / "check"))
+    assert query.awaitTermination(300)
+    sizes = {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "table").glob("batch=*")}
+    assert len(sizes) >= 4 and min(sizes.values()) <= 50
+    got, want = (sorted(map(repr, df.select(*[c.split()[0] for c in catalogue.STATE.split(", ")[:2]], "folder", "first_frame", "last_frame", "n_frames", "n_missing", "gaps").collect())) for df in (catalogue.current_catalogue(spark, str(tmp_path / "table")), catalogue.clip_runs(listing)))
+    assert got == want
+    y = catalogue.clip_runs(listing).where("folder = '/y'").first()
+    assert (y.first_frame, y.last_frame, y.n_frames, y.n_missing, [tuple(g) for g in y.gaps]) == (1, 10, 4, 6, [(3, 8)])
 
 
 def test_session_stream(spark, tmp_path):
@@ -181,6 +185,26 @@ def test_session_stream(spark, tmp_path):
     assert got <= batch and len(got) > 0.9 * len(batch)
 
 
+@pytest.mark.parametrize("forward", [True, False])
+def test_nearest_ready_in_a_long_clip(spark, forward):
+    """A clip of a million frames: what a tick meets on each level is bounded, and the result is that of a scan."""
+    draw = random.Random(3)
+    n = 10**6
+    have = sorted((draw.randrange(n), draw.randint(0, 1000)) for _ in range(3000))
+    ticks = [(1, i, draw.randrange(-2000, n + 2000), draw.choice([0, 1, 2, 5, 500])) for i in range(1500)]
+    want = {}
+    for _, event, frame, ts in ticks:
+        found = [f for f, t in have if t <= ts and (f <= frame if forward else f >= frame)]
+        want[event] = (max if forward else min)(found, default=None)
+    t, r = spark.createDataFrame(ticks, "clip long, event_id long, frame long, tick_ts long"), spark.createDataFrame([(1, *h) for h in have], "clip long, frame long, ready_ts long")
+    assert {x.event_id: x.shown_frame for x in playout.nearest_ready(t, r, forward).collect()} == want
+    blocks = [f // playout.REACH for f, _ in have]
+    levels = playout.levels_of(max(blocks) - min(blocks) + 1)
+    met = playout.beside(t, playout.REACH, levels, 1 if forward else -1, (min(blocks), max(blocks))).groupBy("event_id").count().agg(F.max("count")).first()[0]
+    assert levels == 4 and met <= levels * playout.FAN + 1
+    assert playout.nearest_ready(t, r.limit(0), forward).where("shown_frame is not null").count() == 0
+
+
 @pytest.mark.parametrize("forward", [True, False])
 def test_nearest_ready_far_away(spark, forward):
     draw = random.Random(6)
