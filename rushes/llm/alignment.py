@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._backtrack import Backtracker, packed_words
 from ._spark import column, own_fields, stored
 from ._text import parts, tidy
 from .bpe import Bpe
@@ -84,9 +85,11 @@ class Coders:
 
     def __init__(self, a_content: str, b_content: bytes):
         self.a, self.b = Bpe(a_content, 120_000), PieceBpe(b_content, 100_000)  # both caches share one worker
-        self.a.cut, self.a.special = None, {}  # special tokens' strings are plain text
         if not self.b.model["prefix"] or any(chr(b) not in self.a.vocabulary for b in range(256)):
             raise ValueError("B must set a space before a text, A must have a token for each byte")
+        # all tokens of A are units; special tokens' strings are plain text
+        self.tracker = Backtracker(self.a.strings, self.a.compatible, 400_000, "\u0100")
+        self.a.machine = None
         self.b_sizes, self.b_offsets, self.b_bytes = self.b.piece_sizes, self.b.offsets, self.b.bytes
         # decimal ids with what may follow them, as a table of bytes
         self.digits = {}
@@ -95,25 +98,28 @@ class Coders:
             sizes = np.array([len(w) for w in words], np.int64)
             self.digits[name] = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes, size
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A and B; none where either's bytes are not those of space and text.
+    def encode_many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and B of each text; none where either's bytes are not those of space and text.
 
         A has a token for each byte, so it keeps every text. B keeps all but the sign
         that it writes for a space, and letters that it has no id for.
         """
-        none = np.zeros(0, np.int64)
-        if not text or SPACE in text:
-            return none, none
-        known, a = self.a.known, self.a
-        pieces = a.split.findall(" " + text)
-        for piece in known.refresh(set(pieces)):
-            ids = a.encode_piece(piece.encode().decode("latin-1"))
-            known[piece] = self.b.pack(len(ids))(*ids)
-        i = np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
-        j = np.frombuffer(self.b.encode(text), "<u4")
-        if not self.b.model["bytes"] and (j == self.b.model["unknown"]).any():
-            return none, none
-        return i, j
+        texts = ["" if not t or SPACE in t else t for t in texts]
+        pieces = [self.a.split.findall(" " + t) if t else [] for t in texts]
+        known, whole = self.a.known, self.a.vocabulary
+        new = known.refresh(set().union(*pieces))
+        spelled = [p.encode().decode("latin-1") for p in new]
+        # a piece that is a token needs no merging
+        known.update((p, np.array([whole[t]], "<u4").tobytes()) for p, t in zip(new, spelled) if t in whole)
+        rest = [(p, t) for p, t in zip(new, spelled) if t not in whole]
+        every = np.arange(len(self.a.strings) + 1)
+        known.update(zip([p for p, _ in rest], packed_words(*self.tracker.many([t for _, t in rest]), every, every)))
+        out = []
+        for of_text, b in zip(pieces, self.b.encode_many(texts)):
+            i, j = np.frombuffer(b"".join(map(known.__getitem__, of_text)), "<u4"), np.frombuffer(b, "<u4")
+            lost = not self.b.model["bytes"] and (j == self.b.model["unknown"]).any()
+            out.append((i[:0], j[:0]) if lost else (i, j))
+        return out
 
     def decimal(self, which: str, ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begins and sizes, in the table of bytes, of ids with the sign that follows them."""
@@ -154,7 +160,7 @@ def encoded_units(a_content: str, b_content: bytes, outputs: list[str]):
         row = TaskContext.get().partitionId() << 40
         for batch in rows:
             for part in parts(batch, "_whole", UNIT_BYTES):
-                coded = [coders.encode(t.as_py() or "") for t in part.column(part.schema.get_field_index("_whole"))]
+                coded = coders.encode_many(part.column(part.schema.get_field_index("_whole")).to_pylist())
                 i, j = (np.concatenate([c[k] for c in coded]).astype(np.int64) for k in (0, 1))
                 n_a, n_b = (np.array([len(c[k]) for c in coded], np.int64) for k in (0, 1))
                 links_a, links_b, of_a, of_b = align(np.cumsum(coders.a.sizes[i]), np.cumsum(coders.b_sizes[j]))

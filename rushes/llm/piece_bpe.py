@@ -7,21 +7,23 @@ merge to, and each two neighbours, merged anew from their characters, never merg
 across the border between them: regions without a merge across their borders do not
 see each other, whatever the order of scores.
 
-So the encoder goes through a text with the longest piece at each place (from one
-Aho-Corasick pass), asks a table of pairs, filled by merging anew, whether the
-piece may follow, and takes the next shorter one or goes back where it may not.
-What stands before a place is always the encoding of that prefix, so a place that
-failed once has failed for good; a bitfield keeps those places and time is linear.
+So an encoder that takes the longest piece at each place (from one Aho-Corasick
+pass), asks a table of pairs, filled by merging anew, whether it may follow, and takes
+the next shorter one or goes back where it may not, is exact (_backtrack.py).
+Texts part into words where no piece has the two characters side by side.
 Decoding gathers each piece's bytes by an offset table.
 """
 
 import struct
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._backtrack import Backtracker, packed_words
 from ._spark import map_texts
+from ._text import parts as text_parts
 from .packing import Recent, worker_cache
 
 SPACE = "▁"
@@ -85,37 +87,27 @@ class PieceBpe:
     """Encoder and decoder of a model file's content."""
 
     def __init__(self, content: bytes, most: int = 150_000):
-        import ahocorasick
         import regex
 
         model = read_model(content)
-        self.model, self.most = model, most
+        self.model = model
         pieces = model["pieces"]
         self.scores = {t: s for t, s, kind in pieces if kind == NORMAL}
         ids = {t: i for i, (t, _, kind) in enumerate(pieces) if kind == NORMAL}
         in_bytes = {int(t[3:5], 16): i for i, (t, _, kind) in enumerate(pieces) if kind == BYTE}
         self.letters = {c for t in ids for c in t}
         #: ids of each unit: a reachable piece, or a character that is no piece
-        self.units: dict[str, list[int]] = {t: [i] for t, i in ids.items() if len(self.merge(t)) == 1}
+        units: dict[str, list[int]] = {t: [i] for t, i in ids.items() if len(self.merge(t)) == 1}
         self.fallback = lambda c: [in_bytes[b] for b in c.encode()] if model["bytes"] else [model["unknown"]]
-        for c in self.letters - self.units.keys():
-            self.units[c] = self.fallback(c)
-        self.texts = list(self.units)
-        number = {t: k for k, t in enumerate(self.texts)}
-        self.sizes = [len(t) for t in self.texts]
-        self.shorter = [-1] * len(self.texts)
-        for k, t in enumerate(self.texts):
-            self.shorter[k] = next((number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in number), -1)
-        self.codes = [self.units[t] for t in self.texts]
-        self.machine = ahocorasick.Automaton()
-        for t, k in number.items():
-            self.machine.add_word(t, (len(t) - 1, k))
-        self.machine.make_automaton()
+        for c in self.letters - units.keys():
+            units[c] = self.fallback(c)
+        self.texts = list(units)
+        self.codes = np.array([i for k in units.values() for i in k], np.int64)
+        self.bounds = np.r_[0, np.cumsum([len(k) for k in units.values()])].astype(np.int64)
+        apart = next(chr(c) for c in range(0x10FFFF) if chr(c) not in self.letters)
+        self.tracker = Backtracker(self.texts, self.compatible, 4 * most, apart)
         self.words = self.splitter(ids, regex)
-        self.foreign = regex.compile("([^" + "".join(regex.escape(c) for c in sorted(self.letters)) + "])") if self.letters else None
-        self.fits: dict[int, bool] = {}
         self.known = Recent(most)
-        self.packers: dict[int, object] = {}
 
         surface = {NORMAL: lambda t: t.replace(SPACE, " ").encode(), CONTROL: lambda t: b"", UNKNOWN: lambda t: model["unknown_text"], BYTE: lambda t: bytes([int(t[3:5], 16)])}
         whole = [surface[kind](t) for t, _, kind in pieces]
@@ -132,20 +124,11 @@ class PieceBpe:
         if any(SPACE in t.lstrip(SPACE) for t in pieces):
             return None
         letter = {c for c in self.letters if regex.match(r"\p{L}", c)}
-        sides = {(a, b) for t in pieces for a, b in zip(t, t[1:])}
-        signs = self.letters - letter - {SPACE}
-        closing = signs - {b for a, b in sides if a in letter}
-        opening = signs - {a for a, b in sides if b in letter}
-        some = lambda chars: "[" + "".join(regex.escape(c) for c in sorted(chars)) + "]" if chars else "(?!)"
-        return regex.compile(rf"{SPACE}*\p{{L}}++(?={some(closing)}|{SPACE}|\Z)|[^{SPACE}\p{{L}}]*{some(opening)}(?=\p{{L}})|{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-    def pack(self, n: int):
-        """Packs n ids."""
-        if n > CACHED_CHARS:
-            return struct.Struct(f"<{n}I").pack
-        if n not in self.packers:
-            self.packers[n] = struct.Struct(f"<{n}I").pack
-        return self.packers[n]
+        sides = {(a, b) for t in pieces for a, b in zip(t, t[1:])} - {(SPACE, c) for c in self.letters}
+        # signs that some piece has behind a letter, and before one
+        behind, before = {b for a, b in sides if a in letter} - letter, {a for a, b in sides if b in letter} - letter
+        some = lambda chars: "".join(regex.escape(c) for c in sorted(chars - {SPACE}))
+        return regex.compile(rf"{SPACE}*\p{{L}}++(?![\p{{L}}{some(behind)}])|{SPACE}*[^{SPACE}\p{{L}}]*[^{SPACE}\p{{L}}{some(before)}](?=\p{{L}})|{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def merge(self, text: str, border: int = -1) -> list[str]:
         """What the characters of a short text merge to; [] as soon as a merge goes across the border, a number of characters."""
@@ -171,73 +154,50 @@ class PieceBpe:
         a, b = self.texts[left], self.texts[right]
         return bool(self.merge(a + b, len(a)))
 
-    def encode_run(self, run: str) -> list[int]:
-        """Ids of a run of letters that occur in pieces."""
-        n = len(run)
-        longest = [-1] * n
-        for end, (before, unit) in self.machine.iter(run):
-            longest[end - before] = unit  # of matches with one start, the last is the longest
-        sizes, shorter, fits = self.sizes, self.shorter, self.fits
-        taken = [longest[0]]
-        at = sizes[taken[0]]
-        if at == n:
-            return self.codes[taken[0]]
-        failed = bytearray((n >> 3) + 1)
-        unit = longest[at]
-        while at < n:
-            last = taken[-1] if taken else -1
-            row = last << 32
-            while unit >= 0:
-                end = at + sizes[unit]
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    if last < 0:
-                        break
-                    fit = fits.get(row | unit)
-                    if fit is None:
-                        fit = fits[row | unit] = self.compatible(last, unit)
-                    if fit:
-                        break
-                unit = shorter[unit]
-            if unit >= 0:
-                taken.append(unit)
-                at = end
-                unit = longest[at] if at < n else -1
-            else:  # nothing fits: this place has failed, its last unit gives way to a shorter one
-                failed[at >> 3] |= 1 << (at & 7)
-                taken.pop()
-                at -= sizes[last]
-                unit = shorter[last]
-        codes = self.codes
-        return [i for u in taken for i in codes[u]]
-
-    def encode_word(self, word: str) -> bytes:
-        """Ids, little-endian 32-bit, of a word; letters that no piece has stand alone."""
-        if self.letters.issuperset(word):
-            ids = self.encode_run(word)
-        else:
-            ids = []
-            for run in self.foreign.split(word) if self.foreign else word:
-                if run:
-                    ids += self.encode_run(run) if run[0] in self.letters else self.fallback(run)
-        return self.pack(len(ids))(*ids)
-
-    def encode(self, text: str) -> bytes:
-        """Ids, little-endian 32-bit, of a text, without begin and end."""
-        if not text:
-            return b""
-        if len(self.fits) > 4 * self.most:
-            self.fits.clear()
-        text = (SPACE if self.model["prefix"] else "") + text.replace(" ", SPACE)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids, little-endian 32-bit, of each word. Letters that no piece has stand alone."""
+        letters = self.letters
+        strange = {k: w for k, w in enumerate(words) if not letters.issuperset(w)}
+        if not strange:
+            return packed_words(*self.tracker.many(words), self.codes, self.bounds)
+        runs: list[str] = []
+        of: list[list] = []
+        for w in words if len(strange) == len(words) else strange.values():
+            parts: list = []
+            for inside, run in groupby(w, letters.__contains__):
+                run = "".join(run)
+                if inside:
+                    parts.append(len(runs))
+                    runs.append(run)
+                else:
+                    ids = [i for c in run for i in self.fallback(c)]
+                    parts.append(np.array(ids, "<u4").tobytes())
+            of.append(parts)
+        plain = [w for k, w in enumerate(words) if k not in strange]
+        done = self.encode_words(runs + plain) if runs or plain else []
+        joined = iter([b"".join([p if isinstance(p, bytes) else done[p] for p in parts]) for parts in of])
+        rest = iter(done[len(runs) :])
+        return [next(joined) if k in strange else next(rest) for k in range(len(words))]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids, little-endian 32-bit, of each text, without begin and end. New words of all texts are encoded together."""
+        prefix = SPACE if self.model["prefix"] else ""
+        texts = [prefix + t.replace(" ", SPACE) if t else "" for t in texts]
         if self.words is None:
-            return self.encode_word(text)
-        words = self.words.findall(text)
+            return self.encode_words(texts)
+        words = [self.words.findall(t) for t in texts]
         known = self.known
-        once = {}
-        for word in known.refresh(set(words)):
-            (known if len(word) <= CACHED_CHARS else once)[word] = self.encode_word(word)
-        if once:
-            return b"".join([once[w] if w in once else known[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+        new = known.refresh(set().union(*words))
+        long = {w for w in new if len(w) > CACHED_CHARS}
+        coded = dict(zip(new, self.encode_words(new)))
+        once = {w: coded.pop(w) for w in long}
+        known.update(coded)
+        if not once:
+            return [b"".join(map(known.__getitem__, w)) for w in words]
+        return [b"".join([once[x] if x in once else known[x] for x in w]) for w in words]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids that encode() made, with or without begin and end, in UTF-8."""
@@ -277,12 +237,12 @@ def code_pieces(docs: DataFrame, content: bytes, text_column: str = "text", ids:
         coder = piece_bpe_of(content)
         begin, end = (np.array([coder.model[k]], "<u4").tobytes() for k in ("begin", "end"))
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in rows:
+        for batch in (part for batch in rows for part in text_parts(batch, "_whole")):
             names = batch.schema.names
             out = {f: batch.column(i) for i, f in enumerate(names) if f != "_whole"}
             counts, digests, texts, lists = [], [], [], []
-            for text in batch.column(names.index("_whole")):
-                coded = begin + coder.encode(text.as_py() or "") + end
+            for ids_of in coder.encode_many([t or "" for t in batch.column(names.index("_whole")).to_pylist()]):
+                coded = begin + ids_of + end
                 decoded = coder.decode(coded)
                 counts.append(len(coded) // 4)
                 digests.append((sha(coded), sha(decoded)))
