@@ -421,9 +421,12 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if first is not None:
         known = stored(known.drop("label").join(components(first), "node", "left"))
 
-    met = _cells(_met(chosen).join(known.select("node", "label"), "node"), ["level", "gram", "least"], MEETING).join(known, "node")
+    met = _cells(_met(chosen).join(known.select("node", "label"), "node"), ["level", "gram", "least"], MEETING)
+    # a class's grams that go the same way travel as one row, with what is known of the class once
+    packed = met.repartition(parts, "node").groupBy("node", "least", "i", "j").agg(F.collect_list(F.struct("level", "gram")).alias("posts")).join(known, "node")
     # grams of like classes lie in one task, which tells of their candidates once
-    candidates = stored(met.repartition(parts, "least", "i", "j").sortWithinPartitions("level", "gram", "i", "j", "node").select("level", "gram", "i", "j", "node", "n", "known", "label").mapInArrow(tidy(cells_met(percent)), "a long, b long, crowd boolean"))
+    dealt = packed.repartition(parts, "least", "i", "j").select("i", "j", "node", "n", "known", "label", F.explode("posts").alias("post")).select("post.level", "post.gram", "i", "j", "node", "n", "known", "label")
+    candidates = stored(dealt.sortWithinPartitions("level", "gram", "i", "j", "node").mapInArrow(tidy(cells_met(percent)), "a long, b long, crowd boolean"))
 
     crowds = components(candidates.where("crowd")).withColumnRenamed("label", "bucket")
     crowds = _join_groups(crowds, crowds.groupBy("bucket").agg(F.count("*").alias("k"), F.count("*").alias("_k")), ["bucket"]).withColumnRenamed("_k", "k")
