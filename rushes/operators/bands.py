@@ -8,7 +8,7 @@ worked on together. Frames are whole rectangles of samples from (0, 0).
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rushes.operators import lut as luts
@@ -316,3 +316,70 @@ def develop_bands(pixels: DataFrame, black: float, white_level: float, white: tu
 
     out = _map_bands(pixels, work, rows, bits)
     return out.select("frame", "y", "x", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "rgb"])
+
+
+def _before(sums: DataFrame, place: str) -> DataFrame:
+    """frame, band, place, before: what a column's or diagonal's earlier bands add up to. sums: frame, band, place, s."""
+    earlier = Window.partitionBy("frame", place).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("frame", "band", place, F.sum("s").over(earlier).alias("before"))
+
+
+def rebuild_bands(residuals: DataFrame, predictor: int, precision: int = 16, point: int = 0, rows: int = ROWS) -> DataFrame:
+    """frame, y, x, v from residuals d by predictor 1 (left), 2 (up), 3 (diagonal) or 4 (left + up - diagonal), as mosaic.rebuild_samples.
+
+    Prefix sums in two levels: a band adds up its own residuals, and what the bands
+    above add is summed by column (by diagonal for predictor 3) over one row for each band, so no
+    task holds a frame. That sum travels to its band as a row of samples at y = -1. Each frame
+    is a whole rectangle from (0, 0); a part after a restart needs its own frame key.
+    """
+    if predictor not in (1, 2, 3, 4):
+        raise ValueError(predictor)
+    band = F.floor(F.col("y") / rows).cast("long")
+    every = residuals.select("frame", band.alias("band"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("d").cast("long").alias("d"))
+    along = lambda keep, order: F.sum("d").over(Window.partitionBy("frame").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(keep)
+    if predictor == 3:
+        # the edges are sums along the edge; from there diagonals add up
+        top = every.where("y = 0").select("frame", "band", "y", "x", along("d", "x"))
+        left = every.where("x = 0 and y > 0").unionByName(every.where("x = 0 and y = 0")).select("frame", "band", "y", "x", along("d", "y")).where("y > 0")
+        every = every.where("x > 0 and y > 0").unionByName(top).unionByName(left)
+        sums = every.groupBy("frame", "band", (F.col("x") - F.col("y")).alias("line")).agg(F.sum("d").alias("s"))
+        # a diagonal passes through the bands below it, whether or not it has samples left there
+        last = every.groupBy("frame").agg(F.max("x").alias("wide"))
+        carried = _before(sums, "line").where("before is not null").join(last, "frame").withColumn("x", F.col("line") + F.col("band") * rows).where("x between 1 and wide").select("frame", "band", "x", F.col("before").alias("d"))
+    else:
+        sums = every.groupBy("frame", "band", "x").agg(F.sum("d").alias("s"))
+        carried = _before(sums, "x").where("before is not null").select("frame", "band", "x", F.col("before").alias("d"))
+        if predictor == 2:
+            top = every.where("y = 0").select("frame", "x", along("a", "x"), "d").select("frame", "x", (F.col("a") - F.col("d")).alias("a"))
+            bands_of = every.select("frame", "band").distinct()
+            first = bands_of.join(top, "frame").select("frame", "band", "x", F.col("a").alias("d"))
+            carried = carried.unionByName(first)
+    carried = carried.groupBy("frame", "band", "x").agg(F.sum("d").alias("d"))
+    # a band has a row of sums for all of its columns, zeros where nothing is carried
+    widths = every.select("frame", "band", "x").distinct().withColumn("d", F.lit(0).cast("long"))
+    offsets = widths.unionByName(carried).groupBy("frame", "band", "x").agg(F.sum("d").alias("d")).withColumn("y", F.lit(-1).cast("long"))
+    spread = every.unionByName(offsets).repartition("frame", "band").sortWithinPartitions("frame", "band", "y", "x")
+    kind = residuals.schema["frame"].dataType.simpleString()
+    seed = 1 << (precision - point - 1)
+
+    def run(batches):
+        for batch in whole_bands(batches):
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            d, y, x = (column(n).to_numpy() for n in ("d", "y", "x"))
+            for _, _, index in blocks_of(batch):
+                carry, block = d[index[:, 0]], d[index[:, 1:]]
+                if predictor == 1:
+                    total = np.cumsum(block, 2) + (np.cumsum(block[:, :, 0], 1) - block[:, :, 0] + carry[:, :1])[:, :, None]
+                elif predictor == 2:
+                    total = np.cumsum(block, 1) + carry[:, None]
+                elif predictor == 4:
+                    total = np.cumsum(np.cumsum(block, 1) + carry[:, None], 2)
+                else:
+                    total = block.copy()
+                    total[:, 0] += carry
+                    for r in range(1, block.shape[1]):
+                        total[:, r, 1:] += total[:, r - 1, :-1]
+                place = index[:, 1:].ravel()
+                yield pa.RecordBatch.from_arrays([column("frame").take(pa.array(place)), pa.array(y[place]), pa.array(x[place]), pa.array((total.ravel() + seed) % 65536)], names=["frame", "y", "x", "v"])
+
+    return spread.mapInArrow(run, f"frame {kind}, y long, x long, v long")

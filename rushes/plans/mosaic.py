@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rushes.operators import bands, mosaic
-from rushes.plans.queries import MATRIX, WHITE
+from rushes.plans.queries import MATRIX, WHITE, WITH_RGB
 from rushes.sources import footage as src
 
 PATTERNS = ["RGGB", "BGGR", "GRBG", "GBRG"]
@@ -60,19 +60,19 @@ def tiles(spark, d):
 def _rebuilt(predictor):
     def query(spark, d):
         residuals = src.pixels(spark, d).select("frame", "y", "x", (F.col("v") % 512 - 256).alias("d"))
-        return mosaic.rebuild_samples(residuals, predictor)
+        return bands.rebuild_bands(residuals, predictor, rows=3)
 
     return query
 
 
 def recovered(spark, d):
     out = mosaic.highlight_recovery(src.rgb(spark, d), tuple(w / min(WHITE) for w in WHITE))
-    return out.groupBy("clip").agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
+    return out.groupBy("clip").agg(*[F.avg(c).alias(c) for c in "rgb"])
 
 
 def developed(spark, d):
     out = bands.develop_bands(samples(spark, d), 0.05, 0.95, WHITE, MATRIX, 0.5, rows=4)
-    return out.groupBy("frame").agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
+    return out.groupBy("frame").agg(*[F.avg(c).alias(c) for c in "rgb"])
 
 
 QUERIES = {
@@ -140,6 +140,61 @@ def _bits_sql():
     return f"with p as (select vec_id as frame, [floor((cast(e as double)+0.6::double)*200)::bigint for e in embedding[1:63]] as b from embeddings) select frame, {digest(10, 5, 12)}, {digest(12, 3, 20)}, {digest(14, 7, 9)} from p"
 
 
+def _steps(a, b, x):
+    t = f"least(1.0::double,greatest(0.0::double,(({x})-({a}))/(({b})-({a}))))"
+    return f"({t}*{t}*(3-2*{t}))"
+
+
+def recovery_sql(source, white):
+    """CTEs from source (r, g, b and others) to recovered (the same columns) by the camera's white."""
+    c, out, before = "rgb", [], source
+
+    def stage(name, columns):
+        nonlocal before
+        out.append(f"{name} as (select *, " + ", ".join(f"{e} as {n}" for n, e in columns.items()) + f" from {before})")
+        before = name
+
+    lerp = lambda a, b, t: f"(({a})+(({b})-({a}))*({t}))"
+    for u in range(3):
+        o = [k for k in range(3) if k != u]
+        stage(f"want{u}", {f"y{u}{k}": f"{c[u]}*{white[k] / max(1e-3, white[u])!r}::double" for k in o} | {f"t{u}": _steps("0.2475::double", "0.99::double", c[u])})
+        stage(f"scale{u}", {f"s{u}": "(" + "+".join(f"{c[k]}/greatest(0.001::double,y{u}{k})" for k in o) + ")/2", f"over{u}": " or ".join(f"{c[k]}>y{u}{k}" for k in o)})
+        two = {f"two{u}{u}": lerp(c[u], f"{white[u]!r}::double", f"t{u}")}
+        for k in o:
+            high = f"greatest({c[k]},y{u}{k})"
+            two[f"two{u}{k}"] = lerp(f"case when over{u} then {high}*0.4::double+y{u}{k}*s{u}*0.6::double else {high} end", f"{white[k]!r}::double", f"t{u}")
+        stage(f"pair{u}", two)
+    for k in range(3):
+        u1, u2 = [n for n in range(3) if n != k]
+        a, b = c[u1], c[u2]
+        stage(f"mid{k}", {f"m{k}": f"case when {a}<{b} then {b} else {a} end", f"w{k}": f"case when {a}<{b} then {white[u2]!r}::double else {white[u1]!r}::double end", f"g{k}": _steps("-0.5::double", "0.5::double", f"log2(greatest(1e-30::double,{a})/greatest(0.001::double,{b}))")})
+        stage(f"low{k}", {f"q{k}": f"w{k}/greatest(0.001::double,m{k})", f"l{k}": f"least(m{k},w{k}*w{k}/greatest(0.001::double,m{k}))"})
+        stage(f"edge{k}", {f"e{k}": _steps(f"l{k}", f"greatest(0.99::double,l{k}+1e-12::double)", f"m{k}")})
+        stage(f"single{k}", {f"one{k}{n}": lerp(lerp(f"two{u1}{n}", f"two{u2}{n}", f"g{k}"), f"{white[n]!r}::double*q{k}", f"e{k}") for n in range(3)})
+    stage("counted", {"nc": "+".join(f"({x}>=0.99::double)::int" for x in c), "top": "greatest(r,g,b)"})
+    stage("picked", {"ci": "case when nc=1 then case when r>=0.99::double then 0 when g>=0.99::double then 1 else 2 end when r=top then 0 when g=top then 1 else 2 end", "ui": "case when r<0.99::double then 0 when g<0.99::double then 1 else 2 end", "close": _steps("0.495::double", "0.99::double", "top")})
+    pick = lambda kind, by, n: f"case {by} when 0 then {kind}0{n} when 1 then {kind}1{n} else {kind}2{n} end"
+    new = ", ".join(f"case nc when 3 then {white[n]!r}::double when 2 then {pick('two', 'ui', n)} when 1 then {pick('one', 'ci', n)} else {lerp(c[n], pick('one', 'ci', n), 'close')} end as {c[n]}" for n in range(3))
+    out.append(f"recovered as (select * replace ({new}) from picked)")
+    return ", ".join(out)
+
+
+LEAST_WHITE = tuple(w / min(WHITE) for w in WHITE)
+_LIGHT = "(r*0.2126::double+g*0.7152::double+b*0.0722::double)"
+_FAR = "(0.1::double/sqrt(0.2::double))"
+DEVELOPED = f"""{WITH_COLOURS.replace(',6) as r,', ',15) as r,').replace(',6) as g,', ',15) as g,').replace(',6) as b from o', ',15) as b from o')},
+lev as (select frame, (r-0.05::double)/(0.95::double-0.05::double) as r, (g-0.05::double)/(0.95::double-0.05::double) as g, (b-0.05::double)/(0.95::double-0.05::double) as b from colours),
+{recovery_sql('lev', LEAST_WHITE)},
+ex as (select frame, r*2.0::double**0.5 as r, g*2.0::double**0.5 as g, b*2.0::double**0.5 as b from recovered),
+di as (select frame, greatest(0.0,r*1.2-g*0.15-b*0.05) as r, greatest(0.0,g*1.15-r*0.1-b*0.05) as g, greatest(0.0,b*1.2-g*0.2) as b from ex),
+up as (select frame, 2*r/(2*{_LIGHT}+1) as r, 2*g/(2*{_LIGHT}+1) as g, 2*b/(2*{_LIGHT}+1) as b from di),
+ro as (select *, {_LIGHT} as l, least(1.0,greatest(0.0,{_steps('2.0::double**(-2.5)', '2.0::double**0.25', _LIGHT)}**0.4::double)) as t from up),
+so as (select frame, r+(l-r)*t as r, g+(l-g)*t as g, b+(l-b)*t as b from ro),
+ga as (select *, greatest(r,g,b) as ac, {_FAR} as s from so),
+cg as (select frame, """ + ", ".join(f"ac-abs(ac)*(case when ac=0 then 0 when (ac-{c})/abs(ac)<0.9 then (ac-{c})/abs(ac) else s*sqrt(greatest(0.0,(ac-{c})/abs(ac)-0.9::double+s*s/4))-s*sqrt(s*s/4)+0.9::double end) as {c}" for c in "rgb") + " from ga)"
+_REC709 = "(case when {c}<0.018053968510807::double then {c}*4.5 else 1.09929682680944::double*{c}**(1/2.2::double)-0.09929682680944::double end)"
+
+
 ORACLES = {
     "d1_unpack_bits": _bits_sql(),
     "d2_linearise": f"with {_GRID}, p as (select frame, 200+frame%4*20 as k, v[y*8+x+1]/65535/16/(4095/65535::double)*16-0.5::double as p from grid), q as (select frame, k, p-floor(p) as f, greatest(0,least(15,floor(p))) as lo, greatest(0,least(15,floor(p)+1)) as hi from p), l as (select frame, (lo*lo*k+(hi*hi*k-lo*lo*k)*f)/65535 as v from q) select frame, round(avg(v),6) as v, round(max(v),6) as most from l group by frame",
@@ -147,6 +202,8 @@ ORACLES = {
     "d5_chroma_at_chroma": f"with {WITH_COLOURS} select frame, y, x, other from colours where site<>'G'",
     "d6_chroma_at_green": f"with {WITH_COLOURS} select frame, y, x, r, g, b from colours where site='G'",
     "d7_debayer": f"with {WITH_COLOURS} select frame, y, x, r, g, b from colours",
+    "d8_highlight_recovery": f"with {WITH_RGB}, {recovery_sql('rgb', LEAST_WHITE)} select clip, avg(r) as r, avg(g) as g, avg(b) as b from recovered group by clip",
+    "d16_develop": f"with {DEVELOPED} select frame, " + ", ".join(f"avg({_REC709.format(c=c)}) as {c}" for c in "rgb") + " from cg group by frame",
     "d14_crop_orient": f"with {_GRID}, c as (select frame, y, x, v[y*8+x+1]::bigint as v, frame%8+1 as o from grid where x<6 and y<4) select frame, case when o in (1,2) then y when o in (3,4) then 3-y when o in (5,6) then x else 5-x end as y, case when o in (1,4) then x when o in (2,3) then 5-x when o in (5,8) then y else 3-y end as x, v from c",
     "d17_assemble_tiles": "with g as (select vec_id as frame, embedding as e, y, x from embeddings, range(6) as a(y), range(7) as b(x)) select frame, y, x, floor((cast(e[((y//4)*2+x//4)*16+(y%4)*4+x%4+1] as double)+0.6::double)*65535)::bigint as v from g",
     "d18_predictor_1": _sum_sql("(b.x=0 and b.y<=a.y) or (b.y=a.y and b.x between 1 and a.x)"),

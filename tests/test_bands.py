@@ -89,3 +89,31 @@ def test_a_frame_lies_in_several_tasks(spark):
     with pytest.raises(Exception, match="whole rectangle"):
         bands.debayer_bands(pixels.where("x < 30 or y < 20")).collect()
     assert bands.debayer_bands(pixels.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("predictor", [1, 2, 3, 4])
+@pytest.mark.parametrize("rows", [1, 3, 64])
+def test_prediction_in_bands(spark, predictor, rows):
+    """Against plain Python: wide, tall, one-row and one-column frames."""
+    draw = random.Random(predictor)
+    sizes, data, want = [(8, 6), (13, 4), (5, 11), (1, 6), (6, 1)], [], {}
+    for f, (h, w) in enumerate(sizes):
+        v = {}
+        for y in range(h):
+            for x in range(w):
+                d = draw.randint(-40000, 40000)
+                data.append((f, y, x, d))
+                if x == 0 and y == 0:
+                    guess = 32768
+                elif y == 0:
+                    guess = v[y, x - 1]
+                elif x == 0:
+                    guess = v[y - 1, x]
+                else:
+                    a, b, c = v[y, x - 1], v[y - 1, x], v[y - 1, x - 1]
+                    guess = {1: a, 2: b, 3: c, 4: a + b - c}[predictor]
+                v[y, x] = (guess + d) % 65536
+                want[f, y, x] = v[y, x]
+    residuals = spark.createDataFrame(data, "frame long, y long, x long, d long").repartition(4)
+    got = {(r.frame, r.y, r.x): r.v for r in bands.rebuild_bands(residuals, predictor, rows=rows).collect()}
+    assert got == want
