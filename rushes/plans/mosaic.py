@@ -182,7 +182,10 @@ def recovery_sql(source, white):
 LEAST_WHITE = tuple(w / min(WHITE) for w in WHITE)
 _LIGHT = "(r*0.2126::double+g*0.7152::double+b*0.0722::double)"
 _FAR = "(0.1::double/sqrt(0.2::double))"
-DEVELOPED = f"""{WITH_COLOURS.replace(',6) as r,', ',15) as r,').replace(',6) as g,', ',15) as g,').replace(',6) as b from o', ',15) as b from o')},
+# the same in the order of the operator's sums: a highlight's largest channel can hang on the last bit
+_DH2, _DV2 = f"(2*{_C}-{_n(0, -2)}-{_n(0, 2)})", f"(2*{_C}-{_n(-2, 0)}-{_n(2, 0)})"
+_EXACT = WITH_COLOURS.replace(f"({_A}+{_B}+{_L}+{_R})/4+({_DH}+{_DV})/8", f"((({_L}+{_R})/2+{_DH2}/4)+(({_A}+{_B})/2+{_DV2}/4))/2").replace(_DH, _DH2).replace(_DV, _DV2).replace("round(other,6) as other, ", "").replace("round(case", "(case").replace("end,6)", "end)")
+DEVELOPED = f"""{_EXACT},
 lev as (select frame, (r-0.05::double)/(0.95::double-0.05::double) as r, (g-0.05::double)/(0.95::double-0.05::double) as g, (b-0.05::double)/(0.95::double-0.05::double) as b from colours),
 {recovery_sql('lev', LEAST_WHITE)},
 ex as (select frame, r*2.0::double**0.5 as r, g*2.0::double**0.5 as g, b*2.0::double**0.5 as b from recovered),
