@@ -22,14 +22,14 @@ from pyspark.sql import types as T
 
 from ._backtrack import Backtracker, packed_words
 from ._spark import column, own_fields, stored
-from ._text import parts, tidy
+from ._text import give_back, parts, tidy
 from .bpe import Bpe
 from .packing import ranges, worker_cache
 from .piece_bpe import SPACE, PieceBpe, read_model
 
 #: Elements of both lists that one piece of the merge path has.
 WORK = 1 << 16
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 3 << 19
 #: Pairs with at least one in so many links are told to all tasks.
 FREQUENT = 1 << 17
 COUNTS = "_n_a long, _n_b long, _n_groups long, _n_links long, _groups_sha256 string"
@@ -84,11 +84,11 @@ class Coders:
     """Both tokenizers, with the bytes of their tokens as texts mean them."""
 
     def __init__(self, a_content: str, b_content: bytes):
-        self.a, self.b = Bpe(a_content, 120_000), PieceBpe(b_content, 100_000)  # both caches share one worker
+        self.a, self.b = Bpe(a_content, 80_000), PieceBpe(b_content, 60_000)  # both caches share one worker
         if not self.b.model["prefix"] or any(chr(b) not in self.a.vocabulary for b in range(256)):
             raise ValueError("B must set a space before a text, A must have a token for each byte")
         # all tokens of A are units; special tokens' strings are plain text
-        self.tracker = Backtracker(self.a.strings, self.a.compatible, 400_000, "\u0100")
+        self.tracker = Backtracker(self.a.strings, self.a.compatible, 240_000, "\u0100")
         self.a.machine = None
         self.b_sizes, self.b_offsets, self.b_bytes = self.b.piece_sizes, self.b.offsets, self.b.bytes
         # decimal ids with what may follow them, as a table of bytes
@@ -193,6 +193,9 @@ def encoded_units(a_content: str, b_content: bytes, outputs: list[str]):
                 with_links = np.flatnonzero(sizes)
                 unit = {"pairs": [pairs[order]], "counts": [counts[order].astype(np.int32)], "links": [rank[place].tobytes()], "keys": [keys[with_links].tobytes()], "sizes": [sizes[with_links].tobytes()]}
                 yield pa.RecordBatch.from_pydict({f: pa.array(unit[f], none[f]) if f in unit else pa.nulls(1, every[f].type) for f in outputs})
+                # a unit's arrays are many times its text
+                del coded, i, j, links_a, links_b, of_a, of_b, texts, codes, pairs, place, counts, order, rank, unit
+                give_back()
 
     return run
 
