@@ -88,7 +88,7 @@ class Coders:
         if not self.b.model["prefix"] or any(chr(b) not in self.a.vocabulary for b in range(256)):
             raise ValueError("B must set a space before a text, A must have a token for each byte")
         # all tokens of A are units; special tokens' strings are plain text
-        self.tracker = Backtracker(self.a.strings, self.a.compatible, 240_000, "\u0100")
+        self.tracker = Backtracker(self.a.strings, self.a.compatible, 300_000, "\u0100")
         self.a.machine = None
         self.b_sizes, self.b_offsets, self.b_bytes = self.b.piece_sizes, self.b.offsets, self.b.bytes
         # decimal ids with what may follow them, as a table of bytes
@@ -149,6 +149,16 @@ def encoded_units(a_content: str, b_content: bytes, outputs: list[str]):
     """Task function: a row for each document with its key and counts, and one for each unit with its pairs and links."""
 
     def run(rows):
+        import gc
+
+        # caches of small objects make each collection dear, and nothing here is a cycle
+        gc.disable()
+        try:
+            yield from units(rows)
+        finally:
+            gc.enable()
+
+    def units(rows):
         import hashlib
 
         from pyspark import TaskContext
