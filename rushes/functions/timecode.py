@@ -11,7 +11,10 @@ def bcd(value: Column, tens_bits: int) -> Column:
 
 
 def smpte_decode(b0: Column, b1: Column, b2: Column, b3: Column) -> dict[str, Column]:
-    return {"ff": bcd(b0, 2), "ss": bcd(b1, 3), "mm": bcd(b2, 3), "hh": bcd(b3, 2), "is_drop": F.shiftright(b0.cast("int"), 6).bitwiseAND(F.lit(1)) == 1}
+    """Fields of the first four bytes: BCD numbers, the drop flag and the four user flags."""
+    bit = lambda b, at: F.shiftright(b.cast("int"), at).bitwiseAND(F.lit(1)) == 1
+    flags = {"is_drop": bit(b0, 6), "flag1": bit(b1, 7), "flag2": bit(b2, 7), "flag3": bit(b3, 6), "flag4": bit(b3, 7)}
+    return {"ff": bcd(b0, 2), "ss": bcd(b1, 3), "mm": bcd(b2, 3), "hh": bcd(b3, 2), **flags}
 
 
 def drop_frames(n: str, drop: int) -> Column:
@@ -46,31 +49,40 @@ def is_drop_rate(num: Column, den: Column) -> Column:
     return F.coalesce((den == 1001) & num.isin(30000, 60000), F.lit(False))
 
 
-def rate_columns(num: str = "rate_num", den: str = "rate_den") -> dict[str, Column]:
-    """rate (whole frames a second, 24 where there is none) and drop_step (2, 4 or 0)."""
-    step = F.when(is_drop_rate(F.col(num), F.col(den)), F.col(num) / 15000).otherwise(0)
+def rate_columns(num: str = "rate_num", den: str = "rate_den", flag: Column | None = None) -> dict[str, Column]:
+    """rate (whole frames a second, 24 where there is none) and drop_step (2, 4 or 0).
+
+    flag is a start timecode's drop flag: where it is not null it decides, not the rate, and
+    drop_step is -1 where it asks for dropping at a rate that has none.
+    """
+    drops = is_drop_rate(F.col(num), F.col(den))
+    step = F.when(drops, F.col(num) / 15000).otherwise(0)
+    if flag is not None:
+        step = F.when(flag.isNull(), step).when(~flag, 0).when(drops, step).otherwise(-1)
     return {"rate": F.coalesce(F.round(F.col(num) / F.col(den)), F.lit(24)).cast("long"), "drop_step": step.cast("long")}
 
 
 def renumbered(n: str) -> Column:
     """The number in column n with dropped numbers put back, by the column drop_step."""
     ten = "(8991 * greatest(drop_step, 2))"
-    return F.expr(f"if(drop_step = 0, {n}, {n} + 9 * drop_step * ({n} div {ten}) + drop_step * (({n} % {ten} - drop_step) div ({ten} div 10)))")
+    return F.expr(f"if(drop_step <= 0, {n}, {n} + 9 * drop_step * ({n} div {ten}) + drop_step * (({n} % {ten} - drop_step) div ({ten} div 10)))")
 
 
 def timecode_at_rate(n: str, hours: bool = True) -> Column:
     """Text of the renumbered frame in column n at the columns rate and drop_step.
 
-    Hours wrap at 24 with dropped frames only; without hours, minutes go on.
+    Hours wrap at 24 with dropped frames only; without hours, minutes go on. Where dropping
+    is asked for at a rate that has none (drop_step -1) all is 0.
     """
     two = lambda e: f"lpad(cast({e} as string), greatest(2, length(cast({e} as string))), '0')"
     second = f"({n} div rate)"
     minute = f"({second} div 60 % 60)" if hours else f"({second} div 60)"
     hour = two(f"if(drop_step = 0, {second} div 3600, {second} div 3600 % 24)") + ", ':', " if hours else ""
-    return F.expr(f"concat({hour}{two(minute)}, ':', {two(f'({second} % 60)')}, if(drop_step = 0, ':', ';'), {two(f'({n} % rate)')})")
+    text = f"concat({hour}{two(minute)}, ':', {two(f'({second} % 60)')}, if(drop_step = 0, ':', ';'), {two(f'({n} % rate)')})"
+    return F.expr(f"if(drop_step < 0, '{'00:' if hours else ''}00:00;00', {text})")
 
 
 def frames_at_rate(hh: str, mm: str, ss: str, ff: str) -> Column:
     """Frame number of a timecode at the columns rate and drop_step."""
     minutes = f"({hh} * 60 + {mm})"
-    return F.expr(f"{ff} + ({ss} + {minutes} * 60) * rate - drop_step * ({minutes} - {minutes} div 10)")
+    return F.expr(f"{ff} + ({ss} + {minutes} * 60) * rate - greatest(drop_step, 0) * ({minutes} - {minutes} div 10)")

@@ -25,6 +25,16 @@ def frame_numbers(footage: DataFrame, templates: DataFrame) -> DataFrame:
     return footage.join(templates.select("folder", "field_pos", "field_len"), "folder").select("path", F.expr("try_cast(substring(path, cast(field_pos as int) + 1, cast(field_len as int)) as bigint)").alias("frame"))
 
 
+def frame_paths(frames: DataFrame, templates: DataFrame) -> DataFrame:
+    """folder, frame, path: the first path with the frame's number, filled up with zeros, written over its field.
+
+    A longer number runs over what follows the field, as far as the path goes. frames: folder, frame.
+    """
+    number = F.lpad(F.col("frame").cast("string"), F.greatest(F.col("field_len").cast("int"), F.length(F.col("frame").cast("string"))), F.lit("0"))
+    path = F.overlay("first_path", number, (F.col("field_pos") + 1).cast("int"))
+    return frames.join(templates.select("folder", "first_path", "field_pos", "field_len"), "folder").select("folder", "frame", path.alias("path"))
+
+
 def clip_durations(frames: DataFrame) -> DataFrame:
     return frames.groupBy("clip").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame")).withColumn("duration", F.col("last_frame") - F.col("first_frame") + 1)
 
@@ -64,10 +74,12 @@ def duplicate_frames(frames: DataFrame) -> DataFrame:
 
 
 def sequence_problems(footage: DataFrame) -> DataFrame:
-    """Folders whose file names have several field widths or prefixes."""
+    """Folders whose file names have several field widths or prefixes, or no digits at all where the folder has: the number would be read from the folder's name."""
     digits = F.regexp_extract("name", r"([0-9]+)[^0-9]*$", 1)
     prefix = F.regexp_extract("name", r"^(.*?)[0-9]+[^0-9]*$", 1)
-    return footage.groupBy("folder").agg(F.count_distinct(F.length(digits)).alias("n_widths"), F.count_distinct(prefix).alias("n_prefixes")).where("n_widths > 1 or n_prefixes > 1")
+    in_folder = F.col("folder").rlike("[0-9]") & (F.max(F.length(digits)) == 0)
+    found = footage.groupBy("folder").agg(F.count_distinct(F.length(digits)).alias("n_widths"), F.count_distinct(prefix).alias("n_prefixes"), in_folder.alias("digits_in_folder_only"))
+    return found.where("n_widths > 1 or n_prefixes > 1 or digits_in_folder_only")
 
 
 def resolve_inputs(paths: DataFrame) -> DataFrame:
@@ -80,9 +92,11 @@ def resolve_inputs(paths: DataFrame) -> DataFrame:
 def with_frame_timecodes(frames: DataFrame, clips: DataFrame) -> DataFrame:
     """clip, frame, timecode: the frame's own number where there is one, else counted from the clip's start.
 
-    frames: clip, frame, tag_frame (nullable). clips: clip, rate_num, rate_den, first_frame, start (frames).
+    frames: clip, frame, tag_frame (nullable). clips: clip, rate_num, rate_den, first_frame, start (frames),
+    and is_drop, the start timecode's flag, if there is such a column.
     """
-    joined = frames.join(clips, "clip").withColumns(tc.rate_columns()).withColumn("n", F.coalesce("tag_frame", F.col("frame") - F.col("first_frame") + F.col("start")))
+    joined = frames.join(clips, "clip")
+    joined = joined.withColumns(tc.rate_columns(flag=F.col("is_drop") if "is_drop" in joined.columns else None)).withColumn("n", F.coalesce("tag_frame", F.col("frame") - F.col("first_frame") + F.col("start")))
     return joined.withColumn("n", tc.renumbered("n")).select("clip", "frame", tc.timecode_at_rate("n").alias("timecode"))
 
 
@@ -94,5 +108,5 @@ def timecode_breaks(frames: DataFrame) -> DataFrame:
 
 
 def duration_labels(clips: DataFrame) -> DataFrame:
-    """clip, label: the length as timecode without hours. clips: clip, duration, rate_num, rate_den."""
-    return clips.withColumns(tc.rate_columns()).withColumn("n", tc.renumbered("duration")).select("clip", tc.timecode_at_rate("n", hours=False).alias("label"))
+    """clip, label: the length as timecode without hours. clips: clip, duration, rate_num, rate_den, and is_drop if there is such a column."""
+    return clips.withColumns(tc.rate_columns(flag=F.col("is_drop") if "is_drop" in clips.columns else None)).withColumn("n", tc.renumbered("duration")).select("clip", tc.timecode_at_rate("n", hours=False).alias("label"))

@@ -271,6 +271,24 @@ def as_shot_white(profiles: DataFrame, by_neutral: DataFrame) -> DataFrame:
     return day.join(found, "clip", "left").select("clip", F.coalesce("_nx", "wx", "x").alias("x"), F.coalesce("_ny", "wy", "y").alias("y"))
 
 
+# White balance by name; the recorded one has none.
+WHITE_BALANCE = {"as shot": None, "shade": (7500.0, 10.0), "cloud": (6500.0, 10.0), "daylight": (5500.0, 10.0), "fluorescent": (3800.0, 21.0), "tungsten": (3200.0, 0.0)}
+
+
+def presets(clips: DataFrame) -> DataFrame:
+    """clip, kind, preset, kelvin, tint, exposure: what each clip can be set to. clips: clip, baseline_exposure.
+
+    White balances are the same for all; exposures are the recorded one and whole stops
+    around it, rounded to even, 0 where there is none. A setting that is not the row's is null.
+    """
+    nothing = F.lit(None).cast("double")
+    white = [F.struct(F.lit("white balance").alias("kind"), F.lit(n).alias("preset"), *[(F.lit(v[i]) if v else nothing).alias(c) for i, c in enumerate(("kelvin", "tint"))], nothing.alias("exposure")) for n, v in WHITE_BALANCE.items()]
+    base = F.bround(F.coalesce("baseline_exposure", F.lit(0.0)))
+    steps = {"as shot": None, "minus two": -2, "minus one": -1, "zero": 0, "plus one": 1, "plus two": 2}
+    stops = [F.struct(F.lit("exposure").alias("kind"), F.lit(n).alias("preset"), nothing.alias("kelvin"), nothing.alias("tint"), (nothing if v is None else base + float(v)).alias("exposure")) for n, v in steps.items()]
+    return clips.select("clip", F.explode(F.array(*white, *stops)).alias("p")).select("clip", "p.*")
+
+
 def effective_params(clips: DataFrame, overrides: DataFrame) -> DataFrame:
     """Settings in force: the clip's own, else defaults; a gamma stays for the next clips of a session.
 

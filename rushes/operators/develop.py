@@ -42,8 +42,21 @@ def tone_map(rgb: DataFrame) -> DataFrame:
     return up.withColumns({c: F.col(c) / (F.col("l") + 1.0) for c in "rgb"}).drop("l")
 
 
-def highlight_rolloff(rgb: DataFrame, under: float = 2**-2.5, power: float = 0.4) -> DataFrame:
-    """Mixes bright samples towards their luminance; the defaults are the medium level."""
+def tone_map_mono(values: DataFrame) -> DataFrame:
+    """Two and a half stops up, then v / (v + 1)."""
+    up = F.col("v") * 2.0**2.5
+    return values.withColumn("v", up / (up + 1.0))
+
+
+# Lower edge and power of the roll-off levels.
+ROLL_OFF = {"low": (2**-2.0, 0.5), "medium": (2**-2.5, 0.4), "high": (2**-2.5, 0.3)}
+
+
+def highlight_rolloff(rgb: DataFrame, level: str | None = "medium") -> DataFrame:
+    """Mixes bright samples towards their luminance, by level (low, medium, high; None leaves them)."""
+    if level is None:
+        return rgb
+    under, power = ROLL_OFF[level]
     lum = luminance(F.col("r"), F.col("g"), F.col("b"))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.pow(smoothstep(under, 2**0.25, F.col("l")), F.lit(power))))
     return rgb.withColumn("l", lum).withColumn("t", t).withColumns({c: F.col(c) + (F.col("l") - F.col(c)) * F.col("t") for c in "rgb"}).drop("l", "t")
@@ -80,9 +93,11 @@ def encode_gamma(x: Column, space: str) -> Column:
 
 
 def clipping_report(rgb: DataFrame) -> DataFrame:
-    """How many of a frame's samples have 0, 1, 2 and 3 channels at the clip level."""
+    """How many of a frame's samples have 0, 1, 2 and 3 channels at the clip level, and the share that has any."""
     n = sum(((F.col(c) >= CLIP_LEVEL).cast("int") for c in "rgb"), F.lit(0))
-    return rgb.withColumn("n", n).groupBy("clip", "frame").agg(*[F.count_if(F.col("n") == i).alias(f"n_clipped_{i}") for i in range(4)])
+    counts = rgb.withColumn("n", n).groupBy("clip", "frame").agg(*[F.count_if(F.col("n") == i).alias(f"n_clipped_{i}") for i in range(4)])
+    clipped = F.col("n_clipped_1") + F.col("n_clipped_2") + F.col("n_clipped_3")
+    return counts.withColumn("share", clipped / (F.col("n_clipped_0") + clipped))
 
 
 def quantise_8bit(rgb: DataFrame) -> DataFrame:

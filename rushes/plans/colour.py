@@ -196,10 +196,11 @@ QUERIES = {
     "h11_camera_to_xyz_d50": lambda s, d: _nine(colour.with_camera_to_xyz(colour.order_illuminants(profiles(s, d))), "camera_to_xyz"),
     "h12_camera_to_xyz_d65": lambda s, d: _nine(colour.with_camera_to_xyz(colour.order_illuminants(profiles(s, d)), white="D65"), "camera_to_xyz"),
     "h13_display_matrix": display,
-    "h14_camera_white": lambda s, d: _nine(colour.with_camera_white(_gamut(s, d), "gamut"), "white_max", 3),
+    "h14_camera_white": lambda s, d: _nine(colour.with_camera_white(_gamut(s, d), "gamut").withColumn("both", F.concat("white_max", "white_min")), "both", 6),
     "h15_normalise_matrix": _normalised,
     "h15_temp_tint_offset": lambda s, d: _nine(colour.with_temp_tint_offset(profiles(s, d), 300.0, 5.0), "color_offset"),
     "h16_effective_params": params,
+    "h16_presets": lambda s, d: colour.presets(src.clip_meta(s, d)),
 }
 
 ORACLES = {
@@ -214,8 +215,12 @@ ORACLES = {
     "h11_camera_to_xyz_d50": f"with {_camera_sql('D50')} {_nine_sql('m', 'cam')}",
     "h12_camera_to_xyz_d65": f"with {_camera_sql('D65')} {_nine_sql('m', 'cam')}",
     "h13_display_matrix": f"with {WITH_PROFILES}, a as (select clip, {_DISPLAY} as m, {_XYZ.format(x='wx', y='wy')} as white from profiles), b as (select clip, {_vec('m', 'white')} as v from a) {_nine_sql('v', 'b', 3)}",
-    "h14_camera_white": f"with {_camera_sql('D50')}, a as (select clip, m, {_DISPLAY} as dm from cam), b as (select clip, {_mul('dm', 'm')} as q from a), c as (select clip, {_inv('q')} as q from b), e as (select clip, [q[1]+q[2]+q[3], q[4]+q[5]+q[6], q[7]+q[8]+q[9]] as w from c), f as (select clip, [x/list_max(w) for x in w] as v from e) {_nine_sql('v', 'f', 3)}",
+    "h14_camera_white": f"with {_camera_sql('D50')}, a as (select clip, m, {_DISPLAY} as dm from cam), b as (select clip, {_mul('dm', 'm')} as q from a), c as (select clip, {_inv('q')} as q from b), e as (select clip, [q[1]+q[2]+q[3], q[4]+q[5]+q[6], q[7]+q[8]+q[9]] as w from c), f as (select clip, list_concat([x/list_max(w) for x in w], [x/list_min(w) for x in w]) as v from e) {_nine_sql('v', 'f', 6)}",
     "h15_normalise_matrix": f"with {WITH_PROFILES}, a as (select clip, cm1, fm1, {_XYZ.format(x='0.3457::double', y='0.3585::double')} as d from profiles), b as (select *, list_max({_vec('cm1', 'd')}) as top from a), c as (select *, case when top>0 and (top<0.99 or top>1.01) then top else 1 end as k from b) select clip, round(cm1[1]/k,6) as c0, round(cm1[5]/k,6) as c4, round(cm1[9]/k,6) as c8, round(fm1[1]*d[1]/(fm1[1]+fm1[2]+fm1[3]),6) as f0, round(fm1[5]*d[2]/(fm1[4]+fm1[5]+fm1[6]),6) as f4, round(fm1[9]*d[3]/(fm1[7]+fm1[8]+fm1[9]),6) as f8 from c",
+    "h16_presets": f"""with clip_meta as ({src.CLIP_META}), w as (select * from (values ('as shot', null, null), ('shade', 7500, 10), ('cloud', 6500, 10), ('daylight', 5500, 10), ('fluorescent', 3800, 21), ('tungsten', 3200, 0)) as t(preset, kelvin, tint)),
+e as (select * from (values ('as shot', null), ('minus two', -2), ('minus one', -1), ('zero', 0), ('plus one', 1), ('plus two', 2)) as t(preset, stops))
+select clip, 'white balance' as kind, preset, kelvin::double as kelvin, tint::double as tint, null::double as exposure from clip_meta, w
+union all select clip, 'exposure', preset, null, null, round_even(coalesce(baseline_exposure,0),0)+stops::double from clip_meta, e""",
     "h16_effective_params": f"""with clip_meta as ({src.CLIP_META}), own as (select {_K} as clip, case when {_K}%3=0 then ({_K}%7-3)/2::double end as exposure, case when {_K}%5=0 then 'LogC3' when {_K}%7=0 then 'sRGB' end as gamma, {_K} as k from customer),
 j as (select m.clip, m.baseline_exposure, own.exposure, own.gamma, own.k from clip_meta m left join own on own.clip=m.clip)
 select clip, coalesce(exposure, baseline_exposure, 0)::double as exposure, coalesce(last_value(gamma ignore nulls) over (partition by clip%50 order by clip rows unbounded preceding), 'Rec709') as gamma,

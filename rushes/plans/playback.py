@@ -26,6 +26,12 @@ def ticks(spark, d):
     return _numbered(spark, d).where("event_type in ('purchase', 'error')").select(F.col("user_id").alias("clip"), "event_id", (F.col("n") - 2).alias("frame"), F.col("ts").alias("tick_ts"))
 
 
+def listed(spark, d):
+    """The frames that have files: all that were ever ready, and some that never were."""
+    more = _numbered(spark, d).where("n % 3 = 0").select(F.col("user_id").alias("clip"), (F.col("n") - 2).alias("frame"))
+    return ready(spark, d).select("clip", "frame").unionByName(more)
+
+
 def _shown(spark, d, **how):
     return playout.nearest_ready(ticks(spark, d), ready(spark, d), **how).select("clip", "event_id", "frame", "shown_frame")
 
@@ -50,8 +56,10 @@ def _starts(spark, d):
     """Per clip with a header: rates, first frame and the frames of the start timecode."""
     meta = src.clip_meta(spark, d)
     parts = tc.smpte_decode(*[F.col(f"tc{i}") for i in range(4)])
-    meta = meta.withColumns({n: parts[n] for n in ("hh", "mm", "ss", "ff")}).withColumns(tc.rate_columns()).withColumn("start", tc.frames_at_rate("hh", "mm", "ss", "ff"))
-    return meta.select("clip", "rate_num", "rate_den", "start").join(src.clips(spark, d).select("clip", "first_frame", "last_frame"), "clip")
+    # every eleventh clip's flag disagrees with its rate, every thirteenth has none
+    flag = F.when(F.col("clip") % 13 != 0, parts["is_drop"] != (F.col("clip") % 11 == 0))
+    meta = meta.withColumns({n: parts[n] for n in ("hh", "mm", "ss", "ff")}).withColumns(tc.rate_columns(flag=flag)).withColumn("start", tc.frames_at_rate("hh", "mm", "ss", "ff"))
+    return meta.select("clip", "rate_num", "rate_den", "start", flag.alias("is_drop")).join(src.clips(spark, d).select("clip", "first_frame", "last_frame"), "clip")
 
 
 def frame_timecodes(spark, d):
@@ -148,15 +156,16 @@ QUERIES = {
     "f1_playout_schedule": schedule,
     "f3_nearest_ready": _shown,
     "f3_nearest_ready_backward": lambda s, d: _shown(s, d, forward=False),
-    "f4_classify_ticks": lambda s, d: playout.classify_ticks(_shown(s, d), ready(s, d)).groupBy("clip", "kind").agg(F.count("*").alias("n")),
+    "f4_classify_ticks": lambda s, d: playout.classify_ticks(_shown(s, d), listed(s, d)).groupBy("clip", "kind").agg(F.count("*").alias("n")),
     "f10_audio_offset": lambda s, d: offsets(s, d).withColumn("position", F.round("position", 6)),
     "f10_audio_coverage": lambda s, d: offsets(s, d).groupBy("clip").agg(F.count("*").alias("n_frames"), F.count_if("plays").alias("n_with_sound")),
     "g3_history_files": history_files,
 }
 
 _RATE = "coalesce(round(rate_num/rate_den),24)::bigint"
-_DROP = "(case when rate_den=1001 and rate_num in (30000,60000) then rate_num//15000 else 0 end)::bigint"
-_NEW = "(case when d=0 then n else n+9*d*(n//(8991*greatest(d,2)))+d*((n%(8991*greatest(d,2))-d)//(8991*greatest(d,2)//10)) end)"
+_FLAG = "(case when clip%13<>0 then (((tc0>>6)&1)=1)<>(clip%11=0) end)"
+_DROP = f"(case when not coalesce({_FLAG}, true) then 0 when rate_den=1001 and rate_num in (30000,60000) then rate_num//15000 when {_FLAG} then -1 else 0 end)::bigint"
+_NEW = "(case when d<=0 then n else n+9*d*(n//(8991*greatest(d,2)))+d*((n%(8991*greatest(d,2))-d)//(8991*greatest(d,2)//10)) end)"
 
 
 def _two(e):
@@ -166,11 +175,12 @@ def _two(e):
 def _tc_sql(n="n", hours=True):
     s = f"({n}//r)"
     hour = _two(f"(case when d=0 then {s}//3600 else ({s}//3600)%24 end)") + "||':'||" if hours else ""
-    return hour + _two(f"(({s}//60)%60)" if hours else f"({s}//60)") + "||':'||" + _two(f"({s}%60)") + "||case when d=0 then ':' else ';' end||" + _two(f"({n}%r)")
+    text = hour + _two(f"(({s}//60)%60)" if hours else f"({s}//60)") + "||':'||" + _two(f"({s}%60)") + "||case when d=0 then ':' else ';' end||" + _two(f"({n}%r)")
+    return f"(case when d<0 then '{'00:' if hours else ''}00:00;00' else {text} end)"
 
 
 WITH_START = f"""{WITH_FRAMES}, {WITH_META}, tcs as (select *, {_RATE} as r, {_DROP} as d, (tc0&15)+((tc0>>4)&3)*10 as ff, (tc1&15)+((tc1>>4)&7)*10 as ss, (tc2&15)+((tc2>>4)&7)*10 as mm, (tc3&15)+((tc3>>4)&3)*10 as hh from clip_meta),
-starts as (select clip, r, d, rate_num, rate_den, ff+(ss+(hh*60+mm)*60)*r-d*(hh*60+mm-(hh*60+mm)//10) as start, first_frame, last_frame from tcs join clips using (clip))"""
+starts as (select clip, r, d, rate_num, rate_den, ff+(ss+(hh*60+mm)*60)*r-greatest(d,0)*(hh*60+mm-(hh*60+mm)//10) as start, first_frame, last_frame from tcs join clips using (clip))"""
 WITH_TICKS = """seq as (select *, row_number() over (partition by user_id order by ts, event_id) as n from events),
 ready as (select user_id as clip, n-event_id%3 as frame, ts as ready_ts from seq where event_type in ('view','click','signup')),
 ticks as (select user_id as clip, event_id, n-2 as frame, ts as tick_ts from seq where event_type in ('purchase','error')),
@@ -217,7 +227,7 @@ b as (select clip, frame, r, d, {_NEW} as n from a) select clip, frame, {_tc_sql
 select clip, velocity, i, case when velocity>0 then least(a+i*velocity, b) else greatest(b+i*velocity, a) end as frame, i*step as request_s, (i+6)*step as display_s from s""",
     "f3_nearest_ready": f"with {WITH_TICKS} select * from shown",
     "f3_nearest_ready_backward": f"with {WITH_TICKS} select t.clip, t.event_id, t.frame, min(r.frame) as shown_frame from ticks t left join ready r on r.clip=t.clip and r.frame>=t.frame and r.ready_ts<=t.tick_ts group by all",
-    "f4_classify_ticks": f"with {WITH_TICKS}, k as (select clip, case when not exists (select 1 from ready r where r.clip=shown.clip and r.frame=shown.frame) then 'missing' when shown_frame=frame then 'displayed' else 'skipped' end as kind from shown) select clip, kind, count(*) as n from k group by all",
+    "f4_classify_ticks": f"with {WITH_TICKS}, k as (select clip, case when not exists (select 1 from (select clip, frame from ready union all select user_id, n-2 from seq where n%3=0) r where r.clip=shown.clip and r.frame=shown.frame) then 'missing' when shown_frame=frame then 'displayed' else 'skipped' end as kind from shown) select clip, kind, count(*) as n from k group by all",
     "f10_audio_offset": f"with {WITH_START}, a as (select f.clip, f.frame, (f.frame-first_frame)/(coalesce(rate_num,24000)/coalesce(rate_den,1001)::double) as p from frames f join starts using (clip)) select clip, frame, round(p,6) as position, p<(clip%5+1)*0.03::double as plays from a",
     "f10_audio_coverage": f"with {WITH_START}, a as (select f.clip, (f.frame-first_frame)/(coalesce(rate_num,24000)/coalesce(rate_den,1001)::double) as p from frames f join starts using (clip)) select clip, count(*) as n_frames, count(*) filter (where p<(clip%5+1)*0.03::double) as n_with_sound from a group by clip",
     "g3_history_files": f"with {WITH_HISTORY}, l as (select *, row_number() over (partition by user_id, path order by opened desc, event_id desc) as k from history where path<>'' and type<>''), r as (select *, row_number() over (partition by user_id order by opened desc, event_id desc) as rank from l where k=1) select user_id, path, type, opened from r where rank<=5",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rushes.functions import timecode as tc
-from rushes.operators import catalog, develop, history, metadata
+from rushes.operators import catalog, colour, develop, history, metadata
 from rushes.sources import footage as src
 from rushes.sources import headers
 from rushes.streaming import playout
@@ -95,8 +95,10 @@ def _timecode_sql(drop, rate):
 
 
 def smpte(spark, d):
+    flags = {"tc1": 128, "tc2": 128, "tc3": 192}
+    set_ = {c: F.col(c) + F.when(F.col("clip") % 3 == i, v).otherwise(0) for i, (c, v) in enumerate(flags.items())}
     cols = tc.smpte_decode(*[F.col(f"tc{i}") for i in range(4)])
-    return src.clip_meta(spark, d).select("clip", *[c.alias(n) for n, c in cols.items()])
+    return src.clip_meta(spark, d).withColumns(set_).select("clip", *[c.alias(n) for n, c in cols.items()])
 
 
 def seek(spark, d):
@@ -131,15 +133,37 @@ def gamma_curves(spark, d):
 
 
 def cct(spark, d):
-    """Correlated colour temperature by the three-exponential approximation."""
-    p = src.profiles(spark, d).withColumn("n", (F.col("wx") - 0.3366) / (F.col("wy") - 0.1735))
-    e = F.lit(-949.86315) + F.exp(-F.col("n") / 0.92159) * 6253.80338 + F.exp(-F.col("n") / 0.20039) * 28.70599 + F.exp(-F.col("n") / 0.07125) * 0.00004
-    return p.select("clip", F.floor(e + 0.5).cast("long").alias("kelvin"))
+    return colour.with_cct(src.profiles(spark, d), "wx", "wy").select("clip", F.col("cct").cast("long").alias("kelvin"))
 
 
 def white_xyz(spark, d):
-    x, y = F.col("wx"), F.col("wy")
-    return src.profiles(spark, d).select("clip", F.round(x / y, 9).alias("x"), F.lit(1.0).alias("y"), F.round((F.lit(1.0) - x - y) / y, 9).alias("z"))
+    v = colour.xy_to_xyz(F.col("wx"), F.col("wy"))
+    return src.profiles(spark, d).select("clip", v.alias("v")).select("clip", *[F.round(F.col("v")[i], 9).alias(c) for i, c in enumerate("xyz")])
+
+
+def next_frames(spark, d):
+    """The paths of the first frame that each clip lacks at its end, and of one whose number is too long for the field."""
+    templates = catalog.sequence_template(_footage(spark, d))
+    after = src.clips(spark, d).select("folder", F.explode(F.array(F.col("last_frame") + 1, F.col("last_frame") + 12345670)).alias("frame"))
+    return catalog.frame_paths(after, templates)
+
+
+def problems(spark, d):
+    still = src.clips(spark, d).where("clip % 60 = 0").select(F.concat(F.regexp_replace("folder", "/C", "/still C"), F.lit("/frame.dng")).alias("path"))
+    return catalog.sequence_problems(catalog.footage_files(src.files(spark, d, mixed=True).unionByName(still)))
+
+
+def mono(spark, d):
+    values = src.rgb(spark, d).select("clip", F.col("g").alias("v"))
+    return develop.tone_map_mono(values).groupBy("clip").agg(F.round(F.avg("v"), 6).alias("v"))
+
+
+def rolled_off(spark, d):
+    """Each level's mean over the clip."""
+    rgb = develop.tone_map(src.rgb(spark, d))
+    each = [develop.highlight_rolloff(rgb, level).withColumn("level", F.lit(level or "none")) for level in (None, "low", "medium", "high")]
+    whole = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    return whole.groupBy("clip", "level").agg(*[F.avg(c).alias(c) for c in "rgb"])
 
 
 QUERIES = {
@@ -153,7 +177,8 @@ QUERIES = {
     "a9_audio_for_clips": lambda s, d: catalog.audio_for_clips(src.clips(s, d).select("folder"), src.files(s, d)),
     "a10_missing_frames": lambda s, d: catalog.missing_frames(src.frames(s, d)),
     "a11_duplicate_frames": lambda s, d: catalog.duplicate_frames(src.frame_rows(s, d)),
-    "a12_sequence_problems": lambda s, d: catalog.sequence_problems(catalog.footage_files(src.files(s, d, mixed=True))),
+    "a4_frame_paths": next_frames,
+    "a12_sequence_problems": problems,
     "b1_ingest_headers": header_tags,
     "b2_tag_defaults": lambda s, d: metadata.with_tag_defaults(_headers(s, d)).select("*", *[F.col("active_area")[i].alias(f"area{i}") for i in range(4)]).drop("active_area"),
     "b4_decoded_depth": lambda s, d: metadata.decoded_depth(src.clip_meta(s, d)),
@@ -173,12 +198,15 @@ QUERIES = {
     "d9_highlight_correct": lambda s, d: _mean(develop.highlight_correct(src.rgb(s, d), WHITE)),
     "d10_to_display": lambda s, d: _mean(develop.to_display(develop.exposure(src.rgb(s, d), 0.5), MATRIX)),
     "d11_tone_map": lambda s, d: _mean(develop.highlight_rolloff(develop.tone_map(src.rgb(s, d)))),
+    "d11_tone_map_mono": mono,
+    "d11_rolloff_levels": rolled_off,
     "d12_gamut_compress": lambda s, d: _plain_mean(develop.gamut_compress(src.rgb(s, d).withColumn("b", F.col("b") - 0.25))),
     "d13_gamma_curves": gamma_curves,
     "d15_clipping_report": lambda s, d: develop.clipping_report(src.rgb(s, d)),
     "d20_quantise": lambda s, d: develop.quantise_8bit(src.rgb(s, d)).groupBy("clip").agg(*[F.sum(f"{c}8").alias(f"{c}8") for c in "rgb"]),
     "f2_dedupe_requests": lambda s, d: playout.dedupe_requests(src.frame_rows(s, d)),
     "f6_playout_quality": lambda s, d: playout.playout_quality(_playout(s, d)),
+    "f6_sliding_quality": lambda s, d: playout.playout_quality(_playout(s, d), "1 hour", "20 minutes"),
     "f7_play_sessions": lambda s, d: playout.play_sessions(_playout(s, d)).select("clip", "started", "ended", "n_events"),
     "g1_recent_clips": lambda s, d: history.recent_clips(src.history(s, d)),
     "g2_recent_by_user": lambda s, d: history.recent_clips_by_user(src.history(s, d), 3),
@@ -191,6 +219,8 @@ ORACLES = {
     "a2_footage_files": f"with {WITH_FILES} select path, folder, name from footage",
     "a3_sequence_template": f"with {WITH_FILES} select folder, first_path, last_path, field_pos, field_len from template",
     "a4_frame_numbers": f"with {WITH_FILES} select path, try_cast(substring(path, field_pos+1, field_len) as bigint) as frame from footage join template using (folder)",
+    "a4_frame_paths": f"""with {WITH_FILES}, n as (select folder, unnest([last_frame+1, last_frame+12345670]) as frame from clips)
+select folder, frame, substring(first_path, 1, field_pos)||repeat('0', greatest(0, field_len-length(frame::varchar)))||frame::varchar||substring(first_path, field_pos+greatest(field_len, length(frame::varchar))+1) as path from n join template using (folder)""",
     "a5_clip_durations": f"with {WITH_FRAMES} select clip, first_frame, last_frame, last_frame-first_frame+1 as duration from clips",
     "a6_frame_gaps": f"""with {WITH_FRAMES}, p as (select clip, frame, lag(frame) over (partition by clip order by frame) as before from frames),
 g as (select clip, before+1 as gap_start, frame-1 as gap_end, frame-before-1 as n_missing from p where frame-before>1)
@@ -204,8 +234,8 @@ x as (select *, max(d) over (partition by folder) as has from w)
 select c.folder, x.path as wav_path, case when x.path is null then 'none' when has=1 then 'default' else 'all' end as rule from clips c left join x on c.folder=x.folder and d=has""",
     "a10_missing_frames": f"with {WITH_FRAMES}, e as (select clip, unnest(range(first_frame, last_frame+1)) as frame from clips) select clip, frame from e except select clip, frame from frames",
     "a11_duplicate_frames": "select l_orderkey as clip, cast(l_linenumber as bigint) as frame, count(*) as n from lineitem group by all having count(*)>1",
-    "a12_sequence_problems": f"""with {WITH_FILES}, m as (select folder, name from footage union all select folder, name||'_'||cast(last_frame+1 as varchar)||'.dng' from clips where clip%50=0)
-select folder, count(distinct length(regexp_extract(name, '([0-9]+)[^0-9]*$', 1))) as n_widths, count(distinct regexp_extract(name, '^(.*?)[0-9]+[^0-9]*$', 1)) as n_prefixes from m group by folder having n_widths>1 or n_prefixes>1""",
+    "a12_sequence_problems": f"""with {WITH_FILES}, m as (select folder, name from footage union all select folder, name||'_'||cast(last_frame+1 as varchar)||'.dng' from clips where clip%50=0 union all select replace(folder, '/C', '/still C'), 'frame.dng' from clips where clip%60=0)
+select folder, count(distinct length(regexp_extract(name, '([0-9]+)[^0-9]*$', 1))) as n_widths, count(distinct regexp_extract(name, '^(.*?)[0-9]+[^0-9]*$', 1)) as n_prefixes, max(length(regexp_extract(name, '([0-9]+)[^0-9]*$', 1)))=0 and regexp_matches(folder, '[0-9]') as digits_in_folder_only from m group by folder having n_widths>1 or n_prefixes>1 or digits_in_folder_only""",
     "b1_ingest_headers": f"""with {WITH_TAGS} select clip, 'None' as status, width, height, bits::bigint as bits, compression::bigint as compression, orientation, tile_w::bigint as tile_w, tile_h::bigint as tile_h,
  (case when black_level is null then null when clip%2=1 then black_level+0.5 else black_level end)::double as black_level, white_level::double as white_level,
  baseline_exposure, coalesce(model,'') as model, rate_num::bigint as rate_num, rate_den::bigint as rate_den, 17+clip%2*4 as illuminant1, tile_w is not null and n_segments>0 as tiled,
@@ -229,7 +259,7 @@ u as (select clip, 'bits' as field, bits::bigint as value from m union all selec
 select clip, field, count(distinct value) as n_values from u group by clip, field having n_values>1""",
     "b11_storage_report": f"""with {WITH_META}, s as (select l_orderkey as clip, count(*) as n_segments, sum(floor(l_extendedprice)::bigint)::bigint as packed_bytes, max(floor(l_extendedprice)::bigint) as largest, count(distinct l_linenumber) as n_frames from lineitem group by 1)
  select s.clip, n_segments, packed_bytes, largest, packed_bytes/(n_frames*(coalesce(ceil(width/tile_w)*tile_w, width)*coalesce(ceil(height/tile_h)*tile_h, height)*(case when compression=1 then case when bits>8 then 16 else 8 end when compression=7 then 16 else bits end)/8)::double) as ratio from s left join clip_meta using (clip)""",
-    "c1_smpte_decode": f"with {WITH_META} select clip, ((tc0&15)+((tc0>>4)&3)*10)::bigint as ff, ((tc1&15)+((tc1>>4)&7)*10)::bigint as ss, ((tc2&15)+((tc2>>4)&7)*10)::bigint as mm, ((tc3&15)+((tc3>>4)&3)*10)::bigint as hh, ((tc0>>6)&1)=1 as is_drop from clip_meta",
+    "c1_smpte_decode": f"with {WITH_META} select clip, ((tc0&15)+((tc0>>4)&3)*10)::bigint as ff, ((tc1&15)+((tc1>>4)&7)*10)::bigint as ss, ((tc2&15)+((tc2>>4)&7)*10)::bigint as mm, ((tc3&15)+((tc3>>4)&3)*10)::bigint as hh, ((tc0>>6)&1)=1 as is_drop, clip%3=0 as flag1, clip%3=1 as flag2, clip%3=2 as flag3, clip%3=2 as flag4 from clip_meta",
     "c2_timecode_25": _timecode_sql(0, 25),
     "c3_timecode_2997": _timecode_sql(2, 30),
     "c3_timecode_5994": _timecode_sql(4, 60),
@@ -240,6 +270,13 @@ select clip, field, count(distinct value) as n_values from u group by clip, fiel
     "d11_tone_map": f"""with {WITH_RGB}, u as (select clip, r*2 as r, g*2 as g, b*2 as b, (r*0.2126::double+g*0.7152::double+b*0.0722::double)*2 as l from rgb), m as (select clip, r/(l+1) as r, g/(l+1) as g, b/(l+1) as b from u),
 y as (select *, r*0.2126::double+g*0.7152::double+b*0.0722::double as l from m), z as (select *, least(1.0,greatest(0.0,{SMOOTH('(2.0::double**(-2.5))', '(2.0::double**0.25)', 'l')}**0.4::double)) as t from y),
 x as (select clip, r+(l-r)*t as r, g+(l-g)*t as g, b+(l-b)*t as b from z) {MEAN_SQL}""",
+    "d11_tone_map_mono": f"with {WITH_RGB} select clip, round(avg(g*2.0::double**2.5/(g*2.0::double**2.5+1)),6) as v from rgb group by clip",
+    "d11_rolloff_levels": f"""with {WITH_RGB}, u as (select clip, r*2 as r, g*2 as g, b*2 as b, (r*0.2126::double+g*0.7152::double+b*0.0722::double)*2 as l from rgb), m as (select clip, r/(l+1) as r, g/(l+1) as g, b/(l+1) as b from u),
+y as (select *, r*0.2126::double+g*0.7152::double+b*0.0722::double as l from m), z as (select *, 'none' as level, 0.0::double as t from y union all
+select *, 'low', least(1.0,greatest(0.0,{SMOOTH('(2.0::double**(-2.0))', '(2.0::double**0.25)', 'l')}**0.5::double)) from y union all
+select *, 'medium', least(1.0,greatest(0.0,{SMOOTH('(2.0::double**(-2.5))', '(2.0::double**0.25)', 'l')}**0.4::double)) from y union all
+select *, 'high', least(1.0,greatest(0.0,{SMOOTH('(2.0::double**(-2.5))', '(2.0::double**0.25)', 'l')}**0.3::double)) from y)
+select clip, level, avg(r+(l-r)*t) as r, avg(g+(l-g)*t) as g, avg(b+(l-b)*t) as b from z group by clip, level""",
     "d12_gamut_compress": "with " + WITH_RGB + ", q as (select clip, r, g, b-0.25 as b, greatest(r,g,b-0.25) as ac, 0.1::double/sqrt(0.2::double) as s from rgb), x as (select clip, " + ", ".join(f"ac-abs(ac)*(case when ac=0 then 0 when (ac-{c})/abs(ac)<0.9 then (ac-{c})/abs(ac) else s*sqrt(greatest(0.0,(ac-{c})/abs(ac)-0.9::double+s*s/4))-s*sqrt(s*s/4)+0.9::double end) as {c}" for c in "rgb") + f" from q) {PLAIN_MEAN_SQL}",
     "d13_gamma_curves": f"""with {WITH_RGB} select clip,
  round(avg(case when r<0.018053968510807::double then r*4.5 else 1.09929682680944::double*r**(1/2.2::double)-0.09929682680944::double end),6) as rec709,
@@ -247,10 +284,11 @@ x as (select clip, r+(l-r)*t as r, g+(l-g)*t as g, b+(l-b)*t as b from z) {MEAN_
  round(avg(case when r>0.010591::double then 0.247190::double*log10(5.555556::double*r+0.052272::double)+0.385537::double else 5.367655::double*r+0.092809::double end),6) as logc3,
  round(avg(case when r+0.01<0 then 15.1927::double*(r+0.01) else 0.224282::double*log10(155.975327::double*(r+0.01::double)+1) end),6) as log3g10,
  round(avg(case when r<0.005 then 8.283605932402494::double*r+0.09246575342465753::double else 0.08692876065491224::double*ln(r+0.005494072432257808::double)+0.5300133392291939::double end),6) as filmgen5 from rgb group by clip""",
-    "d15_clipping_report": f"with {WITH_RGB}, n as (select clip, frame, (r>=0.99::double)::int+(g>=0.99::double)::int+(b>=0.99::double)::int as n from rgb) select clip, frame, " + ", ".join(f"count(*) filter (where n={i}) as n_clipped_{i}" for i in range(4)) + " from n group by clip, frame",
+    "d15_clipping_report": f"with {WITH_RGB}, n as (select clip, frame, (r>=0.99::double)::int+(g>=0.99::double)::int+(b>=0.99::double)::int as n from rgb) select clip, frame, " + ", ".join(f"count(*) filter (where n={i}) as n_clipped_{i}" for i in range(4)) + ", count(*) filter (where n>0)/count(*)::double as share from n group by clip, frame",
     "d20_quantise": f"with {WITH_RGB} select clip, " + ", ".join(f"sum(floor(least(1.0::double,greatest(0.0::double,{c}))*255)::bigint)::bigint as {c}8" for c in "rgb") + " from rgb group by clip",
     "f2_dedupe_requests": "select distinct l_orderkey as clip, cast(l_linenumber as bigint) as frame from lineitem",
     "f6_playout_quality": f"with {WITH_PLAYOUT} select clip, date_trunc('hour', ts) as window_start, kind, count(*) as n from playout group by all",
+    "f6_sliding_quality": f"with {WITH_PLAYOUT}, w as (select clip, kind, unnest([time_bucket(interval 20 minutes, ts), time_bucket(interval 20 minutes, ts) - interval 20 minutes, time_bucket(interval 20 minutes, ts) - interval 40 minutes]) as window_start from playout) select clip, window_start, kind, count(*) as n from w group by all",
     "f7_play_sessions": f"""with {WITH_PLAYOUT}, s as (select *, case when ts <= lag(ts) over w + interval 30 minutes then 0 else 1 end as new from playout window w as (partition by clip order by ts, event_id)),
 t as (select *, sum(new) over (partition by clip order by ts, event_id rows unbounded preceding) as session from s)
 select clip, min(ts) as started, max(ts) as ended, count(*) as n_events from t group by clip, session""",

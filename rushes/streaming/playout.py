@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def playout_quality(events: DataFrame, size: str = "1 hour") -> DataFrame:
-    """Counts per clip, kind and tumbling window. On a stream, give events a watermark first."""
-    return events.groupBy("clip", F.window("ts", size).alias("w"), "kind").agg(F.count("*").alias("n")).select("clip", F.col("w.start").alias("window_start"), "kind", "n")
+def playout_quality(events: DataFrame, size: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts per clip, kind and window, tumbling or sliding. On a stream, give events a watermark first."""
+    return events.groupBy("clip", F.window("ts", size, slide).alias("w"), "kind").agg(F.count("*").alias("n")).select("clip", F.col("w.start").alias("window_start"), "kind", "n")
 
 
 def play_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
