@@ -8,7 +8,7 @@ from rushes.operators import catalog, history, lut, metadata
 from rushes.plans.queries import CURVES, WITH_FILES, WITH_FRAMES, WITH_HISTORY, WITH_META, WITH_RGB
 from rushes.sources import footage as src
 from rushes.sources import headers
-from rushes.streaming import playout
+from rushes.streaming import catalogue, playout
 
 CFA = [(0, 1, 1, 2), (2, 1, 1, 0), (1, 0, 2, 1), (1, 2, 0, 1)]
 
@@ -26,6 +26,18 @@ def ticks(spark, d):
     return _numbered(spark, d).where("event_type in ('purchase', 'error')").select(F.col("user_id").alias("clip"), "event_id", (F.col("n") - 2).alias("frame"), F.col("ts").alias("tick_ts"))
 
 
+def streamed_catalogue(spark, d):
+    """The order lines as a stream of file paths, one file of the table a batch, to each clip's runs of frames."""
+    lines = spark.readStream.schema(src.table(spark, d, "lineitem").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/lineitem.parque[t]")  # a pattern, as a stream takes a folder or a pattern, and the table may be one file
+    name = F.format_string("C%06d", "l_orderkey")
+    paths = lines.select(F.concat(F.format_string("/media/reel%02d/", F.col("l_orderkey") % 20), name, F.lit("/"), name, F.format_string("_%06d.dng", "l_linenumber")).alias("path"))
+    folder = catalogue.shared_folder(spark)
+    query = catalogue.stream_catalogue(paths, f"{folder}/table", f"{folder}/checkpoint")
+    query.awaitTermination()
+    found = catalogue.current_catalogue(spark, f"{folder}/table")
+    return found.withColumn("gaps", F.array_join(F.transform("gaps", lambda g: F.concat(g["gap_start"].cast("string"), F.lit("-"), g["gap_end"].cast("string"))), " "))
+
+
 def listed(spark, d):
     """The frames that have files: all that were ever ready, and some that never were."""
     more = _numbered(spark, d).where("n % 3 = 0").select(F.col("user_id").alias("clip"), (F.col("n") - 2).alias("frame"))
@@ -157,6 +169,7 @@ QUERIES = {
     "f3_nearest_ready": _shown,
     "f3_nearest_ready_backward": lambda s, d: _shown(s, d, forward=False),
     "f4_classify_ticks": lambda s, d: playout.classify_ticks(_shown(s, d), listed(s, d)).groupBy("clip", "kind").agg(F.count("*").alias("n")),
+    "f9_stream_catalogue": streamed_catalogue,
     "f10_audio_offset": lambda s, d: offsets(s, d).withColumn("position", F.round("position", 6)),
     "f10_audio_coverage": lambda s, d: offsets(s, d).groupBy("clip").agg(F.count("*").alias("n_frames"), F.count_if("plays").alias("n_with_sound")),
     "g3_history_files": history_files,
@@ -228,6 +241,9 @@ select clip, velocity, i, case when velocity>0 then least(a+i*velocity, b) else
     "f3_nearest_ready": f"with {WITH_TICKS} select * from shown",
     "f3_nearest_ready_backward": f"with {WITH_TICKS} select t.clip, t.event_id, t.frame, min(r.frame) as shown_frame from ticks t left join ready r on r.clip=t.clip and r.frame>=t.frame and r.ready_ts<=t.tick_ts group by all",
     "f4_classify_ticks": f"with {WITH_TICKS}, k as (select clip, case when not exists (select 1 from (select clip, frame from ready union all select user_id, n-2 from seq where n%3=0) r where r.clip=shown.clip and r.frame=shown.frame) then 'missing' when shown_frame=frame then 'displayed' else 'skipped' end as kind from shown) select clip, kind, count(*) as n from k group by all",
+    "f9_stream_catalogue": f"""with {WITH_FRAMES}, p as (select clip, frame, lag(frame) over (partition by clip order by frame) as before from frames),
+g as (select clip, coalesce(string_agg((before+1)::varchar||'-'||(frame-1)::varchar, ' ' order by frame) filter (where frame-before>1), '') as gaps, count(*) as n_frames from p group by clip)
+select folder, folder||'/'||name||'_'||lpad(first_frame::varchar,6,'0')||'.dng' as first_path, folder||'/'||name||'_'||lpad(last_frame::varchar,6,'0')||'.dng' as last_path, first_frame, last_frame, n_frames, last_frame-first_frame+1-n_frames as n_missing, gaps from clips join g using (clip)""",
     "f10_audio_offset": f"with {WITH_START}, a as (select f.clip, f.frame, (f.frame-first_frame)/(coalesce(rate_num,24000)/coalesce(rate_den,1001)::double) as p from frames f join starts using (clip)) select clip, frame, round(p,6) as position, p<(clip%5+1)*0.03::double as plays from a",
     "f10_audio_coverage": f"with {WITH_START}, a as (select f.clip, (f.frame-first_frame)/(coalesce(rate_num,24000)/coalesce(rate_den,1001)::double) as p from frames f join starts using (clip)) select clip, count(*) as n_frames, count(*) filter (where p<(clip%5+1)*0.03::double) as n_with_sound from a group by clip",
     "g3_history_files": f"with {WITH_HISTORY}, l as (select *, row_number() over (partition by user_id, path order by opened desc, event_id desc) as k from history where path<>'' and type<>''), r as (select *, row_number() over (partition by user_id order by opened desc, event_id desc) as rank from l where k=1) select user_id, path, type, opened from r where rank<=5",

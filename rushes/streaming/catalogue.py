@@ -1,5 +1,9 @@
 """A clip catalogue that grows as files are listed: runs of frame numbers as keyed state."""
 
+import os
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,6 +29,16 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], np.maximum.reduceat(ends[order], np.flatnonzero(new))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or on a local master one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a stream's state needs a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def numbered(files: DataFrame) -> DataFrame:
     """folder, path, frame of footage files; frame is the name's last run of digits, null without one."""
     return footage_files(files).select("folder", "path", F.expr("try_cast(nullif(regexp_extract(name, '([0-9]+)[^0-9]*$', 1), '') as bigint)").alias("frame"))
