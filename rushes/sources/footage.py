@@ -133,7 +133,8 @@ def header_files(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"/media/C{k:06d}.dng" for k in batch.column(0).to_pylist()]), pa.array(contents, pa.binary())], names=["clip", "path", "content"])
 
     meta = tag_meta(spark, sf_dir)
-    return meta.select("clip", *[c for c in meta.columns if c != "clip"]).mapInArrow(written, "clip long, path string, content binary")
+    # a small table lies in one task, and a header is some Python work
+    return meta.select("clip", *[c for c in meta.columns if c != "clip"]).repartition("clip").mapInArrow(written, "clip long, path string, content binary")
 
 
 def frame_meta(spark, sf_dir):

@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -45,16 +46,26 @@ def numbered(files: DataFrame) -> DataFrame:
 
 
 def _runs_of_task(batches):
-    """A task's rows to runs, folder by folder, so that a folder sends its runs on and not its files."""
+    """A task's rows to runs by folder, so that a folder sends its runs on and not its files."""
     for batch in batches:
-        table = batch.to_pandas()
-        out = []
-        for folder, rows in table.groupby("folder", sort=False):
-            frame = rows["frame"].dropna().to_numpy(np.int64)
-            starts, ends = merged(frame, frame)
-            out.append((folder, rows["path"].min(), rows["path"].max(), starts, ends))
-        columns = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), *[pa.array(list(c), pa.list_(pa.int64())) for c in columns[3:]]], names=["folder", "first_path", "last_path", "starts", "ends"])
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        folder = batch.column(batch.schema.get_field_index("folder")).dictionary_encode()
+        code, names = folder.indices.to_numpy(), folder.dictionary
+        frame = batch.column(batch.schema.get_field_index("frame"))
+        some = frame.is_valid().to_numpy(zero_copy_only=False)
+        code, frame = code[some], frame.drop_null().to_numpy()
+        order = np.lexsort((frame, code))
+        code, frame = code[order], frame[order]
+        new = np.r_[True, (code[1:] != code[:-1]) | (frame[1:] > frame[:-1] + 1)][: len(code)]
+        begin = np.flatnonzero(new)
+        starts, ends = frame[begin], frame[np.r_[begin[1:], len(frame)] - 1] if len(begin) else frame
+        bounds = np.searchsorted(code[begin], np.arange(len(names) + 1)).astype(np.int32)
+        paths = table.group_by("folder").aggregate([("path", "min"), ("path", "max")])
+        place = pc.index_in(names, paths.column("folder").combine_chunks())
+        first, last = (paths.column(c).combine_chunks().take(place) for c in ("path_min", "path_max"))
+        yield pa.RecordBatch.from_arrays([names, first, last, *[pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (starts, ends)]], names=["folder", "first_path", "last_path", "starts", "ends"])
 
 
 def _clip_row(folder, first, last, starts, ends) -> dict:
@@ -76,10 +87,8 @@ def _updated(key, batches, state):
         ends += [np.asarray(x, np.int64) for x in rows["ends"]]
     s, e = merged(np.concatenate(starts), np.concatenate(ends))
     state.update((first, last, s.tolist(), e.tolist()))
-    out = pd.DataFrame([_clip_row(key[0], first, last, s, e)])
-    for c in ("first_frame", "last_frame", "n_frames", "n_missing"):
-        out[c] = out[c].astype("Int64")
-    yield out
+    row = _clip_row(key[0], first, last, s, e)
+    yield pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()})
 
 
 def stream_clips(files: DataFrame) -> DataFrame:
