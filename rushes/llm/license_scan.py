@@ -98,8 +98,14 @@ class Scanner:
             for a, b in merged:
                 # a text's borders are never crossed
                 for part_at, part in _parts(text, a, min(b, len(text))):
-                    for m in pattern.finditer(part):
-                        out.append((part_at + m.start(), part_at + m.end(), label, sum(m.fuzzy_counts)))
+                    # the pattern gives the best match first, so others may stand on either side of it
+                    open_ = [(0, len(part))]
+                    while open_:
+                        low, high = open_.pop()
+                        m = pattern.search(part, low, high)
+                        if m and m.end() > m.start():
+                            out.append((part_at + m.start(), part_at + m.end(), label, sum(m.fuzzy_counts)))
+                            open_ += [(low, m.start()), (m.end(), high)]
         return sorted(out)
 
 

@@ -276,10 +276,21 @@ def packed(room: int):
     return run
 
 
+def check_tokenizer(content: str):
+    """ValueError for a tokenizer that words can't be encoded apart by, as WordTokens does it."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(content)
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    if ids("Us us") != ids("us") * 2 or any(ids(f"us{sign}") != ids("us") + ids(sign) for sign in ".,") or ids(" us\n\tus ") != ids("us us"):
+        raise ValueError("the tokenizer must lower letters, drop white space and part a last stop or comma")
+
+
 def pack_documents(docs: DataFrame, content: str, id_column: str = "doc_id", text_column: str = "text", room: int = 2048, end_id: int = 1, group_rows: int = 2048) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    content is a tokenizer file's content, whose tokenizer must drop white space.
+    content is a tokenizer file's content, whose tokenizer must drop white space, lower
+    letters and part a last stop or comma from its word; another raises ValueError.
     group_rows is how many documents a group packs on average.
 
     Null or empty text: the end id alone. Null id: packed like any other, with null
@@ -288,6 +299,7 @@ def pack_documents(docs: DataFrame, content: str, id_column: str = "doc_id", tex
     of any length is cut into pieces. An empty table gives an empty one. Other columns
     are not read, so their names don't matter.
     """
+    check_tokenizer(content)
     groups = max(1, -(-docs.count() // group_rows))
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
     return texts.mapInArrow(tidy(pieces(content, groups, room, end_id)), PIECES).groupBy("group").applyInArrow(packed(room), PACKED)

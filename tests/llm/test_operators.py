@@ -453,3 +453,20 @@ def test_lines_of_one_text_without_ids(spark):
     rows = [(None, f"common\nown {i:06d}", "x", 1, "en") for i in range(20000)]
     out = dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), digests=False)
     assert {(r._n_dropped, len(r._kept)) for r in out.select("_n_dropped", "_kept").distinct().collect()} == {(1, 10)}
+
+
+def test_packing_refuses_other_tokenizers(empty):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({"[UNK]": 0, "us": 1, "Us": 2, ".": 3}, unk_token="[UNK]"))
+    plain.pre_tokenizer = pre_tokenizers.Whitespace()
+    with pytest.raises(ValueError):
+        pack_documents(empty, plain.to_str())
+
+
+def test_notices_beside_each_other(spark):
+    """A worse match before the best one is a span of its own."""
+    text = "all rights reservd all rights reserved and all rigts reserved"
+    (row,) = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    spans = sorted(str(x) for x in row._notices)
+    assert len(spans) == 3, spans
