@@ -13,7 +13,7 @@ import numpy as np
 
 #: Characters of words that go through the steps together, and of the longest word among them.
 TOGETHER, LONGEST = 1 << 18, 64
-SLOTS = 20
+SLOTS = 21
 
 
 class Pairs:

@@ -105,7 +105,7 @@ class PieceBpe:
         self.codes = np.array([i for k in units.values() for i in k], np.int64)
         self.bounds = np.r_[0, np.cumsum([len(k) for k in units.values()])].astype(np.int64)
         apart = next(chr(c) for c in range(0x10FFFF) if chr(c) not in self.letters)
-        self.tracker = Backtracker(self.texts, self.compatible, max(300_000, 2 * most), apart)
+        self.tracker = Backtracker(self.texts, self.compatible, max(500_000, 2 * most), apart)
         self.words = self.splitter(ids, regex)
         self.known = Recent(most)
 
