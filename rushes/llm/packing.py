@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import byte_values, give_back, hashes, mix, space_class, spans, tidy, utf8
+from ._text import byte_values, give_back, hashes, mix, parts, space_class, spans, tidy, utf8
 
 PIECES = "group int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -235,7 +235,7 @@ def pieces(content: str, groups: int, room: int, end_id: int):
         encode = cache[key]
         context = TaskContext.get()
         task = context.partitionId() if context else 0
-        for batch in rows:
+        for batch in (part for batch in rows for part in parts(batch, "text")):
             names = batch.schema.names
             own = batch.column(names.index("id")).to_pylist()
             data, offsets = utf8(batch.column(names.index("text")))

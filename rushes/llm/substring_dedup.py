@@ -31,6 +31,8 @@ STRETCH = "bucket int, ids binary, tags binary, starts binary, counts binary, te
 KEPT = {"_kept": T.StringType(), "_n_words": T.LongType(), "_n_removed": T.LongType(), "_sha": T.StringType()}
 REPEAT = "id long, tag1 long, tag2 long, start int, n int"
 BUCKET_BYTES = 6 << 20
+#: Bytes of text, or of compressed text, that a task looks at together; its arrays are many times that.
+PART_BYTES, PACKED_BYTES = 1 << 19, 1 << 18
 #: Hot pieces are minimisers of 2**-HOT_BITS of all window text at least, so no more than twice 2**HOT_BITS exist.
 HOT_BITS = 18
 
@@ -90,7 +92,7 @@ def loads(k: int, m: int, share: float):
     def run(rows):
         values, inside = byte_values(), space_class()
         keys, sizes, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in (part for batch in rows for part in parts(batch, "text")):
+        for batch in (part for batch in rows for part in parts(batch, "text", PART_BYTES)):
             data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
             s, e, bounds = spans(data, offsets, inside)
             first, count, least = _stretches(hashes(data, s, e, values), bounds, k, m, np.zeros(0, np.uint64))
@@ -154,7 +156,7 @@ def stretches(k: int, m: int, n_buckets: int, block: int, shared):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "ids", "tags", "starts", "counts", "text"])
 
         seen, keys, places, size = {}, [], [], 0
-        for batch in (part for batch in rows for part in parts(batch, "text")):
+        for batch in (part for batch in rows for part in parts(batch, "text", PART_BYTES)):
             id_column, tag1, tag2, text = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "tag1", "tag2", "text"))
             data, offsets = utf8(text)
             s, e, bounds = spans(data, offsets, inside)
@@ -184,6 +186,21 @@ def stretches(k: int, m: int, n_buckets: int, block: int, shared):
     return run
 
 
+def window_sums(word: np.ndarray, k: int) -> np.ndarray:
+    """A polynomial sum of each k consecutive values, from sums of powers of two of them; a sum is let go once it is added."""
+    base = powers(k + 1, 0xA24BAED4963EE407)
+    size = len(word) - k + 1
+    total, at, have, window = np.zeros(size, np.uint64), 0, 1, word
+    while True:
+        if k & have:
+            total += base[at] * window[at : at + size]
+            at += have
+        if have * 2 > k:
+            return total
+        window = window[: len(window) - have] + base[have] * window[have:]
+        have *= 2
+
+
 def repeats(k: int):
     """Task function for one bucket: its packed strings to the places of windows that occur earlier."""
 
@@ -210,27 +227,21 @@ def repeats(k: int):
             ws, we, bounds = spans(data, line, inside)
             word = hashes(data, ws, we, values)
             count = np.diff(bounds) - k + 1
-            base = powers(k + 1, 0xA24BAED4963EE407)
-            window, have = word, 1
-            parts = {1: word}
-            while have * 2 <= k:
-                window = window[: len(window) - have] + base[have] * window[have:]
-                have *= 2
-                parts[have] = window
-            size = len(word) - k + 1
-            total, at = np.zeros(size, np.uint64), 0
-            for have in sorted(parts, reverse=True):
-                if k - at >= have:
-                    total += base[at] * parts[have][at : at + size]
-                    at += have
-            del parts, window, word
-            row = np.repeat(np.arange(len(count)), count)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            place = np.repeat(bounds[:-1], count) + inner
+            total = window_sums(word, k)
+            del word
+            # a bucket's text is far below 2**31 bytes, so are its places
+            narrow = np.int32 if len(data) < 1 << 31 else np.int64
+            ws, we = ws.astype(narrow), we.astype(narrow)
+            row = np.repeat(np.arange(len(count), dtype=narrow), count)
+            inner = np.arange(len(row), dtype=narrow) - np.repeat((np.cumsum(count) - count).astype(narrow), count)
+            place = np.repeat(bounds[:-1].astype(narrow), count) + inner
             value = mix(total[place])
+            del total
             order = np.argsort(value)
-            same = value[order][1:] == value[order][:-1]
+            ordered = value[order]
+            same = ordered[1:] == ordered[:-1]
             many = order[np.r_[False, same] | np.r_[same, False]]
+            del order, ordered, same
             if len(many):
                 r, s = row[many], starts[row[many]] + inner[many].astype(np.int32)
                 sort = np.lexsort((s, tags[r, 1], tags[r, 0], ids[r], value[many]))
@@ -268,7 +279,7 @@ def _compressed(rows):
     import zstandard
 
     compress = zstandard.ZstdCompressor(level=3).compress
-    for batch in rows:
+    for batch in (part for batch in rows for part in parts(batch, "_whole", PART_BYTES)):
         i = batch.schema.get_field_index("_whole")
         texts = batch.column(i).cast(pa.binary()).to_pylist()
         yield batch.set_column(i, "_whole", pa.array([None if x is None else compress(x) for x in texts], pa.binary()))
@@ -284,7 +295,7 @@ def _kept(k: int, joined: bool):
 
         expand = zstandard.ZstdDecompressor().decompress
         inside = space_class()
-        for batch in rows:
+        for batch in (part for batch in rows for part in parts(batch, "_whole", PACKED_BYTES)):
             names = batch.schema.names
             found = batch.column(names.index("_found")).to_pylist()
             kept, n_words, n_removed, sha = [], [], [], []

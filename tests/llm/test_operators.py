@@ -324,6 +324,35 @@ def test_jaccard_join_crowds(spark, monkeypatch, block, pivots):
     assert got == want
 
 
+def test_substring_tasks_stay_small():
+    """A task's arrays don't grow with the batch that it gets, a bucket's stay below ten times its text."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    from rushes.llm import substring_dedup
+
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randint(0, 50_000)}" for _ in range(350)) for _ in range(2000)]
+    text, ids = "\n".join(texts).encode(), np.arange(len(texts), dtype=np.int64)
+    hot = type("Shared", (), {"value": np.zeros(0, np.uint64)})
+    z = lambda x: zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else x.tobytes())
+    bucket = pa.table({"bucket": [0], "ids": [z(np.diff(ids, prepend=0))], "tags": [z(np.zeros((len(ids), 2), np.int64))], "starts": [z(np.zeros(len(ids), np.int32))], "counts": pa.array([None], pa.binary()), "text": [z(text)]})
+    batch = pa.record_batch({"id": ids, "tag1": ids * 0, "tag2": ids * 0, "text": texts})
+    tracemalloc.start()
+    try:
+        assert substring_dedup.repeats(20)(bucket).num_rows == 0
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(text)
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in substring_dedup.stretches(20, 4, 64, 1 << 20, hot)(iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] - before < 6 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
 def test_substring_dedup_hot_minimisers(spark, monkeypatch):
     from rushes.llm import substring_dedup
 

@@ -77,6 +77,18 @@ def test_line_dedup(spark, docs):
     assert got.total() == want.total()
 
 
+def test_batches_stay_small(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows, want in ((10_000, 1000), (0, 1000), (70, 70)):
+            spark.conf.set(name, rows)
+            stage("packing")(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("broadcast_rows", [100_000, -1])
 def test_jaccard_join(spark, docs, monkeypatch, broadcast_rows):
     monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", broadcast_rows)
