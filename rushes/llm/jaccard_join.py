@@ -9,7 +9,8 @@ a class leave its l - 1 most frequent grams out, as l shared grams are asked for
 classes meet by the shorter of their prefixes.
 
 Classes that meet at a gram are compared by the grams of their longest prefixes: only
-those that share as many as the shorter of their demands are candidates. Where
+those that share as many as the shorter of their demands, and as any link of their
+sizes must have among them, are candidates. Where
 candidates are few for the classes that have them, each pair is verified by itself:
 a class meets its partners, at most BLOCK at a time, and whole sets are compared.
 Where nearly all classes of a gram are each other's candidates, pairs would be
@@ -68,6 +69,11 @@ def level(n, percent: int):
     return np.minimum(overlap(n, percent), np.maximum(least, n // divisor))
 
 
+def linked_overlap(n, m, percent: int):
+    """How many grams sets of n and m share at least if they link."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
 def node_of(found: np.ndarray) -> int:
     import hashlib
 
@@ -137,13 +143,18 @@ def by_cell(rows, keys, columns):
 
 
 def near(sizes, levels, shared, percent, twice=0):
-    """The pairs of places that share enough grams of their prefixes and are near in size.
+    """The pairs of places that share enough grams of their longest prefixes and are near in size.
+
+    Of what two sets share, all that is not behind the prefix that ends first lies in both
+    prefixes; so a link shares there what it needs but for the grams behind one of them.
 
     twice: how many of a place's grams have another's fingerprint, and may count once instead of twice.
     """
     a, b = np.triu_indices(len(sizes), 1)
     small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-    asked = np.minimum(levels[a], levels[b]) - (np.minimum(twice[a], twice[b]) if np.ndim(twice) else twice)
+    behind = overlap(sizes, percent) - levels
+    asked = np.maximum(np.minimum(levels[a], levels[b]), linked_overlap(small, large, percent) - np.maximum(behind[a], behind[b]))
+    asked = asked - (np.minimum(twice[a], twice[b]) if np.ndim(twice) else twice)
     hit = (shared[a, b] >= asked) & (100 * small >= percent * large)
     return a[hit], b[hit]
 
@@ -168,27 +179,60 @@ class Joined:
         return a != b
 
 
-def cells_met(percent: int):
-    """Task function over rows sorted by cell: shared grams of prefixes to candidates (a, b), one by one or as the forest of a crowd.
-
-    known has 16 bits of each gram: enough to count by, and never a candidate less.
-    """
+def with_known(third: str):
+    """What by_cell has of a batch: each node with its size, its known grams and one more column."""
 
     def columns(batch):
         names = batch.schema.names
         known = batch.column(names.index("known"))
         values, cuts = known.values.to_numpy(), known.offsets.to_numpy()
-        return zip(batch.column(names.index("node")).to_pylist(), zip(batch.column(names.index("n")).to_pylist(), (values[a:b] for a, b in zip(cuts[:-1], cuts[1:])), batch.column(names.index("label")).to_pylist()))
+        return zip(batch.column(names.index("node")).to_pylist(), zip(batch.column(names.index("n")).to_pylist(), (values[a:b] for a, b in zip(cuts[:-1], cuts[1:])), batch.column(names.index(third)).to_pylist()))
+
+    return columns
+
+
+def cells_led(percent: int):
+    """Task function over rows sorted by cell: the rows of classes that are candidates of one that leads, and of the leading ones that have any."""
+
+    def run(rows):
+        out = []
+        for (bucket, i, j), cell in by_cell(rows, ("bucket", "i", "j"), with_known("leads")):
+            nodes, (sizes, known, leads) = list(cell), zip(*cell.values())
+            few, sizes, leads = [np.unique(k) for k in known], np.array(sizes), np.array(leads)
+            twice = np.array([len(k) - len(f) for k, f in zip(known, few)])
+            a, b = near(sizes, level(sizes, percent), _common(few), percent, twice)
+            led = leads[a] | leads[b]
+            out += [(bucket, i, j, nodes[x], bool(leads[x])) for x in np.unique(np.r_[a[led], b[led]]).tolist()]
+            if len(out) > 20_000:
+                yield _cell_rows(out)
+                out = []
+        if out:
+            yield _cell_rows(out)
+
+    return run
+
+
+def _cell_rows(out):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], names=["bucket", "i", "j", "node", "leads"])
+
+
+def cells_met(percent: int):
+    """Task function over rows sorted by cell: shared grams of prefixes to candidates (a, b), one by one or as the forest of a crowd.
+
+    known has 16 bits of each gram: enough to count by, and never a candidate less.
+    """
 
     def run(rows):
         out, joined, told = [], Joined(), set()  # what this task has told already
-        for _, cell in by_cell(rows, ("level", "gram", "i", "j"), columns):
+        for _, cell in by_cell(rows, ("level", "gram", "i", "j"), with_known("label")):
             nodes, (sizes, known, labels) = list(cell), zip(*cell.values())
             if len(cell) <= 6:  # sets are quicker than arrays for a few
                 few = [set(k.tolist()) for k in known]
                 twice = [len(k) - len(f) for k, f in zip(known, few)]
                 asks = [int(level(k, percent)) for k in sizes]
-                hit = [(x, y) for y in range(len(few)) for x in range(y) if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]) and len(few[x] & few[y]) >= min(asks[x], asks[y]) - min(twice[x], twice[y])]
+                behind = [overlap(k, percent) - a for k, a in zip(sizes, asks)]
+                need = lambda x, y: max(min(asks[x], asks[y]), linked_overlap(sizes[x], sizes[y], percent) - max(behind[x], behind[y])) - min(twice[x], twice[y])  # noqa: B023, E731
+                hit = [(x, y) for y in range(len(few)) for x in range(y) if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]) and len(few[x] & few[y]) >= need(x, y)]
             else:
                 sizes = np.array(sizes)
                 few = [np.unique(k) for k in known]
@@ -416,12 +460,18 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # classes whose first frequent gram is the same, if there are more than a block of them
     sizes = chosen.where("crowd is not null").groupBy("crowd").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).withColumn("k", F.col("m"))
     large = stored(_join_groups(chosen.where("crowd is not null").select("node", "crowd"), sizes, ["crowd"]).select(F.col("crowd").alias("bucket"), "node", "m"))
-    first = verify(_by_pivots(large)) if large.limit(1).count() else None
+    first = None
+    if large.limit(1).count():
+        # what is known of the classes goes first: only candidates' texts follow
+        led = _by_pivots(large).join(chosen.select("node", "n", "known"), "node").repartition(parts, "bucket", "i", "j")
+        led = led.sortWithinPartitions("bucket", "i", "j", F.desc("leads"), "node").mapInArrow(tidy(cells_led(percent)), "bucket long, i int, j int, node long, leads boolean")
+        first = verify(led)
     known = chosen.select("node", "n", "known", F.lit(None).cast("long").alias("label"))
     if first is not None:
         known = stored(known.drop("label").join(components(first), "node", "left"))
 
-    met = _cells(_met(chosen).join(known.select("node", "label"), "node"), ["level", "gram", "least"], MEETING)
+    # stored, as it is read for the few, the many and their labels
+    met = _cells(stored(_met(chosen).join(known.select("node", "label"), "node")), ["level", "gram", "least"], MEETING)
     # a class's grams that go the same way travel as one row, with what is known of the class once
     packed = met.repartition(parts, "node").groupBy("node", "least", "i", "j").agg(F.collect_list(F.struct("level", "gram")).alias("posts")).join(known, "node")
     # grams of like classes lie in one task, which tells of their candidates once

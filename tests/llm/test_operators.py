@@ -324,6 +324,31 @@ def test_jaccard_join_crowds(spark, monkeypatch, block, pivots):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_candidates_share_what_links_need(percent):
+    """Sets that link are candidates; sets that share half of their grams are none."""
+    draw = np.random.default_rng(4)
+    for size in (3, 20, 41, 200, 900):
+        whole = [np.sort(draw.choice(10**9, size, replace=False).astype(np.uint64))]
+        for edits in sorted({1, size // 40, size // 12, size // 9, size // 5, size // 2}):
+            other = np.unique(np.r_[draw.choice(whole[0], size - edits, replace=False), draw.choice(10**9, draw.integers(0, edits + 1)).astype(np.uint64)])
+            whole.append(other if len(other) else whole[0])
+        sizes = np.array([len(x) for x in whole])
+        levels = jaccard_join.level(sizes, percent)
+        heads = [x[: n - jaccard_join.overlap(n, percent) + int(k)] for x, n, k in zip(whole, sizes.tolist(), levels)]
+        found = set(zip(*(x.tolist() for x in jaccard_join.near(sizes, levels, jaccard_join._common(heads), percent))))
+        for a in range(len(whole)):
+            for b in range(a + 1, len(whole)):
+                both = len(np.intersect1d(whole[a], whole[b]))
+                if 100 * both >= percent * (sizes[a] + sizes[b] - both):
+                    assert (a, b) in found
+    # half of the prefixes is shared: what lies behind can't make up for it
+    sizes = np.array([400, 400])
+    levels = jaccard_join.level(sizes, percent)
+    length = 400 - jaccard_join.overlap(400, percent) + int(levels[0])
+    assert not len(jaccard_join.near(sizes, levels, np.full((2, 2), length // 2), percent)[0])
+
+
 def test_substring_tasks_stay_small():
     """A task's arrays don't grow with the batch that it gets, a bucket's stay below ten times its text."""
     import tracemalloc
