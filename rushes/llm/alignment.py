@@ -84,7 +84,7 @@ class Coders:
     """Both tokenizers, with the bytes of their tokens as texts mean them."""
 
     def __init__(self, a_content: str, b_content: bytes):
-        self.a, self.b = Bpe(a_content, 120_000), PieceBpe(b_content, 100_000)  # both caches share one worker
+        self.a, self.b = Bpe(a_content, 240_000), PieceBpe(b_content, 200_000)  # both caches share one worker
         if not self.b.model["prefix"] or any(chr(b) not in self.a.vocabulary for b in range(256)):
             raise ValueError("B must set a space before a text, A must have a token for each byte")
         # all tokens of A are units; special tokens' strings are plain text

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rushes.llm.alignment import align, align_tokens, diagonals
+from rushes.llm.alignment import Coders, align, align_tokens, diagonals
 from rushes.llm.piece_bpe import PieceBpe, code_pieces, read_model
 from rushes.llm.queries import model_file, tokenizer_file
 
@@ -194,3 +194,11 @@ def test_alignment_of_a_long_text(spark):
     assert r._n_links == r._n_a + r._n_b - r._n_groups
     assert len(re.findall(";", r._groups)) + 1 == r._n_groups
     assert r._n_a + r._n_b == len(re.findall(r"\d+", r._groups))
+
+
+def test_alignment_keeps_the_words_of_many_units():
+    coders = Coders(tokenizer_file("byte_bpe_50k.json"), model_file("piece_bpe_32k.model"))
+    for known in (coders.a.known, coders.b.known):
+        for first in range(0, 300_000, 10_000):
+            known.update(dict.fromkeys(known.refresh([str(k) for k in range(first, first + 10_000)]), b""))
+        assert known.refresh([str(k) for k in range(10_000)]) == []
