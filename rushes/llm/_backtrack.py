@@ -5,6 +5,9 @@ encoding exactly if each two neighbours may stand side by side, and what stands
 a place is the encoding of that prefix. So the longest unit at a place is tried first,
 then shorter ones; where none fits, the place has failed for good, a bitfield keeps it,
 and its last unit gives way. Many words go through the same steps together in numpy.
+
+Most matches are of one or two characters; tables of characters and of pairs of them
+say those for a whole text at once, the automaton has the longer units.
 """
 
 from itertools import chain
@@ -14,6 +17,8 @@ import numpy as np
 #: Characters of words that go through the steps together, and of the longest word among them.
 TOGETHER, LONGEST = 1 << 18, 64
 SLOTS = 21
+#: Different characters in units of two, for which there is a table of all pairs.
+PAIRED = 1024
 
 
 class Pairs:
@@ -57,17 +62,37 @@ class Backtracker:
         self.pairs = Pairs(compatible, most)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.shorter = np.array([next((number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in number), -1) for t in texts], np.int64)
+        paired = sorted({ord(c) for t in number if len(t) == 2 for c in t})
+        tabled = 2 if len(paired) <= PAIRED else 1
+        # by code point: the unit of that character, and its place among those in units of two; the last stands for all code points beyond
+        last = max(map(ord, chain.from_iterable(number)), default=0) + 1
+        self.singles, self.place = np.full(last + 1, -1, np.int32), np.zeros(last + 1, np.int32)
+        if tabled == 2:
+            self.place[paired] = np.arange(1, len(paired) + 1)
+        self.doubles = np.full((len(paired) + 1, len(paired) + 1) if tabled == 2 else (1, 1), -1, np.int32)
         self.machine = ahocorasick.Automaton()
         for t, k in number.items():
-            self.machine.add_word(t, k)
+            if len(t) == 1:
+                self.singles[ord(t)] = k
+            elif len(t) <= tabled:
+                self.doubles[tuple(self.place[[ord(c) for c in t]])] = k
+            else:
+                self.machine.add_word(t, k)
         self.machine.make_automaton()
 
     def longest(self, text: str) -> np.ndarray:
         """The longest unit that begins at each place, -1 where none does."""
-        found = np.fromiter(chain.from_iterable(self.machine.iter(text)), np.int64).reshape(-1, 2)
+        code = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), len(self.singles) - 1)
         out = np.full(len(text) + 1, -1, np.int64)
-        # matches come by their ends, so of those with one begin the last is the longest
-        out[found[:, 0] - self.sizes[found[:, 1]] + 1] = found[:, 1]
+        out[:-1] = self.singles[code]
+        place = self.place[code]
+        double = self.doubles[place[:-1], place[1:]]
+        at = np.flatnonzero(double >= 0)
+        out[at] = double[at]
+        if len(self.machine):
+            found = np.fromiter(chain.from_iterable(self.machine.iter(text)), np.int64).reshape(-1, 2)
+            # matches come by their ends, so of those with one begin the last is the longest
+            out[found[:, 0] - self.sizes[found[:, 1]] + 1] = found[:, 1]
         return out
 
     def one(self, text: str) -> list[int]:

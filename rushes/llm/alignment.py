@@ -7,7 +7,8 @@ work, whatever the documents' lengths; each piece emits its overlaps knowing one
 end before it, and groups that go over a piece's border are stitched by running
 counts of the ends common to both lists.
 
-Documents are encoded once, in units of some megabytes. A unit keeps its distinct
+Documents are encoded once, in units of some megabytes, cut at spaces where both
+tokenizers cut; a worker keeps both encodings of the words it met. A unit keeps its distinct
 pairs of ids with their counts and each link as a place among those pairs, packed.
 Counts are added up by Spark; pairs with at least one in 2^17 of all links, at most
 2^17 of them, are told to all tasks, and only links of rarer pairs are shuffled to
@@ -24,12 +25,14 @@ from ._backtrack import Backtracker, packed_words
 from ._spark import column, own_fields, stored
 from ._text import give_back, parts, tidy
 from .bpe import Bpe
-from .packing import ranges, worker_cache
-from .piece_bpe import SPACE, PieceBpe, read_model
+from .packing import Recent, ranges, worker_cache
+from .piece_bpe import CACHED_CHARS, SPACE, PieceBpe, read_model
 
 #: Elements of both lists that one piece of the merge path has.
 WORK = 1 << 16
 UNIT_BYTES = 3 << 19
+#: Set in the ids of B where those of a word stand behind its ids of A.
+OF_B = 1 << 31
 #: Pairs with at least one in so many links are told to all tasks.
 FREQUENT = 1 << 17
 COUNTS = "_n_a long, _n_b long, _n_groups long, _n_links long, _groups_sha256 string"
@@ -84,7 +87,12 @@ class Coders:
     """Both tokenizers, with the bytes of their tokens as texts mean them."""
 
     def __init__(self, a_content: str, b_content: bytes):
-        self.a, self.b = Bpe(a_content, 240_000), PieceBpe(b_content, 200_000)  # both caches share one worker
+        import re
+
+        self.a, self.b = Bpe(a_content, 150_000), PieceBpe(b_content, 150_000)  # all caches share one worker
+        self.known = Recent(200_000)
+        #: where white space stands before a space, and the spaces that a word may begin with there
+        self.doubtful, self.spaces = re.compile(r"\s "), re.compile(r"(?<=\S) ")
         if not self.b.model["prefix"] or any(chr(b) not in self.a.vocabulary for b in range(256)):
             raise ValueError("B must set a space before a text, A must have a token for each byte")
         # all tokens of A are units; special tokens' strings are plain text
@@ -98,14 +106,21 @@ class Coders:
             sizes = np.array([len(w) for w in words], np.int64)
             self.digits[name] = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes, size
 
-    def encode_many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and B of each text; none where either's bytes are not those of space and text.
+    def words(self, text: str) -> list[str]:
+        """The text cut at spaces where both tokenizers cut it; before each word a space is left out.
 
-        A has a token for each byte, so it keeps every text. B keeps all but the sign
-        that it writes for a space, and letters that it has no id for.
+        A has no piece with white space after other characters. B has no token with a
+        space after another character, or else the text stays whole.
         """
-        texts = ["" if not t or SPACE in t else t for t in texts]
-        pieces = [self.a.split.findall(" " + t) if t else [] for t in texts]
+        if self.b.words is None:
+            return [text]
+        if text[0] == " " or self.doubtful.search(text):
+            return self.spaces.split(text)
+        return text.split(" ")
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Of each word with a space before it the ids of A, then those of B with OF_B set, little-endian 32-bit."""
+        pieces = [self.a.split.findall(" " + w) for w in words]
         known, whole = self.a.known, self.a.vocabulary
         new = known.refresh(set().union(*pieces))
         spelled = [p.encode().decode("latin-1") for p in new]
@@ -114,12 +129,35 @@ class Coders:
         rest = [(p, t) for p, t in zip(new, spelled) if t not in whole]
         every = np.arange(len(self.a.strings) + 1)
         known.update(zip([p for p, _ in rest], packed_words(*self.tracker.many([t for _, t in rest]), every, every)))
-        out = []
-        for of_text, b in zip(pieces, self.b.encode_many(texts)):
-            i, j = np.frombuffer(b"".join(map(known.__getitem__, of_text)), "<u4"), np.frombuffer(b, "<u4")
-            lost = not self.b.model["bytes"] and (j == self.b.model["unknown"]).any()
-            out.append((i[:0], j[:0]) if lost else (i, j))
-        return out
+        of_b = self.b.encode_marked([SPACE + w.replace(" ", SPACE) for w in words])
+        marked = (np.frombuffer(b"".join(of_b), "<u4") | np.uint32(OF_B)).tobytes()
+        ends = np.cumsum([len(b) for b in of_b]).tolist()
+        return [b"".join(map(known.__getitem__, p)) + marked[end - len(b) : end] for p, b, end in zip(pieces, of_b, ends)]
+
+    def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A of all texts, how many each text has, ids of B, how many); none where either's bytes are not those of space and text.
+
+        A has a token for each byte, so it keeps every text. B keeps all but the sign
+        that it writes for a space, and letters that it has no id for. Long words are
+        encoded each time they occur, so that the cache stays small.
+        """
+        words = [self.words(t) if t and SPACE not in t else [] for t in texts]
+        known = self.known
+        new = known.refresh(set().union(*words))
+        coded = dict(zip(new, self.encode_words(new)))
+        once = {w: coded.pop(w) for w in new if len(w) > CACHED_CHARS}
+        known.update(coded)
+        get = (lambda w: once[w] if w in once else known[w]) if once else known.__getitem__
+        coded = [b"".join(map(get, w)) for w in words]
+        n = np.array([len(c) // 4 for c in coded], np.int64)
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        of_b = ids >= OF_B
+        text = np.repeat(np.arange(len(texts)), n)
+        if not self.b.model["bytes"]:
+            lost = np.zeros(len(texts), bool)
+            lost[text[ids == OF_B + self.b.model["unknown"]]] = True
+            ids, of_b, text = (x[~lost[text]] for x in (ids, of_b, text))
+        return ids[~of_b].astype(np.int64), np.bincount(text[~of_b], minlength=len(texts)), (ids[of_b] - OF_B).astype(np.int64), np.bincount(text[of_b], minlength=len(texts))
 
     def decimal(self, which: str, ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begins and sizes, in the table of bytes, of ids with the sign that follows them."""
@@ -170,9 +208,7 @@ def encoded_units(a_content: str, b_content: bytes, outputs: list[str]):
         row = TaskContext.get().partitionId() << 40
         for batch in rows:
             for part in parts(batch, "_whole", UNIT_BYTES):
-                coded = coders.encode_many(part.column(part.schema.get_field_index("_whole")).to_pylist())
-                i, j = (np.concatenate([c[k] for c in coded]).astype(np.int64) for k in (0, 1))
-                n_a, n_b = (np.array([len(c[k]) for c in coded], np.int64) for k in (0, 1))
+                i, n_a, j, n_b = coders.encode_many(part.column(part.schema.get_field_index("_whole")).to_pylist())
                 links_a, links_b, of_a, of_b = align(np.cumsum(coders.a.sizes[i]), np.cumsum(coders.b_sizes[j]))
                 sizes = np.diff(np.searchsorted(links_a, np.cumsum(n_a), side="left"), prepend=0)
                 texts = group_texts(coders, i, j, of_a, of_b, n_a + n_b)
@@ -204,7 +240,7 @@ def encoded_units(a_content: str, b_content: bytes, outputs: list[str]):
                 unit = {"pairs": [pairs[order]], "counts": [counts[order].astype(np.int32)], "links": [rank[place].tobytes()], "keys": [keys[with_links].tobytes()], "sizes": [sizes[with_links].tobytes()]}
                 yield pa.RecordBatch.from_pydict({f: pa.array(unit[f], none[f]) if f in unit else pa.nulls(1, every[f].type) for f in outputs})
                 # a unit's arrays are many times its text
-                del coded, i, j, links_a, links_b, of_a, of_b, texts, codes, pairs, place, counts, order, rank, unit
+                del i, j, links_a, links_b, of_a, of_b, texts, codes, pairs, place, counts, order, rank, unit
                 give_back()
 
     return run

@@ -182,7 +182,10 @@ class PieceBpe:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids, little-endian 32-bit, of each text, without begin and end. New words of all texts are encoded together."""
         prefix = SPACE if self.model["prefix"] else ""
-        texts = [prefix + t.replace(" ", SPACE) if t else "" for t in texts]
+        return self.encode_marked([prefix + t.replace(" ", SPACE) if t else "" for t in texts])
+
+    def encode_marked(self, texts: list[str]) -> list[bytes]:
+        """As encode_many, of texts that have the sign for a space already, also in front."""
         if self.words is None:
             return self.encode_words(texts)
         words = [self.words.findall(t) for t in texts]

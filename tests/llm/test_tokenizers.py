@@ -202,3 +202,72 @@ def test_alignment_keeps_the_words_of_many_units():
         for first in range(0, 300_000, 10_000):
             known.update(dict.fromkeys(known.refresh([str(k) for k in range(first, first + 10_000)]), b""))
         assert known.refresh([str(k) for k in range(10_000)]) == []
+
+
+class Counting:
+    """A pattern that counts the characters it goes through."""
+
+    def __init__(self, pattern):
+        self.pattern, self.seen = pattern, 0
+
+    def findall(self, text):
+        self.seen += len(text)
+        return self.pattern.findall(text)
+
+
+def test_alignment_parts_each_word_once():
+    """Words that occur again, in one unit or in later ones, are not parted by either tokenizer's pattern again."""
+    coders = Coders(tokenizer_file("byte_bpe_50k.json"), model_file("piece_bpe_32k.model"))
+    coders.a.split, coders.b.words = Counting(coders.a.split), Counting(coders.b.words)
+    words = [f"tion{k}straße." for k in range(50)]
+    for _ in range(3):
+        coders.encode_many([" ".join(words * 20), " ".join(reversed(words))])
+    size = sum(len(" " + w) for w in words)
+    assert (coders.a.split.seen, coders.b.words.seen) == (size, size)
+
+
+def ids_of(coders, texts):
+    i, n_a, j, n_b = coders.encode_many(texts)
+    cut = lambda ids, n: [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    return list(zip(cut(i, n_a), cut(j, n_b)))
+
+
+def test_alignment_cuts_at_white_space_as_the_libraries_do(library):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    first.encode_special_tokens = True
+    coders = Coders(tokenizer_file("byte_bpe_50k.json"), model_file("piece_bpe_32k.model"))
+    draw = random.Random(11)
+    some = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\x1c", "\x85", "the", "straße", "'s", "x.", "日本", "7", "<s>", "\u200b", "e\u0302", "y" * 60]
+    texts = [" ", "  ", "the ", "the  ", " the", "the\n ", "the\n  the", "the \n the", "the\u00a0 \u00a0the"]
+    texts += ["".join(draw.choice(some) for _ in range(draw.randint(1, 25))) for _ in range(1500)]
+    for first_time in (True, False):
+        for t, (a, b) in zip(texts, ids_of(coders, texts)):
+            assert (a, b) == (first.encode(" " + t, add_special_tokens=False).ids, library.encode(t)), (t, first_time)
+
+
+def test_alignment_without_byte_fallback():
+    """A text with a letter that B has no id for has no tokens; its neighbours keep theirs."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -9.0, 1), ("a", -9.0, 1), ("b", -9.0, 1), ("▁a", -1.0, 1)]
+    coders = Coders(tokenizer_file("byte_bpe_50k.json"), own_model(pieces))
+    got = ids_of(coders, ["a b", "a c", "", None, "ab"])
+    assert [b for _, b in got] == [[6, 3, 5], [], [], [], [6, 5]]
+    assert [len(a) > 0 for a, _ in got] == [True, False, False, False, True]
+
+
+@pytest.mark.parametrize("paired", [0, 1024])
+def test_short_units_by_tables(monkeypatch, paired):
+    """The longest unit at each place, with units of two in the table and in the automaton, also without longer ones."""
+    from rushes.llm import _backtrack
+
+    monkeypatch.setattr(_backtrack, "PAIRED", paired)
+    draw = random.Random(3)
+    for longest in (1, 2, 5):
+        units = ["", *sorted({"".join(draw.choice("ab日😀") for _ in range(draw.randint(1, longest))) for _ in range(30)})]
+        tracker = _backtrack.Backtracker(units, lambda a, b: True, 10, "|")
+        for _ in range(50):
+            text = "".join(draw.choice("ab日😀|\U0010ffff") for _ in range(draw.randint(0, 30)))
+            want = [max((u for u in units if u and text.startswith(u, k)), key=len, default="") for k in range(len(text))]
+            assert [units[u] if u >= 0 else "" for u in tracker.longest(text).tolist()] == [*want, ""]
