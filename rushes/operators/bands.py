@@ -74,13 +74,19 @@ def near(v: np.ndarray, dy: int, dx: int) -> np.ndarray:
     return v[:, rows][:, :, columns]
 
 
-def colours(v: np.ndarray, y0: int, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(r, g, b) of bands x rows x columns of mosaic samples whose first row is y0; pattern: an index into PATTERNS for each band."""
+def colours(v: np.ndarray, y0: int, pattern: np.ndarray, doubled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, g, b) of bands x rows x columns of mosaic samples whose first row is y0; pattern: an index into PATTERNS for each band.
+
+    Whether two directions are equally rough can hang on the last bit, so the order of the sums is part of the result: differences
+    from both sides are added, as the reference does, or, if doubled, both sides are taken from twice the sample, as the development does.
+    """
     left, right, above, below = near(v, 0, -1), near(v, 0, 1), near(v, -1, 0), near(v, 1, 0)
-    across2, down2 = 2 * v - near(v, 0, -2) - near(v, 0, 2), 2 * v - near(v, -2, 0) - near(v, 2, 0)
+    bend = lambda a, b: 2 * v - a - b if doubled else (v - a) + (v - b)
+    across2, down2 = bend(near(v, 0, -2), near(v, 0, 2)), bend(near(v, -2, 0), near(v, 2, 0))
     rough_h, rough_v = np.abs(left - right + np.abs(across2)), np.abs(above - below + np.abs(down2))
     smooth_h, smooth_v = (left + right) / 2 + across2 / 4, (above + below) / 2 + down2 / 4
-    green = np.where(rough_h == rough_v, (smooth_h + smooth_v) / 2, np.where(rough_h > rough_v, smooth_v, smooth_h))
+    both = (smooth_h + smooth_v) / 2 if doubled else (above + below + left + right) / 4 + (across2 + down2) / 8
+    green = np.where(rough_h == rough_v, both, np.where(rough_h > rough_v, smooth_v, smooth_h))
 
     corners = {(dy, dx): near(v, dy, dx) for dy in (-1, 1) for dx in (-1, 1)}
     side_v, side_h = {-1: above, 1: below}, {-1: left, 1: right}
@@ -312,7 +318,7 @@ def develop_bands(pixels: DataFrame, black: float, white_level: float, white: tu
         if pattern not in PATTERNS:
             return [np.full_like(v, np.nan)] * 3
         with np.errstate(all="ignore"):
-            return developed(list(colours(v, y0, np.full(len(v), PATTERNS.index(pattern)))), shared.value)
+            return developed(list(colours(v, y0, np.full(len(v), PATTERNS.index(pattern)), doubled=True)), shared.value)
 
     out = _map_bands(pixels, work, rows, bits)
     return out.select("frame", "y", "x", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "rgb"])

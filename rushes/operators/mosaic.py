@@ -92,12 +92,14 @@ def _neighbours(pixels: DataFrame) -> DataFrame:
     return out.withColumns(near("v", column, ("a1", "b1")) | far(column, ("a2", "b2")) | near("l1", column, ("al", "bl")) | near("r1", column, ("ar", "br")))
 
 
-def _at_chroma(out: DataFrame) -> DataFrame:
-    """Adds green and other: at a red or blue site, green along the smoother direction and the opposite colour."""
+def _at_chroma(out: DataFrame, doubled: bool) -> DataFrame:
+    """Adds green and other: at a red or blue site, green along the smoother direction and the opposite colour; doubled as in bands.colours."""
     c = {n: F.col(n) for n in ("l1", "l2", "r1", "r2", "a1", "a2", "b1", "b2", "v")}
-    dh, dv = c["v"] * 2 - c["l2"] - c["r2"], c["v"] * 2 - c["a2"] - c["b2"]
+    bend = lambda a, b: c["v"] * 2 - a - b if doubled else (c["v"] - a) + (c["v"] - b)
+    dh, dv = bend(c["l2"], c["r2"]), bend(c["a2"], c["b2"])
     out = out.withColumns({"_gh": F.abs(c["l1"] - c["r1"] + F.abs(dh)), "_gv": F.abs(c["a1"] - c["b1"] + F.abs(dv)), "_h": (c["l1"] + c["r1"]) / 2 + dh / 4, "_v": (c["a1"] + c["b1"]) / 2 + dv / 4})
-    green = F.when(F.col("_gh") == F.col("_gv"), (F.col("_h") + F.col("_v")) / 2).when(F.col("_gh") > F.col("_gv"), F.col("_v")).otherwise(F.col("_h"))
+    both = (F.col("_h") + F.col("_v")) / 2 if doubled else (c["a1"] + c["b1"] + c["l1"] + c["r1"]) / 4 + (dh + dv) / 8
+    green = F.when(F.col("_gh") == F.col("_gv"), both).when(F.col("_gh") > F.col("_gv"), F.col("_v")).otherwise(F.col("_h"))
     out = out.withColumn("green", green)
     pairs = {"al": ("a1", "l1"), "ar": ("a1", "r1"), "bl": ("b1", "l1"), "br": ("b1", "r1")}
     out = out.withColumns({f"_w{k}": F.lit(1.0) / F.greatest(F.lit(SMALL), F.abs(F.col("green") - (c[p] + c[q]) / 2)) for k, (p, q) in pairs.items()})
@@ -116,16 +118,16 @@ def _at_green(out: DataFrame) -> DataFrame:
     return out.withColumns({"down": blend(("al", "ar"), ("bl", "br"), "a1", "b1"), "across": blend(("al", "bl"), ("ar", "br"), "l1", "r1")})
 
 
-def debayer(pixels: DataFrame, pattern: str = "pattern") -> DataFrame:
+def debayer(pixels: DataFrame, pattern: str = "pattern", doubled: bool = False) -> DataFrame:
     """frame, y, x, site (R, G, B), r, g, b of mosaic samples; the column pattern is RGGB, BGGR, GRBG or GBRG.
 
-    Another pattern, or none, gives null colours.
+    Another pattern, or none, gives null colours. doubled: the order of sums, as in bands.colours.
     """
     place = (F.col("y") % 2 * 2 + F.col("x") % 2 + 1).cast("int")
     own = F.when(F.col(pattern).isin("RGGB", "BGGR", "GRBG", "GBRG"), F.substring(F.col(pattern), place, F.lit(1)))
     # the other colour of a green site's row
     beside = F.substring(F.col(pattern), (F.col("y") % 2 * 2 + (F.col("x") + 1) % 2 + 1).cast("int"), F.lit(1))
-    out = _at_green(_at_chroma(_neighbours(pixels.withColumns({"site": own, "_beside": beside}))))
+    out = _at_green(_at_chroma(_neighbours(pixels.withColumns({"site": own, "_beside": beside})), doubled))
     chroma = lambda c: F.when(F.col("site") == c, F.col("v")).when(F.col("site") == "G", F.when(F.col("_beside") == c, F.col("across")).otherwise(F.col("down"))).when(F.col("site").isNotNull(), F.col("other"))
     green = F.when(F.col("site") == "G", F.col("v")).when(F.col("site").isNotNull(), F.col("green"))
     return out.select("frame", "y", "x", "site", chroma("R").alias("r"), green.alias("g"), chroma("B").alias("b"))
@@ -181,7 +183,7 @@ def develop(pixels: DataFrame, black: float, white_level: float, white: tuple[fl
 
     pixels: frame, y, x, v (0 to 1), pattern. Tone, roll-off and gamut serve Rec709 and sRGB only.
     """
-    rgb = debayer(pixels).where("site is not null").drop("site")
+    rgb = debayer(pixels, doubled=True).where("site is not null").drop("site")
     rgb = rgb.withColumns({c: (F.col(c) - black) / (white_level - black) for c in "rgb"})
     if recover:
         rgb = highlight_recovery(rgb, tuple(w / min(white) for w in white))
