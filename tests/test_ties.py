@@ -39,3 +39,9 @@ def test_development(spark, tied):
     got, want = both(spark, tied, "d16_develop")
     assert len(got) == 400
     assert all(a == pytest.approx(b, abs=1e-9) for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("name", ["d4_debayer_green", "d6_chroma_at_green", "d7_debayer"])
+def test_colours(spark, tied, name):
+    got, want = both(spark, tied, name)
+    assert got == want and len(got) == 400 * (64 if name == "d7_debayer" else 32)
