@@ -2,12 +2,16 @@
 
 Cut into segments, two vectors x and q have in each segment of n components with
 means m and deviations s a squared distance of at least n ((m_x - m_q)^2 + (s_x -
-s_q)^2). So |x|^2 + |q|^2 less that bound is at least twice the inner product. The
-bound is taken coarse first; the candidates that can still enter a query's best k
-go on to finer segments, and the survivors' inner products are computed exactly.
+s_q)^2). So |x|^2 + |q|^2 less that bound is at least twice the inner product; as
+n (m^2 + s^2) adds up to |x|^2, the inner product is at most the sum of n (m_x m_q +
+s_x s_q). The bound is taken coarse first, for groups of rows of like means by the
+range of their statistics; groups that can still enter a query's best k go on to finer
+segments, and the survivors' inner products are computed exactly: row by row where few
+survive, as one product of matrices where most do.
 
-Queries and candidates lie in packed blocks; each query block meets each candidate
-block once, and each block keeps the best k of a query.
+Queries and candidates lie in packed blocks, dealt to cells: each group of queries meets
+each group of candidates in one task, which takes a block of queries through all of its
+candidates and keeps the best k of each query so far as what the next must reach.
 
 Vectors of large components lie in blocks of their own. Where doubles do not hold all
 sums exactly, the bound is each rounded product with its error instead, and the
@@ -21,11 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = "block int, dim int, n int, width int, ids binary, vectors binary"
+BLOCK = "dim int, width int, ids binary, vectors binary"
+#: Rows whose statistics are bounded together; rows compared at once; the share of groups up to which survivors go row by row.
+GROUP, TILE, FEW = 16, 4096, 0.01
+#: So many times k rows give a first floor.
+START = 64
+LEVELS = (1, 4, 16)
+FOUND = ["query_id", "vec_id", "score", "side", "key"]
+#: Components of the candidates and of the queries of a cell.
+CELL, ASKED = 1 << 23, 1 << 22
 
 
 def _width(top: float) -> int:
     """Bytes for components up to top in size; more than 8 in steps, so that few kinds of blocks arise."""
+    if top < 2.0**15:
+        return 2
     if top <= 2.0**22:
         return 4
     return 8 if top < 2.0**62 else -(-(int(top).bit_length() + 2) // 128) * 16
@@ -53,23 +67,29 @@ def _quantised(rows, scale: float):
     for batch in rows:
         column = batch.column(batch.schema.get_field_index("vector"))
         ids = batch.column(batch.schema.get_field_index("id"))
-        by: dict[tuple[int, int], tuple[list, list]] = {}
-        for i, v in zip(ids.to_pylist(), column):
-            if i is None or not v.is_valid or not len(v) or v.values.null_count:
-                continue
-            values = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-            if not np.isfinite(values).all():
-                continue
+        usable = ids.is_valid().to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False)
+        cuts, components = column.offsets.to_numpy().astype(np.int64), column.values
+        size = np.diff(cuts)
+        values = components.to_numpy(zero_copy_only=False).astype(np.float64)  # a null becomes nan
+        ids = ids.fill_null(0).to_numpy()
+        for dim in np.unique(size[usable & (size > 0)]).tolist():
+            at = np.flatnonzero(usable & (size == dim))
+            whole = values[cuts[at][:, None] + np.arange(dim)]
+            finite = np.isfinite(whole).all(1)
+            at, whole = at[finite], whole[finite]
             with np.errstate(over="ignore"):
-                x = np.floor(values * scale)
-            top = np.abs(x).max()
-            if top >= 2.0**62:
-                x = _floors(values, scale)
-                top = max(map(abs, x))
-            one = by.setdefault((len(x), _width(top)), ([], []))
-            one[0].append(i), one[1].append(x)
-        for (dim, width), (i, x) in by.items():
-            yield dim, width, np.array(i, np.int64), np.array(x, object) if width > 8 else np.array(x).astype(np.int64)
+                x = np.floor(whole * scale)
+            top = np.abs(x).max(1)
+            large = top >= 2.0**62
+            by: dict[int, list[int]] = {}
+            for k in np.flatnonzero(~large & (top > 2.0**22)).tolist():
+                by.setdefault(_width(top[k]), []).append(k)
+            for width, some in ((2, top < 2.0**15), (4, (top >= 2.0**15) & (top <= 2.0**22)), *by.items()):
+                if x[some].size:
+                    yield dim, width, ids[at[some]], x[some].astype(np.int64)
+            for k in np.flatnonzero(large).tolist():
+                exact = _floors(whole[k], scale)
+                yield dim, _width(max(map(abs, exact))), ids[at[k : k + 1]], exact[None]
 
 
 def packed_blocks(scale: float, size: int, keep=None):
@@ -81,8 +101,7 @@ def packed_blocks(scale: float, size: int, keep=None):
         def emit(dim, width, parts):
             ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             for a in range(0, len(ids), size):
-                i = ids[a : a + size]
-                yield pa.RecordBatch.from_arrays([pa.array([int(i.min() & 0x7FFFFFFF)], pa.int32()), pa.array([dim], pa.int32()), pa.array([len(i)], pa.int32()), pa.array([width], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([_packed(x[a : a + size], width)], pa.binary())], names=["block", "dim", "n", "width", "ids", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([width], pa.int32()), pa.array([ids[a : a + size].tobytes()], pa.binary()), pa.array([_packed(x[a : a + size], width)], pa.binary())], names=["dim", "width", "ids", "vectors"])
 
         for dim, width, ids, x in _quantised(rows, scale):
             if keep is not None:
@@ -110,38 +129,101 @@ def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.nda
     return mean * np.sqrt(n), np.sqrt(np.maximum(square / n - mean**2, 0)) * np.sqrt(n)
 
 
-def best_of_block(queries, query_ids, rows, row_ids, k: int, levels=(1, 4, 16)):
-    """(query place, row id, score) of each query's best k in the block, ties to the smaller id."""
-    most = int(abs(queries).max()) * int(abs(rows).max()) * rows.shape[1]
-    if max(most, int(abs(queries).max()) ** 2 * rows.shape[1], int(abs(rows).max()) ** 2 * rows.shape[1]) > 2**53:
-        return _best_of_wide(queries, query_ids, rows, row_ids, k, most)
-    q, x = queries.astype(np.float64), rows.astype(np.float64)
-    q_norm, x_norm = (q * q).sum(1), (x * x).sum(1)
-    stats = [(segment_statistics(q, s), segment_statistics(x, s)) for s in levels if s <= q.shape[1]]
-    out_q, out_i, out_s = [], [], []
-    # a start: the exact scores of the rows with the largest norms and of some others, k of them at least
-    order = np.lexsort((row_ids, -x_norm))
-    start = np.unique(np.r_[order[: 4 * k + 1], order[:: max(1, len(order) // (8 * k))]])
-    known = q @ x[start].T
-    known[query_ids[:, None] == row_ids[start][None, :]] = -np.inf
-    for j in range(len(q)):
-        floor = np.partition(known[j], -k)[-k] if len(start) >= k else -np.inf
-        alive = np.arange(len(x))
-        for (qm, qd), (xm, xd) in stats:
-            near = ((xm[alive] - qm[j]) ** 2).sum(1) + ((xd[alive] - qd[j]) ** 2).sum(1)
-            # one unit and a share more than the bound, for rounding
-            most = (x_norm[alive] + q_norm[j] - near) / 2
-            alive = alive[most + 1 + 1e-9 * (x_norm[alive] + q_norm[j]) >= floor]
-        alive = alive[row_ids[alive] != query_ids[j]]
-        score = rows[alive] @ queries[j]
-        if len(alive) > k:
-            cut = np.partition(score, -k)[-k]
-            alive, score = alive[score >= cut], score[score >= cut]
-        best = np.lexsort((row_ids[alive], -score))[:k]
-        out_q += [j] * len(best)
-        out_i += row_ids[alive][best].tolist()
-        out_s += score[best].tolist()
-    return np.array(out_q, np.int64), np.array(out_i, np.int64), out_s
+class Block:
+    """Vectors with their ids and statistics; values are doubles, or single floats where these hold them."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.top, self.ids, self.wide = int(abs(x).max()), ids, x
+        self.values, self.stats = None, {}
+        if self.top < 2**53:
+            values = x.astype(np.float64)
+            self.norm = np.sqrt((values * values).sum(1))
+            self.stats = {s: segment_statistics(values, s) for s in LEVELS if s <= x.shape[1]}
+            self.values, self.wide = values.astype(np.float32) if self.top < 2**24 else values, None
+
+    def exact(self) -> np.ndarray:
+        return self.values.astype(np.int64) if self.wide is None else self.wide
+
+
+class Queries(Block):
+    """A block of queries and the best k rows of each so far; floor is what the next must reach."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int):
+        super().__init__(x, ids)
+        self.k, self.floor = k, np.full(len(ids), -np.inf)
+        self.at, self.found, self.score = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, at, found, score):
+        """Further rows: the best k of each query stay, ties to the smaller id."""
+        self.at, self.found, self.score = np.r_[self.at, at], np.r_[self.found, found], np.r_[self.score, score]
+        order = np.lexsort((self.found, -self.score, self.at))
+        place = self.at[order]
+        first = np.searchsorted(place, np.arange(len(self.ids)))
+        order = order[np.arange(len(order)) - first[place] < self.k]
+        self.at, self.found, self.score = self.at[order], self.found[order], self.score[order]
+        full = np.flatnonzero(np.bincount(self.at, minlength=len(self.ids)) == self.k)
+        last = self.score[np.searchsorted(self.at, full, side="right") - 1]
+        # beyond the doubles' whole numbers the floor is near enough: only products that they hold are compared with it
+        self.floor[full] = last if last.dtype != object else [float(min(max(v, -(2**1000)), 2**1000)) for v in last]
+
+
+class Rows(Block):
+    """Candidates in the order of their means, with the ranges of the statistics of each GROUP of them."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        order = np.argsort(x.sum(1), kind="stable")
+        super().__init__(x[order], ids[order])
+        begin = np.arange(0, len(ids), GROUP)
+        self.ranges = {s: (np.maximum.reduceat(m, begin), np.minimum.reduceat(m, begin), np.maximum.reduceat(d, begin)) for s, (m, d) in self.stats.items()}
+
+
+def meet(q: Queries, x: Rows):
+    """The rows of x that enter a query's best k."""
+    n, dim = len(x.ids), (x.wide if x.values is None else x.values).shape[1]
+    most = max(q.top * x.top, q.top**2, x.top**2) * dim
+    if most > 2**53:
+        at, found, score = _best_of_wide(q.exact(), q.ids, x.exact(), x.ids, q.k, most)
+        q.add(at, found, np.array(score, object if most >= 2**63 else np.int64))
+        return
+    # single floats where they hold all sums exactly
+    kind = np.float32 if most < 2**24 else np.float64
+    q_values, x_values = q.values.astype(kind, copy=False), x.values.astype(kind, copy=False)
+
+    def enter(i, j, score):
+        some = x.ids[j] != q.ids[i]
+        if some.any():
+            q.add(i[some], x.ids[j[some]], score[some].astype(np.int64))
+
+    if (q.floor == -np.inf).any() and n > START * q.k:
+        # a start: what k of some rows reach, the query's own id left out
+        some = np.linspace(0, n - 1, START * q.k + 1).astype(int)
+        score = (q_values @ x_values[some].T).astype(np.float64)
+        score[q.ids[:, None] == x.ids[some][None, :]] = -np.inf
+        q.floor = np.maximum(q.floor, np.partition(score, -q.k, axis=1)[:, -q.k])
+    # one unit and a share more than the bounds, for rounding
+    reach = q.floor - 1 - 1e-9 * q.norm * x.norm.max()
+    alive = np.ones((len(q.ids), -(-n // GROUP)), bool)
+    for s, (m, d) in q.stats.items():
+        alive &= np.hstack((np.maximum(m, 0), np.minimum(m, 0), d)) @ np.hstack(x.ranges[s]).T >= reach[:, None]
+        if not alive.any():
+            return
+    if alive.mean() > FEW:
+        at, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(np.repeat(alive.any(0), GROUP)[:n])
+        score = (q_values if len(at) == len(q.ids) else q_values[at]) @ (x_values if len(columns) == n else x_values[columns]).T
+        i, j = np.divmod(np.flatnonzero(score >= q.floor[at].astype(kind)[:, None]), len(columns))
+        enter(at[i], columns[j], score[i, j])
+        return
+    at, group = np.nonzero(alive)
+    for a in range(0, len(at), TILE):
+        i = np.repeat(at[a : a + TILE], GROUP)
+        j = (group[a : a + TILE, None] * GROUP + np.arange(GROUP)).ravel()
+        i, j = i[j < n], j[j < n]
+        for s, (m, d) in q.stats.items():
+            some = (m[i] * x.stats[s][0][j]).sum(1) + (d[i] * x.stats[s][1][j]).sum(1) >= reach[i]
+            i, j = i[some], j[some]
+        score = (q_values[i].astype(np.float64) * x_values[j]).sum(1)
+        some = score >= q.floor[i]
+        enter(i[some], j[some], score[some])
 
 
 def _best_of_wide(queries, query_ids, rows, row_ids, k: int, most: int):
@@ -181,6 +263,23 @@ def _beyond(score: int):
     return (1, key) if score > 0 else (-1, bytes(255 - b for b in key))
 
 
+def _tiles(table: pa.Table, size: int):
+    """(ids, integer matrix) of a cell's blocks, put together to so many rows of one width."""
+    wait: dict[int, list] = {}
+
+    def joined(parts):
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    for r in (r for batch in table.to_batches() for r in batch.to_pylist()):
+        ids, x = np.frombuffer(r["ids"], np.int64), _unpacked(r["vectors"], r["width"], r["dim"])
+        held = wait.setdefault(r["width"], [])
+        if held and sum(len(p[0]) for p in held) + len(ids) > size:
+            yield joined(held)
+            held.clear()
+        held.append((ids, x))
+    yield from (joined(held) for held in wait.values() if held)
+
+
 def search_top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, query_every: int = 50, scale: float = 256.0, query_block: int = 512, row_block: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k largest inner products with other rows.
 
@@ -196,29 +295,31 @@ def search_top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").alias("vector"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # every query block goes to each of the parts that the candidate blocks are dealt over
-    asked = (
-        rows.where(F.col("id") % query_every == 0)
-        .dropDuplicates(["id"])
-        .coalesce(8)
-        .mapInArrow(packed_blocks(scale, query_block), BLOCK)
-        .select("dim", F.col("block").alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    )
-    blocks = rows.mapInArrow(packed_blocks(scale, row_block), BLOCK).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-
-    def compared(batches):
-        for batch in batches:
-            names = batch.schema.names
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                qi, q = np.frombuffer(r["q_ids"], np.int64), _unpacked(r["q_vectors"], r["q_width"], dim)
-                i, x = np.frombuffer(r["ids"], np.int64), _unpacked(r["vectors"], r["width"], dim)
-                at, found, score = best_of_block(q, qi, x, i, k)
+    is_query = F.col("id") % query_every == 0
+    size = F.greatest(F.size("vector"), F.lit(0)).cast("long")
+    every, asking = rows.agg(F.sum(size), F.sum(F.when(is_query, size))).first()
+    # cells of so many groups of queries by so many of candidates: neither grows with the table
+    asked_groups, groups = max(1, -(-(asking or 0) // ASKED)), max(parts, -(-(every or 0) // CELL))
+    deal = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = rows.where(is_query).dropDuplicates(["id"]).coalesce(8).mapInArrow(packed_blocks(scale, query_block), BLOCK).select("*", deal(asked_groups).alias("asked"), all_of(groups).alias("part"))
+    blocks = rows.mapInArrow(packed_blocks(scale, row_block), BLOCK).select("*", deal(groups).alias("part"), all_of(asked_groups).alias("asked"))
+
+    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        if left.num_rows and right.num_rows:
+            tiles = [Rows(x, ids) for ids, x in _tiles(left, TILE)]
+            for ids, x in _tiles(right, query_block):
+                queries = Queries(x, ids, k)
+                for tile in tiles:
+                    meet(queries, tile)
+                score = queries.score.tolist()
                 side, key = zip(*map(_beyond, score)) if score else ((), ())
                 fits = [None if s else v for s, v in zip(side, score)]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(found), pa.array(fits, pa.int64()), pa.array(side, pa.int32()), pa.array(key, pa.binary())], names=["query_id", "vec_id", "score", "side", "key"])
+                made.append(pa.table([pa.array(ids[queries.at]), pa.array(queries.found), pa.array(fits, pa.int64()), pa.array(side, pa.int32()), pa.array(key, pa.binary())], names=FOUND))
+        return pa.concat_tables(made) if made else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())], names=FOUND)
 
-    pairs = blocks.join(asked, ["dim", "part"]).select("dim", "width", "ids", "vectors", "q_width", "q_ids", "q_vectors")
-    best = pairs.mapInArrow(compared, "query_id long, vec_id long, score long, side int, key binary")
+    cell = ["dim", "asked", "part"]
+    best = blocks.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(compared, "query_id long, vec_id long, score long, side int, key binary")
     order = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("key"), F.desc("score"), F.asc("vec_id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
