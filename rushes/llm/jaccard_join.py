@@ -22,6 +22,8 @@ to be one component, so they need not meet each other, only the rest. Memory is
 by the blocks and no pair is lost; crowds and links leave a task as spanning forests.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,8 +77,6 @@ def linked_overlap(n, m, percent: int):
 
 
 def node_of(found: np.ndarray) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -120,9 +120,22 @@ def trees(m: int, pairs) -> list[tuple[list[int], list[tuple[int, int]]]]:
     return [(sorted(places), own) for places, own in found.values()]
 
 
-def crowded(places: int, pairs: int) -> bool:
+def groups(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place of each place's connected group, by pairs of places."""
+    least = np.arange(m)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, least[b])
+        np.minimum.at(new, b, least[a])
+        new = np.minimum(new, new[new])
+        if (new == least).all():
+            return least
+        least = new
+
+
+def crowded(places, pairs):
     """Whether blocks of all places cost less than the pairs one by one."""
-    return pairs >= places and (places <= 16 or pairs > 2 * places)
+    return (pairs >= places) & ((places <= 16) | (pairs > 2 * places))
 
 
 def by_cell(rows, keys, columns):
@@ -170,6 +183,10 @@ class Joined:
             self.root[x] = x = self.root[y]
         return x
 
+    def one(self, nodes) -> bool:
+        """Whether all of these nodes are known to be joined."""
+        return all(x in self.root for x in nodes) and len({self.find(x) for x in nodes}) == 1
+
     def new(self, a, b) -> bool:
         if len(self.root) > self.most:
             self.root.clear()
@@ -224,8 +241,37 @@ def cells_met(percent: int):
 
     def run(rows):
         out, joined, told = [], Joined(), set()  # what this task has told already
+        seen: set[tuple | bytes] = set()
+        once: dict[int, tuple[np.ndarray, int]] = {}  # distinct known grams of nodes, and how many are left out so
+
+        def distinct(node, known):
+            if (found := once.get(node)) is None:
+                if len(once) > 20_000:
+                    once.clear()
+                few = np.unique(known)
+                found = once[node] = few, len(known) - len(few)
+            return found
+
+        def tell(nodes, pairs):
+            for x, y in pairs:
+                pair = min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
+                if pair not in told:
+                    told.add(pair)
+                    out.append((*pair, False))
+
+        def crowd(nodes, places):
+            first = nodes[places[0]]
+            out.extend((first, nodes[x], True) for x in places[1:] if joined.new(first, nodes[x]))
+
         for _, cell in by_cell(rows, ("level", "gram", "i", "j"), with_known("label")):
             nodes, (sizes, known, labels) = list(cell), zip(*cell.values())
+            # the same nodes say the same again, and a crowd meets whole later on
+            same = tuple(nodes) if len(nodes) <= 6 else hashlib.blake2b(np.array(nodes).tobytes(), digest_size=16).digest()
+            if same in seen or joined.one(nodes):
+                continue
+            if len(seen) > 100_000:
+                seen.clear()
+            seen.add(same)
             if len(cell) <= 6:  # sets are quicker than arrays for a few
                 few = [set(k.tolist()) for k in known]
                 twice = [len(k) - len(f) for k, f in zip(known, few)]
@@ -233,28 +279,33 @@ def cells_met(percent: int):
                 behind = [overlap(k, percent) - a for k, a in zip(sizes, asks)]
                 need = lambda x, y: max(min(asks[x], asks[y]), linked_overlap(sizes[x], sizes[y], percent) - max(behind[x], behind[y])) - min(twice[x], twice[y])  # noqa: B023, E731
                 hit = [(x, y) for y in range(len(few)) for x in range(y) if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]) and len(few[x] & few[y]) >= need(x, y)]
+                # of one component already
+                hit = [(x, y) for x, y in hit if labels[x] is None or labels[x] != labels[y]]
+                for places, pairs in trees(len(nodes), hit):
+                    if crowded(len(places), len(pairs)):
+                        crowd(nodes, places)
+                    else:
+                        tell(nodes, pairs)
             else:
                 sizes = np.array(sizes)
-                few = [np.unique(k) for k in known]
-                twice = np.array([len(k) - len(f) for k, f in zip(known, few)])
-                hit = list(zip(*(x.tolist() for x in near(sizes, level(sizes, percent), _common(few), percent, twice))))
-            # of one component already
-            hit = [(x, y) for x, y in hit if labels[x] is None or labels[x] != labels[y]]
-            for places, pairs in trees(len(nodes), hit):
-                if crowded(len(places), len(pairs)):
-                    first = nodes[places[0]]
-                    out += [(first, nodes[x], True) for x in places[1:] if joined.new(first, nodes[x])]
-                else:
-                    for x, y in pairs:
-                        pair = min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
-                        if pair not in told:
-                            told.add(pair)
-                            out.append((*pair, False))
+                few, twice = zip(*map(distinct, nodes, known))
+                a, b = near(sizes, level(sizes, percent), _common(few), percent, np.array(twice))
+                codes = {label: k for k, label in enumerate(set(labels))}
+                label = np.array([-1 - k if x is None else codes[x] for k, x in enumerate(labels)])
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                least = groups(len(nodes), a, b)
+                pairs, places = np.bincount(least[a], minlength=len(nodes)), np.bincount(least, minlength=len(nodes))
+                dense = crowded(places, pairs)
+                for one in np.flatnonzero(dense & (places > 1)).tolist():
+                    crowd(nodes, np.flatnonzero(least == one).tolist())
+                single = ~dense[least[a]]
+                tell(nodes, zip(a[single].tolist(), b[single].tolist()))
             if len(told) > 100_000:
                 told.clear()
             if len(out) > 20_000:
                 yield _pairs(out)
-                out = []
+                out.clear()
         if out:
             yield _pairs(out)
 
